@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from texspark.llm import packing
+from texspark.llm import near_duplicates, packing
 
 
 def queries() -> dict:
-    return {"op1_packing": packing.op1_packing}
+    return {"op1_packing": packing.op1_packing, "op5_near_duplicates": near_duplicates.op5_near_duplicates}
 
 
 def oracle_sql() -> dict[str, str]:
