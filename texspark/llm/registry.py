@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from texspark.llm import near_duplicates, packing
+from texspark.llm import language_id, licenses, mixing, near_duplicates, packing, quality, secret_scan
 
 
 def queries() -> dict:
-    return {"op1_packing": packing.op1_packing, "op5_near_duplicates": near_duplicates.op5_near_duplicates}
+    return {
+        "op1_packing": packing.op1_packing,
+        "op2_license_scan": licenses.op2_license_scan,
+        "op3_language_id": language_id.op3_language_id,
+        "op5_near_duplicates": near_duplicates.op5_near_duplicates,
+        "op7_quality": quality.op7_quality,
+        "op8_secret_scan": secret_scan.op8_secret_scan,
+        "op9_mixing": mixing.op9_mixing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_license_scan": licenses.oracle(), "op9_mixing": mixing.oracle()}
