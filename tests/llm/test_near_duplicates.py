@@ -80,4 +80,19 @@ def test_common_tokens_change_the_work_but_not_the_links():
 
     tokens = np.arange(1, 11, dtype=np.uint64)
     first = near_duplicates.in_order(tokens, 4, np.array([1, 2, 3, 4, 5, 6, 7, 8], dtype=np.uint64), np.array([9, 9, 9, 9, 9, 9, 5, 9]))
-    assert first.tolist() == [9, 10, 7, 1]
+    assert [part.tolist() for part in first] == [[9, 10], [7, 1]]
+
+
+def test_the_bitmaps_bound_never_closes_a_group_with_a_link():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 62, 3000, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[:n], rng.integers(0, 1 << 62, extra, dtype=np.uint64)])) for n in (30, 400, 2900) for extra in (0, n // 9, n // 5, n)]
+    bits = [(len(s), near_duplicates.bitmap(s)) for s in sets]
+    for i, j in combinations(range(len(sets)), 2):
+        both = len(np.intersect1d(sets[i], sets[j]))
+        if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+            assert all(k.all() for k in near_duplicates.may_link([bits[i]], [bits[j]], 80))
+            assert near_duplicates.may_link(bits, None, 80)[0][[i, j]].all()
+    assert not near_duplicates.may_link([bits[3]], [bits[0]], 80)[1].any()

@@ -5,9 +5,10 @@ popular of a few min-hash bands of each class; large groups are cut into chunks)
 the matrix holds which group has which token. A class Q can only be similar to a member
 S of a group if both hold one of the other's first |set| - ceil(t |set|) + 1 tokens in a
 common order of all tokens, so the matrix keeps just these prefixes, and Q is held
-against the groups that share one. There the group's token union bounds the overlap:
-the group is opened, and its members compared with Q, only if the union has t |Q|
-tokens of Q. Any order and any grouping give the same links; the order puts tokens that
+against the groups that share one. There the group's token union, kept as a bitmap of
+hashed tokens, bounds the overlap: bits of Q that the union lacks are tokens it lacks.
+The group is opened, and those of its members whose own bitmaps pass are compared with Q
+token by token, only if t |Q| tokens may be common. Any order and any grouping give the same links; the order puts tokens that
 many documents share last, so that common lines and passages don't bring documents
 together, and the grouping keeps clusters of near copies from meeting pair by pair.
 """
@@ -33,10 +34,15 @@ COMMON = 1 << 16
 BANDS = 16
 #: Members of a group at most; more make further groups.
 GROUP = 512
+#: Ids of documents to open that may be broadcast (8 bytes each).
+KNOWN_IDS = 1 << 18
 _BAND_AT = np.arange(BANDS, dtype=U) << U(60)
 _NO_ID = -(1 << 63)
 
-_SETS = "did long, doc_id long, n long, fp binary, bands array<long>, prefix array<long>"
+#: Bits of the bitmap of a set of up to half as many tokens; larger sets have larger bitmaps.
+BITS = 2048
+
+_SETS = "did long, doc_id long, n long, fp binary, bits binary, bands array<long>, rare array<long>, common array<long>"
 
 
 def needed(n: int, percent: int) -> int:
@@ -91,46 +97,90 @@ def common_tokens(docs: DataFrame, size: int, percent: int) -> tuple[np.ndarray,
     return tokens[order], n[order]
 
 
-def in_order(tokens: np.ndarray, first: int, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def in_order(tokens: np.ndarray, first: int, common: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The first tokens of a sorted set: rare ones by value, then common ones by count."""
     if not len(common):
-        return tokens[:first]
+        return tokens[:first], tokens[:0]
     at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
     is_common = common[at] == tokens
     rare = tokens[~is_common][:first]
-    if len(rare) == first:
-        return rare
     at, rest = at[is_common], tokens[is_common]
-    return np.concatenate([rare, rest[np.lexsort((rest, counts[at]))][: first - len(rare)]])
+    return rare, rest[np.lexsort((rest, counts[at]))][: first - len(rare)]
+
+
+def bitmap(tokens: np.ndarray) -> bytes:
+    """One bit for each token's hash; a larger bitmap folds into a smaller one."""
+    size = max(BITS, 1 << (2 * len(tokens) - 1).bit_length())
+    bits = np.zeros(size, dtype=bool)
+    bits[(tokens & U(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def folded_to(bits: bytes, size: int) -> np.ndarray:
+    """The bitmap folded to `size` bytes, as zeros and ones."""
+    return np.unpackbits(np.bitwise_or.reduce(np.frombuffer(bits, dtype=np.uint8).reshape(-1, size), axis=0), bitorder="little")
+
+
+def may_link(members: list[tuple[int, bytes]], queries: list[tuple[int, bytes]] | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which members and queries (size, bitmap) may link with another, by the bitmaps' bound.
+
+    Bits of a set that another lacks are tokens that it lacks. Without queries, the
+    members are queries to one another.
+    """
+    asking = members if queries is None else queries
+    size = min(1024, *(len(b) for _, b in [*members, *asking]))
+    mine = np.array([folded_to(b, size) for _, b in members])
+    lacking = (1 - mine).astype(np.float32)
+    n_mine, n_asking = np.array([n for n, _ in members]), np.array([n for n, _ in asking])
+    union = mine.any(axis=0)
+    keep_members, keep_asking = np.zeros(len(members), dtype=bool), np.zeros(len(asking), dtype=bool)
+    for k in range(0, len(asking), 256):
+        theirs = np.array([folded_to(b, size) for _, b in asking[k : k + 256]])
+        n = n_asking[k : k + 256]
+        open_ = n - (theirs & ~union).sum(axis=1) >= -(-percent * n // 100)  # the group's bound
+        if not open_.any():
+            continue
+        at, theirs, n = k + np.flatnonzero(open_), theirs[open_], n[open_]
+        most = np.minimum(n[:, None] - theirs.astype(np.float32) @ lacking.T, n_mine[None, :] - (1 - theirs).astype(np.float32) @ mine.T.astype(np.float32))
+        alike = 100 * most >= percent * (n[:, None] + n_mine[None, :] - most)
+        if queries is None:
+            alike[np.arange(len(at)), at] = False
+        keep_members |= alike.any(axis=0)
+        keep_asking[at] |= alike.any(axis=1)
+    return keep_members, keep_asking
 
 
 def described(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Each document's set: its size, digest, min-hash bands and prefix."""
+    """Each document's set: its size, digest, bitmap, min-hash bands and prefix."""
     common = docs.sparkSession.sparkContext.broadcast(common_tokens(docs, size, percent))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = common.value
         for batch in batches:
             for part in text_slices(batch):
-                n, fp, bands, prefix = [], [], [], []
+                n, fp, bits, bands, rare, frequent = [], [], [], [], [], []
                 for s in shingle_sets(part.column("text"), size):
                     n.append(len(s))
                     if not len(s):
-                        fp.append(None), bands.append(None), prefix.append(None)
+                        for column in (fp, bits, bands, rare, frequent):
+                            column.append(None)
                         continue
                     fp.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                    bits.append(bitmap(s))
                     at = np.searchsorted(s, _BAND_AT) % len(s)
                     with np.errstate(over="ignore"):
                         bands.append((s[at] * U(0x9E3779B97F4A7C15) ^ s[(at + 1) % len(s)]).view(np.int64))
-                    prefix.append(in_order(s, len(s) - needed(len(s), percent) + 1, tokens, counts).view(np.int64))
-                yield pa.record_batch({"did": part.column("did"), "doc_id": part.column("doc_id"), "n": pa.array(n, pa.int64()), "fp": pa.array(fp, pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64())), "prefix": pa.array(prefix, pa.list_(pa.int64()))})
+                    for column, part_of in zip((rare, frequent), in_order(s, len(s) - needed(len(s), percent) + 1, tokens, counts), strict=True):
+                        column.append(part_of.view(np.int64))
+                long, longs = pa.int64(), pa.list_(pa.int64())
+                yield pa.record_batch({"did": part.column("did"), "doc_id": part.column("doc_id"), "n": pa.array(n, long), "fp": pa.array(fp, pa.binary()), "bits": pa.array(bits, pa.binary()), "bands": pa.array(bands, longs), "rare": pa.array(rare, longs), "common": pa.array(frequent, longs)})
 
     return saved(docs.mapInArrow(describe, _SETS), "sets")
 
 
 def grouped(sets: DataFrame) -> DataFrame:
     """The group (fp, gid) of each class that shares a band with another; the others are groups by themselves."""
-    bands = sets.select("fp", F.explode(F.array_distinct("bands")).alias("band")).distinct()
+    bands = sets.select("fp", F.explode(F.array_distinct("bands")).alias("band"))
     sizes = bands.groupBy("band").count().where("count > 1")
     best = bands.join(sizes, "band").groupBy("fp").agg(F.max(F.struct("count", "band")).alias("best")).select("fp", "best.*")
     members = best.groupBy("band").agg(F.count("*").alias("members"))
@@ -139,31 +189,77 @@ def grouped(sets: DataFrame) -> DataFrame:
 
 
 def compared(members: list[np.ndarray], queries: list[np.ndarray] | None, percent: int) -> Iterator[tuple[int, int]]:
-    """Links (query, member) of similar sets; without queries, those among the members, enough to join them up."""
+    """Links (query, member) of similar sets, or among the members if there are no queries: as many as join them up."""
     sizes = np.array([len(m) for m in members])
     union, ids = np.unique(np.concatenate(members), return_inverse=True)
     begins = np.cumsum(sizes) - sizes
     flags = np.zeros(len(union) + 1, dtype=np.int64)
-    root = np.arange(len(members))
+    own = 0 if queries is None else len(members)  # queries come after the members
+    root = np.arange(own + len(members if queries is None else queries))
     for q, tokens in enumerate(members if queries is None else queries):
         if queries is None:
             at = ids[begins[q] : begins[q] + sizes[q]]
         else:
             at = np.searchsorted(union, tokens)
             at = at[(at < len(union)) & (union[np.minimum(at, len(union) - 1)] == tokens)]
-            if len(at) < needed(len(tokens), percent):  # the union's bound: the group stays closed
+            if len(at) < needed(len(tokens), percent):  # the union's bound, now exactly
                 continue
         flags[at] = 1
         overlap = np.add.reduceat(flags[ids], begins)
         flags[at] = 0
         alike = np.flatnonzero(100 * overlap >= percent * (sizes + len(tokens) - overlap))
-        if queries is None:
-            for m in alike.tolist():
-                if root[m] != root[q]:
-                    root[root == root[m]] = root[q]
-                    yield q, m
-        else:
-            yield from ((q, m) for m in alike.tolist())
+        for m in alike.tolist():
+            if root[m] != root[own + q]:
+                root[root == root[m]] = root[own + q]
+                yield q, m
+
+
+def visits_of(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[int, dict, dict]]:
+    """From rows (to, role, fp, columns) sorted by the first two: each group with its members and up to GROUP queries.
+
+    The members come once with no queries, and then with each block of queries.
+    """
+    group, members, queries, told = None, {}, {}, False
+    for batch in batches:
+        values = batch.column(columns[0]).to_pylist() if len(columns) == 1 else list(zip(*(batch.column(c).to_pylist() for c in columns), strict=True))
+        for to, role, fp, value in zip(*(batch.column(c).to_pylist() for c in ("to", "role", "fp")), values, strict=True):
+            if to != group:
+                if queries or members and not told:
+                    yield group, members, queries
+                group, members, queries, told = to, {}, {}, False
+            if not role:
+                members[fp] = value
+                continue
+            if not told:
+                yield group, members, {}
+                told = True
+            queries[fp] = value
+            if len(queries) >= GROUP:
+                yield group, members, queries
+                queries = {}
+    if queries or members and not told:
+        yield group, members, queries
+
+
+def shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (token, gid) sorted by both, the distinct ones whose token is in two groups or more."""
+
+    def shared(tokens: np.ndarray, gids: np.ndarray) -> pa.RecordBatch:
+        new = np.ones(len(tokens), dtype=bool)
+        new[1:] = (tokens[1:] != tokens[:-1]) | (gids[1:] != gids[:-1])
+        tokens, gids = tokens[new], gids[new]
+        _, at, n = np.unique(tokens, return_inverse=True, return_counts=True)
+        some = n[at] > 1
+        return pa.record_batch({"token": pa.array(tokens[some]), "gid": pa.array(gids[some])})
+
+    tokens = gids = np.zeros(0, np.int64)
+    for batch in batches:
+        tokens, gids = np.concatenate([tokens, batch.column("token").to_numpy()]), np.concatenate([gids, batch.column("gid").to_numpy()])
+        if len(tokens):
+            last = np.searchsorted(tokens, tokens[-1])  # its other rows may still come
+            yield shared(tokens[:last], gids[:last])
+            tokens, gids = tokens[last:], gids[last:]
+    yield shared(tokens, gids)
 
 
 def similar(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
@@ -181,14 +277,15 @@ def similar(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("did"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = described(docs, size, percent)
     full = sets.where("n > 0")
-    classes = full.groupBy("fp").agg(F.min("did").alias("did"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    classes = full.groupBy("fp").agg(F.min("did").alias("did"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     groups = saved(grouped(full), "groups")
     own = F.coalesce("gid", F.xxhash64("fp"))
 
     # The matrix: which group's prefixes have which token. Tokens of one group meet no other.
-    prefixes = full.select("fp", "prefix").join(groups, "fp", "left").select(own.alias("gid"), F.explode("prefix").alias("token")).distinct()
-    shared = prefixes.groupBy("token").agg(F.min("gid").alias("least"), F.max("gid").alias("most")).where("least < most")
-    matrix = saved(prefixes.join(shared.select("token"), "token"), "matrix")
+    # Common tokens are made distinct before they are dealt out, so no token has many rows.
+    placed_sets = full.select("fp", "rare", "common").join(groups, "fp", "left").select(own.alias("gid"), "rare", "common")
+    entries = placed_sets.select(F.explode("rare").alias("token"), "gid").unionByName(placed_sets.select(F.explode("common").alias("token"), "gid").distinct())
+    matrix = saved(entries.repartition("token").sortWithinPartitions("token", "gid").mapInArrow(shared_tokens, "token long, gid long"), "matrix")
     grouped_classes = saved(classes.join(groups, "fp", "left").withColumn("gid", own), "classes")
     members = grouped_classes.groupBy("gid").agg(F.count("*").alias("members"), F.min("n").alias("least"), F.max("n").alias("most"))
 
@@ -200,12 +297,25 @@ def similar(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
     small_x = F.col("members_x") <= F.col("members_y")
     asks = saved(pairs.select(F.when(small_x, F.col("x")).otherwise(F.col("y")).alias("gid"), F.when(small_x, F.col("y")).otherwise(F.col("x")).alias("to")), "asks")
 
-    # Rows to compare: every member at its own group if that is asked or has more members, every query at the group it asks.
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for to, members, queries in visits_of(batches, "did", "n", "bits"):
+            if len(members) + len(queries) < 2:
+                continue
+            kept = may_link([x[1:] for x in members.values()], [x[1:] for x in queries.values()] if queries else None, percent)
+            for role, rows, keep in ((0, members, kept[0]), (1, queries, kept[1])):
+                some = [(fp, x[0]) for (fp, x), k in zip(rows.items(), keep.tolist(), strict=False) if k]
+                yield pa.record_batch({"fp": pa.array([x for x, _ in some], pa.binary()), "did": pa.array([x for _, x in some], pa.int64()), "to": pa.array([to] * len(some), pa.int64()), "role": pa.array([role] * len(some), pa.int32())})
+
+    # Every member goes to its own group if that is asked or has more members, every query to the group it asks.
     homes = asks.select("to").distinct().withColumnRenamed("to", "gid").unionByName(members.where("members > 1").select("gid")).distinct()
-    at_home = grouped_classes.join(homes, "gid").select("fp", "did", F.col("gid").alias("to"), F.lit(0).alias("role"))
-    at_others = grouped_classes.join(asks, "gid").select("fp", "did", "to", F.lit(1).alias("role"))
-    visits = at_home.unionByName(at_others).groupBy("fp", "did").agg(F.collect_list(F.struct("to", "role")).alias("visits"))
-    wanted = docs.select("did", "text").join(visits, "did")
+    at_home = grouped_classes.join(homes, "gid").select("fp", "did", "n", "bits", F.col("gid").alias("to"), F.lit(0).alias("role"))
+    at_others = grouped_classes.join(asks, "gid").select("fp", "did", "n", "bits", "to", F.lit(1).alias("role"))
+    bounded = at_home.unionByName(at_others).repartition("to").sortWithinPartitions("to", "role", "fp").mapInArrow(bound, "fp binary, did long, to long, role int")
+    visits = saved(bounded.distinct().groupBy("fp", "did").agg(F.collect_list(F.struct("to", "role")).alias("visits")), "visits")
+    texts = docs.select("did", "text")
+    if visits.count() <= KNOWN_IDS:  # few ids are sent to the scan, so other texts are not dealt out
+        texts = texts.join(F.broadcast(visits.select("did").distinct()), "did", "left_semi")
+    wanted = texts.join(visits, "did")
 
     def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,31 +329,11 @@ def similar(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
     to_compare = rows.repartition("to").sortWithinPartitions("to", "role", "fp")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, members, queries, last = None, {}, {}, None
-
-        def links(ask: bool) -> Iterator[pa.RecordBatch]:
+        for _, members, queries in visits_of(batches, "tokens"):
             names, sets_of = list(members), [np.frombuffer(t, dtype=U) for t in members.values()]
-            if ask:
-                asking, tokens = list(queries), [np.frombuffer(t, dtype=U) for t in queries.values()]
-                found = [(asking[q], names[m]) for q, m in compared(sets_of, tokens, percent)] if names else []
-            else:
-                found = [(names[q], names[m]) for q, m in compared(sets_of, None, percent)] if len(names) > 1 else []
-            if found:
-                yield pa.record_batch({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([y for _, y in found], pa.binary())})
-
-        for batch in batches:
-            for to, role, fp, tokens in zip(*(batch.column(c).to_pylist() for c in ("to", "role", "fp", "tokens")), strict=True):
-                if to != group or role != last or len(queries) >= GROUP:
-                    if last == 0:
-                        yield from links(False)
-                    elif queries:
-                        yield from links(True)
-                    members, queries, group, last = (members if to == group else {}), {}, to, role
-                (queries if role else members)[fp] = tokens
-        if last == 0:
-            yield from links(False)
-        elif queries:
-            yield from links(True)
+            asking, tokens = list(queries or names), [np.frombuffer(t, dtype=U) for t in queries.values()] if queries else None
+            found = [(asking[q], names[m]) for q, m in compared(sets_of, tokens, percent)] if names else []
+            yield pa.record_batch({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([y for _, y in found], pa.binary())})
 
     labels = components(to_compare.mapInArrow(compare, "a binary, b binary"))
     placed = grouped_classes.select("fp", "doc_id", "did").join(labels, F.col("fp") == F.col("node"), "left").select("fp", "doc_id", F.coalesce("label", "fp").alias("component"))
