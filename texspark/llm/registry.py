@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from texspark.llm import language_id, licenses, mixing, near_duplicates, packing, quality, secret_scan
+from texspark.llm import language_id, licenses, mixing, near_duplicates, packing, quality, secret_scan, top_k, toxicity
 
 
 def queries() -> dict:
@@ -10,12 +10,14 @@ def queries() -> dict:
         "op1_packing": packing.op1_packing,
         "op2_license_scan": licenses.op2_license_scan,
         "op3_language_id": language_id.op3_language_id,
+        "op4_top_k": top_k.op4_top_k,
         "op5_near_duplicates": near_duplicates.op5_near_duplicates,
         "op7_quality": quality.op7_quality,
         "op8_secret_scan": secret_scan.op8_secret_scan,
         "op9_mixing": mixing.op9_mixing,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": licenses.oracle(), "op9_mixing": mixing.oracle()}
+    return {"op2_license_scan": licenses.oracle(), "op4_top_k": top_k.oracle(), "op9_mixing": mixing.oracle()}

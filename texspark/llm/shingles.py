@@ -46,11 +46,11 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, begins - begins[0]
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word [^\\x20\\x09-\\x0D]+ with A-Z in lower case, and each text's first word."""
+def word_spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The column's bytes with A-Z in lower case, each word's [^\x20\x09-\x0D]+ begin and end, and each text's first word."""
     raw, begins = text_bytes(column)
     if not len(raw):
-        return np.zeros(0, U), np.zeros(len(begins), np.int64)
+        return raw, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(begins), np.int64)
     solid = ~_BLANK[raw]
     edge = np.zeros(len(raw) + 1, dtype=bool)
     edge[begins] = True
@@ -59,12 +59,22 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     ends = solid.copy()
     ends[:-1] &= ~solid[1:] | edge[1:-1]
     first, last = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    up, down = _powers(max(22, int(len(raw)).bit_length()))
+    return _LOWER[raw], first, last, np.searchsorted(first, begins)
+
+
+def hashed(lower: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A hash of each word."""
+    up, down = _powers(max(22, int(len(lower)).bit_length()))
     with np.errstate(over="ignore"):
-        total = np.zeros(len(raw) + 1, dtype=U)
-        np.cumsum(_BYTE[_LOWER[raw]] * up[: len(raw)], out=total[1:])
-        hashes = mixed((total[last] - total[first]) * down[first] + (last - first).astype(U) * U(0xD6E8FEB86659FD93))
-    return hashes, np.searchsorted(first, begins)
+        total = np.zeros(len(lower) + 1, dtype=U)
+        np.cumsum(_BYTE[lower] * up[: len(lower)], out=total[1:])
+        return mixed((total[last] - total[first]) * down[first] + (last - first).astype(U) * U(0xD6E8FEB86659FD93))
+
+
+def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of the column, and each text's first word."""
+    lower, first, last, begins = word_spans(column)
+    return hashed(lower, first, last), begins
 
 
 def folded(parts: list[np.ndarray]) -> np.ndarray:
