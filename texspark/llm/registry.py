@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from texspark.llm import language_id, licenses, mixing, near_duplicates, packing, quality, secret_scan, top_k, toxicity
+from texspark.llm import language_id, licenses, mixing, near_duplicates, packing, quality, secret_scan, top_k, toxicity, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_language_id": language_id.op3_language_id,
         "op4_top_k": top_k.op4_top_k,
         "op5_near_duplicates": near_duplicates.op5_near_duplicates,
+        "op6_warc": warc.op6_warc,
         "op7_quality": quality.op7_quality,
         "op8_secret_scan": secret_scan.op8_secret_scan,
         "op9_mixing": mixing.op9_mixing,
