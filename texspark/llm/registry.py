@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from texspark.llm import language_id, licenses, mixing, near_duplicates, packing, quality, secret_scan, top_k, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "pipeline": corpus_pipeline.pipeline,
         "op1_packing": packing.op1_packing,
         "op2_license_scan": licenses.op2_license_scan,
         "op3_language_id": language_id.op3_language_id,
