@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from texspark.formats import FORMATS, format_of, level_size, mip_count
 from texspark.functions.pixels import UNPACK
-from texspark.operators import decode, encode, metrics, mips, surfaces
+from texspark.operators import decode, encode, metrics, mips, search, surfaces
 from texspark.plans import fixtures
 
 # SHA-256 of the decoded blocks of fixtures.generated_blocks.
@@ -150,3 +150,45 @@ def test_sizes():
     assert len(FORMATS) == 24 and format_of("DXT5").name == "BC3"
     assert level_size(format_of("BC1"), 18, 14) == 5 * 4 * 8 and level_size(format_of("RGB8"), 3, 2) == 18
     assert [mip_count(*s) for s in ((8, 4), (5, 1), (1, 1))] == [4, 3, 1]
+
+
+# First eight bytes of SHA-256 of the 64x64 images encoded at levels 1 to 10, then decoded.
+LEVELS = {
+    ("BC1", "opaque"): "645bebcb02564fba 49022b4011bc1ddd 122400b9c696028a d765ea758656b179 04abe32437d913d3 086c9a5a46b258b7 be3fb6ee9f0e8706 3f5d21d232f1592f 13cdb6ac1be82601 c29052c9f02e1bcf",
+    ("BC1", "translucent"): "0f2d56329e5adbaa f2cdc3180f61b389 052c7b2e6d349c03 59fc241c2e771f12 90f13979ea874bdf 1d064a543929425c b101a8ec39975c66 7cafcda90ce77b87 0632379ec630dff2 aec3701cdf5677ff",
+    ("BC2", "translucent"): "b0b375a13743fd27 c1b8b0061a98f19e e8bb7e07a2d0d946 475793c0dfc0b713 f585fe1ef5d219f7 a9d917310f873da0 40f10292f8497676 a9cfa8e20b8418d2 ab9643b36f91f24b 8e77c95ad95b244a",
+    ("BC3", "translucent"): "c2af7a143698e692 359843aeb5d1cd4c d2f61ad341876a40 727da9ef9495f675 e7963ee34b751b03 70b3b8b6f8f29e15 7272b3ab002aca55 8863e14a635c2798 35f00ab0bb2149d5 123cfc9ff11bde4c",
+    ("BC3", "nohq"): "8b732676827b3617 8372d844da2ec237 fbde30eb8d508e1b 53298e682d2921f3 820c18adeb4c8df8 a1de3e30e4a22a2a 53af96172ee42de9 e9505a3f2731bd7a 016eb16aad2b1565 016eb16aad2b1565",
+    ("BC4", "opaque"): "b63e66185a881fd6 " + "4f4e3f564d05246c " * 6 + "778a4651318576fe " * 3,
+    ("BC5", "opaque"): "51bfd7a4de1a48c9 " + "b735707000d9e609 " * 6 + "330bcfc40f2875fc " * 3,
+    ("BC4S", "opaque"): "0a1fcccb8b9c1fa5 9a48e581600f0938 " + "66f98ddd67d95c1b " * 8,
+    ("BC5S", "opaque"): "0c714ffcf6660503 15a74ff51615f22b " + "866fd5f85ab1b615 " * 8,
+    ("BC7", "opaque"): "676bc14c0e70df41",
+    ("BC7", "translucent"): "80f1cd8d9ca86319",
+}
+
+
+@pytest.mark.parametrize(("name", "image"), LEVELS)
+def test_searched_encodings_have_the_published_digests(spark, name, image):
+    """All levels at once: each level is a texture, and blocks are decoded by the expressions."""
+    want = LEVELS[name, image].split()
+    rgba = bytes(surfaces.rasters(fixtures.image(spark, image)).first().rgba)
+    frame = spark.createDataFrame([(0, 0, 0, 64, 64, rgba)], "texture_id int, face int, mip int, width int, height int, rgba binary")
+    encoded = None
+    for level in range(1, len(want) + 1):
+        one = search.encode_surfaces(frame, name, level).withColumn("texture_id", F.lit(level))
+        encoded = one if encoded is None else encoded.unionByName(one)
+    payloads = {r.texture_id: bytes(r.payload) for r in encoded.collect()}
+    again = spark.createDataFrame([(k, 0, 0, 64, 64, p) for k, p in payloads.items()], "texture_id int, face int, mip int, width int, height int, payload binary")
+    decoded = {r.texture_id: bytes(r.rgba) for r in surfaces.rasters(surfaces.placed(decode.decode_blocks(surfaces.to_blocks(again, name), name))).collect()}
+    got = [hashlib.sha256(payloads[k] + decoded[k]).hexdigest()[:16] for k in sorted(payloads)]
+    assert got == want
+
+
+def test_surfaces_with_odd_sizes_and_nulls(spark):
+    rgba = bytes(range(256)) * 3
+    frame = spark.createDataFrame([(1, 18, 10, rgba[: 18 * 10 * 4] + bytes(max(0, 18 * 10 * 4 - 768))), (2, 4, 4, None)], "id int, width int, height int, rgba binary")
+    rows = {r.id: r for r in search.encode_surfaces(frame, "DXT5", 2).collect()}
+    assert rows[2].payload is None and len(rows[1].payload) == 5 * 3 * 16 and rows[1].format == "BC3"
+    with pytest.raises(ValueError, match="no encoder"):
+        search.encode_array(search.blocks_of(bytes(64), 4, 4), "BC6HU")

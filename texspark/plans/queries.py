@@ -15,7 +15,7 @@ from texspark.formats import format_of
 from texspark.functions.expressions import duckdb, to_bytes
 from texspark.functions.palettes import LAYOUTS
 from texspark.functions.pixels import PACK, UNPACK
-from texspark.operators import decode, encode, metrics, mips, surfaces
+from texspark.operators import decode, encode, metrics, mips, search, surfaces
 from texspark.sources import containers
 
 #: Words of a synthetic block from the keys k and c of an order, by their place in the layouts.
@@ -134,6 +134,16 @@ def _encoded(name: str) -> Query:
     return lambda spark, sf_dir: encode.encode_blocks(_cells(spark, sf_dir), name, _CELL).select(*_CELL, F.hex("block").alias("block"))
 
 
+def _searched(name: str, level: int) -> Query:
+    """Surfaces encoded by search; digests of their payloads."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        encoded = search.encode_surfaces(surfaces.rasters(_texels(spark, sf_dir)), name, level)
+        return encoded.select("texture_id", F.length("payload").cast("long").alias("bytes"), F.sha2("payload", 256).alias("digest"))
+
+    return run
+
+
 def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PSNR of the fastest BC1 encoding of all surfaces, by the key's last digit."""
     cells = _cells(spark, sf_dir)
@@ -175,6 +185,7 @@ def queries() -> dict[str, Query]:
     out |= {f"unpack_{name.lower()}": _unpacked(name) for name in UNPACK} | {f"pack_{name.lower()}": _packed(name) for name in PACK}
     out |= {"mip_linear": _half(False), "mip_srgb": _half(True), "block_boxes": _block_boxes, "psnr_bc1": _quality, "dds_headers": _headers}
     out |= {f"encode_{name.lower()}": _encoded(name) for name in LAYOUTS}
+    out |= {"search_bc1_level2": _searched("BC1", 2), "search_bc3_level6": _searched("BC3", 6), "search_bc5_level6": _searched("BC5", 6), "search_bc7_level1": _searched("BC7", 1)}
     return out | {f"{kind}_round_trip": _round_trip(kind) for kind in ("dds", "ktx")}
 
 
