@@ -348,7 +348,9 @@ def encode_array(blocks: np.ndarray, fmt: str, level: int = 6, threshold: int =
     if name in ("BC4S", "BC5S"):
         return np.concatenate([signed(c) for c in range(1 if name == "BC4S" else 2)], axis=1)
     if name == "BC7":
-        return bc7_mode6(blocks)
+        from texspark.operators.bc7 import encode_bc7
+
+        return encode_bc7(blocks, level)
     raise ValueError(f"no encoder for {name} yet")
 
 
