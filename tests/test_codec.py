@@ -164,7 +164,7 @@ LEVELS = {
     ("BC4S", "opaque"): "0a1fcccb8b9c1fa5 9a48e581600f0938 " + "66f98ddd67d95c1b " * 8,
     ("BC5S", "opaque"): "0c714ffcf6660503 15a74ff51615f22b " + "866fd5f85ab1b615 " * 8,
     ("BC7", "opaque"): "676bc14c0e70df41 " + "a8495ee1c31144c6 " * 2 + "1b967653bb24b65a " * 3 + "25855d0290901ffb " * 2 + "f6d2c255f5ac6d64 f1e2fe57dbf63121",
-    ("BC7", "translucent"): "80f1cd8d9ca86319",
+    ("BC7", "translucent"): "80f1cd8d9ca86319 " + "f4c2e8252dbe4fc8 " * 2 + "004f46b918859a66 " * 3 + "a092a73d21ea9d17 " * 2 + "bdd359b7d3e6f0a9 2020711052772849",
 }
 
 

@@ -1,4 +1,4 @@
-"""BC7 encoders for the modes with partitions, over many blocks at a time.
+"""BC7 encoders, over many blocks at a time.
 
 For every block the partitions are ranked by the variance inside their subsets; each of
 the best is tried: both ends of a subset start at its two most distant texels and are
@@ -18,7 +18,7 @@ from texspark.operators.search import bc7_mode6, least_squares
 ROUNDS = 8
 # Partitions tried at each quality level.
 TRIES = {1: 0, 2: 4, 3: 4, 4: 8, 5: 8, 6: 8, 7: 16, 8: 16, 9: 32, 10: 64}
-#: Levels that try so many partitions try three subsets too.
+#: Levels that try so many partitions try three subsets and all rotations too.
 THREE_FROM = 8
 FAR = np.int64(1) << 40
 
@@ -212,6 +212,68 @@ def best_of_mode(mode: PartitionMode, blocks: np.ndarray, tries: int, order: np.
     return best, error
 
 
+def _channel_fit(v: np.ndarray, stored_bits: int, index_bits: int, seeds: tuple[np.ndarray, np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Endpoints, indices and palette of channels (n, 16, c) without P-bits; the first index has its top bit clear."""
+    stored = np.arange(1 << stored_bits)
+    expand = lambda q: q << (8 - stored_bits) | (q << (8 - stored_bits)) >> stored_bits
+    table = np.abs(expand(stored)[None, :] - np.arange(256)[:, None]).argmin(axis=1)
+    weight = WEIGHTS[index_bits][:, None]
+    palette = lambda q: (expand(q[0])[:, None, :] * (64 - weight) + expand(q[1])[:, None, :] * weight + 32) >> 6
+    best = [table[e] for e in seeds]
+    errors = squares(v, palette(best))
+    error, near = errors.min(axis=2).sum(axis=1), errors.argmin(axis=2)
+    going = np.ones(len(v), dtype=bool)
+    for _ in range(ROUNDS):
+        rows = np.flatnonzero(going)
+        if not len(rows):
+            break
+        b = WEIGHTS[index_bits][near[rows]]
+        e0, e1, found = least_squares(64 - b, b, v[rows], np.full(len(rows), 64))
+        new = [table[e0], table[e1]]
+        tried = squares(v[rows], palette(new))
+        total = tried.min(axis=2).sum(axis=1)
+        better = found & (total < error[rows])
+        won = rows[better]
+        for old, x in zip(best, new, strict=True):
+            old[won] = x[better]
+        error[won], near[won] = total[better], tried[better].argmin(axis=2)
+        going[rows] = better & (error[rows] > 0)
+    turned = (near[:, 0] >> (index_bits - 1) == 1)[:, None]
+    best = [np.where(turned, best[1], best[0]), np.where(turned, best[0], best[1])]
+    final = palette(best)
+    return best, squares(v, final).argmin(axis=2), final
+
+
+def separate_alpha(number: int, blocks: np.ndarray, rotations: int) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks of mode 4 or 5, which index colour and alpha apart, and their errors: the best rotation and index set."""
+    _, _, _, select_bits, color_bits, alpha_bits, _, size, size2 = BC7_MODES[number]
+    best, error = np.zeros((len(blocks), 16), np.uint8), np.full(len(blocks), FAR)
+    rows = np.arange(len(blocks))
+    i, j = np.triu_indices(16, 1)
+    for rotation in range(rotations):
+        v = blocks.astype(np.int64)
+        if rotation:
+            v[:, :, [rotation - 1, 3]] = v[:, :, [3, rotation - 1]]
+        color, alpha = v[:, :, :3], v[:, :, 3:]
+        far = ((color[:, i] - color[:, j]) ** 2).sum(axis=2).argmax(axis=1)
+        for selection in range(1 + select_bits):
+            color_index, alpha_index = (size2, size) if selection else (size, size2)
+            q, near, shown = _channel_fit(color, color_bits, color_index, (color[rows, i[far]], color[rows, j[far]]))
+            qa, near_a, shown_a = _channel_fit(alpha, alpha_bits, alpha_index, (alpha.max(axis=1), alpha.min(axis=1)))
+            total = ((color - shown[rows[:, None], near]) ** 2).sum(axis=(1, 2)) + ((alpha - shown_a[rows[:, None], near_a]) ** 2).sum(axis=(1, 2))
+            same = lambda x: np.full(len(v), x)
+            fields = [(same(1 << number), number + 1), (same(rotation), 2), (same(selection), select_bits)]
+            fields += [(e[:, c], color_bits) for c in range(3) for e in q] + [(e[:, 0], alpha_bits) for e in qa]
+            first, second = (near_a, near) if selection else (near, near_a)
+            for index, width in ((first, size), (second, size2)):
+                fields += [(index[:, t], width - (t == 0)) for t in range(16)]
+            bits = np.concatenate([(x[:, None] >> np.arange(n) & 1).astype(np.uint8) for x, n in fields], axis=1)
+            found = np.packbits(bits, axis=1, bitorder="little")
+            better = total < error
+            best[better], error[better] = found[better], total[better]
+    return best, error
+
+
 def error_of(encoded: np.ndarray, blocks: np.ndarray) -> np.ndarray:
     return ((decode_bc7(encoded) - blocks.astype(np.int64)) ** 2).sum(axis=(1, 2))
 
@@ -238,5 +300,7 @@ def encode_bc7(blocks: np.ndarray, level: int = 6) -> np.ndarray:
             consider(rows, *best_of_mode(PartitionMode(number), blocks[rows], tries))
     rows = np.flatnonzero(~opaque)
     if len(rows):
+        for number in (5, 4):
+            consider(rows, *separate_alpha(number, blocks[rows], 4 if tries >= THREE_FROM else 1))
         consider(rows, *best_of_mode(PartitionMode(7), blocks[rows], tries))
     return best
