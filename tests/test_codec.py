@@ -1,11 +1,14 @@
 import hashlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from texspark.formats import FORMATS, format_of, level_size, mip_count
+from texspark.functions import halves
+from texspark.functions.expressions import apply
 from texspark.functions.pixels import UNPACK
-from texspark.operators import decode, encode, metrics, mips, search, surfaces
+from texspark.operators import bc6h, bptc, decode, encode, metrics, mips, search, surfaces
 from texspark.plans import fixtures
 
 # SHA-256 of the decoded blocks of fixtures.generated_blocks.
@@ -192,3 +195,46 @@ def test_surfaces_with_odd_sizes_and_nulls(spark):
     assert rows[2].payload is None and len(rows[1].payload) == 5 * 3 * 16 and rows[1].format == "BC3"
     with pytest.raises(ValueError, match="no encoder"):
         search.encode_array(search.blocks_of(bytes(64), 4, 4), "BC6HU")
+
+
+def test_weights_and_own_searches(spark):
+    blocks = search.blocks_of(bytes(surfaces.rasters(fixtures.image(spark, "opaque")).first().rgba), 64, 64)
+    assert search.fixed_weights(0.3, 0.6, 0.1).tolist() == search.GENERAL.tolist() and search.fixed_weights(-1, 0, 0).tolist() == [0, 0, 0]
+    same = search.encode_array(blocks, "BC1", 6)
+    assert (search.encode_array(blocks, "BC1", search.LEVELS[6], weights=(0.3, 0.6, 0.1)) == same).all()
+    assert (search.encode_array(blocks, "BC1", 6, weights=(1, 0, 0)) != same).any()
+    assert (search.encode_array(blocks, "BC1", 99) == search.encode_array(blocks, "BC1", 10)).all()
+
+
+# First eight bytes of SHA-256 of the 64x64 HDR image encoded at levels 1 to 10, then decoded.
+HDR = {
+    "BC6HU": "dd7dc80381029671 " + "e509f7ee6e05549f " * 2 + "d6155550e1dc8a27 " * 4 + "b6b179bbd0a84dfb " * 3,
+    "BC6HS": "3beb645d3bbbe7c6 " + "ab112c70855ed726 " * 2 + "d4ac8130bda6692a " * 4 + "a1cc3f7a98445ee8 " * 3,
+}
+
+
+@pytest.mark.parametrize("name", HDR)
+def test_hdr_encodings_have_the_published_digests(spark, name):
+    y, x = np.mgrid[0:64, 0:64]
+    image = np.stack([x / np.float32(63), y / np.float32(63), np.where((x // 8 + y // 8) % 2 == 0, 8.0, 1.0)], axis=2)
+    halves = bc6h.to_half(image).astype("<u2").tobytes()
+    frame = spark.createDataFrame([(0, 64, 64, halves), (1, 4, 4, None)], "texture_id int, width int, height int, rgb16 binary")
+    for level, want in enumerate(HDR[name].split(), 1):
+        if level in (3, 5, 6, 7, 9):  # these search as the one before does
+            continue
+        payloads = {r.texture_id: r.payload for r in bc6h.encode_hdr_surfaces(frame, name == "BC6HS", level).collect()}
+        payload = bytes(payloads[0])
+        texels = bptc.decode_bc6h(np.frombuffer(payload, np.uint8).reshape(-1, 16), name == "BC6HS")
+        decoded = texels.astype("<u2").reshape(16, 16, 4, 4, 3).transpose(0, 2, 1, 3, 4).tobytes()
+        assert hashlib.sha256(payload + decoded).hexdigest()[:16] == want and payloads[1] is None
+
+
+def test_half_floats(spark):
+    # Floats and their half-float bits.
+    for value, bits in ((0.0, 0), (-0.0, 0x8000), (1, 0x3C00), (-1, 0xBC00), (2, 0x4000), (0.5, 0x3800), (-0.5, 0xB800), (65504, 0x7BFF), (-65504, 0xFBFF), (2**-14, 0x0400), (2**-24, 1), (np.inf, 0x7C00), (-np.inf, 0xFC00), (1e10, 0x7C00), (2**-30, 0)):
+        assert bc6h.to_half(np.array([value]))[0] == bits
+    every = np.arange(65536).astype(np.uint16)
+    nan = (every & 0x7C00 == 0x7C00) & (every & 0x3FF > 0)
+    assert (bc6h.to_half(bc6h.from_half(every))[~nan] == every[~nan]).all() and np.isnan(bc6h.from_half(every[nan])).all()
+    got = apply(spark.range(65536).selectExpr("CAST(id AS BIGINT) AS h"), [{"value": halves.to_double("h")}]).orderBy("h").toPandas().value.to_numpy()
+    assert np.array_equal(got.astype(np.float32), bc6h.from_half(every), equal_nan=True)

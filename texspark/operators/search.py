@@ -7,7 +7,7 @@ strictly smaller error, so the order of the candidates decides ties.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -133,15 +133,16 @@ def rounded_ratio(num: np.ndarray, denom: np.ndarray) -> np.ndarray:
     return np.where(num < 0, -size, size)
 
 
-def least_squares(a: np.ndarray, b: np.ndarray, values: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Endpoints that fit values (n, 16, channels) best with weights a and b of a sum d, clamped to bytes, and where they exist."""
+def least_squares(a: np.ndarray, b: np.ndarray, values: np.ndarray, d: np.ndarray, clamp: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Endpoints that fit values (n, 16, channels) best with weights a and b of a sum d, clamped to bytes or not, and where they exist."""
     saa, sbb, sab = ((x * y).sum(axis=1) for x, y in ((a, a), (b, b), (a, b)))
     sap, sbp = ((x[:, :, None] * values).sum(axis=1) for x in (a, b))
     denom = saa * sbb - sab * sab
     safe = np.where(denom == 0, 1, denom)[:, None]
     num0 = d[:, None] * (sap * sbb[:, None] - sbp * sab[:, None])
     num1 = d[:, None] * (sbp * saa[:, None] - sap * sab[:, None])
-    return np.clip(rounded_ratio(num0, safe), 0, 255), np.clip(rounded_ratio(num1, safe), 0, 255), denom != 0
+    e0, e1 = rounded_ratio(num0, safe), rounded_ratio(num1, safe)
+    return (np.clip(e0, 0, 255), np.clip(e1, 0, 255), denom != 0) if clamp else (e0, e1, denom != 0)
 
 
 # How many of d parts of the second endpoint a palette entry has.
@@ -325,16 +326,29 @@ def bc7_mode6(blocks: np.ndarray, rounds: int = 16) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little")
 
 
-def encode_array(blocks: np.ndarray, fmt: str, level: int = 6, threshold: int = 128) -> np.ndarray:
-    """Encoded bytes (n, block size) of blocks (n, 16, 4) of bytes."""
-    name, search = format_of(fmt).name, LEVELS[min(10, max(1, level))]
+def fixed_weights(r: float, g: float, b: float) -> np.ndarray:
+    """Relative channel weights in 1,024ths of their sum, halves up; negative ones count as zero."""
+    parts = np.maximum([r, g, b], 0.0)
+    return np.floor(parts * (1024.0 / parts.sum()) + 0.5).astype(np.int64) if parts.sum() > 0 else np.zeros(3, np.int64)
+
+
+def encode_array(blocks: np.ndarray, fmt: str, level: int | Level = 6, threshold: int = 128, weights: tuple[float, float, float] | None = None) -> np.ndarray:
+    """Encoded bytes (n, block size) of blocks (n, 16, 4) of bytes.
+
+    level: 1 to 10 (others count as the nearest), or what to search; BC7 takes only the
+    former. weights: of red, green and blue in colour errors, but not when BC2 picks its
+    indices, nor in BC7.
+    """
+    name = format_of(fmt).name
+    search = level if isinstance(level, Level) else LEVELS[min(10, max(1, level))]
+    own = None if weights is None else fixed_weights(*weights)
     channel = lambda c, **more: alpha_block(blocks[:, :, c], search.alpha_tries, search.rounds, **more)
     signed = lambda c: alpha_block(to_snorm(blocks[:, :, c]), search.alpha_tries, 0, signed=True)
     if name == "BC1":
-        colors = Colors(blocks, threshold)
+        colors = Colors(blocks, threshold, own)
         return color_block(colors, *colors.ordered(*color_ends(colors, search)))
     if name in ("BC2", "BC3"):
-        colors = Colors(blocks, None)
+        colors = Colors(blocks, None, own)
         ends = color_ends(colors, search)
         if name == "BC3":
             alpha = alpha_block(blocks[:, :, 3], 0, search.rounds, apart=False)
@@ -350,7 +364,7 @@ def encode_array(blocks: np.ndarray, fmt: str, level: int = 6, threshold: int =
     if name == "BC7":
         from texspark.operators.bc7 import encode_bc7
 
-        return encode_bc7(blocks, level)
+        return encode_bc7(blocks, 6 if isinstance(level, Level) else level)
     raise ValueError(f"no encoder for {name} yet")
 
 
@@ -362,7 +376,31 @@ def blocks_of(rgba: bytes, width: int, height: int) -> np.ndarray:
     return image.reshape(high, 4, wide, 4, 4).transpose(0, 2, 1, 3, 4).reshape(-1, 16, 4)
 
 
-def encode_surfaces(surfaces: DataFrame, fmt: str, level: int = 6, threshold: int = 128) -> DataFrame:
+def encode_many(surfaces: list[np.ndarray | None], encode: Callable[[np.ndarray], np.ndarray]) -> list[bytes | None]:
+    """Encoded payloads of surfaces' blocks; small surfaces are encoded together, large ones in parts."""
+    out: list[bytes | None] = []
+    for k in range(0, len(surfaces), BLOCKS):
+        some = [s for s in surfaces[k : k + BLOCKS] if s is not None]
+        pieces, waiting, held = [], [], 0
+        for s in some:
+            waiting.append(s)
+            held += len(s)
+            if held >= BLOCKS:
+                together = np.concatenate(waiting)
+                pieces += [encode(together[a : a + BLOCKS]) for a in range(0, held, BLOCKS)]
+                waiting, held = [], 0
+        if waiting:
+            pieces.append(encode(np.concatenate(waiting)))
+        joined = np.concatenate(pieces).tobytes() if pieces else b""
+        size = len(joined) // max(1, sum(map(len, some)))
+        at = 0
+        for s in surfaces[k : k + BLOCKS]:
+            out.append(None if s is None else joined[at : at + size * len(s)])
+            at += 0 if s is None else size * len(s)
+    return out
+
+
+def encode_surfaces(surfaces: DataFrame, fmt: str, level: int | Level = 6, threshold: int = 128, weights: tuple[float, float, float] | None = None) -> DataFrame:
     """surfaces (width, height, rgba, any other columns) with payload instead of rgba, and format.
 
     No shuffle: a surface is encoded where it is, some thousand blocks at a time. A null
@@ -373,13 +411,9 @@ def encode_surfaces(surfaces: DataFrame, fmt: str, level: int = 6, threshold: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            payloads = []
-            for width, height, rgba in zip(*(batch.column(c).to_pylist() for c in ("width", "height", "rgba")), strict=True):
-                if rgba is None:
-                    payloads.append(None)
-                    continue
-                blocks = blocks_of(rgba, width, height)
-                payloads.append(b"".join(encode_array(blocks[k : k + BLOCKS], name, level, threshold).tobytes() for k in range(0, len(blocks), BLOCKS)))
+            columns = zip(*(batch.column(c).to_pylist() for c in ("width", "height", "rgba")), strict=True)
+            blocks = [None if rgba is None else blocks_of(rgba, width, height) for width, height, rgba in columns]
+            payloads = encode_many(blocks, lambda some: encode_array(some, name, level, threshold, weights))
             yield pa.record_batch({c: batch.column(c) for c in keep} | {"format": pa.array([name] * batch.num_rows, pa.string()), "payload": pa.array(payloads, pa.binary())})
 
     schema = StructType([*(surfaces.schema[c] for c in keep), *StructType.fromDDL("format string, payload binary").fields])

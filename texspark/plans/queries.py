@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from texspark.formats import format_of
-from texspark.functions.expressions import duckdb, to_bytes
+from texspark.functions import halves
+from texspark.functions.expressions import apply, duckdb, to_bytes
 from texspark.functions.palettes import LAYOUTS
 from texspark.functions.pixels import PACK, UNPACK
-from texspark.operators import decode, encode, metrics, mips, search, surfaces
+from texspark.operators import bc6h, decode, encode, metrics, mips, search, surfaces
 from texspark.sources import containers
 
 #: Words of a synthetic block from the keys k and c of an order, by their place in the layouts.
@@ -144,6 +145,24 @@ def _searched(name: str, level: int) -> Query:
     return run
 
 
+_HALVES = [{"value": halves.to_double("h")}]
+
+
+def _half_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half-float bits as numbers."""
+    return apply(_keys(spark, sf_dir).selectExpr("k", "(k * 40503 + c * 31) % 31744 + 32768 * (c % 2) AS h"), _HALVES)
+
+
+def _hdr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half-float surfaces from the texels' bytes, encoded as BC6H; digests of their payloads."""
+    halves_ = [F.expr(f"CAST({ch} AS BIGINT) * 64") for ch in "rgb"]
+    words = F.concat(*(to_bytes(h, 2) for h in halves_))
+    rows = _texels(spark, sf_dir).groupBy(*surfaces.SURFACE).agg(F.sort_array(F.collect_list(F.struct("y", "x", words.alias("w")))).alias("p"))
+    raster = rows.select(*surfaces.SURFACE, F.unhex(F.array_join(F.transform("p", lambda p: F.hex(p.w)), "")).alias("rgb16"))
+    encoded = bc6h.encode_hdr_surfaces(raster, signed=False, level=2)
+    return encoded.select("texture_id", F.length("payload").cast("long").alias("bytes"), F.sha2("payload", 256).alias("digest"))
+
+
 def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PSNR of the fastest BC1 encoding of all surfaces, by the key's last digit."""
     cells = _cells(spark, sf_dir)
@@ -185,6 +204,7 @@ def queries() -> dict[str, Query]:
     out |= {f"unpack_{name.lower()}": _unpacked(name) for name in UNPACK} | {f"pack_{name.lower()}": _packed(name) for name in PACK}
     out |= {"mip_linear": _half(False), "mip_srgb": _half(True), "block_boxes": _block_boxes, "psnr_bc1": _quality, "dds_headers": _headers}
     out |= {f"encode_{name.lower()}": _encoded(name) for name in LAYOUTS}
+    out |= {"half_values": _half_values, "search_bc6h_level2": _hdr}
     out |= {"search_bc1_level2": _searched("BC1", 2), "search_bc3_level6": _searched("BC3", 6), "search_bc5_level6": _searched("BC5", 6), "search_bc7_level1": _searched("BC7", 1)}
     return out | {f"{kind}_round_trip": _round_trip(kind) for kind in ("dds", "ktx")}
 
@@ -195,5 +215,6 @@ def oracle_sql() -> dict[str, str]:
     out |= {f"{name.lower()}_texels": _decoded_sql(name) for name in LAYOUTS}
     out |= {f"unpack_{name.lower()}": _unpacked_sql(name) for name in UNPACK} | {f"pack_{name.lower()}": _packed_sql(name) for name in PACK}
     out |= {"mip_linear": _half_sql(False), "mip_srgb": _half_sql(True), "block_boxes": _BOXES_SQL}
+    out["half_values"] = f"SELECT k, h, value FROM {duckdb(f'(SELECT k, (k * 40503 + c * 31) % 31744 + 32768 * (c % 2) AS h FROM (SELECT {KEYS} FROM orders))', _HALVES)}"
     out["dds_headers"] = f"SELECT CAST(o_orderkey AS BIGINT) AS texture_id, 'dds' AS container, CAST({WIDE} AS INT) AS width, CAST({HIGH} AS INT) AS height, CAST({128 + WIDE * HIGH * 4} AS BIGINT) AS bytes FROM orders"
     return out | {f"{kind}_round_trip": _TEXELS_OUT for kind in ("dds", "ktx")}
