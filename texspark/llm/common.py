@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,7 +15,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Bytes of text that one step of a vectorised Python loop handles at a time.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
+
+
+# Python workers live on from stage to stage. Blocks of 256 KB and more are mapped one by
+# one, so an array's memory goes back to the system when it is freed (glibc's mallopt with
+# M_MMAP_THRESHOLD and M_TRIM_THRESHOLD; other systems do without).
+with contextlib.suppress(OSError, AttributeError):
+    _libc = ctypes.CDLL(None)
+    _libc.mallopt(-3, 1 << 18)
+    _libc.mallopt(-1, 1 << 20)
+
+
+def given_back() -> None:
+    """Return memory that is free to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, NameError):
+        _libc.malloc_trim(0)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,3 +79,4 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_
         total += size
     if batch.num_rows > begin:
         yield batch.slice(begin)
+    given_back()

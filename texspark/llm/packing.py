@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from texspark.llm.common import saved
+from texspark.llm.common import given_back, saved
 
 #: Words a worker remembers; the memory is emptied when it is full.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 150_000
 #: Sources with a queue of their own in the shares; smaller sources together get one share.
 MAX_SHARES = 4096
 
@@ -123,7 +123,7 @@ def rooms_of(total: int, window: int) -> Iterator[int]:
     yield from (1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1)
 
 
-def pack(docs: DataFrame, ranks_path: str, pattern: str, *, window: int = 1024, end_id: int = 0, targets: dict[str | None, float] | None = None, quantum: int = 128, lane_bytes: int = 8 << 20) -> DataFrame:
+def pack(docs: DataFrame, ranks_path: str, pattern: str, *, window: int = 1024, end_id: int = 0, targets: dict[str | None, float] | None = None, quantum: int = 128, lane_bytes: int = 4 << 20) -> DataFrame:
     """Pack documents (doc_id, text, source) into windows of `window` tokens.
 
     targets: token share by source; by default each source's share of all tokens, which
@@ -155,6 +155,7 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, *, window: int = 1024,
         which = np.array([index[s] for s in sources])
         sums = np.bincount(which, weights=lengths, minlength=len(names)).astype(np.int64)
         one = lambda x, kind: pa.array([x], kind)
+        given_back()
         return pa.table({
             "lane": pa.array([group["lane"][0].as_py()], pa.int64()),
             "sources": one(names, pa.list_(pa.string())),

@@ -136,23 +136,26 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(find, extended(docs, "spans array<struct<start:bigint,end:bigint,kind:string>>"))
 
 
+def masked(text: str, spans: list[tuple[int, int, str]], mark: str) -> str:
+    """The text with its spans replaced by the mark; overlapping ones by one mark."""
+    pieces, at = [], 0
+    for a, b, _ in spans:
+        if a >= at:
+            pieces += [text[at:a], mark]
+        at = max(at, b)
+    return "".join([*pieces, text[at:]])
+
+
 def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with every secret of the texts replaced by the mark; overlapping spans by one mark. Other columns stay."""
-    names = docs.columns
 
     def redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                pieces, at = [], 0
-                for s in spans:
-                    if s["start"] >= at:
-                        pieces += [text[at : s["start"]], mark]
-                    at = max(at, s["end"])
-                texts.append("".join([*pieces, text[at:]]) if spans else text)
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names], names)
-
-    return scan(docs).mapInArrow(redact, docs.schema)
+            for part in text_slices(batch):
+                texts = [masked(t, spans, mark) if t and (spans := spans_of(t)) else t for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else part.column(n) for n in part.schema.names], part.schema.names)
+
+    return docs.mapInArrow(redact, docs.schema)
 
 
 def op8_secret_scan(spark, sf_dir: str) -> DataFrame:

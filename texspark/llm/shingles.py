@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 
@@ -25,14 +23,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
 _BYTE = mixed((np.arange(1, 257, dtype=U)) * U(_ODD))
 
 
-@functools.lru_cache(maxsize=2)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The odd base's powers, and those of its inverse, up to 2**bits of them."""
-    n = 1 << bits
-    with np.errstate(over="ignore"):
-        up, down = np.full(n, _ODD, dtype=U), np.full(n, pow(_ODD, -1, 1 << 64), dtype=U)
-        up[0] = down[0] = 1
-        return np.multiply.accumulate(up), np.multiply.accumulate(down)
+_tables: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The odd base's powers, and those of its inverse, n of them at least; only the longest tables are kept."""
+    if not _tables or len(_tables[0][0]) < n:
+        size = max(1 << 19, 1 << (n - 1).bit_length())
+        with np.errstate(over="ignore"):
+            up, down = np.full(size, _ODD, dtype=U), np.full(size, pow(_ODD, -1, 1 << 64), dtype=U)
+            up[0] = down[0] = 1
+            _tables[:] = [(np.multiply.accumulate(up), np.multiply.accumulate(down))]
+    return _tables[0]
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +66,7 @@ def word_spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 def hashed(lower: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """A hash of each word."""
-    up, down = _powers(max(22, int(len(lower)).bit_length()))
+    up, down = _powers(len(lower) + 1)
     with np.errstate(over="ignore"):
         total = np.zeros(len(lower) + 1, dtype=U)
         np.cumsum(_BYTE[lower] * up[: len(lower)], out=total[1:])

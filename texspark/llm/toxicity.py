@@ -162,7 +162,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         m = sent.value
         distances = Distances(m["ordinary"], m["toxic"]) if "weights" in m else None
         for batch in batches:
-            for part in text_slices(batch, limit=4 << 20):
+            for part in text_slices(batch, limit=2 << 20):
                 if distances:
                     x = (features(part.column("text"), distances) - m["mean"]) / m["spread"]
                     scores = 1 / (1 + np.exp(-np.clip(x @ m["weights"][:-1] + m["weights"][-1] - m["cut"], -30, 30)))
