@@ -233,13 +233,11 @@ def build_files(surfaces: DataFrame, container: str) -> DataFrame:
     """Containers (texture_id, content) of surfaces (texture_id, format, face, mip, width, height, payload).
 
     A texture has one or six faces, each with the same levels of the right sizes; others
-    fail the query. One group is one texture.
+    fail the query. One shuffle by texture; a row is one texture then.
     """
 
-    def build(group: pa.Table) -> pa.Table:
-        rows = sorted(group.to_pylist(), key=lambda r: (r["face"], r["mip"]))
-        fmt = format_of(rows[0]["format"])
-        base = rows[0]
+    def content_of(rows: list[dict]) -> bytes:
+        fmt, base = format_of(rows[0]["format"]), rows[0]
         n_faces, n_mips = rows[-1]["face"] + 1, max(r["mip"] for r in rows) + 1
         if [(r["face"], r["mip"]) for r in rows] != [(f, m) for f in range(n_faces) for m in range(n_mips)] or n_faces not in (1, 6):
             raise ContainerError("a texture has one or six faces with the same levels")
@@ -248,13 +246,17 @@ def build_files(surfaces: DataFrame, container: str) -> DataFrame:
             if (r["width"], r["height"]) != (w, h) or len(r["payload"]) != level_size(fmt, w, h):
                 raise ContainerError("a level has the wrong size")
         faces = [[r["payload"] for r in rows if r["face"] == f] for f in range(n_faces)]
-        content = (build_dds if container == "dds" else build_ktx)(fmt, base["width"], base["height"], faces)
-        return pa.table({"texture_id": group["texture_id"].slice(0, 1), "content": pa.array([content], pa.binary())})
+        return (build_dds if container == "dds" else build_ktx)(fmt, base["width"], base["height"], faces)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch({"texture_id": batch.column("texture_id"), "content": pa.array([content_of(s.as_py()) for s in batch.column("surfaces")], pa.binary())})
 
     if container not in ("dds", "ktx"):
         raise ValueError(f"unknown container: {container}")
     kind = surfaces.schema["texture_id"].dataType.simpleString()
-    return surfaces.select("texture_id", "format", "face", "mip", "width", "height", "payload").groupBy("texture_id").applyInArrow(build, f"texture_id {kind}, content binary")
+    whole = F.sort_array(F.collect_list(F.struct("face", "mip", "width", "height", "format", "payload"))).alias("surfaces")
+    return surfaces.groupBy("texture_id").agg(whole).mapInArrow(build, f"texture_id {kind}, content binary")
 
 
 def header_of(files: DataFrame) -> DataFrame:
