@@ -17,6 +17,8 @@ from texspark.llm.common import saved, table
 
 #: Bits of the hash, and those that one histogram tells apart.
 HASH_BITS, LEVEL_BITS = 52, 13
+#: Sources whose targets may be broadcast (some 60 bytes each); with more of them, the join deals documents out by source.
+BROADCAST_SOURCES = 1 << 16
 #: A document is taken this many times at most.
 MOST = 3
 
@@ -66,21 +68,23 @@ def mix(docs: DataFrame, weights: list[float] | None = None) -> DataFrame:
         budgets.append((name, n, target, whole, target - whole * n if n else 0.0, 0))
     goal = spark.createDataFrame(budgets, "_key string, source_size long, target double, whole int, budget double, below long")
 
+    few = F.broadcast if len(sources) <= BROADCAST_SOURCES else lambda rows: rows  # a hot source is then not dealt to one task
+
     # Narrow the hash range in which each source's budget ends, LEVEL_BITS at a time.
     at = goal.where("budget > 0").select("_key", "budget", "below", F.lit(0).cast("long").alias("prefix"))
     inside = slim
     for level in range(HASH_BITS // LEVEL_BITS):
         shift = HASH_BITS - LEVEL_BITS * (level + 1)
-        inside = inside.join(at.select("_key", "prefix"), "_key").where(F.shiftright("_hash", shift + LEVEL_BITS) == F.col("prefix")).select("_key", "_hash", "size")
+        inside = inside.join(few(at.select("_key", "prefix")), "_key").where(F.shiftright("_hash", shift + LEVEL_BITS) == F.col("prefix")).select("_key", "_hash", "size")
         inside = saved(inside, "bucket") if level else inside
         sums = inside.groupBy("_key", F.shiftright("_hash", shift).alias("bucket")).agg(F.sum("size").alias("n"))
         upto = Window.partitionBy("_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-        sums = sums.join(at.select("_key", "budget", "below"), "_key").withColumn("upto", F.col("below") + F.sum("n").over(upto)).where("upto >= budget")
+        sums = sums.join(few(at.select("_key", "budget", "below")), "_key").withColumn("upto", F.col("below") + F.sum("n").over(upto)).where("upto >= budget")
         at = saved(sums.groupBy("_key").agg(F.min(F.struct("bucket", "upto", "n", "budget")).alias("m")).select("_key", "m.budget", (F.col("m.upto") - F.col("m.n")).alias("below"), F.col("m.bucket").alias("prefix"), F.col("m.n").alias("n")), "threshold")
     nearest = (2 * F.col("below") + F.col("n") <= 2 * F.col("budget")).cast("long")
     goal = goal.drop("below").join(at.select("_key", (F.col("prefix") + nearest).alias("threshold")), "_key", "left")
     taken = F.col("whole") + F.coalesce((F.col("_hash") < F.col("threshold")).cast("int"), F.lit(0))
-    return sized.join(goal, "_key").select(*docs.columns, "size", "source_size", "target", taken.alias("times"))
+    return sized.join(few(goal), "_key").select(*docs.columns, "size", "source_size", "target", taken.alias("times"))
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
