@@ -106,6 +106,23 @@ def test_secrets():
     assert kinds("paſſword = abcdefghijklmn") == [] and kinds("to\u212aen=abcdefghijklmn") == []
 
 
+def test_bare_keys_in_every_form():
+    plain, safe = base64.b64encode(KEY).decode(), base64.urlsafe_b64encode(der(b"\x02\x01\x00", b"\x04\x82\x01\x00" + b"\xfb\xef\xbe\xff" * 64)).decode().rstrip("=")
+    assert "-" in safe and "_" in safe
+    lines = [plain[i : i + 64] for i in range(0, len(plain), 64)]
+    upper = KEY.hex().upper()
+    forms = [plain, safe, "\n".join(lines), "\r\n  ".join(lines), "\\n".join(lines), upper, upper.lower(), "\n".join(upper[i : i + 60] for i in range(0, len(upper), 60)), ":".join(upper[i : i + 2] for i in range(0, len(upper), 2))]
+    for form in forms:
+        for before in ("k ", "KEY=", "private_key=", "?a=1&SECRET_KEY=", "dir/", "\\n", "é:"):
+            for after in ("", " and words", "\nMore words", "&x=1", "; 30 MIT"):
+                spans = [(a, b) for a, b, k in secret_scan.spans_of(before + form + after) if k == "der"]
+                assert spans == [(len(before), len(before + form))], (before, form[:20], after)
+    for form in (plain[:-8], upper[:-2], plain.replace("MII", "MIJ"), "x" + plain, "MIT License " * 30, "30 30 02 01 " * 30, ""):
+        assert "der" not in [k for *_, k in secret_scan.spans_of("NAME=" + form)]
+    two = secret_scan.spans_of(f"A={plain}\nB={safe}")
+    assert [k for *_, k in two] == ["der", "der"]
+
+
 def test_secrets_by_the_base_patterns(docs, spark):
     rng = random.Random(4)
     parts = ["token", "TOKEN", "=", ":", " ", '"', "'", "abcdef0123456789", "ff", "AKIA", "ABCDEFGHIJ0123456789", "password", "api_key", "apikey", "é", "\n", "passwd", "secret", "zz.-_/+="]

@@ -3,7 +3,9 @@
 Three base patterns (assignments, access ids, hex runs) report what they match. Further
 kinds are reported only if a decoder agrees: a signed token's header must be base64url
 JSON with an algorithm, a key block's base64 must hold DER whose nested lengths add up,
-and a bare base64 or hex run must decode to such DER.
+and bare base64 or hex must decode to such DER. A bare key may be in either alphabet of
+base64 or either case of hex, may follow any mark such as =, and may be wrapped over
+lines; as DER begins with its length, what follows the key does not matter.
 """
 
 from __future__ import annotations
@@ -29,8 +31,12 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----([A-Za-z0-9+/=\s\\]*)-----END \1-----")
 _JWT = re.compile(r"eyJ[A-Za-z0-9_-]*\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-#: DER starts with 0x30, whose base64 starts with M; a long form of length keeps the next letter among I to P.
-_DER = re.compile(r"(?<![A-Za-z0-9+/=])M[A-P][A-Za-z0-9+/]{30,}={0,2}")
+#: DER starts with 0x30, whose base64 starts with M; the length keeps the next letter among A to P. Letters and digits before it belong to another run, but not those of an escape.
+_DER = re.compile(r"M[A-P](?:(?<![A-Za-z0-9]..)|(?<=\\[nrt]..))")
+_HEX_DER = re.compile(r"30(?<![0-9a-f]..)(?=[\s\\:]*[0-9A-Fa-f])|30(?<=\\[nrt]..)")
+#: What a bare key is written in, and what may stand between two lines or bytes of it.
+_BASE64_RUN, _BASE64_GAP = re.compile(r"[A-Za-z0-9+/_-]+"), re.compile(r"(?:\\[nrt]|[\s\\])+")
+_HEX_RUN, _HEX_GAP = re.compile(r"[0-9A-Fa-f]+"), re.compile(r"(?:\\[nrt]|[\s\\:])+")
 
 
 def der_items(data: bytes, at: int, end: int, depth: int = 0) -> list[int] | None:
@@ -90,9 +96,49 @@ def is_signed_token(text: str) -> bool:
         return False
 
 
-def is_der_text(text: str) -> bool:
-    data = decoded(text)
-    return data is not None and is_der_key(data)
+def taken(text: str, at: int, n: int, run: re.Pattern, gap: re.Pattern) -> tuple[str, int] | None:
+    """The n characters of a run from `at` on, without gaps, and where they end; None if there are fewer."""
+    pieces = []
+    while n > 0:
+        if m := run.match(text, at, at + n):
+            pieces.append(m.group())
+            n -= len(m.group())
+        elif not pieces or not (m := gap.match(text, at)):
+            return None
+        at = m.end()
+    return "".join(pieces), at
+
+
+def der_size(head: bytes) -> int | None:
+    """Bytes of the sequence that begins with `head`; None if no key does."""
+    wide = head[1] & 0x7F if head[1] >= 0x80 else 0
+    if head[0] != 0x30 or wide > 4 or head[1] == 0x80 or head[2 + wide] not in (0x02, 0x30):
+        return None
+    return 2 + wide + (int.from_bytes(head[2 : 2 + wide], "big") if wide else head[1])
+
+
+def base64_key_end(text: str, start: int) -> int | None:
+    """Where the bare DER key in base64 at `start` ends, its padding too; None if there is none."""
+    data = lambda chars: base64.b64decode(chars.replace("-", "+").replace("_", "/") + "=" * (-len(chars) % 4))
+    head = taken(text, start, 12, _BASE64_RUN, _BASE64_GAP)
+    size = der_size(data(head[0])) if head else None
+    if size is None or (chars := -(-size * 4 // 3)) > len(text) - start or not (whole := taken(text, start, chars, _BASE64_RUN, _BASE64_GAP)):
+        return None
+    if not is_der_key(data(whole[0])[:size]):
+        return None
+    end = whole[1]
+    for _ in range(-chars % 4):
+        end += text.startswith("=", end)
+    return end
+
+
+def hex_key_end(text: str, start: int) -> int | None:
+    """The same for hex."""
+    head = taken(text, start, 18, _HEX_RUN, _HEX_GAP)
+    size = der_size(bytes.fromhex(head[0])) if head else None
+    if size is None or 2 * size > len(text) - start or not (whole := taken(text, start, 2 * size, _HEX_RUN, _HEX_GAP)):
+        return None
+    return whole[1] if is_der_key(bytes.fromhex(whole[0])) else None
 
 
 def spans_of(text: str) -> list[tuple[int, int, str]]:
@@ -103,17 +149,17 @@ def spans_of(text: str) -> list[tuple[int, int, str]]:
         found += [(m.start(), m.end(), "assign") for m in _ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 12]
     if "AKIA" in text:
         found += [(m.start(), m.end(), "access") for m in _ACCESS.finditer(text) if m.end() - m.start() >= 18]
-    for m in _HEX.finditer(text):
-        found.append((m.start(), m.end(), "hex"))
-        run = m.group()
-        if run.startswith("30") and len(run) % 2 == 0 and is_der_key(bytes.fromhex(run)):
-            found.append((m.start(), m.end(), "der"))
-    if "-----BEGIN " in text:
-        found += [(m.start(), m.end(), "pem") for m in _PEM.finditer(text) if is_key_block(m[1], m[2])]
+    found += [(m.start(), m.end(), "hex") for m in _HEX.finditer(text)]
+    blocks = [m.span() for m in _PEM.finditer(text) if is_key_block(m[1], m[2])] if "-----BEGIN " in text else []
+    found += [(a, b, "pem") for a, b in blocks]
     if "eyJ" in text:
         found += [(m.start(), m.end(), "jwt") for m in _JWT.finditer(text) if is_signed_token(m.group())]
-    if "M" in text:
-        found += [(m.start(), m.end(), "der") for m in _DER.finditer(text) if is_der_text(m.group())]
+    at = 0
+    keys = [(m.start(), base64_key_end) for m in _DER.finditer(text)] + [(m.start(), hex_key_end) for m in _HEX_DER.finditer(text)]
+    for start, key_end in sorted(keys, key=lambda x: x[0]):  # a key holds sequences that look like keys, and a key block holds its key
+        if start >= at and not any(a <= start < b for a, b in blocks) and (end := key_end(text, start)):
+            found.append((start, end, "der"))
+            at = end
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
