@@ -64,3 +64,39 @@ def test_windows_hold_the_target_mix():
     for w in range(18):
         done = [a + b for a, b in zip(done, sums[w], strict=True)]
         assert all(abs(d - 512 * (w + 1) * s) <= 64 for d, s in zip(done, shares, strict=True))
+
+
+def test_deficits_are_paid_over_lanes(spark):
+    """A hot source with a text of many lanes: who is behind is served until it has its share of all windows so far."""
+    window, quantum = 64, 16
+    rows = [(i, f"word {i} " * (5 + i % 40), "cold" if i % 4 == 0 else "hot") for i in range(600)] + [(1000, "one more word " * 9000, "hot"), (1000, "one more word " * 9000, "hot")]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN, window=window, quantum=quantum, lane_bytes=24_000, part_bytes=24_000).collect()
+    tk = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    want = defaultdict(list)
+    for doc, text, _ in rows:
+        want[doc].append([*tk.encode(text, add_special_tokens=False).ids, 0])
+    pieces, left, total = defaultdict(list), defaultdict(int), defaultdict(int)
+    for r in out:
+        assert r.doc_tokens == len(want[r.doc_id][0])
+        pieces[r.doc_id].append((r.start, bytes(r.ids)))
+        left[r.sequence_id >> 24, r.source] += r.length
+        total[r.source] += r.length
+    for doc, texts in want.items():  # both copies of a document cover each token once
+        at = np.zeros(len(texts[0]), dtype=int)
+        for start, ids in pieces[doc]:
+            ids = np.frombuffer(ids, dtype="<u4")
+            assert ids.tolist() == texts[0][start : start + len(ids)]
+            at[start : start + len(ids)] += 1
+        assert (at == len(texts)).all()
+    assert len({r.sequence_id >> 24 for r in out if r.doc_id == 1000}) > 4
+    shares = {s: n / sum(total.values()) for s, n in total.items()}
+    done, far = defaultdict(int), 0
+    for r in sorted(out, key=lambda r: (r.sequence_id, r.offset)):
+        lane = r.sequence_id >> 24
+        ahead = done[r.source] - shares[r.source] * sum(done.values())
+        if ahead > 2 * window:
+            far += 1
+            assert not any(left[lane, s] for s in shares if s != r.source)
+        done[r.source] += r.length
+        left[lane, r.source] -= r.length
+    assert far

@@ -3,8 +3,10 @@
 Documents are hashed to lanes of a few megabytes. A first pass tokenises each lane and
 keeps it as one row in the shared folder, together with its tokens per source. From
 these sums each lane learns the deficits that the lanes before it have left, so lanes
-run in parallel and yet carry deficits from one to the next. A second pass runs a
-deficit round-robin over the source queues of each lane: every window credits each
+run in parallel and yet carry whole deficits from one to the next, which are paid off
+over as many windows as it takes. Texts of more than 4 MB are cut before single spaces,
+which changes no ids, and dealt over lanes in turn. A second pass runs a deficit
+round-robin over the source queues of each lane: every window credits each
 queue with its share of the window, queues with credit for a whole quantum are served
 in turn, and what is left of the credit goes to the next window. Queues that run dry
 hand their share to the others.
@@ -25,10 +27,8 @@ from texspark.llm.common import given_back, saved
 
 #: Words a worker remembers; the memory is emptied when it is full.
 MEMO_WORDS = 150_000
-#: Sources with a queue of their own in the shares; smaller sources together get one share.
-MAX_SHARES = 4096
 
-_LANE = "lane long, sources array<string>, source_tokens array<long>, doc_ids array<long>, doc_source array<int>, doc_tokens array<long>, ids binary"
+_LANE = "lane long, sources array<string>, source_tokens array<long>, doc_ids array<long>, doc_source array<int>, doc_tokens array<long>, doc_rows array<long>, doc_parts array<int>, ids binary"
 _PIECE = "doc_id long, source string, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 _SPACE_PAIR = re.compile(r"\s ")
 
@@ -123,7 +123,7 @@ def rooms_of(total: int, window: int) -> Iterator[int]:
     yield from (1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1)
 
 
-def pack(docs: DataFrame, ranks_path: str, pattern: str, *, window: int = 1024, end_id: int = 0, targets: dict[str | None, float] | None = None, quantum: int = 128, lane_bytes: int = 4 << 20) -> DataFrame:
+def pack(docs: DataFrame, ranks_path: str, pattern: str, *, window: int = 1024, end_id: int = 0, targets: dict[str | None, float] | None = None, quantum: int = 128, lane_bytes: int = 4 << 20, part_bytes: int = 4 << 20) -> DataFrame:
     """Pack documents (doc_id, text, source) into windows of `window` tokens.
 
     targets: token share by source; by default each source's share of all tokens, which
@@ -137,7 +137,12 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, *, window: int = 1024,
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "source")
     total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     lanes = max(1, -(-total // lane_bytes))
-    rows = rows.withColumn("lane", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(lanes)))
+    # Texts above part_bytes come in parts of about that many bytes, known by their row and dealt to one lane after the other; others are one part.
+    large = F.octet_length("text") > part_bytes
+    least = F.greatest(F.lit(1), F.floor(F.length("text").cast("double") * part_bytes / F.octet_length("text"))).cast("string")
+    cut = F.regexp_extract_all("text", F.concat(F.lit("(?s).{"), least, F.lit(",}?[A-Za-z0-9](?= [A-Za-z0-9])|.+")), F.lit(0))
+    rows = rows.withColumn("row", F.when(large, F.monotonically_increasing_id())).select("doc_id", "source", "row", F.length("text").alias("_n"), F.posexplode(F.when(large, cut).otherwise(F.array("text"))).alias("part", "text"), F.when(large, F.size(cut)).otherwise(1).alias("_parts"))
+    rows = rows.select("doc_id", "text", "source", "row", "part", (F.col("part") == F.col("_parts") - 1).alias("last"), F.pmod(F.pmod(F.xxhash64("doc_id", "_n"), F.lit(lanes)) + F.col("part"), F.lit(lanes)).alias("lane"))
 
     def tokenise(group: pa.Table) -> pa.Table:
         encode = encoder(ranks_path, pattern)
@@ -145,9 +150,9 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, *, window: int = 1024,
         width = len(end)
         order = np.lexsort((np.arange(group.num_rows), group["doc_id"].fill_null(-1).to_numpy()))
         ids, lengths = [], []
-        texts = group["text"]
+        texts, last = group["text"], group["last"].to_pylist()
         for i in order.tolist():
-            ids.append(encode(texts[i].as_py()) + end)
+            ids.append(encode(texts[i].as_py()) + (end if last[i] else b""))
             lengths.append(len(ids[-1]) // width)
         sources = [group["source"][i].as_py() for i in order.tolist()]
         names = sorted(set(sources), key=lambda s: (s is None, s or ""))
@@ -163,34 +168,36 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, *, window: int = 1024,
             "doc_ids": one(group["doc_id"].take(pa.array(order)).to_pylist(), pa.list_(pa.int64())),
             "doc_source": one(which.tolist(), pa.list_(pa.int32())),
             "doc_tokens": one(lengths, pa.list_(pa.int64())),
+            "doc_rows": one(group["row"].take(pa.array(order)).to_pylist(), pa.list_(pa.int64())),
+            "doc_parts": one(group["part"].take(pa.array(order)).to_pylist(), pa.list_(pa.int32())),
             "ids": one(b"".join(ids), pa.binary()),
         })
 
     lane_rows = saved(rows.withColumn("doc_id", F.col("doc_id").cast("long")).groupBy("lane").applyInArrow(tokenise, _LANE), "lanes")
     sums = lane_rows.select("lane", F.explode(F.arrays_zip("sources", "source_tokens")).alias("s")).select("lane", F.col("s.sources").alias("source"), F.col("s.source_tokens").alias("tokens"))
-    heads = sums.groupBy("source").agg(F.sum("tokens").alias("n")).orderBy(F.desc("n"), "source").limit(MAX_SHARES).collect()
     everything = sums.agg(F.sum("tokens").alias("n")).first().n or 1
-    if targets is None:
-        shares = {r.source: r.n / everything for r in heads}
-    else:
-        whole = sum(targets.values())
-        shares = {s: w / whole for s, w in targets.items()}
-    rest = max(0.0, 1 - sum(shares.values()))
+    shares = None if targets is None else {s: w / sum(targets.values()) for s, w in targets.items()}
 
     # What the lanes before have left: their tokens by the shares, minus what each source has had.
     blocks = sums.withColumn("block", F.floor(F.col("lane") / 1024))
     lane_total = Window.partitionBy("lane")
     due = blocks.select("lane", "block", "source", (F.lit(0.0) + F.sum("tokens").over(lane_total)).alias("all"), F.col("tokens").cast("double").alias("own"))
     by_block = due.groupBy("source", "block").agg(F.sum("own").alias("own"))
-    before_block = by_block.withColumn("own_before", F.coalesce(F.sum("own").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).drop("own")
+    before_block = by_block.withColumn("own_before", F.coalesce(F.sum("own").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).withColumn("total", F.sum("own").over(Window.partitionBy("source"))).drop("own")
     in_block = due.withColumn("own_here", F.coalesce(F.sum("own").over(Window.partitionBy("source", "block").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    mine = in_block.join(before_block, [in_block.source.eqNullSafe(before_block.source), in_block.block == before_block.block]).select("lane", in_block.source, (F.col("own_here") + F.col("own_before")).alias("before"))
+    mine = in_block.join(before_block, [in_block.source.eqNullSafe(before_block.source), in_block.block == before_block.block]).select("lane", in_block.source, (F.col("own_here") + F.col("own_before")).alias("before"), "total")
     lane_sums = due.groupBy("lane", "block").agg(F.first("all").alias("all"))
     block_sums = lane_sums.groupBy("block").agg(F.sum("all").alias("all"))
     # few rows: one for each 1,024 lanes (8 GB of text)
     block_before = block_sums.withColumn("all_before", F.coalesce(F.sum("all").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).drop("all")
     lane_before = lane_sums.withColumn("all_here", F.coalesce(F.sum("all").over(Window.partitionBy("block").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).join(block_before, "block").select("lane", (F.col("all_here") + F.col("all_before")).alias("all_before"))
-    carried = mine.join(lane_before, "lane").groupBy("lane").agg(F.sort_array(F.collect_list(F.struct("source", "before", "all_before"))).alias("carried"))
+    carried = mine.join(lane_before, "lane").groupBy("lane").agg(F.sort_array(F.collect_list(F.struct("source", "before", "all_before", "total"))).alias("carried"))
+
+    # Where the parts of large texts begin in their documents, and the documents' tokens.
+    in_parts = lane_rows.select("lane", F.posexplode(F.arrays_zip("doc_rows", "doc_parts", "doc_tokens")).alias("at", "p")).where("p.doc_rows is not null").select("lane", "at", F.col("p.doc_rows").alias("row"), F.col("p.doc_parts").alias("part"), F.col("p.doc_tokens").alias("tokens"))
+    of_row = Window.partitionBy("row")
+    before_part = F.coalesce(F.sum("tokens").over(of_row.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = in_parts.select("lane", "at", before_part.alias("begin"), F.sum("tokens").over(of_row).alias("whole")).groupBy("lane").agg(F.collect_list(F.struct("at", "begin", "whole")).alias("parts"))
 
     def serve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,16 +205,20 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, *, window: int = 1024,
                 yield from served(lane)
 
     def served(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        r = {k: batch.column(k)[0] for k in ("lane", "sources", "carried", "doc_ids", "doc_source", "doc_tokens")}
+        r = {k: batch.column(k)[0] for k in ("lane", "sources", "carried", "parts", "doc_ids", "doc_source", "doc_tokens")}
         names, doc_ids = r["sources"].as_py(), r["doc_ids"].values
         lengths, which = r["doc_tokens"].values.to_numpy(), r["doc_source"].values.to_numpy()
         raw = batch.column("ids")[0].as_buffer()
         ids = np.frombuffer(raw, dtype="<u2" if len(raw) == 2 * lengths.sum() else "<u4").astype("<u4")
         begins = np.cumsum(lengths) - lengths
-        share = [shares.get(s, rest) for s in names]
-        behind = {x["source"]: shares.get(x["source"], rest) * x["all_before"] - x["before"] for x in r["carried"].as_py()}
+        carried = {x["source"]: x for x in r["carried"].as_py()}
+        share = [carried[s]["total"] / everything if shares is None else shares.get(s, 0.0) for s in names]
+        behind = [w * carried[s]["all_before"] - carried[s]["before"] for s, w in zip(names, share, strict=True)]
+        starts, wholes = np.zeros(len(lengths), dtype=np.int64), lengths.copy()
+        for x in r["parts"].as_py() or []:
+            starts[x["at"]], wholes[x["at"]] = x["begin"], x["whole"]
         queues = [np.flatnonzero(which == k) for k in range(len(names))]
-        plan = np.array(list(deficit_round_robin([lengths[q].tolist() for q in queues], share, [max(-window, min(window, behind.get(s, 0.0))) for s in names], rooms_of(int(lengths.sum()), window), quantum)), dtype=np.int64)
+        plan = np.array(list(deficit_round_robin([lengths[q].tolist() for q in queues], share, behind, rooms_of(int(lengths.sum()), window), quantum)), dtype=np.int64)
         docs_at = np.concatenate(queues)
         first = np.cumsum([0] + [len(q) for q in queues])
         doc = docs_at[first[plan[:, 0]] + plan[:, 1]]
@@ -217,12 +228,12 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, *, window: int = 1024,
             s = slice(k, k + 4096)
             yield pa.record_batch({
                 "doc_id": doc_ids.take(pa.array(doc[s])), "source": pa.array([names[q] for q in plan[s, 0]], pa.string()),
-                "start": pa.array(plan[s, 2]), "length": pa.array(plan[s, 3]), "doc_tokens": pa.array(lengths[doc[s]]),
+                "start": pa.array(starts[doc[s]] + plan[s, 2]), "length": pa.array(plan[s, 3]), "doc_tokens": pa.array(wholes[doc[s]]),
                 "sequence_id": pa.array((r["lane"].as_py() << 24) + plan[s, 4]), "offset": pa.array(plan[s, 5]),
                 "ids": pa.array([bytes(view[4 * a : 4 * (a + n)]) for a, n in zip(cuts[s].tolist(), plan[s, 3].tolist(), strict=True)], pa.binary()),
             })
 
-    return lane_rows.join(carried, "lane").drop("source_tokens").mapInArrow(serve, _PIECE)
+    return lane_rows.join(carried, "lane").join(parts, "lane", "left").drop("source_tokens", "doc_rows", "doc_parts").mapInArrow(serve, _PIECE)
 
 
 def op1_packing(spark, sf_dir: str) -> DataFrame:
