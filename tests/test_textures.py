@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from texspark.operators import metrics
+from texspark.operators import metrics, search, surfaces
 from texspark.plans import fixtures, textures
 from texspark.sources import containers
 
@@ -20,3 +20,20 @@ def test_images_come_back_from_containers(spark, fmt, container, least):
     every = textures.decode_textures(parsed, every_level=True)
     assert textures.decode_textures(parsed.limit(0)).count() == 0
     assert every.groupBy("path", "face", "mip").count().count() == 7 * 3
+
+
+def test_a_surface_is_encoded_by_many_tasks(spark):
+    """Blocks of one surface are spread over tasks, and give what the whole surface gives."""
+    texels = fixtures.image(spark, "opaque", 130, 70)
+    spread = surfaces.block_rasters(texels)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert spread.groupBy(F.spark_partition_id()).count().count() > 1 and spread.count() == 33 * 18
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    for fmt in ("BC1", "BC5"):
+        (one,) = search.encode_texels(texels, fmt, 2).collect()
+        (whole,) = search.encode_surfaces(surfaces.rasters(texels), fmt, 2).collect()
+        assert bytes(one.payload) == bytes(whole.payload) and len(one.payload) == 33 * 18 * (8 if fmt == "BC1" else 16)
+        assert (one.width, one.height, one.format) == (130, 70, fmt)

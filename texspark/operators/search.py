@@ -13,11 +13,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from texspark.formats import format_of
 from texspark.functions.palettes import SIGNED_FIVE, SIGNED_SEVEN
 from texspark.operators.bptc import WEIGHTS as BPTC_WEIGHTS
+from texspark.operators.surfaces import block_rasters, encoded_by_block
 
 BLOCKS = 4096  # that one step handles
 
@@ -418,3 +420,13 @@ def encode_surfaces(surfaces: DataFrame, fmt: str, level: int | Level = 6, thres
 
     schema = StructType([*(surfaces.schema[c] for c in keep), *StructType.fromDDL("format string, payload binary").fields])
     return surfaces.select(*keep, "rgba").mapInArrow(run, schema)
+
+
+def encode_texels(texels: DataFrame, fmt: str, level: int | Level = 6, threshold: int = 128, weights: tuple[float, float, float] | None = None) -> DataFrame:
+    """Surfaces (texture_id, face, mip, width, height, format, payload) of texel rows, however large.
+
+    Texels are grouped by 4x4 block, so the blocks of one surface are encoded by many
+    tasks; only compressed blocks come together, by block row and then by surface.
+    """
+    encoded = encoded_by_block(block_rasters(texels), lambda blocks: encode_surfaces(blocks, fmt, level, threshold, weights))
+    return encoded.withColumn("format", F.lit(format_of(fmt).name))

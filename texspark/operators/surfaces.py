@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,15 +59,35 @@ def blocks_of_texels(texels: DataFrame) -> DataFrame:
     return rows.withColumn("bx", bx).withColumn("by", by).withColumn("block_id", by * F.ceil(F.col("width") / 4).cast("int") + bx).withColumn("t", F.col("_y") % 4 * 4 + F.col("_x") % 4).drop("_x", "_y", "x", "y")
 
 
+def joined(pieces: DataFrame, keys: list[str], row: str, place: str, value: str) -> DataFrame:
+    """(keys, value) with the binary values put together in order: first by row, then the rows, so no group holds more than a row's pieces or a surface's rows."""
+    in_order = lambda by: F.expr(f"listagg({value}) WITHIN GROUP (ORDER BY {by})").alias(value)
+    return pieces.groupBy(*keys, row).agg(in_order(place)).groupBy(*keys).agg(in_order(row))
+
+
 def payloads(blocks: DataFrame) -> DataFrame:
-    """Surfaces with a payload, from blocks; one shuffle by surface."""
-    ordered = F.sort_array(F.collect_list(F.struct("block_id", "block")))
-    return blocks.groupBy(*SURFACE).agg(F.unhex(F.array_join(F.transform(ordered, lambda b: F.hex(b.block)), "")).alias("payload"))
+    """Surfaces with a payload, from blocks; shuffled by block row, then by surface."""
+    wide = F.ceil(F.col("width") / 4).cast("int")
+    rows = blocks.select(*SURFACE, "block_id", F.floor(F.col("block_id") / wide).cast("int").alias("_by"), F.col("block").alias("payload"))
+    return joined(rows, SURFACE, "_by", "block_id", "payload")
+
+
+def _pixel() -> Column:
+    return F.unhex(F.concat(*(F.lpad(F.hex(F.col(c).cast("long")), 2, "0") for c in "rgba")))
 
 
 def rasters(texels: DataFrame) -> DataFrame:
-    """Surfaces with tight RGBA bytes, from texel rows (x, y, r, g, b, a); one shuffle by surface."""
-    byte = lambda c: F.lpad(F.hex(F.col(c).cast("long")), 2, "0")
-    pixel = F.concat(*(byte(c) for c in "rgba"))
-    ordered = F.sort_array(F.collect_list(F.struct("y", "x", pixel.alias("pixel"))))
-    return texels.groupBy(*SURFACE).agg(F.unhex(F.array_join(F.transform(ordered, lambda p: p.pixel), "")).alias("rgba"))
+    """Surfaces with tight RGBA bytes, from texel rows (x, y, r, g, b, a); shuffled by row, then by surface."""
+    return joined(texels.select(*SURFACE, "x", "y", _pixel().alias("rgba")), SURFACE, "y", "x", "rgba")
+
+
+def block_rasters(texels: DataFrame, name: str = "rgba", pixel: Column | None = None) -> DataFrame:
+    """Rows (texture_id, face, mip, width, height, block_id, and under `name` the texels' bytes in order) of 4x4 blocks, from texel rows; one shuffle by block."""
+    cells = blocks_of_texels(texels).select(*SURFACE, "block_id", "t", (_pixel() if pixel is None else pixel).alias(name))
+    return cells.groupBy(*SURFACE, "block_id").agg(F.expr(f"listagg({name}) WITHIN GROUP (ORDER BY t)").alias(name))
+
+
+def encoded_by_block(blocks: DataFrame, encode: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Surfaces with a payload, from block_rasters() and a function that encodes them as surfaces of 4 by 4."""
+    alone = blocks.withColumnsRenamed({"width": "_width", "height": "_height"}).withColumns({"width": F.lit(4), "height": F.lit(4)})
+    return payloads(encode(alone).drop("width", "height").withColumnsRenamed({"_width": "width", "_height": "height", "payload": "block"}))

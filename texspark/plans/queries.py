@@ -139,7 +139,7 @@ def _searched(name: str, level: int) -> Query:
     """Surfaces encoded by search; digests of their payloads."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        encoded = search.encode_surfaces(surfaces.rasters(_texels(spark, sf_dir)), name, level)
+        encoded = search.encode_texels(_texels(spark, sf_dir), name, level)
         return encoded.select("texture_id", F.length("payload").cast("long").alias("bytes"), F.sha2("payload", 256).alias("digest"))
 
     return run
@@ -157,9 +157,7 @@ def _hdr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half-float surfaces from the texels' bytes, encoded as BC6H; digests of their payloads."""
     halves_ = [F.expr(f"CAST({ch} AS BIGINT) * 64") for ch in "rgb"]
     words = F.concat(*(to_bytes(h, 2) for h in halves_))
-    rows = _texels(spark, sf_dir).groupBy(*surfaces.SURFACE).agg(F.sort_array(F.collect_list(F.struct("y", "x", words.alias("w")))).alias("p"))
-    raster = rows.select(*surfaces.SURFACE, F.unhex(F.array_join(F.transform("p", lambda p: F.hex(p.w)), "")).alias("rgb16"))
-    encoded = bc6h.encode_hdr_surfaces(raster, signed=False, level=2)
+    encoded = surfaces.encoded_by_block(surfaces.block_rasters(_texels(spark, sf_dir), "rgb16", words), lambda blocks: bc6h.encode_hdr_surfaces(blocks, signed=False, level=2))
     return encoded.select("texture_id", F.length("payload").cast("long").alias("bytes"), F.sha2("payload", 256).alias("digest"))
 
 

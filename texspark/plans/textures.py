@@ -24,12 +24,12 @@ def encode_textures(texels: DataFrame, fmt: str, container: str = "dds", level:
     """
     chain = texels.select(*TEXELS) if mipmaps == 1 else mips.mip_chain(texels.select(*TEXELS), mipmaps, srgb)
     if format_of(fmt).compressed:
-        encoded = search.encode_surfaces(surfaces.rasters(chain), fmt, level, threshold)
+        encoded = search.encode_texels(chain, fmt, level, threshold)
     else:
         size = format_of(fmt).size
         packed = encode.pack_pixels(chain, format_of(fmt).name)
-        words = F.sort_array(F.collect_list(F.struct("y", "x", to_bytes(F.col("w"), size).alias("w"))))
-        encoded = packed.groupBy(*surfaces.SURFACE).agg(F.unhex(F.array_join(F.transform(words, lambda p: F.hex(p.w)), "")).alias("payload")).withColumn("format", F.lit(format_of(fmt).name))
+        words = packed.select(*surfaces.SURFACE, "x", "y", to_bytes(F.col("w"), size).alias("payload"))
+        encoded = surfaces.joined(words, surfaces.SURFACE, "y", "x", "payload").withColumn("format", F.lit(format_of(fmt).name))
     return containers.build_files(encoded, container)
 
 
