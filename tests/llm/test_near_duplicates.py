@@ -2,6 +2,7 @@ import random
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from texspark.llm import near_duplicates
 from texspark.llm.components import components
@@ -56,13 +57,57 @@ def corpus(seed):
     return [(i * 3 % 1009 - 5, t, "f", 1, "n") for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("group", [512, 4])
-def test_links_as_by_brute_force(spark, monkeypatch, group):
-    monkeypatch.setattr(near_duplicates, "GROUP", group)
+@pytest.mark.parametrize(("group", "leaders", "bands"), [(512, 8, 4), (4, 1, 1), (2, 2, 4)])
+def test_links_as_by_brute_force(spark, monkeypatch, group, leaders, bands):
+    """Small cells and few leaders leave components that only the second round joins up."""
+    for name, value in (("GROUP", group), ("LEADERS", leaders), ("BANDS", bands), ("_BAND_AT", near_duplicates._BAND_AT[:bands]), ("SEEN", group)):
+        monkeypatch.setattr(near_duplicates, name, value)
     rows = corpus(group)
     rows += [rows[7], (None, "no id here at all in this text", "", 0, ""), (None, None, "", 0, "")]
     out = near_duplicates.similar(spark.createDataFrame(rows, DOCS).repartition(5))
-    assert sorted((tuple(r) for r in out.collect()), key=str) == brute(rows)
+    out = out.collect()
+    assert sorted((tuple(r)[:3] for r in out), key=str) == brute(rows)
+    leading = [(r.component_id, r.doc_id, r.key) for r in out if r.leads and r.n_shingles]
+    assert {r.component_id for r in out if r.n_shingles} == {x[0] for x in leading}
+    assert len(set(leading)) == len({x[0] for x in leading})
+
+
+@pytest.mark.parametrize("percent", [50, 60, 100])
+def test_other_thresholds(spark, percent):
+    rows = [(i, t) for i, t in enumerate(["a b", "a b c", "b a", "a b", "a b c d", "a b c d e", "a b c d e f", "q a b c d e", "x y", "x y z w v u t s r", "x y z w v u t s"])]
+    got = {r.doc_id: r.component_id for r in near_duplicates.similar(spark.createDataFrame(rows, "doc_id long, text string"), size=2, percent=percent).collect()}
+    pairs = {i: {tuple(w[k : k + 2]) for k in range(len(w) - 1)} for i, t in rows if (w := t.split())}
+    least = {i: i for i in pairs}
+    for _ in pairs:
+        for i, j in combinations(pairs, 2):
+            both = len(pairs[i] & pairs[j])
+            if both and 100 * both >= percent * len(pairs[i] | pairs[j]):
+                least[i] = least[j] = min(least[i], least[j])
+    assert got == least
+
+
+def test_a_cluster_of_thousands_and_null_ids(spark, monkeypatch):
+    """One cluster of near copies over many cells, whose ids are null for the most part."""
+    monkeypatch.setattr(near_duplicates, "GROUP", 64)
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(80)]
+    texts = []
+    for i in range(3000):
+        copy = list(base)
+        copy[rng.randrange(80)] = f"x{i}"
+        texts.append(" ".join(copy))
+    rows = [(None if i % 3 else i + 5, t) for i, t in enumerate(texts)] + [(9000 + i, f"other {i} text of six words") for i in range(30)]
+    out = near_duplicates.similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.component_id for r in out if r.doc_id is None or r.doc_id < 9000} == {5}
+    assert all(r.component_id == r.doc_id for r in out if r.doc_id and r.doc_id >= 9000)
+    assert sum(r.leads for r in out) == 31
+
+
+def test_lookup_keeps_all_keys_and_few_others(spark):
+    rows = spark.range(20_000)
+    kept = {r.id for r in near_duplicates.among(rows, F.col("id"), spark.range(0, 20_000, 97)).collect()}
+    assert kept >= set(range(0, 20_000, 97))
+    assert len(kept) < 300
 
 
 def test_empty_table(spark):

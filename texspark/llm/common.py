@@ -35,11 +35,13 @@ def given_back() -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one in local runs."""
+    """The folder all executors share: spark.checkpoint.dir, or a temporary one in local runs; on a cluster it must be set."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         java = spark.sparkContext._jsc.sc().getCheckpointDir()
         if java.isEmpty():
+            if not spark.sparkContext.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
             java = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = java.get()
@@ -51,7 +53,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete saved() tables that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.saved_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

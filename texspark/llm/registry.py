@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from texspark.llm import language_id, licenses, mixing, near_duplicates, packing, quality, secret_scan, top_k, toxicity, warc
 
 
 def queries() -> dict:
     return {
-        "pipeline": corpus_pipeline.pipeline,
         "op1_packing": packing.op1_packing,
         "op2_license_scan": licenses.op2_license_scan,
         "op3_language_id": language_id.op3_language_id,
@@ -24,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": licenses.oracle(), "op4_top_k": top_k.oracle(), "op9_mixing": mixing.oracle()}
+    return {"op2_license_scan": licenses.oracle(), "op4_top_k": top_k.oracle(), "op5_near_duplicates": near_duplicates.oracle(), "op9_mixing": mixing.oracle()}
