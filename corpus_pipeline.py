@@ -5,7 +5,7 @@ Each stage takes what the one before kept, and its decisions take effect:
 1. language ID learns from the documents that are not held out and rejects texts
    without a language, or with none that makes up half of them;
 2. the n-gram Jaccard join keeps one document of each near-duplicate component, that
-   with the smallest doc_id;
+   with the smallest doc_id (of texts that share it, the one with the smallest hash);
 3. the secret scan replaces secrets by a mark;
 4. mixing repeats or leaves out documents so that sources meet their target weights;
 5. packing tokenises them and cuts them into windows.
@@ -34,10 +34,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each component; of repeated rows (the same id and text), one."""
+    """Keep the document that leads its component; of repeated rows (the same id and text), one. Documents without words lead."""
     docs = docs.select(*COLUMNS)
-    kept = near_duplicates.similar(docs).where("component_id <=> doc_id").select("doc_id").distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi").withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).select(*COLUMNS)
+    kept = near_duplicates.similar(docs).where("leads").select("doc_id", "key").distinct()
+    keyed = docs.withColumn("_key", F.xxhash64("text"))
+    return keyed.join(kept, keyed.doc_id.eqNullSafe(kept.doc_id) & (keyed["_key"] == kept.key), "left_semi").dropDuplicates(["doc_id", "_key"]).select(*COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
