@@ -33,8 +33,8 @@ from texspark.llm.components import components
 from texspark.llm.shingles import shingle_sets
 
 U = np.uint64
-#: Common tokens that the order puts last, and popular bands; a summary of this many counts is kept per task.
-COMMON = 1 << 16
+#: Common tokens that the order puts last, and popular bands that make groups, at most; a task keeps summaries of as many counts.
+COMMON, POPULAR = 1 << 16, 1 << 18
 #: Bands of two min-hashes each, from which a class takes its group.
 BANDS = 4
 #: Members of a cell at most (about), and leaders of a group that meet all its cells.
@@ -89,10 +89,10 @@ def bands_of(tokens: np.ndarray) -> np.ndarray:
 def frequent(docs: DataFrame, size: int, percent: int) -> tuple[np.ndarray, ...]:
     """Tokens that stand in the prefixes of many documents and bands that many have: each sorted, with approximate counts.
 
-    Every document is counted; each task keeps summaries of COMMON counts. Either list has
-    COMMON entries at most.
+    Every document is counted; each task keeps summaries of COMMON and POPULAR counts, and
+    the lists have as many entries at most.
     """
-    least = smallest(percent)
+    least, keep = smallest(percent), (COMMON, POPULAR)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [(np.zeros(0, U), np.zeros(0, np.int64))] * 2
@@ -100,7 +100,7 @@ def frequent(docs: DataFrame, size: int, percent: int) -> tuple[np.ndarray, ...]
 
         def merged() -> list[tuple[np.ndarray, np.ndarray]]:
             new = [np.concatenate([np.zeros(0, U), *w]) for w in waiting]
-            return [_pruned(np.concatenate([t, w]), np.concatenate([c, np.ones(len(w), np.int64)]), COMMON) for (t, c), w in zip(kinds, new, strict=True)]
+            return [_pruned(np.concatenate([t, w]), np.concatenate([c, np.ones(len(w), np.int64)]), k) for (t, c), w, k in zip(kinds, new, keep, strict=True)]
 
         for batch in batches:
             for part in text_slices(batch):
@@ -120,10 +120,10 @@ def frequent(docs: DataFrame, size: int, percent: int) -> tuple[np.ndarray, ...]
     out = []
     for kind in (0, 1):
         own = counts.where(F.col("kind") == kind)
-        steps = own.groupBy("n").count().orderBy(F.desc("n")).limit(COMMON).collect()  # sizes of the list by its least count
+        steps = own.groupBy("n").count().orderBy(F.desc("n")).limit(keep[kind]).collect()  # sizes of the list by its least count
         at_least, total = 1 << 62, 0
         for row in steps:
-            if total + row["count"] > COMMON:
+            if total + row["count"] > keep[kind]:
                 break
             total, at_least = total + row["count"], row.n
         found = own.where(F.col("n") >= at_least).toArrow()
@@ -317,7 +317,7 @@ def links_of(visits: DataFrame, classes: DataFrame, docs: DataFrame, inside: boo
     `inside` says so. A cell with many queries is copied, and they are dealt to the copies.
     """
     cell = ["gid", "chunk"]
-    copies = visits.where("role = 1").groupBy(*cell).agg(F.ceil(F.count("*") / (8 * GROUP)).alias("copies")).where("copies > 1")
+    copies = visits.where("role = 1").groupBy(*cell).agg(F.ceil(F.count("*") / (2 * GROUP)).alias("copies")).where("copies > 1")
     dealt = visits.join(copies, cell, "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
     own = F.array(F.pmod(F.xxhash64("fp"), F.col("copies")))
     dealt = dealt.withColumn("copy", F.explode(F.when(F.col("role") == 0, F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).otherwise(own)))
