@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -9,20 +10,20 @@ from tokenizers import Tokenizer
 from texspark.llm import packing
 
 DOCS = "doc_id long, text string, source string, ids string, lane int"
-TEXTS = ["Hello  world \n again", None, "", "one two", "one two", "é ñ \t x\n\ny", "don't 'll  ", "word " * 4000, "a  b  c", "x\x1c y \x1c z"]
+TEXTS = ["Hello  world \n again", None, "", "one two", "one two", "é ñ \t x\n\ny", "don't 'll  ", "word " * 4000, "a  b  c", "x\x1c y \x1c z", "hello <|endoftext|> x", "<|endoftext|><|endoftext|>  \n<|endoftext|>y", "<|endo ftext|>"]
+ADDED = packing.added_tokens(P.path("byte_bpe_50k.json"))
 
 
 @pytest.fixture(scope="module")
 def pieces(spark):
     rows = [(i % 9, t, None if i % 3 == 0 else f"s{i % 3}", "clash", 1) for i, t in enumerate(TEXTS)]
-    out = packing.pack(spark.createDataFrame(rows, DOCS), P.path("byte_bpe_50k.tiktoken"), P.PATTERN, window=64, quantum=8, lane_bytes=4000)
+    out = packing.pack(spark.createDataFrame(rows, DOCS), P.path("byte_bpe_50k.tiktoken"), packing.PATTERN, added=ADDED, window=64, quantum=8, lane_bytes=4000)
     return rows, out.collect()
 
 
 def test_each_id_lies_in_one_piece_and_windows_have_no_gaps(pieces):
     rows, out = pieces
     tk = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tk.encode_special_tokens = True
     want = defaultdict(list)
     for doc, text, *_ in rows:
         want[doc].append(np.array([*tk.encode(text or "", add_special_tokens=False).ids, 0], dtype="<u4").tobytes())
@@ -44,8 +45,20 @@ def test_each_id_lies_in_one_piece_and_windows_have_no_gaps(pieces):
         assert at <= 64 and at & (at - 1) == 0
 
 
+def test_ids_as_by_tokenizers():
+    """Also for white space of any kind and length, words of any script and added tokens."""
+    tk, rng = Tokenizer.from_file(P.path("byte_bpe_50k.json")), random.Random(3)
+    encode = packing.Encoder(P.path("byte_bpe_50k.tiktoken"), packing.PATTERN, tuple(ADDED.items()))
+    parts = [" ", "  ", "\n", "\t ", "\u2003", "\x1c", "\x85", "a", "Wörter", "don't", "'LL", "42", "½", "!?", "中文", "\U0001f600", "<|endoftext|>", "e\u0301", "\xa0"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(40))) for _ in range(600)]
+    texts += [x + blank * n + y for blank in (" ", "\n", " \t") for n in (1023, 1024, 3000) for x in ("", "a", "<|endoftext|>") for y in ("", "b", "<|endoftext|>", "\x1cb")]
+    for text in texts:
+        assert np.frombuffer(encode(text), encode.dtype).tolist() == tk.encode(text, add_special_tokens=False).ids, text[:80]
+    assert len(encode(" " * 3_000_000 + "x")) > 0
+
+
 def test_empty_table(spark):
-    assert packing.pack(spark.createDataFrame([], DOCS), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect() == []
+    assert packing.pack(spark.createDataFrame([], DOCS), P.path("byte_bpe_50k.tiktoken"), packing.PATTERN, added=ADDED).collect() == []
 
 
 def test_digest_is_the_crc_of_the_ids(spark, pieces):
@@ -70,7 +83,7 @@ def test_deficits_are_paid_over_lanes(spark):
     """A hot source with a text of many lanes: who is behind is served until it has its share of all windows so far."""
     window, quantum = 64, 16
     rows = [(i, f"word {i} " * (5 + i % 40), "cold" if i % 4 == 0 else "hot") for i in range(600)] + [(1000, "one more word " * 9000, "hot"), (1000, "one more word " * 9000, "hot")]
-    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN, window=window, quantum=quantum, lane_bytes=24_000, part_bytes=24_000).collect()
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), P.path("byte_bpe_50k.tiktoken"), packing.PATTERN, added=ADDED, window=window, quantum=quantum, lane_bytes=24_000, part_bytes=24_000).collect()
     tk = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     want = defaultdict(list)
     for doc, text, _ in rows:

@@ -15,6 +15,7 @@ hand their share to the others.
 from __future__ import annotations
 
 import base64
+import json
 import re
 from collections.abc import Iterator
 
@@ -25,54 +26,56 @@ from pyspark.sql import functions as F
 
 from texspark.llm.common import given_back, saved
 
-#: Words a worker remembers; the memory is emptied when it is full.
-MEMO_WORDS = 150_000
-
 _LANE = "lane long, sources array<string>, source_tokens array<long>, doc_ids array<long>, doc_source array<int>, doc_tokens array<long>, doc_rows array<long>, doc_parts array<int>, ids binary"
 _PIECE = "doc_id long, source string, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
-_SPACE_PAIR = re.compile(r"\s ")
-
-
-class WordMemo(dict):
-    """Ids of a word that follows a space, as bytes, computed on first use."""
+# Fixed value: the public pattern of byte_bpe_50k, with the same splits as public_tokenizers.PATTERN but less backtracking.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+#: White space so long that the pattern would run out of stack, as the characters with Unicode's property.
+_LONG_BLANK = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1024,}")
 
-    def __init__(self, encode, dtype: str):
-        super().__init__()
-        self.encode, self.dtype = encode, dtype
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        ids = self[word] = np.array(self.encode(" " + word), dtype=self.dtype).tobytes()
-        return ids
+def added_tokens(vocabulary_path: str) -> dict[str, int]:
+    """The tokens that a tokenizers file adds to its vocabulary; they are found in texts before all else."""
+    with open(vocabulary_path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
 
 
 class Encoder:
-    """Byte-level BPE. A text splits before every single space without changing its ids,
-    as no token holds a space after another character; so words are encoded once each."""
+    """Byte-level BPE with added tokens."""
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, added: tuple[tuple[str, int], ...]):
         import tiktoken
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.dtype = "<u2" if max(ranks.values()) < 1 << 16 else "<u4"
-        self.memo = WordMemo(self.encode, self.dtype)
+        self.bpe = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.added = dict(added)
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
+        self.dtype = "<u2" if max([*ranks.values(), *self.added.values()]) < 1 << 16 else "<u4"
 
     def __call__(self, text: str) -> bytes:
-        if _SPACE_PAIR.search(text):
-            return np.array(self.encode(text), dtype=self.dtype).tobytes()
-        first, *rest = text.split(" ")
-        return np.array(self.encode(first), dtype=self.dtype).tobytes() + b"".join(map(self.memo.__getitem__, rest))
+        if self.split and any(t in text for t in self.added):
+            return b"".join(np.array([self.added[s]], self.dtype).tobytes() if s in self.added else self.ordinary(s) for s in self.split.split(text))
+        return self.ordinary(text)
+
+    def ordinary(self, text: str) -> bytes:
+        """Ids of a text without added tokens. White space is one piece but for its last character, if a word follows."""
+        ids, at = [], 0
+        for m in _LONG_BLANK.finditer(text):
+            ids += [self.plain(text[at : m.start()]), self.bpe._encode_single_piece(m.group()[: None if m.end() == len(text) else -1])]
+            at = m.end() if m.end() == len(text) else m.end() - 1
+        return b"".join(np.asarray(x, self.dtype).tobytes() for x in (*ids, self.plain(text[at:])))
+
+    def plain(self, text: str) -> np.ndarray:
+        return self.bpe.encode_to_numpy(text, disallowed_special=())
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
+_encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(ranks_path: str, pattern: str) -> Encoder:
+def encoder(ranks_path: str, pattern: str, added: tuple[tuple[str, int], ...]) -> Encoder:
     """One encoder for each worker process."""
-    key = (ranks_path, pattern)
+    key = (ranks_path, pattern, added)
     if key not in _encoders:
         _encoders[key] = Encoder(*key)
     return _encoders[key]
@@ -123,17 +126,19 @@ def rooms_of(total: int, window: int) -> Iterator[int]:
     yield from (1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1)
 
 
-def pack(docs: DataFrame, ranks_path: str, pattern: str, *, window: int = 1024, end_id: int = 0, targets: dict[str | None, float] | None = None, quantum: int = 128, lane_bytes: int = 4 << 20, part_bytes: int = 4 << 20) -> DataFrame:
+def pack(docs: DataFrame, ranks_path: str, pattern: str, *, added: dict[str, int] | None = None, window: int = 1024, end_id: int = 0, targets: dict[str | None, float] | None = None, quantum: int = 128, lane_bytes: int = 4 << 20, part_bytes: int = 4 << 20) -> DataFrame:
     """Pack documents (doc_id, text, source) into windows of `window` tokens.
 
+    added: tokens that are found in texts before all else, and their ids.
     targets: token share by source; by default each source's share of all tokens, which
     keeps the mixture the same from the first window to the last. Returns a row for each
     piece: doc_id, source, start, length, doc_tokens, sequence_id, offset, ids (unsigned
     32-bit little-endian). A null text is an empty one, and each document ends with
     end_id, so an empty one is a single token. Null sources form a queue of their own;
     repeated rows are packed once each; an empty table gives no rows; other columns are
-    ignored.
+    ignored. Texts of more than part_bytes are cut and dealt over lanes.
     """
+    extra = tuple((added or {}).items())
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "source")
     total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     lanes = max(1, -(-total // lane_bytes))
@@ -141,11 +146,12 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, *, window: int = 1024,
     large = F.octet_length("text") > part_bytes
     least = F.greatest(F.lit(1), F.floor(F.length("text").cast("double") * part_bytes / F.octet_length("text"))).cast("string")
     cut = F.regexp_extract_all("text", F.concat(F.lit("(?s).{"), least, F.lit(",}?[A-Za-z0-9](?= [A-Za-z0-9])|.+")), F.lit(0))
-    rows = rows.withColumn("row", F.when(large, F.monotonically_increasing_id())).select("doc_id", "source", "row", F.length("text").alias("_n"), F.posexplode(F.when(large, cut).otherwise(F.array("text"))).alias("part", "text"), F.when(large, F.size(cut)).otherwise(1).alias("_parts"))
-    rows = rows.select("doc_id", "text", "source", "row", "part", (F.col("part") == F.col("_parts") - 1).alias("last"), F.pmod(F.pmod(F.xxhash64("doc_id", "_n"), F.lit(lanes)) + F.col("part"), F.lit(lanes)).alias("lane"))
+    rows = rows.withColumn("_row", F.monotonically_increasing_id())  # rows that are alike go to different lanes
+    rows = rows.select("doc_id", "source", "_row", F.when(large, F.col("_row")).alias("row"), F.posexplode(F.when(large, cut).otherwise(F.array("text"))).alias("part", "text"), F.when(large, F.size(cut)).otherwise(1).alias("_parts"))
+    rows = rows.select("doc_id", "text", "source", "row", "part", (F.col("part") == F.col("_parts") - 1).alias("last"), F.pmod(F.pmod(F.xxhash64("_row"), F.lit(lanes)) + F.col("part"), F.lit(lanes)).alias("lane"))
 
     def tokenise(group: pa.Table) -> pa.Table:
-        encode = encoder(ranks_path, pattern)
+        encode = encoder(ranks_path, pattern, extra)
         end = np.array([end_id], dtype=encode.dtype).tobytes()
         width = len(end)
         order = np.lexsort((np.arange(group.num_rows), group["doc_id"].fill_null(-1).to_numpy()))
@@ -242,7 +248,7 @@ def op1_packing(spark, sf_dir: str) -> DataFrame:
 
     from texspark.llm.common import table
 
-    return digest(pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+    return digest(pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), PATTERN, added=added_tokens(public_tokenizers.path("byte_bpe_50k.json"))))
 
 
 def digest(pieces: DataFrame) -> DataFrame:
