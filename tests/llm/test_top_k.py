@@ -24,7 +24,8 @@ def brute(rows, k):
 def test_search_as_by_brute_force(spark, monkeypatch, n, width, spread):
     monkeypatch.setattr(top_k, "SHARD", 64)
     monkeypatch.setattr(top_k, "BLOCK", 16)
-    monkeypatch.setattr(top_k.BallTree.__init__, "__defaults__", (8,))
+    monkeypatch.setattr(top_k, "PIVOTS", 3)
+    monkeypatch.setattr(top_k.BallTree.__init__, "__defaults__", (True, 8))
     rng = random.Random(n + width)
     rows = [(i, [rng.randint(-spread, spread) for _ in range(width if i % 7 else width - 1)]) for i in range(n)]
     odd = [(None, [1, 2]), (n + 1, None), (n + 2, [1, None])]
@@ -40,10 +41,25 @@ def test_balls_hold_their_vectors_and_few_leaves_are_opened():
     tree = top_k.BallTree(np.arange(2000), vectors)
     for (a, b), centre, radius in zip(tree.runs, tree.centres, tree.radii, strict=True):
         assert (np.sqrt(((tree.vectors[a:b] - centre) ** 2).sum(axis=1)) <= radius + 1e-9).all()
-    best = tree.search(vectors[5], 5, 5, -np.inf)
+    best = tree.search(vectors[5], 5, 5, None)
+    assert tree.opened < len(tree.runs) / 4
     assert best == tree.search(vectors[5], 5, 5, best[-1][0]) == sorted(((int(vectors[i] @ vectors[5]), int(i)) for i in range(2000) if i != 5), key=lambda x: (-x[0], x[1]))[:5]
 
 
+def test_scores_that_doubles_do_not_hold(spark):
+    rows = [(0, [1 << 28, 1])] + [(i, [1 << 29, i % 3 + i // 40]) for i in range(1, 60)]
+    got = top_k.search(spark.createDataFrame(rows, "vec_id long, vector array<long>"), F.col("vec_id") % 5 == 0).collect()
+    assert sorted(tuple(r) for r in got) == brute(rows, 5)
+    with pytest.raises(OverflowError):
+        top_k.search(spark.createDataFrame([(0, [1 << 40]), (1, [1])], "vec_id long, vector array<long>"), F.col("vec_id") == 0)
+
+
+def test_one_vector_asks_for_an_id(spark):
+    rows = [(0, [2, 1]), (0, [1, 2]), (0, [1, 2]), (1, [0, 1]), (2, [1, 0])]
+    got = top_k.search(spark.createDataFrame(rows, "vec_id long, vector array<long>"), F.col("vec_id") == 0).collect()
+    assert sorted(tuple(r) for r in got) == [(0, 1, 1, 2), (0, 2, 2, 1)]
+
+
 def test_repeated_vectors_tie_to_smaller_ids_and_empty_tables(spark):
     df = spark.createDataFrame([(i, [1, 1], 0, 0) for i in range(30)], VECTORS)
     got = top_k.search(df, F.col("vec_id") == 3).collect()

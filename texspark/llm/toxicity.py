@@ -6,8 +6,8 @@ their row counts; most of a toxic text is ordinary). A window is a word with a b
 either side, padded, as the compressor finds no match in an input's last bytes. Its
 distance is what it compresses to with the ordinary dictionary less what it compresses
 to with the toxic text put after it. A logistic curve over how many of a text's windows
-pass a few distances gives the score; it is calibrated so that the threshold with the
-best F1 on the sample is at one half.
+pass a few distances gives the score; it is fitted to rows that
+the toxic dictionary has not seen, so that the threshold with their best F1 is at one half.
 """
 
 from __future__ import annotations
@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 from texspark.llm.common import extended, id_crc, table, text_slices
 from texspark.llm.shingles import hashed, word_spans
 
-#: Labelled rows to learn from, at most (about; rows are chosen by the hash of their id).
-SAMPLE = 8000
+#: Labelled rows to learn from and their bytes, at most (about; rows are chosen by hash); ordinary snippets of ten words that a dictionary is trained on.
+SAMPLE, SAMPLE_BYTES, SNIPPETS = 8000, 64 << 20, 40_000
+#: Parts of the sample that take turns as unseen rows.
+FOLDS = 5
 #: Bytes of a dictionary, level, padding, and the distances that are counted.
 DICTIONARY, LEVEL, PAD, PASSED = 16_384, 12, b"\0" * 10, (2, 3, 4, 5)
 #: A toxic window's likelihood ratio and how much more frequent it is than in ordinary rows, at least.
@@ -98,53 +100,81 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30, penalty: float = 1.
     return w
 
 
+def ordinary_content(rows: list[list[bytes]]) -> bytes:
+    """Trained content of ordinary rows, in snippets of ten windows."""
+    plain = [b" ".join(words[k : k + 10]) for words in rows for k in range(0, len(words), 10)]
+    return trained_content(plain[:: max(1, len(plain) // SNIPPETS)], DICTIONARY)
+
+
+def toxic_content(seen: list[Counter], n: list[int], rows: list[list[bytes]]) -> bytes:
+    """Trained content of the windows of toxic rows that ordinary rows lack, by the rows of either kind that have them."""
+    share = n[1] / sum(n)
+
+    def telling(word: bytes, a: int) -> bool:
+        b = seen[0][word]
+        e = (a + b) * share
+        return len(word) >= 3 and a > TIMES * b * n[1] / n[0] and 2 * (a * math.log(a / e) + (b * math.log(b / (a + b - e)) if b else 0)) > RATIO
+
+    toxic_words = {w for w, a in seen[1].items() if telling(w, a)}
+    return trained_content([b" " + w + b" " for words in rows for w in words if w in toxic_words] * 4, DICTIONARY)
+
+
 def learned(rows: pa.Table) -> dict:
-    """The model of a sample (text, toxic)."""
-    y = np.array([int(t == 1) for t in rows["toxic"].to_pylist()])
+    """The model of a sample (text, toxic).
+
+    The curve and its threshold are fitted to features of rows that the toxic dictionary
+    behind them has not seen, in FOLDS parts; the model's own dictionary is trained on all.
+    """
+    y = np.array([int(t == 1) for t in rows["toxic"].to_pylist()], dtype=np.int64)
     rare = {"rate": float(y.mean()) if len(y) else 0.0}
     if y.sum() < 2 or (1 - y).sum() < 2:
         return rare
     text = rows["text"].combine_chunks() if isinstance(rows["text"], pa.ChunkedArray) else rows["text"]
-    seen, ordinary, order = [Counter(), Counter()], [], []
+    held = []
     for k in range(0, len(y), 200):
         words, which, begins = windows(text.slice(k, 200))
-        for i, (a, b) in enumerate(zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)):
-            own = which[a:b]
-            seen[y[k + i]].update({words[j] for j in own.tolist()})
-            (order if y[k + i] else ordinary).append([words[j] for j in own.tolist()])
-    n_toxic, n_plain = int(y.sum()), int((1 - y).sum())
-    share = n_toxic / len(y)
-
-    def telling(word: bytes, a: int) -> bool:
-        b = seen[0][word]
-        e = (a + b) * share
-        return len(word) >= 3 and a > TIMES * b * n_toxic / n_plain and 2 * (a * math.log(a / e) + (b * math.log(b / (a + b - e)) if b else 0)) > RATIO
-
-    toxic_words = {w for w, a in seen[1].items() if telling(w, a)}
-    snippets = [b" " + w + b" " for words in order for w in words if w in toxic_words]
-    plain = [b" ".join(words[k : k + 10]) for words in ordinary for k in range(0, len(words), 10)]
-    plain = plain[:: max(1, len(plain) // 40_000)]
-    model = rare | {"ordinary": trained_content(plain, DICTIONARY), "toxic": trained_content(snippets * 4, DICTIONARY)}
-    distances = Distances(model["ordinary"], model["toxic"])
-    x = np.concatenate([features(text.slice(k, 200), distances) for k in range(0, len(y), 200)])
+        held += [[words[j] for j in which[a:b].tolist()] for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)]
+    fold = np.zeros(len(y), dtype=np.int64)  # kinds are dealt evenly
+    for kind in (0, 1):
+        fold[y == kind] = np.arange((y == kind).sum()) % FOLDS
+    seen, n = [[Counter() for _ in range(FOLDS)] for _ in range(2)], np.zeros((2, FOLDS), dtype=int)
+    for words, kind, f in zip(held, y.tolist(), fold.tolist(), strict=True):
+        seen[kind][f].update(set(words))
+        n[kind, f] += 1
+    total = [sum(parts, Counter()) for parts in seen]
+    ordinary = ordinary_content([words for words, kind in zip(held, y.tolist(), strict=True) if not kind])
+    toxic_rows = [(words, f) for words, kind, f in zip(held, y.tolist(), fold.tolist(), strict=True) if kind]
+    x = np.zeros((len(y), 2 * len(PASSED) + 1))
+    for f in range(FOLDS):
+        own, others = np.flatnonzero(fold == f), n.sum(axis=1) - n[:, f]
+        if not len(own) or not others.all():
+            continue
+        distances = Distances(ordinary, toxic_content([t - parts[f] for t, parts in zip(total, seen, strict=True)], others.tolist(), [words for words, g in toxic_rows if g != f]))
+        for k in range(0, len(own), 200):
+            x[own[k : k + 200]] = features(text.take(pa.array(own[k : k + 200])), distances)
+    toxic = toxic_content(total, n.sum(axis=1).tolist(), [words for words, _ in toxic_rows])
     mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
     w = logistic((x - mean) / spread, y)
     odds = ((x - mean) / spread) @ w[:-1] + w[-1]
-    order_ = np.argsort(-odds, kind="stable")
-    hits = np.cumsum(y[order_])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + n_toxic)
+    order = np.argsort(-odds, kind="stable")
+    hits = np.cumsum(y[order])
+    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
     best = int(f1.argmax())
-    cut = (odds[order_[best]] + odds[order_[min(best + 1, len(y) - 1)]]) / 2
-    return model | {"mean": mean, "spread": spread, "weights": w, "cut": float(cut)}
+    cut = (odds[order[best]] + odds[order[min(best + 1, len(y) - 1)]]) / 2
+    return rare | {"ordinary": ordinary, "toxic": toxic, "mean": mean, "spread": spread, "weights": w, "cut": float(cut)}
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
-    """A model from documents (doc_id, text) and labels (doc_id, toxic): about `sample` rows at most, chosen by hash."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> dict:
+    """A model from documents (doc_id, text) and labels (doc_id, toxic).
+
+    Learns from about `sample` rows and `sample_bytes` bytes at most, chosen by hash; texts
+    of more than a sixty-fourth of the bytes are not learned from.
+    """
     known = labels.where("doc_id is not null and toxic is not null").select("doc_id", "toxic")
-    n = known.count()
-    share = min(1.0, sample / n) if n else 1.0
-    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))  # so few that only they are joined
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known) if n * share <= 2 * sample else known, "doc_id")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= sample_bytes // 64).join(known, "doc_id")
+    size = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    share = min(1.0, sample / max(1, size.n), sample_bytes / max(1, size.bytes or 0))
+    rows = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < share * (1 << 20))
     return learned(rows.select("text", "toxic").toArrow())
 
 
