@@ -5,8 +5,8 @@ from collections import Counter
 import public_tokenizers as P
 from tokenizers import Tokenizer
 
+import __spark_entry__
 import corpus_pipeline
-from texspark.llm import registry
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -46,9 +46,22 @@ def test_stages_take_effect(spark, tmp_path):
     assert got == want
 
 
+def test_stages_on_empty_tables_null_ids_and_repeated_rows(spark, tmp_path):
+    empty = spark.createDataFrame([], DOCS)
+    assert [stage(spark, empty, "").count() for _, stage in corpus_pipeline.STAGES] == [0] * 5
+    text = "a longer text of some words that has a near copy with one more word at its end"
+    rows = [(None, text, None, None, None), (None, text, None, None, None), (None, text + " here", None, "s", 1), (5, text, "en", "s", 2), (5, "another text that shares the id of the copy of the longer text", "en", "s", 2), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, DOCS)
+    kept = corpus_pipeline.near_duplicate(spark, docs, "").collect()
+    texts = sorted(str(r.text) for r in kept)
+    assert len(kept) == 3 and texts[0] == "None" and texts[1].startswith(text) and texts[2] == rows[4][1]
+    assert [r.doc_id for r in corpus_pipeline.secrets(spark, docs, "").collect()].count(None) == 4
+    assert corpus_pipeline.language(spark, docs.withColumn("lang", docs.lang.substr(9, 1)).where("lang is null"), "").count() >= 1
+
+
 def test_run_reads_the_documents_table(spark, tmp_path):
     rows = [(i, f"some words of a text about number {'abcdefgh'[i]} and what it does", "en", "s", 1) for i in range(8)]
     spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
-    out = registry.queries()["pipeline"](spark, str(tmp_path)).collect()
+    out = __spark_entry__.queries()["pipeline"](spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} <= set(range(8)) and all(0 <= r.ids_crc32 < 1 << 32 for r in out) and zlib.crc32(b"") == 0
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5

@@ -5,8 +5,10 @@ import json
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from texspark.llm import language_id, licenses, mixing, quality, secret_scan, toxicity
@@ -73,6 +75,17 @@ def test_quality_statistics(docs):
     assert got.where("posterior is null or posterior < 0 or posterior > 1").count() == 0
 
 
+def test_posteriors_as_by_a_plain_version():
+    """Expectation-maximisation over the votes of single documents gives what it gives over counts of patterns."""
+    rng = random.Random(2)
+    n = len(quality.RULES)
+    votes = [tuple(rng.choice((-1, 0, 1)) for _ in range(n)) for _ in range(40)]
+    counted = Counter(votes * 3 + votes[:7])
+    share, accuracy = quality.estimated(list(counted.items()))
+    again, accuracy_ = quality.estimated([(v, 1) for v, k in counted.items() for _ in range(k)])
+    assert share == pytest.approx(again) and all(np.allclose(a, b) for a, b in zip(accuracy, accuracy_, strict=True))
+
+
 def test_accuracies_find_the_bad_kind():
     n = len(quality.RULES)
     good, bad = (1,) * 3 + (0,) * (n - 3), (1,) * 3 + (-1,) + (0,) * (n - 4)
@@ -106,6 +119,15 @@ def test_secrets():
     assert kinds("paſſword = abcdefghijklmn") == [] and kinds("to\u212aen=abcdefghijklmn") == []
 
 
+def test_long_texts_take_time_in_proportion():
+    began = time.process_time()
+    token = "eyJhbGciOiJIUzI1NiJ9.eyJhIjoxfQ.c2ln"
+    for text in ("eyJ" * 400_000, "eyJ." * 250_000, "eyJ-" * 250_000, "M" * 1_000_000, "30" * 500_000, "AKIA" * 250_000, "-----BEGIN A-----" * 60_000):
+        assert [k for *_, k in secret_scan.spans_of(text + " " + token) if k == "jwt"] == ["jwt"]
+    assert time.process_time() - began < 30
+    assert [s[0] for s in secret_scan.spans_of(f"\\n{token} a={token};x.{token}") if s[2] == "jwt"] == [2, 5 + len(token), 8 + 2 * len(token)]
+
+
 def test_bare_keys_in_every_form():
     plain, safe = base64.b64encode(KEY).decode(), base64.urlsafe_b64encode(der(b"\x02\x01\x00", b"\x04\x82\x01\x00" + b"\xfb\xef\xbe\xff" * 64)).decode().rstrip("=")
     assert "-" in safe and "_" in safe
@@ -173,6 +195,28 @@ def test_mixing_meets_its_targets(spark, seed):
         assert targets[s] == pytest.approx(plain[s]) and abs(taken[s] - targets[s]) <= largest[s]
 
 
+def test_mixing_of_many_sources(spark, monkeypatch):
+    """Only two of the sources are broadcast; weights go by the order of all."""
+    monkeypatch.setattr(mixing, "HOT_SOURCES", 2)
+    rng = random.Random(9)
+    rows = [(i, "w " * rng.randrange(1, 9), "hot" if i % 3 else f"s{rng.randrange(400)}é") for i in range(3000)] + [(1, None, None), (2, "w w", "lone")]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(out) == len(rows)
+    sizes, taken, targets = Counter(), Counter(), {}
+    for r in out:
+        sizes[r.source] += r["size"]
+        taken[r.source] += r["size"] * r.times
+        targets[r.source] = r.target
+    order = [*sorted((s for s in sizes if s is not None), key=lambda s: s.encode()), None]
+    assert {r.source: r.source_size for r in out} == dict(sizes)
+    low, high = 0.0, float(sum(sizes.values()))
+    for _ in range(200):  # the level by bisection
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(3 * sizes[s], level * (1 + k % 3)) for k, s in enumerate(order)) < sum(sizes.values()) else (low, level)
+    for k, s in enumerate(order):
+        assert targets[s] == pytest.approx(min(3 * sizes[s], low * (1 + k % 3)), abs=1e-6) and abs(taken[s] - targets[s]) <= 8
+
+
 def test_mixing_takes_more_of_the_same_for_a_larger_budget(spark):
     rows = [(i, "w " * (1 + i % 7), s) for i in range(200) for s in ("a", "b")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -205,6 +249,39 @@ def test_language_mixtures(spark, docs):
     assert nothing[0] == [] and {r.lang_pred for r in language_id.identify(docs[1], *nothing).collect()} == {"und"}
 
 
+def test_mixtures_as_by_a_plain_version(spark):
+    """Expectation-maximisation and the penalised choice of languages, word by word."""
+    rng = random.Random(8)
+    french = "le chat et le chien étaient assis avec cette chose là pendant que nous pensions à ceci"
+    rows = [(i, prose(rng, t, 60), lang) for i in range(60) for lang, t in (("en", ENGLISH), ("de", GERMAN), ("fr", french))]
+    languages, model = language_id.trained(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    classes = language_id.letter_classes()
+    texts = [prose(rng, ENGLISH, 25) + " " + prose(rng, french, rng.randrange(30)) + " 12-ab" for _ in range(12)]
+    for text, got in zip(texts, language_id.mixtures(texts, model), strict=True):
+        likely = []
+        for word in re.findall(r"[^\W\d_]+", text.lower()):
+            c = [0, *(int(classes[ord(x)]) for x in word), 0]
+            logs = np.sum([model[(c[i] * 64 + c[i + 1]) * 64 + c[i + 2]].astype(float) for i in range(len(word))], axis=0)
+            likely.append(np.exp(np.maximum(logs - logs.max(), -30)))
+        active, best = set(range(len(languages))), (-np.inf, None)
+        while active:
+            pi = np.array([1 / len(active) if k in active else 0.0 for k in range(len(languages))])
+            for _ in range(language_id.ROUNDS if len(active) > 1 else 1):
+                pi = np.mean([w * pi / (w * pi).sum() for w in likely], axis=0)
+                pi = np.array([max(p, 1e-9) if k in active else 0.0 for k, p in enumerate(pi)])
+                pi /= pi.sum()
+            fit = sum(math.log((w * pi).sum()) for w in likely) - 0.5 * (len(active) - 1) * math.log(len(likely) + 1)
+            best = max(best, (fit, pi.tolist()))
+            active.remove(min(active, key=lambda k: pi[k]))
+        assert got == pytest.approx(best[1], abs=1e-6)
+
+
+def test_few_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "LANGUAGES", 2)
+    rows = [(None, f"word {lang} {i}", lang) for lang, n in (("a", 5), ("b", 9), ("c", 7)) for i in range(n)]
+    assert language_id.trained(spark.createDataFrame(rows, "doc_id long, text string, lang string"))[0] == ["b", "c"]
+
+
 def test_toxicity_on_held_out_rows(spark, docs):
     rng = random.Random(6)
     plain = [prose(rng, ENGLISH + " " + "".join(rng.choice("aeioulnrst") for _ in range(400)), rng.randrange(20, 200)) for _ in range(500)]

@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 import uuid
 
@@ -23,7 +24,7 @@ def test_pages_come_back_whole(spark, tmp_path, monkeypatch, least):
     pages = spark.createDataFrame([(*r, 7, "clash") for r in rows], PAGES).repartition(3)
     warc.SEGMENT, warc.CHUNK, kept = 1000, 300, (warc.SEGMENT, warc.CHUNK)
     try:
-        names = {r.row: r.page_id for r in warc.write(pages, path, least).collect()}
+        names = {f"urn:page:{r.row}": r.page_id for r in warc.write(pages, path, least).collect()}
         out = warc.read(spark, path).collect()
     finally:
         warc.SEGMENT, warc.CHUNK = kept
@@ -31,7 +32,7 @@ def test_pages_come_back_whole(spark, tmp_path, monkeypatch, least):
     last = {}
     for p, _, h in rows:
         last[h or ""] = max(last.get(h or "", -1), -1 if p is None else p)
-    got = sorted((names[r.row] if names[r.row] is not None else -1, r.payload_bytes, r.digest, r.kind, names.get(r.refers_to), None if r.payload is None else bytes(r.payload)) for r in out)
+    got = sorted((names[r.record_id] if names[r.record_id] is not None else -1, r.payload_bytes, r.digest, r.kind, names.get(r.refers_to), None if r.payload is None else bytes(r.payload)) for r in out)
     want, seen = [], set()
     for p, _, h in rows:
         raw, p = (h or "").encode(), -1 if p is None else p
@@ -47,8 +48,6 @@ def test_a_missing_segment_or_a_broken_frame_is_told(spark, tmp_path, small):
     row = {"row": 3, "url": "u", "digest": "D", "payload_bytes": 2500, "refers_to": None, "html": "x" * 2500}
     parts = list(warc.records(row))
     assert len(parts) == 3 and b"".join(b for p in parts for _, b in warc.parsed(p + b"\r\n\r\n")).startswith(block[:17])
-    import gzip
-
     for name, kept in (("gap", [parts[0], parts[2]]), ("tail", parts[:2]), ("head", parts[1:])):
         folder = tmp_path / name
         folder.mkdir()
@@ -59,6 +58,33 @@ def test_a_missing_segment_or_a_broken_frame_is_told(spark, tmp_path, small):
         warc.dechunked(b"5\r\nabc\r\n0\r\n\r\n")
 
 
+def test_archives_of_other_writers(spark, tmp_path):
+    """A member for each record, other record types, any ids, lenient headers, plain files, revisits of elsewhere, damage."""
+    def rec(kind, name, block, *fields, end="\r\n"):
+        return end.join(["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID:<{name}>", *fields, f"content-length:{len(block)}", "", ""]).encode() + block + (end * 2).encode()
+
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    records = [
+        rec("warcinfo", "urn:uuid:0", b"software: x"), rec("request", "urn:uuid:1", b"GET / HTTP/1.1\r\n\r\n"),
+        rec("response", "urn:uuid:2", http + b"one\xff\r\n\r\ntwo", "WARC-Target-URI: http://a/", " b"),
+        rec("resource", "urn:uuid:3", b"HTTP in name only", end="\n"), rec("metadata", "urn:uuid:4", b"x: y"),
+        rec("response", "urn:uuid:5", b"HTTP/1.1 200 OK\r\nTransfer-Encoding:chunked\r\n\r\n3;x=1\r\nabc\r\n0\r\n\r\n"),
+        rec("revisit", "urn:uuid:6", b"", "WARC-Refers-To: <urn:uuid:99>", "WARC-Payload-Digest: sha1:ABC"),
+        rec("response", "urn:uuid:7", http + b"a" * 50, "WARC-Segment-Number: 1"), rec("continuation", "urn:uuid:8", b"b" * 5, "WARC-Segment-Origin-ID: <urn:uuid:7>", "WARC-Segment-Number: 2", f"WARC-Segment-Total-Length: {len(http) + 55}"),
+    ]
+    (tmp_path / "members.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    (tmp_path / "plain.warc").write_bytes(records[2].replace(b"uuid:2", b"uuid:12"))
+    (tmp_path / "cut.warc.gz").write_bytes(gzip.compress(records[3].replace(b"uuid:3", b"uuid:13"))[:] + gzip.compress(records[2])[:-20])
+    (tmp_path / "junk.gz").write_bytes(gzip.compress(b"no archive"))
+    got = {(r.record_id, r.kind): r for r in warc.read(spark, str(tmp_path)).collect()}
+    payloads = {k[0][9:]: bytes(r.payload) for k, r in got.items() if r.payload is not None}
+    assert payloads == {"2": b"one\xff\r\n\r\ntwo", "12": b"one\xff\r\n\r\ntwo", "3": b"HTTP in name only", "13": b"HTTP in name only", "5": b"abc", "7": b"a" * 50 + b"b" * 5}
+    assert got["urn:uuid:2", "response"].url == "http://a/ b"
+    revisit = got["urn:uuid:6", "revisit"]
+    assert (revisit.refers_to, revisit.digest, revisit.payload_bytes, revisit.whole) == ("urn:uuid:99", "ABC", None, True)
+    assert not got[None, "damaged"].whole and len(got) == 8
+
+
 def test_empty_table(spark, tmp_path):
     path = f"{tmp_path}/none"
     assert warc.write(spark.createDataFrame([], PAGES), path).collect() == []

@@ -24,6 +24,8 @@ from texspark.llm.common import extended, id_crc, table, text_slices
 CLASSES = 64
 #: Rows of each language that the models are trained on, at most (about; rows are chosen by hash).
 SAMPLE = 4000
+#: Languages that are learned, at most: those with most rows (a megabyte of model each).
+LANGUAGES = 64
 ROUNDS = 12
 _CELLS = CLASSES**3
 
@@ -56,12 +58,13 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def trained(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages, and the log likelihood of each trigram given its first two letters, by language."""
     rows = docs.where("lang is not null and text is not null")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    counts = {r.lang: r.n for r in most.collect()}
     languages = sorted(counts)
     if not languages:
         return [], np.zeros((_CELLS, 0), np.float32)
     shares = docs.sparkSession.createDataFrame([(k, min(1.0, sample / n)) for k, n in counts.items()], "lang string, share double")
-    chosen = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    chosen = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {}
@@ -124,8 +127,9 @@ def identify(docs: DataFrame, languages: list[str], model: np.ndarray) -> DataFr
     lang_pred is the language with the largest share and score that share; mixture maps
     the languages of the chosen set to their shares. Texts that are null or have no
     letter get `und`, 0 and an empty map, and so do all if no language was learned.
-    Repeated rows are judged once each; an empty table gives no rows. Columns of docs
-    named like the new ones are replaced.
+    Of equal shares the first language by code points counts. Repeated rows are judged
+    once each; an empty table gives no rows. Columns of docs named like the new ones are
+    replaced. A text is held whole by a task, as some 40 bytes of arrays for each letter.
     """
     docs = docs.drop("lang_pred", "score", "mixture")
     sent = docs.sparkSession.sparkContext.broadcast(model)

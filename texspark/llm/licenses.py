@@ -45,13 +45,13 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LOOKUPS = 4
 
 
-def templates() -> list[tuple[int, str, bool, list[tuple[int, str]], list[tuple[int, str]]]]:
+def templates(phrases: list[tuple[str, str]] = PHRASES, texts: list[tuple[str, str, list[str]]] = TEXTS) -> list[tuple[int, str, bool, list[tuple[int, str]], list[tuple[int, str]]]]:
     """(number, label, is a phrase, indexed words with positions, words that must agree)."""
     out = []
-    for label, phrase in PHRASES:
+    for label, phrase in phrases:
         words = list(enumerate(phrase.split()))
         out.append((len(out), label, True, words, words))
-    for label, text, must in TEXTS:
+    for label, text, must in texts:
         words = text.split()
         indexed = [(i, w) for i, w in enumerate(words) if w not in FUNCTION_WORDS]
         at = set()
@@ -68,17 +68,18 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SEPARATORS), lambda w: w != "")
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """Licenses of documents (doc_id, text).
+def scan(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, texts: list[tuple[str, str, list[str]]] = TEXTS) -> DataFrame:
+    """Licenses of documents (doc_id, text): phrases (label, words) and texts (label, words, mandatory phrases in them).
 
     Returns a row for each row of docs: doc_id, n_words, places (an array of label,
     is_phrase, start, n_words, score; sorted by start), and licences' labels and score:
     base_labels, labels, score (the best place's share of its template's rarity; 1 for a
     phrase; 0 without a place). Null and empty texts have no words and no places; repeated
-    rows are scanned once each; an empty table gives no rows; other columns are ignored.
+    rows are scanned once each; an empty table gives no rows; other columns are ignored. A
+    text's words are held as one array, so a text must fit in a task.
     """
     spark = docs.sparkSession
-    known = templates()
+    known = templates(phrases, texts)
     vocabulary = sorted({w for *_, indexed, _ in known for _, w in indexed})
     indexed_words = F.array(*map(F.lit, vocabulary))
 
@@ -94,18 +95,18 @@ def scan(docs: DataFrame) -> DataFrame:
     about = spark.createDataFrame([(t, label, phrase, len(must), sum(idf[w] for _, w in indexed), max(len(indexed) // 2, 1) if not phrase else len(indexed), indexed[-1][0] + 1) for t, label, phrase, indexed, must in known], "template int, label string, is_phrase boolean, n_must int, weight double, n_least int, span int")
     required = spark.createDataFrame([(t, i, w) for t, *_, must in known for i, w in must], "template int, at int, word string").withColumn("must", F.lit(1))
 
-    # Look up each file's rarest words of each template; their relative positions are the candidate places.
+    # Look up each file's rarest words of each template: where they stand are the candidate places.
     seen = hits.where("hits is not null").select("row", F.explode("hits").alias("h")).select("row", "h.pos", "h.word")
     present = hits.where("hits is not null").select("row", F.explode(F.array_distinct("hits.word")).alias("word"))
     ranked = present.join(F.broadcast(postings.groupBy("template", "word").agg(F.first("idf").alias("idf"))), "word")
-    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("row", "template").orderBy(F.desc("idf"), "word"))).where(F.col("rank") <= LOOKUPS)
-    rare = ranked.groupBy("row").agg(F.collect_set(F.struct("template", "word")).alias("rare"))
-    placed = seen.join(F.broadcast(postings), "word").select("row", "template", (F.col("pos") - F.col("at")).alias("start"), "at", "word", "idf").where("start >= 0")
-    placed = placed.join(F.broadcast(required), ["template", "at", "word"], "left").join(rare, "row")
-    looked_up = F.max(F.array_contains("rare", F.struct("template", "word")).cast("int"))
+    rare = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("row", "template").orderBy(F.desc("idf"), "word"))).where(F.col("rank") <= LOOKUPS).select("row", "template", "word")
+    starts = seen.join(rare, ["row", "word"]).join(F.broadcast(postings.select("template", "at", "word")), ["template", "word"]).select("row", "template", (F.col("pos") - F.col("at")).alias("start")).where("start >= 0").distinct()
+
+    # Verify the template's words there, the mandatory ones among them.
+    wanted = starts.join(F.broadcast(postings.join(F.broadcast(required), ["template", "at", "word"], "left")), "template").select("row", "template", "start", (F.col("start") + F.col("at")).alias("pos"), "word", "idf", "must")
     places = (
-        placed.groupBy("row", "template", "start").agg(looked_up.alias("looked_up"), F.sum("idf").alias("idf"), F.count("*").alias("n"), F.sum(F.coalesce("must", F.lit(0))).alias("musts"))
-        .join(F.broadcast(about), "template").where("looked_up = 1 and musts = n_must and n >= n_least")
+        wanted.join(seen, ["row", "pos", "word"]).groupBy("row", "template", "start").agg(F.sum("idf").alias("idf"), F.count("*").alias("n"), F.sum(F.coalesce("must", F.lit(0))).alias("musts"))
+        .join(F.broadcast(about), "template").where("musts = n_must and n >= n_least")
         .groupBy("row").agg(F.sort_array(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), "label", "is_phrase", F.col("span").cast("long").alias("n_words"), F.least(F.lit(1.0), F.col("idf") / F.col("weight")).alias("score")))).alias("places"))
     )
     none = F.array().cast("array<struct<start:bigint,label:string,is_phrase:boolean,n_words:bigint,score:double>>")

@@ -17,23 +17,44 @@ from texspark.llm.common import saved, table
 
 #: Bits of the hash, and those that one histogram tells apart.
 HASH_BITS, LEVEL_BITS = 52, 13
-#: Sources whose targets may be broadcast (some 60 bytes each); with more of them, the join deals documents out by source.
-BROADCAST_SOURCES = 1 << 16
+#: Sources, those with most documents, whose rows are broadcast (some 60 bytes each); documents of others are dealt out by source.
+HOT_SOURCES = 1 << 16
 #: A document is taken this many times at most.
 MOST = 3
 
 
-def targets_of(sizes: list[int], weights: list[float], most: int = MOST) -> list[float]:
-    """Shares of all sizes by weight, none above `most` times its size; the excess goes to the others by weight."""
-    order = sorted(range(len(sizes)), key=lambda i: (most * sizes[i] / weights[i], i))
-    left, weight = sum(sizes), sum(weights)
+def water_level(sources: DataFrame, most: int = MOST) -> float:
+    """The level at which sum(min(most * n, level * weight)) over sources (n, weight) is sum(n).
+
+    Each round caps the sources that the level before exceeds; one row reaches the driver.
+    """
+    total = sources.agg(F.sum("n").alias("n")).first().n or 0
     level = 0.0
-    for i in order:
-        level = left / weight
-        if level * weights[i] <= most * sizes[i]:
-            break
-        left, weight = left - most * sizes[i], weight - weights[i]
-    return [min(float(most * s), level * w) for s, w in zip(sizes, weights, strict=True)]
+    while True:
+        over = F.col("weight") * level > most * F.col("n")
+        row = sources.agg(F.sum(F.when(over, most * F.col("n"))).alias("capped"), F.sum(F.when(~over, F.col("weight"))).alias("weight")).first()
+        higher = (total - (row.capped or 0)) / row.weight if row.weight else level
+        if higher <= level:
+            return level
+        level = higher
+
+
+def in_order(sources: DataFrame) -> DataFrame:
+    """sources with rank, their place (from 0) in the order of _key: sorted by ranges, none of them in one task."""
+    parts = max(1, sources.sparkSession.sparkContext.defaultParallelism)
+    ranged = saved(sources.repartitionByRange(parts, F.col("_key").cast("binary")).withColumn("_part", F.spark_partition_id()), "sources")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    begins = ranged.groupBy("_part").agg(F.count("*").alias("rows")).withColumn("begin", F.coalesce(F.sum("rows").over(before), F.lit(0))).drop("rows")
+    return ranged.withColumn("at", F.row_number().over(Window.partitionBy("_part").orderBy(F.col("_key").cast("binary")))).join(F.broadcast(begins), "_part").withColumn("rank", F.col("begin") + F.col("at") - 1).drop("_part", "at", "begin")
+
+
+def with_source(rows: DataFrame, per_source: DataFrame, hot: DataFrame, cold: bool) -> DataFrame:
+    """rows joined with their sources' rows on _key. Rows of hot sources are not dealt out; others are, if there are any."""
+    found = rows.join(F.broadcast(per_source.join(F.broadcast(hot), "_key", "left_semi")), "_key")
+    if not cold:
+        return found
+    others = rows.join(F.broadcast(hot), "_key", "left_anti").join(per_source.join(F.broadcast(hot), "_key", "left_anti"), "_key")
+    return found.unionByName(others)
 
 
 def hash_of(*columns: Column) -> Column:
@@ -50,41 +71,40 @@ def mix(docs: DataFrame, weights: list[float] | None = None) -> DataFrame:
     (0 to 3). The words taken of a source differ from its target by half the size of one
     document at most, or of the documents that share one hash, as repeated rows do. Null
     sources are a source of their own; an empty table gives no rows. Columns of docs
-    named like the new ones are replaced.
+    named like the new ones are replaced. A text's length matters to its count only.
     """
     weights = weights or [1.0, 2.0, 3.0]
-    spark = docs.sparkSession
     docs = docs.drop("size", "source_size", "target", "times")
     key = F.concat(F.when(F.col("source").isNull(), "n").otherwise("a"), F.coalesce("source", F.lit("")))
     sized = saved(docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")).withColumn("_key", key).withColumn("_hash", hash_of(F.col("doc_id"), F.col("size"))), "sized")
     slim = sized.select("_key", "_hash", "size")
 
-    sources = sorted((r["_key"].encode(), r["_key"], r.n) for r in slim.groupBy("_key").agg(F.sum("size").alias("n")).collect())  # a row for each source
-    sizes = [n for *_, n in sources]
-    targets = targets_of(sizes, [weights[i % len(weights)] for i in range(len(sources))])
-    budgets = []
-    for (_, name, n), target in zip(sources, targets, strict=True):
-        whole = min(MOST, int(target // n)) if n else 0
-        budgets.append((name, n, target, whole, target - whole * n if n else 0.0, 0))
-    goal = spark.createDataFrame(budgets, "_key string, source_size long, target double, whole int, budget double, below long")
-
-    few = F.broadcast if len(sources) <= BROADCAST_SOURCES else lambda rows: rows  # a hot source is then not dealt to one task
+    # A row for each source; weights go by its place among all.
+    ranked = in_order(slim.groupBy("_key").agg(F.sum("size").alias("n"), F.count("*").alias("docs")))
+    weight = F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("rank") % len(weights) + 1).cast("int"))
+    sources = saved(ranked.withColumn("weight", weight), "weights")
+    level = water_level(sources)
+    goal = sources.withColumn("target", F.least(MOST * F.col("n").cast("double"), F.lit(level) * F.col("weight")))
+    goal = goal.withColumn("whole", F.when(F.col("n") > 0, F.least(F.lit(MOST), F.floor(F.col("target") / F.col("n")))).otherwise(0).cast("int"))
+    goal = saved(goal.select("_key", F.col("n").alias("source_size"), "target", "whole", F.when(F.col("n") > 0, F.col("target") - F.col("whole") * F.col("n")).otherwise(0.0).alias("budget")), "goal")
+    hot = saved(sources.orderBy(F.desc("docs"), "_key").limit(HOT_SOURCES).select("_key"), "hot")
+    cold = sources.count() > HOT_SOURCES
 
     # Narrow the hash range in which each source's budget ends, LEVEL_BITS at a time.
-    at = goal.where("budget > 0").select("_key", "budget", "below", F.lit(0).cast("long").alias("prefix"))
+    at = goal.where("budget > 0").select("_key", "budget", F.lit(0).cast("long").alias("below"), F.lit(0).cast("long").alias("prefix"))
     inside = slim
-    for level in range(HASH_BITS // LEVEL_BITS):
-        shift = HASH_BITS - LEVEL_BITS * (level + 1)
-        inside = inside.join(few(at.select("_key", "prefix")), "_key").where(F.shiftright("_hash", shift + LEVEL_BITS) == F.col("prefix")).select("_key", "_hash", "size")
-        inside = saved(inside, "bucket") if level else inside
+    for step in range(HASH_BITS // LEVEL_BITS):
+        shift = HASH_BITS - LEVEL_BITS * (step + 1)
+        inside = with_source(inside, at.select("_key", "prefix"), hot, cold).where(F.shiftright("_hash", shift + LEVEL_BITS) == F.col("prefix")).select("_key", "_hash", "size")
+        inside = saved(inside, "bucket") if step else inside
         sums = inside.groupBy("_key", F.shiftright("_hash", shift).alias("bucket")).agg(F.sum("size").alias("n"))
         upto = Window.partitionBy("_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-        sums = sums.join(few(at.select("_key", "budget", "below")), "_key").withColumn("upto", F.col("below") + F.sum("n").over(upto)).where("upto >= budget")
+        sums = sums.join(at.select("_key", "budget", "below"), "_key").withColumn("upto", F.col("below") + F.sum("n").over(upto)).where("upto >= budget")
         at = saved(sums.groupBy("_key").agg(F.min(F.struct("bucket", "upto", "n", "budget")).alias("m")).select("_key", "m.budget", (F.col("m.upto") - F.col("m.n")).alias("below"), F.col("m.bucket").alias("prefix"), F.col("m.n").alias("n")), "threshold")
     nearest = (2 * F.col("below") + F.col("n") <= 2 * F.col("budget")).cast("long")
-    goal = goal.drop("below").join(at.select("_key", (F.col("prefix") + nearest).alias("threshold")), "_key", "left")
+    goal = goal.join(at.select("_key", (F.col("prefix") + nearest).alias("threshold")), "_key", "left")
     taken = F.col("whole") + F.coalesce((F.col("_hash") < F.col("threshold")).cast("int"), F.lit(0))
-    return sized.join(few(goal), "_key").select(*docs.columns, "size", "source_size", "target", taken.alias("times"))
+    return with_source(sized, goal, hot, cold).select(*docs.columns, "size", "source_size", "target", taken.alias("times"))
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

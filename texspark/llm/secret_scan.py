@@ -30,12 +30,15 @@ _ASSIGN = re.compile(rf"""(?:{_KEYWORD})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----([A-Za-z0-9+/=\s\\]*)-----END \1-----")
-_JWT = re.compile(r"eyJ[A-Za-z0-9_-]*\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+#: A token begins where no other of its characters stands before, but for an escape.
+_JWT = re.compile(r"(?:(?<![A-Za-z0-9_-])|(?<=\\[nrt]))(?=(eyJ[A-Za-z0-9_-]*+\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+))")
 #: DER starts with 0x30, whose base64 starts with M; the length keeps the next letter among A to P. Letters and digits before it belong to another run, but not those of an escape.
 _DER = re.compile(r"M[A-P](?:(?<![A-Za-z0-9]..)|(?<=\\[nrt]..))")
 _HEX_DER = re.compile(r"30(?<![0-9a-f]..)(?=[\s\\:]*[0-9A-Fa-f])|30(?<=\\[nrt]..)")
 #: What a bare key is written in, and what may stand between two lines or bytes of it.
 _BASE64_RUN, _BASE64_GAP = re.compile(r"[A-Za-z0-9+/_-]+"), re.compile(r"(?:\\[nrt]|[\s\\])+")
+#: Bytes of a key at most: RSA keys of 16,384 bits take about 9,400.
+MAX_KEY = 1 << 14
 _HEX_RUN, _HEX_GAP = re.compile(r"[0-9A-Fa-f]+"), re.compile(r"(?:\\[nrt]|[\s\\:])+")
 
 
@@ -110,11 +113,12 @@ def taken(text: str, at: int, n: int, run: re.Pattern, gap: re.Pattern) -> tuple
 
 
 def der_size(head: bytes) -> int | None:
-    """Bytes of the sequence that begins with `head`; None if no key does."""
+    """Bytes of the sequence that begins with `head`; None if no key of up to MAX_KEY does."""
     wide = head[1] & 0x7F if head[1] >= 0x80 else 0
     if head[0] != 0x30 or wide > 4 or head[1] == 0x80 or head[2 + wide] not in (0x02, 0x30):
         return None
-    return 2 + wide + (int.from_bytes(head[2 : 2 + wide], "big") if wide else head[1])
+    size = 2 + wide + (int.from_bytes(head[2 : 2 + wide], "big") if wide else head[1])
+    return size if size <= MAX_KEY else None
 
 
 def base64_key_end(text: str, start: int) -> int | None:
@@ -153,7 +157,11 @@ def spans_of(text: str) -> list[tuple[int, int, str]]:
     blocks = [m.span() for m in _PEM.finditer(text) if is_key_block(m[1], m[2])] if "-----BEGIN " in text else []
     found += [(a, b, "pem") for a, b in blocks]
     if "eyJ" in text:
-        found += [(m.start(), m.end(), "jwt") for m in _JWT.finditer(text) if is_signed_token(m.group())]
+        at = 0
+        for m in _JWT.finditer(text):
+            if m.start() >= at and is_signed_token(m[1]):
+                at = m.end(1)
+                found.append((m.start(), at, "jwt"))
     at = 0
     keys = [(m.start(), base64_key_end) for m in _DER.finditer(text)] + [(m.start(), hex_key_end) for m in _HEX_DER.finditer(text)]
     for start, key_end in sorted(keys, key=lambda x: x[0]):  # a key holds sequences that look like keys, and a key block holds its key
@@ -169,6 +177,7 @@ def scan(docs: DataFrame) -> DataFrame:
     Returns docs with spans, an array of (start, end, kind) in code points (end exclusive),
     by start and then by kind. Null and empty texts have none; repeated rows are scanned
     once each; an empty table gives no rows. A column of docs named spans is replaced.
+    The time a text takes grows with its length; each text is held whole by a task.
     """
     docs = docs.drop("spans")
 

@@ -11,7 +11,9 @@ same payload one keeps it, and the others are revisit records that refer to it.
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
+import io
 import re
 import uuid
 import zlib
@@ -94,26 +96,76 @@ def records(row: dict) -> Iterator[bytes]:
             yield record("continuation", f"{name}:{number}", piece, Segment_Origin_ID=f"<{name}>", Segment_Number=number, **last)
 
 
-def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The records of an archive: header fields in lower case, and blocks."""
-    at = 0
-    while at < len(data):
-        head = data.index(_END, at)
-        first, *lines = data[at:head].decode().split("\r\n")
-        if not first.startswith("WARC/"):
+class Inflated(io.RawIOBase):
+    """The bytes of gzip members, one after the other; `whole` tells whether they came to their end."""
+
+    def __init__(self, content: bytes):
+        self.content, self.at, self.member, self.held, self.broken = memoryview(content), 0, None, b"", False
+
+    def readable(self) -> bool:
+        return True
+
+    @property
+    def whole(self) -> bool:
+        return not self.broken and self.member is None
+
+    def readinto(self, out) -> int:
+        while not self.held and not self.broken and self.at < len(self.content):
+            self.member = self.member or zlib.decompressobj(31)
+            chunk = self.content[self.at : self.at + (1 << 16)]
+            try:
+                self.held = self.member.decompress(chunk)
+            except zlib.error:
+                self.broken = True
+                break
+            self.at += len(chunk) - len(self.member.unused_data)
+            if self.member.eof:
+                self.member = None
+        n = min(len(out), len(self.held))
+        out[:n], self.held = self.held[:n], self.held[n:]
+        return n
+
+
+def parsed(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The records of an archive (plain, or gzip of any number of members): header fields in lower case, and blocks.
+
+    Lines may end without a carriage return, fields may lack the blank after the colon
+    or go on in the next line. Raises ValueError where an archive is damaged.
+    """
+    members = Inflated(content) if content[:2] == b"\x1f\x8b" else None
+    file = io.BufferedReader(members, 1 << 18) if members else io.BytesIO(content)
+    while first := file.readline():
+        if not first.strip():  # the line ends after a record
+            continue
+        if not first.startswith(b"WARC/"):
             raise ValueError("no WARC record here")
-        fields = {k.lower(): v for k, v in (line.split(": ", 1) for line in lines)}
-        begin = head + 4
-        end = begin + int(fields["content-length"])
-        if data[end : end + 4] != _END:
+        fields, name = {}, ""
+        while (line := file.readline()).strip():
+            if line[:1] in b" \t" and name:
+                fields[name] += " " + line.strip().decode("utf-8", "replace")
+                continue
+            name, colon, value = line.decode("utf-8", "replace").partition(":")
+            if not colon:
+                raise ValueError("a header line has no field")
+            name = name.strip().lower()
+            fields[name] = value.strip()
+        size = int(fields["content-length"]) if "content-length" in fields else -1
+        block = file.read(max(size, 0))
+        if size < 0 or len(block) < size:
             raise ValueError("record is cut short")
-        yield fields, data[begin:end]
-        at = end + 4
+        yield fields, block
+    if members and not members.whole:
+        raise ValueError("archive is cut short")
 
 
-def payload_of(block: bytes) -> bytes:
-    head, _, body = block.partition(_END)
-    return dechunked(body) if b"\r\ntransfer-encoding: chunked" in head.lower() else body
+def payload_of(kind: str, block: bytes) -> bytes:
+    """The payload of a record's block: what follows the head of an HTTP response, or all of it; ValueError if it is broken."""
+    if kind != "response" or not block.startswith(b"HTTP/"):
+        return block
+    head, end, body = block.partition(_END)
+    if not end:
+        raise ValueError("the head does not end")
+    return dechunked(body) if re.search(rb"\r\ntransfer-encoding:[ \t]*chunked", head.lower()) else body
 
 
 def base32_digest(payload: bytes) -> str:
@@ -174,67 +226,95 @@ def write(pages: DataFrame, path: str, least: int = 0) -> DataFrame:
 
 
 def read(spark, path: str) -> DataFrame:
-    """The captures in a folder of WARC files: row, kind, refers_to, payload_bytes, digest (of the payload read, or of the one a revisit names), payload, whole.
-
-    whole is false if a capture lacks a segment or its length or framing is wrong; its
-    payload is null then. A folder without records gives no rows.
+    """The captures in a folder of WARC files (*.gz, *.warc), of any writer.
+
+    Returns record_id and refers_to (as in the header, without angle brackets), kind
+    (response, resource or revisit; other records are no captures), url, payload_bytes,
+    digest (of the payload read, or of the one a revisit names), payload and whole. whole
+    is false if a capture lacks a segment or its length or framing is wrong; its payload
+    is null then. An archive that is damaged gives a row with kind `damaged` after the
+    records that can be read. An archive is held whole by a task, and so is a payload. A
+    folder without records gives no rows; repeated records are rows of their own unless
+    they are segments.
     """
-    entry = "row long, kind string, refers_to long, payload_bytes long, digest string, number int, total long, block binary"
+    entry = "record_id string, kind string, refers_to string, url string, payload_bytes long, digest string, number int, total long, block binary"
+    arrow = pa.schema([("record_id", pa.string()), ("kind", pa.string()), ("refers_to", pa.string()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("digest", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("block", pa.binary())])
+    bare = lambda name: name.strip("<> ") if name else None
+
+    def row_of(fields: dict[str, str], block: bytes) -> dict | None:
+        kind = fields.get("warc-type", "").lower()
+        if kind not in ("response", "resource", "revisit", "continuation"):
+            return None
+        name = bare(fields.get("warc-segment-origin-id") if kind == "continuation" else fields.get("warc-record-id"))
+        row = {"record_id": name, "kind": None if kind == "continuation" else kind, "refers_to": bare(fields.get("warc-refers-to")), "url": fields.get("warc-target-uri"), "payload_bytes": None, "digest": None, "number": int(fields.get("warc-segment-number", 0)), "total": int(fields["warc-segment-total-length"]) if "warc-segment-total-length" in fields else None, "block": block}
+        if kind == "revisit":
+            length = re.search(rb"(?i)\r\ncontent-length:[ \t]*(\d+)", block)
+            row |= {"payload_bytes": int(length[1]) if length else None, "digest": fields.get("warc-payload-digest", "").removeprefix("sha1:") or None}
+        return row
 
     def records_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = lambda text: int(re.search(r"urn:page:(\d+)", text)[1])
         for batch in batches:
             for content in batch.column("content"):
                 rows, held = [], 0
-                for fields, block in parsed(zlib.decompress(content.as_py(), 31)):
-                    kind = fields["warc-type"]
-                    row = {"row": number(fields.get("warc-segment-origin-id") or fields["warc-record-id"]), "kind": None if kind == "continuation" else kind, "refers_to": None, "payload_bytes": None, "digest": None, "number": int(fields.get("warc-segment-number", 0)), "total": int(fields["warc-segment-total-length"]) if "warc-segment-total-length" in fields else None, "block": block}
-                    if kind == "revisit":
-                        row |= {"refers_to": number(fields["warc-refers-to"]), "payload_bytes": int(re.search(rb"Content-Length: (\d+)", block)[1]), "digest": fields["warc-payload-digest"].removeprefix("sha1:")}
-                    rows.append(row)
-                    held += len(block)
-                    if held > 4 << 20:
-                        yield pa.RecordBatch.from_pylist(rows, schema=arrow)
-                        rows, held = [], 0
+                try:
+                    for fields, block in parsed(content.as_py()):
+                        if row := row_of(fields, block):
+                            rows.append(row)
+                            held += len(block)
+                        if held > 4 << 20:
+                            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                            rows, held = [], 0
+                except ValueError:
+                    rows.append(dict.fromkeys(arrow.names) | {"kind": "damaged", "number": 0})
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    arrow = pa.schema([("row", pa.int64()), ("kind", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("digest", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("block", pa.binary())])
-    entries = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").mapInArrow(records_of, entry)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{gz,warc}").load(path)
+    entries = files.select("content").mapInArrow(records_of, entry)
 
     # Records that are cut: the segments of an origin, in order, if none is missing and their lengths make the total.
-    parts = entries.where("number > 0").groupBy("row").agg(F.max("kind").alias("kind"), F.max("total").alias("total"), F.count("*").alias("n"), F.max("number").alias("last"), F.sum(F.length("block")).alias("length"), F.sort_array(F.collect_list(F.struct("number", "block"))).alias("segments"))
+    parts = entries.where("number > 0").groupBy("record_id").agg(F.max("kind").alias("kind"), F.max("url").alias("url"), F.max("total").alias("total"), F.count("*").alias("n"), F.max("number").alias("last"), F.sum(F.length("block")).alias("length"), F.sort_array(F.collect_list(F.struct("number", "block"))).alias("segments"))
     sound = F.expr("kind is not null and n = last and length <=> total")
-    joined = parts.select("row", "kind", F.when(sound, F.array_join(F.transform("segments", lambda s: F.hex(s.block)), "")).alias("hex")).select("row", "kind", F.unhex("hex").alias("block"))
-    both = entries.where("number = 0").select("row", "kind", "refers_to", "payload_bytes", "digest", "block").unionByName(joined.select("row", "kind", F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("long").alias("payload_bytes"), F.lit(None).cast("string").alias("digest"), "block"))
+    joined = parts.select("record_id", "kind", "url", F.when(sound, F.array_join(F.transform("segments", lambda s: F.hex(s.block)), "")).alias("hex")).withColumn("block", F.unhex("hex"))
+    none = [F.lit(None).cast(kind).alias(name) for name, kind in (("refers_to", "string"), ("payload_bytes", "long"), ("digest", "string"))]
+    columns = ["record_id", "kind", "refers_to", "url", "payload_bytes", "digest", "block"]
+    both = entries.where("number = 0").select(*columns).unionByName(joined.select("record_id", "kind", "url", "block", *none))
 
     def captures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             payloads, sizes, digests, whole = [], [], [], []
-            for row in batch.to_pylist():
-                payload, ok = None, True
-                if row["kind"] != "revisit":
-                    try:
-                        payload = payload_of(row["block"]) if row["block"] is not None else None
-                    except ValueError:
-                        payload = None
-                    ok = payload is not None
+            for i in range(batch.num_rows):
+                kind, block, payload = batch.column("kind")[i].as_py(), batch.column("block")[i].as_py(), None
+                if kind not in ("revisit", "damaged") and block is not None:
+                    with contextlib.suppress(ValueError):
+                        payload = payload_of(kind, block)
                 payloads.append(payload)
-                sizes.append(len(payload) if payload is not None else row["payload_bytes"])
-                digests.append(base32_digest(payload) if payload is not None else row["digest"])
-                whole.append(ok)
-            yield pa.record_batch({"row": batch.column("row"), "kind": batch.column("kind"), "refers_to": batch.column("refers_to"), "payload_bytes": pa.array(sizes, pa.int64()), "digest": pa.array(digests, pa.string()), "payload": pa.array(payloads, pa.binary()), "whole": pa.array(whole, pa.bool_())})
+                sizes.append(len(payload) if payload is not None else batch.column("payload_bytes")[i].as_py())
+                digests.append(base32_digest(payload) if payload is not None else batch.column("digest")[i].as_py())
+                whole.append(kind == "revisit" or payload is not None)
+            yield pa.record_batch({**{c: batch.column(c) for c in ("record_id", "kind", "refers_to", "url")}, "payload_bytes": pa.array(sizes, pa.int64()), "digest": pa.array(digests, pa.string()), "payload": pa.array(payloads, pa.binary()), "whole": pa.array(whole, pa.bool_())})
 
-    return both.mapInArrow(captures, "row long, kind string, refers_to long, payload_bytes long, digest string, payload binary, whole boolean")
+    return both.mapInArrow(captures, "record_id string, kind string, refers_to string, url string, payload_bytes long, digest string, payload binary, whole boolean")
 
 
 def op6_warc(spark, sf_dir: str) -> DataFrame:
-    """Every page written to archives in the shared folder and read back."""
+    """Every page written to archives in the shared folder and read back; a capture that is not whole is an error."""
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     rows = write(table(spark, sf_dir, "pages"), path)
-    captures = read(spark, path).where("whole").select("row", "kind", "refers_to", "payload_bytes", "digest")
+    number = lambda name: F.regexp_extract(name, r"^urn:page:(\d+)$", 1).cast("long")
+    captures = read(spark, path).select(number("record_id").alias("row"), F.when(F.col("whole"), F.col("kind")).otherwise(F.raise_error(F.lit("a capture was not read back whole"))).alias("kind"), number("refers_to").alias("refers_to"), "payload_bytes", "digest")
     named = captures.join(rows, "row")
     response = rows.select(F.col("row").alias("refers_to"), F.col("page_id").alias("refers_page"))
     revisits = named.where("kind = 'revisit'").join(response, "refers_to")
     out = revisits.select("page_id", "payload_bytes", "digest", "kind", "refers_page").unionByName(named.where("kind <> 'revisit'").select("page_id", "payload_bytes", "digest", "kind", F.lit(None).cast("long").alias("refers_page")))
     return out.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), F.col("refers_page").alias("refers_to"))
+
+
+def oracle() -> str:
+    """The columns and rows of op6_warc in DuckDB, where page ids are distinct."""
+    return """
+WITH pages_ AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+named AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, hex, max(page_id) OVER (PARTITION BY hex) AS response,
+  list_transform(range(8), lambda i: ('0x' || substr(hex, (5 * i + 1)::INT, 5))::BIGINT) AS fifths FROM pages_)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((fifths[(i // 4 + 1)::INT] >> (15 - 5 * (i % 4))::INT) & 31) + 1)::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> response THEN response END AS refers_to FROM named"""
