@@ -1,9 +1,11 @@
 """The corpus pipeline: documents (doc_id, text, lang, source, n_chars) to packed sequences.
 
-Each stage takes what the one before kept, and its decisions take effect:
+Each stage takes what the one before kept, and its decisions take effect. All take null
+ids, texts and sources, empty texts, repeated rows and empty tables, as their operators
+state; a stage reads the columns of documents only, and all but the last return them.
 
 1. language ID learns from the documents that are not held out and rejects texts
-   without a language, or with none that makes up half of them;
+   without a letter, or with no language that makes up a third of them;
 2. the n-gram Jaccard join keeps one document of each near-duplicate component, that
    with the smallest doc_id (of texts that share it, the one with the smallest hash);
 3. the secret scan replaces secrets by a mark;
@@ -26,10 +28,15 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents with a language that makes up half of the text; lang is filled in where it is null."""
+    """Keep documents with a language that makes up a third of the text; lang is filled in where it is null.
+
+    If no row names a language, nothing is learned and all documents stay.
+    """
     docs = docs.select(*COLUMNS)
-    model = language_id.trained(language_id.held_out(docs).where("not held_out"))
-    judged = language_id.identify(docs, *model).where("lang_pred <> 'und' and score >= 0.5")
+    languages, model = language_id.trained(language_id.held_out(docs).where("not held_out"))
+    if not languages:
+        return docs
+    judged = language_id.identify(docs, languages, model).where("lang_pred <> 'und' and score >= 1 / 3")
     return judged.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
