@@ -6,6 +6,7 @@ their rows by fixed recipes; every query runs over the whole of its table.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ from texspark.functions.expressions import apply, duckdb, to_bytes
 from texspark.functions.palettes import LAYOUTS
 from texspark.functions.pixels import PACK, UNPACK
 from texspark.operators import bc6h, decode, encode, metrics, mips, search, surfaces
+from texspark.plans import oracles
 from texspark.sources import containers
 
 #: Words of a synthetic block from the keys k and c of an order, by their place in the layouts.
@@ -50,9 +52,14 @@ def _blocks(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _keys(spark, sf_dir).select("k", F.concat(*parts).alias("block"))
 
 
+def _wide_words() -> list[tuple[str, int]]:
+    """The words after the first byte of a 16-byte block, and their bytes."""
+    return [(WORDS[w], n) for w, n in (("b0", 1), ("aw", 6), ("bw", 6), ("c0", 2))]
+
+
 def _wide_blocks(spark: SparkSession, sf_dir: str, first: str) -> DataFrame:
     """16-byte blocks whose first byte comes from an expression."""
-    rest = [to_bytes(F.expr(WORDS[w]), n) for w, n in (("b0", 1), ("aw", 6), ("bw", 6), ("c0", 2))]
+    rest = [to_bytes(F.expr(text), n) for text, n in _wide_words()]
     return _keys(spark, sf_dir).select("k", F.concat(to_bytes(F.expr(first), 1), *rest).alias("block"))
 
 
@@ -131,8 +138,27 @@ def _block_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells(spark, sf_dir).groupBy(*_CELL).agg(*(f(ch).cast("int").alias(f"{n}_{ch}") for ch in "rgba" for n, f in (("least", F.min), ("most", F.max))))
 
 
+def _raster(wide: int, high: int, left: str = "0") -> str:
+    """SQL of the RGBA bytes of part of an order's surface, from its keys k and c; no texel is a row."""
+    at = {"x": f"(p % {wide} + {left})", "y": f"(p div {wide})"}
+    pixel = " || ".join(f"lpad(hex({re.sub('[xy]', lambda m: at[m[0]], text)}), 2, '0')" for text in CHANNELS.values())
+    return f"unhex(array_join(transform(sequence(0, {wide * high - 1}), p -> {pixel}), ''))"
+
+
+def _rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders' surfaces as RGBA payloads."""
+    return _keys(spark, sf_dir).selectExpr("k AS texture_id", "0 AS face", "0 AS mip", f"{WIDE} AS width", f"{HIGH} AS height", f"{_raster(WIDE, HIGH)} AS payload", "'RGBA8' AS format")
+
+
+def _block_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows (texture_id, bx, by, width, height, rgba) of the 4x4 blocks of the orders' surfaces."""
+    rows = _keys(spark, sf_dir).withColumn("bx", F.explode(F.sequence(F.lit(0), F.lit(WIDE // 4 - 1))))
+    return rows.selectExpr("k AS texture_id", "bx", "0 AS by", "4 AS width", "4 AS height", f"{_raster(4, HIGH, 'bx * 4')} AS rgba")
+
+
 def _encoded(name: str) -> Query:
-    return lambda spark, sf_dir: encode.encode_blocks(_cells(spark, sf_dir), name, _CELL).select(*_CELL, F.hex("block").alias("block"))
+    """Blocks at the fastest level; a row is a block, and no row is shuffled."""
+    return lambda spark, sf_dir: search.encode_surfaces(_block_rasters(spark, sf_dir), name, 1).select(*_CELL, F.hex("payload").alias("block"))
 
 
 def _searched(name: str, level: int) -> Query:
@@ -164,7 +190,7 @@ def _hdr(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PSNR of the fastest BC1 encoding of all surfaces, by the key's last digit."""
     cells = _cells(spark, sf_dir)
-    again = decode.decode_blocks(encode.encode_blocks(cells, "BC1", _CELL), "BC1")
+    again = decode.decode_blocks(search.encode_surfaces(_block_rasters(spark, sf_dir), "BC1", 1).select(*_CELL, F.col("payload").alias("block")), "BC1")
     group = (F.col("texture_id") % 10).alias("group")
     pairs = [df.select(group, *_CELL, "t", "r", "g", "b") for df in (cells, again)]
     return metrics.psnr(*pairs, ["group"], [*_CELL, "t"]).select("group", F.round("psnr", 4).alias("psnr"))
@@ -174,8 +200,7 @@ def _round_trip(container: str) -> Query:
     """Texels written to containers as RGBA and parsed again."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rasters = surfaces.rasters(_texels(spark, sf_dir)).withColumnRenamed("rgba", "payload").withColumn("format", F.lit("RGBA8"))
-        files = containers.build_files(rasters, container).select(F.col("texture_id").cast("string").alias("path"), "content")
+        files = containers.build_files(_rasters(spark, sf_dir), container).select(F.col("texture_id").cast("string").alias("path"), "content")
         parsed = containers.parse_files(files, strict=True).withColumn("texture_id", F.col("path").cast("long"))
         return decode.unpack_pixels(surfaces.to_pixels(parsed, "RGBA8"), "RGBA8").select("texture_id", "x", "y", "r", "g", "b", "a")
 
@@ -184,8 +209,7 @@ def _round_trip(container: str) -> Query:
 
 def _headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes read from the headers of DDS files of the orders' surfaces."""
-    rasters = surfaces.rasters(_texels(spark, sf_dir)).withColumnRenamed("rgba", "payload").withColumn("format", F.lit("RGBA8"))
-    files = containers.build_files(rasters, "dds")
+    files = containers.build_files(_rasters(spark, sf_dir), "dds")
     return containers.header_of(files).select("texture_id", "container", "width", "height", F.length("content").cast("long").alias("bytes"))
 
 
@@ -212,7 +236,11 @@ def oracle_sql() -> dict[str, str]:
     out = {"bc1_decode": f"SELECT k, {sums} FROM ({_decoded_sql('BC1')}) GROUP BY k"}
     out |= {f"{name.lower()}_texels": _decoded_sql(name) for name in LAYOUTS}
     out |= {f"unpack_{name.lower()}": _unpacked_sql(name) for name in UNPACK} | {f"pack_{name.lower()}": _packed_sql(name) for name in PACK}
-    out |= {"mip_linear": _half_sql(False), "mip_srgb": _half_sql(True), "block_boxes": _BOXES_SQL}
+    out |= {"mip_linear": _half_sql(False), "mip_srgb": _half_sql(True), "block_boxes": _BOXES_SQL, "psnr_bc1": oracles.psnr_bc1(_texels_sql())}
+    out |= {f"encode_{name.lower()}": oracles.encoded(name, _texels_sql()) for name in LAYOUTS}
+    keys = f"(SELECT {KEYS} FROM orders)"
+    out["bc7_texels"] = oracles.bc7_texels(keys, [("1 << (k % 8)::INT", 1), *_wide_words()])
+    out |= {f"{name.lower()}_texels": oracles.bc6h_texels(keys, [("k % 32", 1), *_wide_words()], name == "BC6HS") for name in ("BC6HU", "BC6HS")}
     out["half_values"] = f"SELECT k, h, value FROM {duckdb(f'(SELECT k, (k * 40503 + c * 31) % 31744 + 32768 * (c % 2) AS h FROM (SELECT {KEYS} FROM orders))', _HALVES)}"
     out["dds_headers"] = f"SELECT CAST(o_orderkey AS BIGINT) AS texture_id, 'dds' AS container, CAST({WIDE} AS INT) AS width, CAST({HIGH} AS INT) AS height, CAST({128 + WIDE * HIGH * 4} AS BIGINT) AS bytes FROM orders"
     return out | {f"{kind}_round_trip": _TEXELS_OUT for kind in ("dds", "ktx")}
