@@ -17,21 +17,27 @@ def image(spark: SparkSession, name: str, width: int = 64, height: int = 64) ->
     return at.select(F.lit(0).alias("texture_id"), F.lit(0).alias("face"), F.lit(0).alias("mip"), F.lit(width).alias("width"), F.lit(height).alias("height"), "x", "y", *channels)
 
 
-def generated_blocks(seed: int = 0x4D595DF4) -> dict[str, list[bytes]]:
+# The generator, blocks and bytes of each format, and the codes that BC6H blocks begin with.
+SEED, FACTOR, SUMMAND = 0x4D595DF4, 1664525, 1013904223
+COUNTS = [("BC1", 24, 8), ("BC2", 24, 16), ("BC3", 24, 16), ("BC4", 24, 8), ("BC5", 24, 16), ("BC6H", 38, 16), ("BC7", 32, 16)]
+BC6H_CODES = (0, 1, 2, 6, 10, 14, 18, 22, 26, 30, 3, 7, 11, 15)
+
+
+def generated_blocks(seed: int = SEED) -> dict[str, list[bytes]]:
     """Blocks of each format: zeros, ones, two ramps, a checker, then bytes of one linear congruential generator."""
     state = seed
 
     def byte() -> int:
         nonlocal state
-        state = (state * 1664525 + 1013904223) % (1 << 32)
+        state = (state * FACTOR + SUMMAND) % (1 << 32)
         return state >> 24
 
     out = {}
-    for name, count, size in (("BC1", 24, 8), ("BC2", 24, 16), ("BC3", 24, 16), ("BC4", 24, 8), ("BC5", 24, 16), ("BC6H", 38, 16), ("BC7", 32, 16)):
+    for name, count, size in COUNTS:
         plain = [bytes(size), b"\xff" * size, bytes(range(size)), bytes(255 - k for k in range(size)), b"\xaa\x55" * (size // 2)]
         blocks = [bytearray(plain[i]) if i < 5 else bytearray(byte() for _ in range(size)) for i in range(count)]
         if name == "BC6H":
-            for block, code in zip(blocks, (0, 1, 2, 6, 10, 14, 18, 22, 26, 30, 3, 7, 11, 15), strict=False):
+            for block, code in zip(blocks, BC6H_CODES, strict=False):
                 block[0] = code
         if name == "BC7":
             for i in range(8):

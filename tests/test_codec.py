@@ -9,7 +9,7 @@ from texspark.functions import halves
 from texspark.functions.expressions import apply
 from texspark.functions.pixels import UNPACK
 from texspark.operators import bc6h, bptc, decode, encode, metrics, mips, search, surfaces
-from texspark.plans import fixtures
+import fixtures
 
 # SHA-256 of the decoded blocks of fixtures.generated_blocks.
 DECODED = {

@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from texspark.operators import metrics, search, surfaces
-from texspark.plans import fixtures, textures
+import fixtures
+from texspark.plans import textures
 from texspark.sources import containers
 
 

@@ -14,10 +14,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from texspark.operators.bptc import BC6H_DIRECT, BC6H_MODES, WEIGHTS, bc6h_fields, decode_bc6h, partitions, unquantised
 from texspark.operators.search import encode_many, least_squares
+from texspark.operators.surfaces import block_rasters, encoded_by_block
 
 # Partitions tried by quality level, and the order of the modes with two subsets.
 TRIES = {1: 0, 2: 4, 3: 4, 4: 8, 5: 8, 6: 8, 7: 8, 8: 32, 9: 32, 10: 32}
@@ -239,3 +241,24 @@ def encode_hdr_surfaces(surfaces: DataFrame, signed: bool, level: int = 6) -> Da
 
     schema = StructType([*(surfaces.schema[c] for c in keep), *StructType.fromDDL("format string, payload binary").fields])
     return surfaces.select(*keep, "rgb16").mapInArrow(run, schema)
+
+
+def with_halves(texels: DataFrame) -> DataFrame:
+    """texels with rgb16, the half-float bits of r, g, b (floats; null counts as 0) in little-endian order, instead of them."""
+    keep = [c for c in texels.columns if c not in ("r", "g", "b", "rgb16")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = np.stack([batch.column(c).cast(pa.float32()).fill_null(0).to_numpy(zero_copy_only=False) for c in "rgb"], axis=1)
+            raw = pa.py_buffer(to_half(values).astype("<u2").tobytes())
+            rgb16 = pa.FixedSizeBinaryArray.from_buffers(pa.binary(6), batch.num_rows, [None, raw]).cast(pa.binary())
+            yield pa.record_batch({c: batch.column(c) for c in keep} | {"rgb16": rgb16})
+
+    schema = StructType([*(texels.schema[c] for c in keep), *StructType.fromDDL("rgb16 binary").fields])
+    return texels.select(*keep, "r", "g", "b").mapInArrow(run, schema)
+
+
+def encode_hdr_texels(texels: DataFrame, signed: bool, level: int = 6) -> DataFrame:
+    """Surfaces (texture_id, face, mip, width, height, format, payload) of texel rows with r, g, b as floats; one shuffle by 4x4 block."""
+    blocks = block_rasters(with_halves(texels), "rgb16", F.col("rgb16"))
+    return encoded_by_block(blocks, lambda some: encode_hdr_surfaces(some, signed, level)).withColumn("format", F.lit("BC6HS" if signed else "BC6HU"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from texspark.formats import format_of
+from texspark.functions import halves
 from texspark.functions.expressions import apply, little_endian
 from texspark.functions.palettes import LAYOUTS
 from texspark.functions.pixels import UNPACK
@@ -39,6 +40,12 @@ def decode_blocks(blocks: DataFrame, fmt: str, column: str = "block") -> DataFra
     return apply(rows, steps).select(*keep, "t", *(F.col(c).cast("int").alias(c) for c in "rgba"))
 
 
+def decode_floats(blocks: DataFrame, fmt: str, column: str = "block") -> DataFrame:
+    """BC6H blocks with sixteen rows for each: t and r, g, b as doubles."""
+    texels = decode_blocks(blocks, fmt, column)
+    return texels.select(*(c for c in texels.columns if c not in ("r16", "g16", "b16")), *(F.expr(halves.to_double(f"{c}16")).alias(c) for c in "rgb"))
+
+
 def _vectorised(blocks: DataFrame, name: str, column: str, keep: list[str]) -> DataFrame:
     from texspark.operators import bptc
 

@@ -338,7 +338,7 @@ def encode_array(blocks: np.ndarray, fmt: str, level: int | Level = 6, threshold
     """Encoded bytes (n, block size) of blocks (n, 16, 4) of bytes.
 
     level: 1 to 10 (others count as the nearest), or what to search; BC7 takes only the
-    former. weights: of red, green and blue in colour errors, but not when BC2 picks its
+    former. threshold: alpha below it is transparent in BC1 (0 counts as 128). weights: of red, green and blue in colour errors, but not when BC2 picks its
     indices, nor in BC7.
     """
     name = format_of(fmt).name
@@ -347,7 +347,7 @@ def encode_array(blocks: np.ndarray, fmt: str, level: int | Level = 6, threshold
     channel = lambda c, **more: alpha_block(blocks[:, :, c], search.alpha_tries, search.rounds, **more)
     signed = lambda c: alpha_block(to_snorm(blocks[:, :, c]), search.alpha_tries, 0, signed=True)
     if name == "BC1":
-        colors = Colors(blocks, threshold, own)
+        colors = Colors(blocks, threshold or 128, own)
         return color_block(colors, *colors.ordered(*color_ends(colors, search)))
     if name in ("BC2", "BC3"):
         colors = Colors(blocks, None, own)

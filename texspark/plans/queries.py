@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from texspark.formats import format_of
+from texspark.formats import FORMATS, format_of, level_size, mip_count
 from texspark.functions import halves
 from texspark.functions.expressions import apply, duckdb, to_bytes
 from texspark.functions.palettes import LAYOUTS
@@ -207,6 +207,76 @@ def _round_trip(container: str) -> Query:
     return run
 
 
+def _formats(container: str) -> list[str]:
+    """Formats that the container holds and that keep every byte."""
+    return [n for n, f in FORMATS.items() if n != "BGRX8" and (container == "dds" or f.ktx)]
+
+
+def _container_formats(container: str) -> Query:
+    """4x4 surfaces of all formats, one face or six, written to containers and parsed again."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        names = _formats(container)
+        sizes = [level_size(FORMATS[n], 4, 4) for n in names]
+        pick = lambda kind, values: f"element_at(array({', '.join(f'{v!r}' for v in values)}), CAST(k % {len(names)} AS INT) + 1) AS {kind}"
+        rows = _keys(spark, sf_dir).selectExpr("k AS texture_id", pick("format", names), pick("size", sizes), f"{_raster(WIDE, HIGH)} AS raster", "explode(sequence(0, CASE WHEN k % 4 = 0 THEN 5 ELSE 0 END)) AS face")
+        found = rows.selectExpr("texture_id", "format", "face", "0 AS mip", "4 AS width", "4 AS height", "substring(raster, 1 + face, size) AS payload")
+        files = containers.build_files(found, container).select(F.col("texture_id").cast("string").alias("path"), "content")
+        parsed = containers.parse_files(files, strict=True)
+        return parsed.select(F.col("path").cast("long").alias("texture_id"), "format", "n_faces", "n_mips", "face", "width", "height", F.hex("payload").alias("payload"))
+
+    return run
+
+
+def _container_formats_sql(container: str) -> str:
+    names = _formats(container)
+    sizes = [level_size(FORMATS[n], 4, 4) for n in names]
+    pixel = " || ".join(f"printf('%02X', {text})" for text in CHANNELS.values())
+    raster = f"(SELECT texture_id, string_agg({pixel}, '' ORDER BY y, x) AS raster FROM (SELECT k AS texture_id, k, c, p % {WIDE} AS x, p // {WIDE} AS y FROM (SELECT {KEYS} FROM orders), range({WIDE * HIGH}) r(p)) GROUP BY texture_id)"
+    rows = f"(SELECT *, {names!r}[texture_id % {len(names)} + 1] AS format, {sizes!r}[texture_id % {len(names)} + 1] AS size, CASE WHEN texture_id % 4 = 0 THEN 6 ELSE 1 END AS n_faces FROM {raster})"
+    return f"SELECT texture_id, format, n_faces::INT AS n_faces, 1::INT AS n_mips, f::INT AS face, 4::INT AS width, 4::INT AS height, substr(raster, (1 + 2 * f)::INT, (2 * size)::INT) AS payload FROM {rows}, range(6) r(f) WHERE f < n_faces"
+
+
+def _chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full mip chain of the orders' surfaces."""
+    return mips.mip_chain(_texels(spark, sf_dir), 0).select("texture_id", "mip", "width", "height", "x", "y", "r", "g", "b", "a")
+
+
+def _chain_sql() -> str:
+    below = f"(SELECT texture_id, 0 AS mip, {WIDE} AS width, {HIGH} AS height, x, y, r, g, b, a FROM {_texels_sql()})"
+    levels = [below]
+    while len(levels) < mip_count(WIDE, HIGH):
+        colors = ", ".join(f"CAST((sum({c} * CASE WHEN width = 1 THEN 2 ELSE 1 END * CASE WHEN height = 1 THEN 2 ELSE 1 END) + 2) // 4 AS INT) AS {c}" for c in "rgba")
+        below = f"(SELECT texture_id, mip + 1 AS mip, greatest(1, width // 2) AS width, greatest(1, height // 2) AS height, x // 2 AS x, y // 2 AS y, {colors} FROM {below} GROUP BY ALL)"
+        levels.append(below)
+    return " UNION ALL ".join(f"SELECT texture_id, mip::INT AS mip, width::INT AS width, height::INT AS height, x::INT AS x, y::INT AS y, r, g, b, a FROM {level}" for level in levels)
+
+
+def _floats(name: str) -> Query:
+    return lambda spark, sf_dir: decode.decode_floats(_wide_blocks(spark, sf_dir, "k % 32"), name)
+
+
+def _header_rows(container: str) -> Query:
+    """Fields of the headers of the orders' surfaces."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        files = containers.build_files(_rasters(spark, sf_dir).withColumn("format", F.expr("CASE WHEN texture_id % 2 = 0 THEN 'RGBA8' ELSE 'RGB10A2' END")), container)
+        return containers.dds_headers(files) if container == "dds" else containers.ktx_headers(files)
+
+    return run
+
+
+def _header_rows_sql(container: str) -> str:
+    """The same fields by the published layouts: RGBA8 by masks or GL codes, RGB10A2 by DXGI code 24 or its GL codes."""
+    even = lambda a, b: f"CASE WHEN texture_id % 2 = 0 THEN {a} ELSE {b} END"
+    if container == "ktx":
+        values = {"endianness": 0x04030201, "gl_type": even(0x1401, 0x8368), "type_size": even(1, 4), "gl_format": 0x1908, "gl_internal_format": even(0x8058, 0x8059), "gl_base_format": 0x1908, "width": WIDE, "height": HIGH, "depth": 0, "array_elements": 0, "faces": 1, "mips": 1, "key_value_bytes": 0}
+    else:
+        values = {"flags": 0x100F, "height": HIGH, "width": WIDE, "pitch": 4 * WIDE, "depth": 1, "mips": 1, "pixel_flags": even(0x41, 0x4), "fourcc": even(0, 0x30315844), "bits": even(32, 0), "r_mask": even(0xFF, 0), "g_mask": even(0xFF00, 0), "b_mask": even(0xFF0000, 0), "a_mask": even(0xFF000000, 0), "caps": 0x1000, "caps2": 0}
+        values |= {"dxgi": even("NULL", 24), "dimension": even("NULL", 3), "misc": even("NULL", 0), "array_size": even("NULL", 1), "misc2": even("NULL", 0)}
+    return "SELECT texture_id, " + ", ".join(f"CAST({v} AS BIGINT) AS {n}" for n, v in values.items()) + " FROM (SELECT CAST(o_orderkey AS BIGINT) AS texture_id FROM orders)"
+
+
 def _headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes read from the headers of DDS files of the orders' surfaces."""
     files = containers.build_files(_rasters(spark, sf_dir), "dds")
@@ -228,7 +298,10 @@ def queries() -> dict[str, Query]:
     out |= {f"encode_{name.lower()}": _encoded(name) for name in LAYOUTS}
     out |= {"half_values": _half_values, "search_bc6h_level2": _hdr}
     out |= {"search_bc1_level2": _searched("BC1", 2), "search_bc3_level6": _searched("BC3", 6), "search_bc5_level6": _searched("BC5", 6), "search_bc7_level1": _searched("BC7", 1)}
-    return out | {f"{kind}_round_trip": _round_trip(kind) for kind in ("dds", "ktx")}
+    out |= {"mip_chain": _chain} | {f"{name.lower()}_floats": _floats(name) for name in ("BC6HU", "BC6HS")}
+    for kind in ("dds", "ktx"):
+        out |= {f"{kind}_round_trip": _round_trip(kind), f"{kind}_formats": _container_formats(kind), f"{kind}_header_rows": _header_rows(kind)}
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
@@ -243,4 +316,10 @@ def oracle_sql() -> dict[str, str]:
     out |= {f"{name.lower()}_texels": oracles.bc6h_texels(keys, [("k % 32", 1), *_wide_words()], name == "BC6HS") for name in ("BC6HU", "BC6HS")}
     out["half_values"] = f"SELECT k, h, value FROM {duckdb(f'(SELECT k, (k * 40503 + c * 31) % 31744 + 32768 * (c % 2) AS h FROM (SELECT {KEYS} FROM orders))', _HALVES)}"
     out["dds_headers"] = f"SELECT CAST(o_orderkey AS BIGINT) AS texture_id, 'dds' AS container, CAST({WIDE} AS INT) AS width, CAST({HIGH} AS INT) AS height, CAST({128 + WIDE * HIGH * 4} AS BIGINT) AS bytes FROM orders"
-    return out | {f"{kind}_round_trip": _TEXELS_OUT for kind in ("dds", "ktx")}
+    out["mip_chain"] = _chain_sql()
+    for name in ("BC6HU", "BC6HS"):
+        floats = [{c: halves.to_double(f"{c}16") for c in "rgb"}]
+        out[f"{name.lower()}_floats"] = f"SELECT k, t, r, g, b FROM {duckdb('(' + out[f'{name.lower()}_texels'] + ')', floats)}"
+    for kind in ("dds", "ktx"):
+        out |= {f"{kind}_round_trip": _TEXELS_OUT, f"{kind}_formats": _container_formats_sql(kind), f"{kind}_header_rows": _header_rows_sql(kind)}
+    return out

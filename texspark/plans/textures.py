@@ -9,22 +9,23 @@ from pyspark.sql import functions as F
 
 from texspark.formats import FORMATS, format_of
 from texspark.functions.expressions import to_bytes
-from texspark.operators import decode, encode, mips, search, surfaces
+from texspark.operators import bc6h, decode, encode, mips, search, surfaces
 from texspark.sources import containers
 
 TEXELS = [*surfaces.SURFACE, "x", "y", "r", "g", "b", "a"]
 
 
-def encode_textures(texels: DataFrame, fmt: str, container: str = "dds", level: int = 6, mipmaps: int = 1, srgb: bool = False, threshold: int = 128) -> DataFrame:
+def encode_textures(texels: DataFrame, fmt: str, container: str = "dds", level: int = 6, mipmaps: int = 1, srgb: bool = False, threshold: int = 128, weights: tuple[float, float, float] | None = None) -> DataFrame:
     """Containers (texture_id, content) of texture images.
 
     texels: TEXELS of level 0, of one or six faces a texture with equal sizes. mipmaps:
-    levels in all, 0 for the full chain. BC6H takes half floats, so it is encoded by
-    texspark.operators.bc6h instead.
+    levels in all, 0 for the full chain. level (1 to 10, or a search.Level that says what
+    is searched), threshold and weights: as in search.encode_array. BC6H takes floats, so
+    encode_hdr_textures() encodes it.
     """
     chain = texels.select(*TEXELS) if mipmaps == 1 else mips.mip_chain(texels.select(*TEXELS), mipmaps, srgb)
     if format_of(fmt).compressed:
-        encoded = search.encode_texels(chain, fmt, level, threshold)
+        encoded = search.encode_texels(chain, fmt, level, threshold, weights)
     else:
         size = format_of(fmt).size
         packed = encode.pack_pixels(chain, format_of(fmt).name)
@@ -33,11 +34,25 @@ def encode_textures(texels: DataFrame, fmt: str, container: str = "dds", level:
     return containers.build_files(encoded, container)
 
 
+def encode_hdr_textures(texels: DataFrame, signed: bool, container: str = "dds", level: int = 6) -> DataFrame:
+    """Containers (texture_id, content) of BC6H textures, from texels with r, g, b as floats and any mip levels."""
+    return containers.build_files(bc6h.encode_hdr_texels(texels, signed, level), container)
+
+
+def decode_hdr_textures(found: DataFrame) -> DataFrame:
+    """Texels (path, format, face, mip, width, height, x, y, and r, g, b as doubles) of the BC6H surfaces of parsed files."""
+    wanted, parts = found.where("error is null").withColumnRenamed("path", "texture_id"), []
+    for name in ("BC6HU", "BC6HS"):
+        blocks = surfaces.to_blocks(wanted.where(F.col("format") == name), name)
+        texels = surfaces.placed(decode.decode_floats(blocks, name))
+        parts.append(texels.select(F.col("texture_id").alias("path"), F.lit(name).alias("format"), *TEXELS[1:-1]))
+    return parts[0].unionByName(parts[1])
+
+
 def decode_textures(found: DataFrame, every_level: bool = False, formats: list[str] | None = None) -> DataFrame:
     """Texels (path, format, face, mip, width, height, x, y, r, g, b, a) of parsed surfaces: the first face and level, or all.
 
-    BC6H surfaces and rows with an error are left out; BC6H has half floats, which
-    texspark.operators.decode gives. formats: those that occur; if not told, they are
+    BC6H surfaces and rows with an error are left out; decode_hdr_textures() gives BC6H. formats: those that occur; if not told, they are
     looked up (24 names at most). One narrow branch for each, none is shuffled.
     """
     wanted = found.where("error is null") if every_level else found.where("error is null and face = 0 and mip = 0")

@@ -9,13 +9,16 @@ gives one row with its error instead (or fails the query, if asked).
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from texspark.formats import FORMATS, Format, format_of, level_size
+from texspark.functions.expressions import little_endian
 
 SURFACES = "path string, container string, format string, n_faces int, n_mips int, is_srgb boolean, face int, mip int, width int, height int, payload binary, error string"
 #: Largest side and level count that a header may claim.
@@ -261,10 +264,56 @@ def build_files(surfaces: DataFrame, container: str) -> DataFrame:
 
 def header_of(files: DataFrame) -> DataFrame:
     """files with container, width and height, from the first bytes of content alone, as column expressions."""
-    from texspark.functions.expressions import little_endian
-
     head = F.substring(F.col("content"), 1, 64)
     is_ktx = F.hex(F.substring(head, 1, 12)) == KTX_MAGIC.hex().upper()
     is_dds = F.hex(F.substring(head, 1, 4)) == DDS_MAGIC.hex().upper()
     pick = lambda ktx, dds: F.when(is_ktx, little_endian(head, ktx, 4)).when(is_dds, little_endian(head, dds, 4)).cast("int")
     return files.select("*", F.when(is_ktx, "ktx").when(is_dds, "dds").alias("container"), pick(36, 16).alias("width"), pick(40, 12).alias("height"))
+
+
+#: Fields of the headers and their places: 32-bit little-endian words.
+DDS_FIELDS = {"flags": 8, "height": 12, "width": 16, "pitch": 20, "depth": 24, "mips": 28, "pixel_flags": 80, "fourcc": 84, "bits": 88, "r_mask": 92, "g_mask": 96, "b_mask": 100, "a_mask": 104, "caps": 108, "caps2": 112}
+DX10_FIELDS = {"dxgi": 128, "dimension": 132, "misc": 136, "array_size": 140, "misc2": 144}
+KTX_FIELDS = {"endianness": 12, "gl_type": 16, "type_size": 20, "gl_format": 24, "gl_internal_format": 28, "gl_base_format": 32, "width": 36, "height": 40, "depth": 44, "array_elements": 48, "faces": 52, "mips": 56, "key_value_bytes": 60}
+
+
+def dds_headers(files: DataFrame) -> DataFrame:
+    """files of DDS kind with the fields of their headers, those of the DX10 header (null without one) among them, as column expressions; content is dropped."""
+    head = F.substring(F.col("content"), 1, 148)
+    found = files.where(F.hex(F.substring(head, 1, 4)) == DDS_MAGIC.hex().upper())
+    more = F.col("fourcc") == struct.unpack("<I", b"DX10")[0]
+    fields = {n: little_endian(head, at, 4) for n, at in {**DDS_FIELDS, **DX10_FIELDS}.items()}
+    return found.withColumns(fields).withColumns({n: F.when(more, F.col(n)) for n in DX10_FIELDS}).drop("content")
+
+
+def ktx_headers(files: DataFrame) -> DataFrame:
+    """files of KTX v1 kind with the fields of their headers, as column expressions; content is dropped."""
+    head = F.substring(F.col("content"), 1, 64)
+    found = files.where(F.hex(F.substring(head, 1, 12)) == KTX_MAGIC.hex().upper())
+    return found.withColumns({n: little_endian(head, at, 4) for n, at in KTX_FIELDS.items()}).drop("content")
+
+
+def write_files(files: DataFrame, uri: str) -> tuple[int, int]:
+    """Write files (path, relative and without `..`; content) below a folder that driver and executors share; how many, and their bytes.
+
+    Tasks write to a name of their own and move it into place, so a task that runs again
+    does no harm. Equal paths overwrite each other; null content writes an empty file.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = pafs.FileSystem.from_uri(uri)
+        for batch in batches:
+            sizes = []
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                if not path or path.startswith("/") or ".." in path.split("/"):
+                    raise ContainerError(f"no relative path: {path}")
+                target, data = f"{base}/{path}", content.as_py() or b""
+                store.create_dir(target.rpartition("/")[0], recursive=True)
+                with store.open_output_stream(part := f"{target}.{uuid.uuid4().hex}") as f:
+                    f.write(data)
+                store.move(part, target)
+                sizes.append(len(data))
+            yield pa.record_batch({"bytes": pa.array(sizes, pa.int64())})
+
+    row = files.select("path", "content").mapInArrow(write, "bytes long").agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    return row.n, row.bytes
