@@ -113,7 +113,7 @@ def toxic_content(seen: list[Counter], n: list[int], rows: list[list[bytes]]) ->
     def telling(word: bytes, a: int) -> bool:
         b = seen[0][word]
         e = (a + b) * share
-        return len(word) >= 3 and a > TIMES * b * n[1] / n[0] and 2 * (a * math.log(a / e) + (b * math.log(b / (a + b - e)) if b else 0)) > RATIO
+        return a > TIMES * b * n[1] / n[0] and 2 * (a * math.log(a / e) + (b * math.log(b / (a + b - e)) if b else 0)) > RATIO
 
     toxic_words = {w for w, a in seen[1].items() if telling(w, a)}
     return trained_content([b" " + w + b" " for words in rows for w in words if w in toxic_words] * 4, DICTIONARY)
@@ -138,8 +138,9 @@ def learned(rows: pa.Table) -> dict:
     for kind in (0, 1):
         fold[y == kind] = np.arange((y == kind).sum()) % FOLDS
     seen, n = [[Counter() for _ in range(FOLDS)] for _ in range(2)], np.zeros((2, FOLDS), dtype=int)
+    candidates = {w for words, kind in zip(held, y.tolist(), strict=True) if kind for w in words if len(w) >= 3}  # only these are counted
     for words, kind, f in zip(held, y.tolist(), fold.tolist(), strict=True):
-        seen[kind][f].update(set(words))
+        seen[kind][f].update(candidates.intersection(words))
         n[kind, f] += 1
     total = [sum(parts, Counter()) for parts in seen]
     ordinary = ordinary_content([words for words, kind in zip(held, y.tolist(), strict=True) if not kind])
@@ -183,7 +184,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
     Null and empty texts are scored as texts without words. A model of rows of one kind
     only scores everything by that kind's share. Repeated rows are scored once each; an
-    empty table gives no rows. Columns of docs named like the new ones are replaced.
+    empty table gives no rows. A text is held whole by a task. Columns of docs named like the new ones are replaced.
     """
     docs = docs.drop("score", "predicted")
     sent = docs.sparkSession.sparkContext.broadcast(model)
