@@ -8,6 +8,7 @@ import re
 import time
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -75,6 +76,16 @@ def test_quality_statistics(docs):
     assert got.where("posterior is null or posterior < 0 or posterior > 1").count() == 0
 
 
+def test_quality_as_by_sql(spark, docs, tmp_path):
+    docs[1].withColumnRenamed("n", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(quality.oracle()).fetchall()
+    got = [tuple(r) for r in quality.op7_quality(spark, str(tmp_path)).collect()]
+    assert by_row(r[:-1] for r in got) == by_row(r[:-1] for r in want)
+    assert sorted(r[-1] for r in got) == pytest.approx(sorted(r[-1] for r in want), abs=2e-6)
+
+
 def test_posteriors_as_by_a_plain_version():
     """Expectation-maximisation over the votes of single documents gives what it gives over counts of patterns."""
     rng = random.Random(2)

@@ -117,3 +117,30 @@ def op7_quality(spark, sf_dir: str) -> DataFrame:
     judged = judge(table(spark, sf_dir, "documents"))
     failed = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("posterior") >= 0.5)).alias("kept"), F.round("posterior", 6).alias("posterior"))
+
+
+def oracle() -> str:
+    """The columns and rows of op7_quality in DuckDB."""
+    rules = list(enumerate(RULES.values(), 1))
+    votes = ", ".join(f"CASE WHEN {against} THEN -1 WHEN {favour or 'false'} THEN 1 ELSE 0 END" for _, (against, favour) in rules)
+    p = "1 / (1 + exp(-(ln(share / (1 - share))" + "".join(f" + CASE votes[{k}] WHEN 1 THEN ln(good[{k}] / (1 - bad[{k}])) WHEN -1 THEN ln((1 - good[{k}]) / bad[{k}]) ELSE 0 END" for k, _ in rules) + ")))"
+
+    def accuracies(kind: int, of: str, right: str) -> str:
+        """How often each rule is right about documents that are of the kind with probability `of`."""
+        seen = [("true" if favour is None else f"votes[{k}] <> 0") for k, (_, favour) in rules]
+        return ", ".join(f"least({MOST}, greatest({LEAST[kind]}, ({WEIGHT * START[kind]} + coalesce(sum(n * {of}) FILTER ({s} AND votes[{k}] {right}), 0)) / ({WEIGHT} + coalesce(sum(n * {of}) FILTER ({s}), 0))))::DOUBLE" for (k, _), s in zip(rules, seen, strict=True))
+
+    return rf"""
+WITH RECURSIVE words AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (SELECT r, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' '))) AS gram FROM words),
+again AS (SELECT r, i FROM grams QUALIFY count(*) OVER (PARTITION BY r, gram) > 1),
+covered AS (SELECT r, count(DISTINCT i + k) AS n FROM again, range(3) three(k) GROUP BY r),
+lines AS (SELECT r, count(*) AS n, count(DISTINCT line) AS n_distinct FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM words) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+counts AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(regexp_extract_all(t, '[A-Z]'))::BIGINT AS n_capitals,
+  len(regexp_extract_all(t, '!'))::BIGINT AS n_marks, coalesce(lines.n, 0)::BIGINT AS n_lines, coalesce(lines.n - lines.n_distinct, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words FROM words LEFT JOIN lines USING (r) LEFT JOIN covered USING (r)),
+voted AS (SELECT *, [{votes}] AS votes FROM counts),
+patterns AS MATERIALIZED (SELECT votes, count(*) AS n FROM voted GROUP BY votes),
+model AS (SELECT 0 AS round, 0.8::DOUBLE AS share, [{", ".join([f"{START[0]}::DOUBLE"] * len(rules))}] AS good, [{", ".join([f"{START[1]}::DOUBLE"] * len(rules))}] AS bad
+  UNION ALL SELECT round + 1, least(0.95, greatest(0.05, sum(n * p) / sum(n)))::DOUBLE, [{accuracies(0, "p", ">= 0")}], [{accuracies(1, "(1 - p)", "< 0")}] FROM (SELECT round, votes, n, {p} AS p FROM model, patterns WHERE round < 50) GROUP BY round),
+judged AS (SELECT voted.*, {p} AS p, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM voted, model WHERE round = 50)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND p >= 0.5 AS kept, round(p, 6) AS posterior FROM judged"""

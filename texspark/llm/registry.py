@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": licenses.oracle(), "op4_top_k": top_k.oracle(), "op5_near_duplicates": near_duplicates.oracle(), "op6_warc": warc.oracle(), "op9_mixing": mixing.oracle()}
+    return {"op2_license_scan": licenses.oracle(), "op4_top_k": top_k.oracle(), "op5_near_duplicates": near_duplicates.oracle(), "op6_warc": warc.oracle(), "op7_quality": quality.oracle(), "op9_mixing": mixing.oracle()}
