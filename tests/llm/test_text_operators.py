@@ -316,6 +316,14 @@ def test_toxicity_on_held_out_rows(spark, docs):
     assert {(r.score, r.predicted) for r in toxicity.score(docs[1], none).collect()} == {(0.0, 0)}
 
 
+def test_toxicity_learns_repeated_rows_once(spark):
+    rows = [(i, f"some plain words number {i} here" + (" vile grub" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(60)] + [(None, "plain", 1), (61, None, 0)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    once, again = toxicity.train(docs, labels), toxicity.train(docs.union(docs).repartition(3), labels.union(labels))
+    assert once.keys() == again.keys() and all(np.array_equal(once[k], again[k]) for k in once) and "weights" in once
+    assert toxicity.train(docs, labels, sample_bytes=64)["rate"] == 0
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     assert licenses.scan(none).collect() == [] and quality.judge(none).collect() == [] and secret_scan.scan(none).collect() == []

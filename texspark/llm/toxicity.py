@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from texspark.llm.common import extended, id_crc, table, text_slices
+from texspark.llm.common import dropped, extended, id_crc, saved, table, text_slices
 from texspark.llm.shingles import hashed, word_spans
 
 #: Labelled rows to learn from and their bytes, at most (about; rows are chosen by hash); ordinary snippets of ten words that a dictionary is trained on.
@@ -169,14 +169,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes
     """A model from documents (doc_id, text) and labels (doc_id, toxic).
 
     Learns from about `sample` rows and `sample_bytes` bytes at most, chosen by hash; texts
-    of more than a sixty-fourth of the bytes are not learned from.
+    of more than a sixty-fourth of the bytes are not learned from. Repeated rows count
+    once. Rows are chosen by their ids and the texts' hashes and lengths, so only chosen
+    texts leave their tasks.
     """
     known = labels.where("doc_id is not null and toxic is not null").select("doc_id", "toxic")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= sample_bytes // 64).join(known, "doc_id")
-    size = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    texts = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    slim = texts.select("doc_id", "key", F.octet_length("text").alias("bytes")).where(F.col("bytes") <= sample_bytes // 64)
+    rows = saved(slim.distinct().join(known.distinct(), "doc_id"), "labelled-rows")
+    size = rows.agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).first()
     share = min(1.0, sample / max(1, size.n), sample_bytes / max(1, size.bytes or 0))
-    rows = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < share * (1 << 20))
-    return learned(rows.select("text", "toxic").toArrow())
+    chosen = rows.where(F.pmod(F.xxhash64("doc_id", "key"), F.lit(1 << 20)) < share * (1 << 20)).select("doc_id", "key", "toxic")
+    found = texts.join(F.broadcast(chosen), ["doc_id", "key"]).groupBy("doc_id", "key", "toxic").agg(F.first("text").alias("text")).toArrow()
+    dropped(rows)
+    return learned(found.sort_by([("doc_id", "ascending"), ("key", "ascending"), ("toxic", "ascending")]).select(["text", "toxic"]))
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
