@@ -4,8 +4,9 @@ Each language has a character trigram model, trained from a bounded sample of ro
 known language. A word's likelihood under a language is that of its trigrams; a
 document's language shares are those that make its words most likely, found by
 expectation-maximisation. From all languages down to one, the least language is dropped
-and the shares are found again; the set kept is the one with the best likelihood after a
-penalty for each language (the Bayesian information criterion).
+(and with it those that account for no word) and the shares are found again; the set kept
+is the one with the best likelihood after a penalty for each language (the Bayesian
+information criterion).
 """
 
 from __future__ import annotations
@@ -27,6 +28,10 @@ SAMPLE = 4000
 #: Languages that are learned, at most: those with most rows (a megabyte of model each).
 LANGUAGES = 64
 ROUNDS = 12
+#: A text's shares stand still if none moves by more in a round.
+STILL = 1e-7
+#: A language that accounts for fewer words than this is dropped with the least one: it adds less to the likelihood than its penalty.
+FAINT = 1e-3
 _CELLS = CLASSES**3
 
 
@@ -90,6 +95,27 @@ def trained(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarra
     return languages, np.log(likely).reshape(len(languages), _CELLS).T.astype(np.float32).copy()
 
 
+def settled(likely: np.ndarray, active: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Shares (language, text) of the active languages after ROUNDS rounds; a text whose shares stand still needs no more of them."""
+    pi = active / active.sum(axis=0)
+    out, left = pi.copy(), np.arange(len(sizes))
+    rows, owner = np.cumsum(sizes) - sizes, np.repeat(left, sizes)
+    for _ in range(ROUNDS):
+        joint = likely * pi[:, owner]
+        joint /= joint.sum(axis=0)
+        new = np.where(active, np.maximum(np.add.reduceat(joint, rows, axis=1) / sizes, 1e-9), 0)
+        new /= new.sum(axis=0)
+        out[:, left] = new
+        moving = np.abs(new - pi).max(axis=0) > STILL
+        pi = new
+        if not moving.any():
+            break
+        if 2 * sizes[moving].sum() < sizes.sum():
+            likely, active, pi, left, sizes = likely[:, moving[owner]], active[:, moving], pi[:, moving], left[moving], sizes[moving]
+            rows, owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
+    return out
+
+
 def mixtures(texts: list[str], model: np.ndarray) -> np.ndarray:
     """Each text's language shares (rows sum to 1; all 0 without a letter)."""
     n_lang = model.shape[1]
@@ -99,25 +125,22 @@ def mixtures(texts: list[str], model: np.ndarray) -> np.ndarray:
     some = np.flatnonzero(sizes)
     if not len(some) or not n_lang:
         return shares
-    logs = np.add.reduceat(model[grams], words, axis=0).astype(np.float64)
-    logs -= logs.max(axis=1, keepdims=True)
+    logs = np.add.reduceat(model[grams], words, axis=0).T.astype(np.float64, order="C")
+    logs -= logs.max(axis=0)
     likely = np.exp(np.maximum(logs, -30))  # of each word, against its best language
-    rows, owner, n = begins[some], np.repeat(np.arange(len(some)), sizes[some]), sizes[some].astype(float)
-    active = np.ones((len(some), n_lang), dtype=bool)
-    best, best_score = np.zeros((len(some), n_lang)), np.full(len(some), -np.inf)
-    for k in range(n_lang, 0, -1):
-        pi = active / k
-        for _ in range(ROUNDS if k > 1 else 1):
-            joint = likely * pi[owner]
-            joint /= joint.sum(axis=1, keepdims=True)
-            pi = np.add.reduceat(joint, rows, axis=0) / n[:, None]
-            pi = np.where(active, np.maximum(pi, 1e-9), 0)
-            pi /= pi.sum(axis=1, keepdims=True)
-        fit = np.add.reduceat(np.log((likely * pi[owner]).sum(axis=1)), rows) - 0.5 * (k - 1) * np.log(n + 1)
-        better = fit > best_score
-        best[better], best_score[better] = pi[better], fit[better]
-        active[np.arange(len(some)), np.where(active, pi, np.inf).argmin(axis=1)] = False
-    shares[some] = best
+    left, sizes = some, sizes[some]
+    active, best_score = np.ones((n_lang, len(some)), dtype=bool), np.full(len(texts), -np.inf)
+    while len(left):
+        pi = settled(likely, active, sizes)
+        owner = np.repeat(np.arange(len(left)), sizes)
+        fit = np.add.reduceat(np.log((likely * pi[:, owner]).sum(axis=0)), np.cumsum(sizes) - sizes) - 0.5 * (active.sum(axis=0) - 1) * np.log(sizes + 1.0)
+        better = fit > best_score[left]
+        shares[left[better]], best_score[left[better]] = pi[:, better].T, fit[better]
+        active[np.where(active, pi, np.inf).argmin(axis=0), np.arange(len(left))] = False
+        active &= pi * sizes >= FAINT
+        more = active.any(axis=0)
+        if not more.all():
+            likely, active, left, sizes = likely[:, more[owner]], active[:, more], left[more], sizes[more]
     return shares
 
 
