@@ -121,8 +121,9 @@ def _half_sql(srgb: bool) -> str:
     if srgb:
         linear = "[" + ", ".join(f"{mips.to_linear(v)!r}::DOUBLE" for v in range(256)) + "]"
         back = "[" + ", ".join(str(mips.from_linear(k)) for k in range(mips.SRGB_STEPS)) + "]"
-        colors = ", ".join(f"CAST(b_[1 + CAST(floor(sum(l_[{ch} + 1]) * 0.25 * {mips.SRGB_STEPS - 1} + 0.5) AS INT)] AS INT) AS {ch}" for ch in "rgb")
-        return f"SELECT texture_id, x // 2 AS x, y // 2 AS y, {colors}, {alpha} FROM {_texels_sql()}, (SELECT {linear} AS l_, {back} AS b_) GROUP BY texture_id, x // 2, y // 2, b_"
+        steps = ", ".join(f"CAST(floor(sum({linear}[{ch} + 1]) * 0.25 * {mips.SRGB_STEPS - 1} + 0.5) AS INT) AS {ch}" for ch in "rgb")
+        sums = f"SELECT texture_id, x // 2 AS x, y // 2 AS y, {steps}, {alpha} FROM {_texels_sql()} GROUP BY texture_id, x // 2, y // 2"
+        return f"SELECT texture_id, x, y, {', '.join(f'CAST({back}[{ch} + 1] AS INT) AS {ch}' for ch in 'rgb')}, a FROM ({sums})"
     colors = ", ".join(f"CAST((sum({ch}) + 2) // 4 AS INT) AS {ch}" for ch in "rgb")
     return f"SELECT texture_id, x // 2 AS x, y // 2 AS y, {colors}, {alpha} FROM {_texels_sql()} GROUP BY texture_id, x // 2, y // 2"
 
