@@ -260,31 +260,53 @@ def test_language_mixtures(spark, docs):
     assert nothing[0] == [] and {r.lang_pred for r in language_id.identify(docs[1], *nothing).collect()} == {"und"}
 
 
+def plain_mixture(text, model):
+    """Expectation-maximisation and the penalised choice of languages, word by word, one language dropped at a time."""
+    classes, n_lang = language_id.letter_classes(), model.shape[1]
+    likely = []
+    for word in re.findall(r"[^\W\d_]+", text.lower()):
+        c = [0, *(int(classes[ord(x)]) for x in word), 0]
+        logs = np.sum([model[(c[i] * 64 + c[i + 1]) * 64 + c[i + 2]].astype(float) for i in range(len(word))], axis=0)
+        likely.append(np.exp(np.maximum(logs - logs.max(), -30)))
+    active, best = set(range(n_lang)), (-np.inf, None)
+    while active:
+        pi = np.array([1 / len(active) if k in active else 0.0 for k in range(n_lang)])
+        for _ in range(language_id.ROUNDS if len(active) > 1 else 1):
+            pi = np.mean([w * pi / (w * pi).sum() for w in likely], axis=0)
+            pi = np.array([max(p, 1e-9) if k in active else 0.0 for k, p in enumerate(pi)])
+            pi /= pi.sum()
+        fit = sum(math.log((w * pi).sum()) for w in likely) - 0.5 * (len(active) - 1) * math.log(len(likely) + 1)
+        best = max(best, (fit, pi.tolist()))
+        active.remove(min(active, key=lambda k: pi[k]))
+    return best[1]
+
+
 def test_mixtures_as_by_a_plain_version(spark):
-    """Expectation-maximisation and the penalised choice of languages, word by word."""
     rng = random.Random(8)
     french = "le chat et le chien étaient assis avec cette chose là pendant que nous pensions à ceci"
     rows = [(i, prose(rng, t, 60), lang) for i in range(60) for lang, t in (("en", ENGLISH), ("de", GERMAN), ("fr", french))]
     languages, model = language_id.trained(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    classes = language_id.letter_classes()
     texts = [prose(rng, ENGLISH, 25) + " " + prose(rng, french, rng.randrange(30)) + " 12-ab" for _ in range(12)]
     for text, got in zip(texts, language_id.mixtures(texts, model), strict=True):
-        likely = []
-        for word in re.findall(r"[^\W\d_]+", text.lower()):
-            c = [0, *(int(classes[ord(x)]) for x in word), 0]
-            logs = np.sum([model[(c[i] * 64 + c[i + 1]) * 64 + c[i + 2]].astype(float) for i in range(len(word))], axis=0)
-            likely.append(np.exp(np.maximum(logs - logs.max(), -30)))
-        active, best = set(range(len(languages))), (-np.inf, None)
-        while active:
-            pi = np.array([1 / len(active) if k in active else 0.0 for k in range(len(languages))])
-            for _ in range(language_id.ROUNDS if len(active) > 1 else 1):
-                pi = np.mean([w * pi / (w * pi).sum() for w in likely], axis=0)
-                pi = np.array([max(p, 1e-9) if k in active else 0.0 for k, p in enumerate(pi)])
-                pi /= pi.sum()
-            fit = sum(math.log((w * pi).sum()) for w in likely) - 0.5 * (len(active) - 1) * math.log(len(likely) + 1)
-            best = max(best, (fit, pi.tolist()))
-            active.remove(min(active, key=lambda k: pi[k]))
-        assert got == pytest.approx(best[1], abs=1e-6)
+        assert got == pytest.approx(plain_mixture(text, model), abs=1e-6)
+
+
+def test_mixtures_of_many_languages():
+    """Ten languages whose letters differ by weight: texts of one, two and three of them, and of words that fit several."""
+    rng = np.random.default_rng(5)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    weights = rng.dirichlet(np.full(26, 0.4), size=10) * 0.97 + 0.03 / 26
+    of_class = np.full((64, 10), 1e-3)
+    of_class[1:27] = weights.T
+    model = np.tile(np.log(of_class), (64 * 64, 1)).astype(np.float32)  # the last letter of a trigram counts
+    word = lambda k: "".join(rng.choice(letters, size=rng.integers(2, 7), p=weights[k]))
+    texts = [" ".join(word(k) for k in rng.choice(rng.choice(10, size=n_lang, replace=False), size=n)) for n_lang in (1, 1, 2, 3) for n in (1, 4, 30, 120)]
+    chosen = set()
+    for text, got in zip(texts, language_id.mixtures(texts, model), strict=True):
+        want = np.array(plain_mixture(text, model))
+        assert got == pytest.approx(want, abs=1e-5)
+        chosen.add(int((want > 1e-3).sum()))
+    assert chosen >= {1, 2}
 
 
 def test_few_languages_are_learned(spark, monkeypatch):
