@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from texspark.formats import mip_count
@@ -26,6 +27,11 @@ def from_linear(step: int) -> int:
     return int((12.92 * c if c <= 0.0031308 else 1.055 * c ** (1 / 2.4) - 0.055) * 255 + 0.5)
 
 
+def _table(values: Iterable[str]) -> Column:
+    """An array of literals, as one expression."""
+    return F.expr(f"array({', '.join(values)})")
+
+
 def downscaled(texels: DataFrame, srgb: bool = False) -> DataFrame:
     """The next level of texels (texture_id, face, mip, width, height, x, y, r, g, b, a).
 
@@ -37,8 +43,7 @@ def downscaled(texels: DataFrame, srgb: bool = False) -> DataFrame:
     weight = F.expr("CASE WHEN width = 1 THEN 2 ELSE 1 END * CASE WHEN height = 1 THEN 2 ELSE 1 END")
     values = {c: F.col(c).cast("double") for c in "rgb"}
     if srgb:
-        table = F.array(*(F.lit(to_linear(v)) for v in range(256)))
-        inside = inside.withColumn("_linear", table)
+        inside = inside.withColumn("_linear", _table(f"{to_linear(v)!r}D" for v in range(256)))
         values = {c: F.get("_linear", F.col(c)) for c in "rgb"}
     keys = [*KEYS, (F.col("mip") + 1).alias("mip"), F.expr("greatest(1, width div 2)").cast("int").alias("width"), F.expr("greatest(1, height div 2)").cast("int").alias("height"), F.expr("x div 2").cast("int").alias("x"), F.expr("y div 2").cast("int").alias("y")]
     sums = inside.groupBy(*keys).agg(*(F.sum(values[c] * weight).alias(c) for c in "rgb"), F.sum(F.col("a") * weight).alias("a"))
@@ -46,7 +51,7 @@ def downscaled(texels: DataFrame, srgb: bool = False) -> DataFrame:
     names = [*KEYS, "mip", "width", "height", "x", "y"]
     if not srgb:
         return sums.select(*names, *(F.expr(f"CAST((CAST({c} AS BIGINT) + 2) >> 2 AS INT)").alias(c) for c in "rgb"), alpha)
-    back = F.array(*(F.lit(from_linear(k)) for k in range(SRGB_STEPS)))
+    back = _table(str(from_linear(k)) for k in range(SRGB_STEPS))
     step = lambda c: F.least(F.greatest(F.floor(F.col(c) * 0.25 * (SRGB_STEPS - 1) + 0.5).cast("int"), F.lit(0)), F.lit(SRGB_STEPS - 1))
     return sums.withColumn("_back", back).select(*names, *(F.get("_back", step(c)).alias(c) for c in "rgb"), alpha)
 
