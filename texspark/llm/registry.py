@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from texspark.llm import language_id, licenses, mixing, near_duplicates, packing, quality, secret_scan, top_k, toxicity, warc
+from texspark.llm import byte_bpe, language_id, licenses, mixing, near_duplicates, packing, quality, secret_scan, top_k, toxicity, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_secret_scan": secret_scan.op8_secret_scan,
         "op9_mixing": mixing.op9_mixing,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op12_byte_bpe": byte_bpe.op12_byte_bpe,
     }
 
 
