@@ -18,6 +18,7 @@ COLUMNS = {
     "op9_mixing": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
     "op10_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
     "op12_byte_bpe": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+    "op13_alignment": "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string",
 }
 TEXT = "Some words of a text under the MIT License with token = abcdef0123456789abcdef in it"
 DOCS = [(i, f"{TEXT} number {i} {'<|endoftext|>' if i % 5 == 0 else 'x'}", "en", f"s{i % 3}", 1) for i in range(40)] + [(40, None, None, None, None), (41, "", "de", "s1", 0), (None, "no id", None, "s1", 5), (7, TEXT, "en", None, 9), (7, TEXT, "en", None, 9)]

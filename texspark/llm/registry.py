@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from texspark.llm import byte_bpe, language_id, licenses, mixing, near_duplicates, packing, quality, secret_scan, top_k, toxicity, warc
+from texspark.llm import alignment, byte_bpe, language_id, licenses, mixing, near_duplicates, packing, quality, secret_scan, top_k, toxicity, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_mixing": mixing.op9_mixing,
         "op10_toxicity": toxicity.op10_toxicity,
         "op12_byte_bpe": byte_bpe.op12_byte_bpe,
+        "op13_alignment": alignment.op13_alignment,
     }
 
 
