@@ -59,23 +59,31 @@ def test_rows_are_those_of_the_plain_version(spark):
     assert [got[i] for i in range(len(texts))] == plain(texts)
 
 
-@pytest.mark.parametrize("memo", [1 << 18, 5])
-def test_words_are_aligned_as_in_their_text(monkeypatch, memo):
+@pytest.mark.parametrize(("memo", "joined"), [(1 << 18, 1 << 18), (5, 20)])
+def test_words_are_aligned_as_in_their_text(monkeypatch, memo, joined):
     monkeypatch.setattr(alignment, "MEMO", memo)
+    monkeypatch.setattr(alignment, "JOINED", joined)
     both = alignment.Aligner(*PATHS)
-    for text in [*texts_of(9, 1500), *texts_of(10, 300)]:
-        (found,) = both.words([text])
-        a, b = tokens(text)
-        assert (found is None) == (not a)
-        if found:
-            assert both.sizes[found[1]].sum(axis=0).tolist()[:2] == [len(a), len(b)], repr(text)
-
-
-def test_long_groups_count_each_pair():
+    one = lambda pairs: np.ones(len(pairs), np.int64)
+    texts = [*texts_of(9, 1200), "", None, *texts_of(10, 300)]
+    pairs, rows = alignment.Pairs(both), alignment.Alignments(both, one, np.ones(1 << 16, np.int64))
+    for k in range(0, len(texts), 50):
+        some = texts[k : k + 50]
+        for text, links, row in zip(some, pairs.of(some), rows.of(some), strict=True):
+            ((*want, n_best, count_sum, _),) = plain([text])
+            assert row[:4] == tuple(want) and row[5] == want[3], repr(text)
+            assert (len(links) == 0) == (row[3] == 0)
+
+
+def test_long_groups_count_each_pair(monkeypatch):
     both = alignment.Aligner(*PATHS)
-    both.groups = lambda text, b: [([1, 2, 1] * 40, [3, 4] * 40), ([1], [3])]
-    both.learn(["x"])
-    assert dict(zip(both.keys.tolist(), both.times.tolist(), strict=True)) == {1 << 32 | 3: 80 * 40 + 1, 1 << 32 | 4: 80 * 40, 2 << 32 | 3: 1600, 2 << 32 | 4: 1600}
+    words = ["Ünïcödé", "中文字" * 5, "plain", "x" * 50]
+    want = both.align(words, True)
+    monkeypatch.setattr(alignment, "LINKS", 1)
+    got = both.align(words, True)
+    assert got[0].tolist() == want[0].tolist() and got[4] == want[4]
+    links = lambda x: [Counter({p: sum(x[2][k] for k in range(lo, hi) if x[1][k] == p) for p in x[1][lo:hi].tolist()}) for lo, hi in zip([0, *x[3].tolist()], x[3].tolist(), strict=False)]
+    assert links(got) == links(want)
 
 
 def test_shards_hold_the_sums_in_order(spark, tmp_path):

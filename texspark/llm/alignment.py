@@ -32,12 +32,14 @@ from texspark.llm.common import extended, given_back, saved, shared_dir, table,
 from texspark.llm.packing import PATTERN, encoder
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Words that a worker remembers, bytes of text whose words are learned together, and pairs that it counts before it sorts them.
-MEMO, TOGETHER, PENDING = 1 << 18, 4 << 20, 1 << 22
+#: Words that a worker remembers, bytes of text whose words are learned together, bytes of words that are encoded together, and pairs that it counts before it sorts them.
+MEMO, TOGETHER, JOINED, PENDING = 1 << 18, 8 << 20, 1 << 18, 1 << 22
+#: Links of a group that are made one by one; of larger groups, distinct ids are paired and the links counted.
+LINKS = 1 << 16
 
 
 class Aligner:
-    """Two vocabularies, and for each known word: [A tokens, B tokens, groups, links], its groups as text, its pairs."""
+    """Two vocabularies."""
 
     def __init__(self, ranks_path: str, pattern: str, model_path: str):
         import sentencepiece
@@ -46,91 +48,69 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_file=model_path)
         self.a_bytes = {rank: token for token, rank in read_ranks(ranks_path).items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.b_bytes = dict(enumerate(bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)))
+        self.sizes = [np.array([len(x.get(i, b"")) for i in range(max(x) + 1)]) for x in (self.a_bytes, self.b_bytes)]
         self.cut = _CUT.split if not any(re.search("[^▁]▁", p) for p in pieces) else lambda text: [text]
-        self.forget()
 
-    def forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.sizes = np.zeros((0, 4), np.int64)
-        self.texts: list[str | None] = []
-        self.keys, self.times, self.ends = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def groups(self, text: str, b: list[int]) -> list[tuple[list[int], list[int]]] | None:
-        """The groups of a text that B has encoded, or None if the bytes differ."""
+    def align(self, words: list[str], spelled: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """For words in order: [A tokens, B tokens, groups, links] (zeros where the bytes differ); their pairs, how often each is linked, and where each word's end; their groups as text, if asked for."""
+        parts, held, size = [], [], 0
+        for word in words:
+            alone = word != word.strip() or not word
+            if held and (alone or size > JOINED):
+                parts.append(held)
+                held, size = [], 0
+            held.append(word)
+            size += len(word)
+            if alone:
+                parts.append(held)
+                held, size = [], 0
+        done = [x for part in [*parts, held] if part for x in self._joined(part, spelled)]
+        none = np.zeros(0, np.int64)
+        sizes, pairs, times, counts = (np.concatenate([x[k] for x in done]) if done else none.reshape(0, 4) if k == 0 else none for k in range(4))
+        return sizes, pairs, times, np.cumsum(counts), [t for x in done for t in x[4]]
+
+    def _joined(self, words: list[str], spelled: bool) -> list[tuple]:
+        """Words encoded as one text, which changes no id; in halves, if its bytes change on the way."""
+        text = " ".join(words)
         raw = f" {text}".encode()
-        a = np.frombuffer(self.a.ordinary(f" {text}"), self.a.dtype).tolist()
-        a_bytes, b_bytes = self.a_bytes, self.b_bytes
-        if b"".join([b_bytes[i] for i in b]) != raw or b"".join([a_bytes[i] for i in a]) != raw:
-            return None
-        out, i, j, from_i, from_j, ahead = [], 0, 0, 0, 0, 0
-        while i < len(a) or j < len(b):
-            if ahead <= 0:
-                ahead += len(a_bytes[a[i]])
-                i += 1
-            else:
-                ahead -= len(b_bytes[b[j]])
-                j += 1
-            if ahead == 0:
-                out.append((a[from_i:i], b[from_j:j]))
-                from_i, from_j = i, j
-        return out
-
-    def learn(self, words: list[str]) -> None:
-        sizes, keys, times, ends = [], [], [], []
-        end = len(self.keys)
-        for word, b in zip(words, self.b.encode(words, num_threads=1), strict=True):
-            found = self.groups(word, b)
-            self.index[word] = len(self.texts)
-            if found is None:
-                self.texts.append(None)
-                sizes.append((0, 0, 0, 0))
-                ends.append(end)
-                continue
-            pairs: dict[int, int] = {}
-            n_links = 0
-            for a, b_ids in found:
-                n_links += len(a) * len(b_ids)
-                if len(a) * len(b_ids) <= 4096:
-                    for x in a:
-                        for y in b_ids:
-                            key = x << 32 | y
-                            pairs[key] = pairs.get(key, 0) + 1
-                else:
-                    (xs, nx), (ys, ny) = (np.unique(np.array(ids, np.int64), return_counts=True) for ids in (a, b_ids))
-                    for x, k in zip(xs.tolist(), nx.tolist(), strict=True):
-                        for key, t in zip((x << 32 | ys).tolist(), (k * ny).tolist(), strict=True):
-                            pairs[key] = pairs.get(key, 0) + t
-            keys += pairs.keys()
-            times += pairs.values()
-            end += len(pairs)
-            ends.append(end)
-            sizes.append((sum(len(a) for a, _ in found), len(b), len(found), n_links))
-            self.texts.append(";".join([f"{','.join(map(str, a))}|{','.join(map(str, y))}" for a, y in found]))
-        if words:
-            self.sizes = np.concatenate([self.sizes, np.array(sizes, np.int64)])
-            self.keys, self.times, self.ends = (np.concatenate([old, np.array(new, np.int64)]) for old, new in ((self.keys, keys), (self.times, times), (self.ends, ends)))
-
-    def words(self, texts: list[str | None]) -> Iterator[tuple[list[str], np.ndarray] | None]:
-        """For each text its words and their numbers; None for one without tokens. Words that are new are learned first."""
-        met: set[str] = set()
-        for text in texts:
-            if text:
-                met.update(self.cut(text))
-        if len(self.index) > MEMO:
-            self.forget()
-        self.learn([w for w in met if w not in self.index])
-        for text in texts:
-            words = self.cut(text) if text else []
-            at = np.array([self.index[w] for w in words], np.int64)
-            yield None if not words or not self.sizes[at, 0].all() else (words, at)
-
-    def pairs_of(self, at: np.ndarray) -> np.ndarray:
-        """The distinct pairs of the words with these numbers."""
-        at = np.unique(at)
-        end = self.ends[at]
-        size = end - np.where(at > 0, self.ends[at - 1], 0)
-        return np.unique(self.keys[np.repeat(end - np.cumsum(size), size) + np.arange(size.sum())])
+        b = [] if "▁" in text else self.b.encode(text)
+        if b"".join(map(self.b_bytes.__getitem__, b)) != raw:
+            if len(words) > 1:
+                return [x for half in (words[: len(words) // 2], words[len(words) // 2 :]) for x in self._joined(half, spelled)]
+            return [(np.zeros((1, 4), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64), [""])]
+        ids = np.frombuffer(self.a.ordinary(f" {text}"), self.a.dtype).astype(np.int64), np.array(b, np.int64)
+        ends = [np.cumsum(sizes[i]) for sizes, i in zip(self.sizes, ids, strict=True)]
+        common = np.intersect1d(*ends, assume_unique=True)
+        word_ends = np.cumsum([len(w.encode()) + 1 for w in words])
+        group_a, group_b = (np.searchsorted(common, e) for e in ends)
+        n_a, n_b = (np.bincount(g, minlength=len(common)) for g in (group_a, group_b))
+        word = np.searchsorted(word_ends, common)
+        per_word = lambda x: np.bincount(word, x, minlength=len(words)).astype(np.int64)
+        sizes = np.stack([per_word(n_a), per_word(n_b), per_word(np.ones(len(common))), per_word(n_a * n_b)], axis=1)
+        first_a, first_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+        few = n_a * n_b <= LINKS
+        each = np.where(few, n_b, 0)[group_a]  # links of each A token
+        at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each - first_b[group_a], each)
+        pairs, times, whose = np.repeat(ids[0], each) << 32 | ids[1][at], np.ones(len(at), np.int64), np.repeat(word[group_a], each)
+        for g in np.flatnonzero(~few):
+            (xs, nx), (ys, ny) = (np.unique(i[f : f + n], return_counts=True) for i, f, n in ((ids[0], first_a[g], n_a[g]), (ids[1], first_b[g], n_b[g])))
+            pairs, times = np.append(pairs, (xs[:, None] << 32 | ys).ravel()), np.append(times, (nx[:, None] * ny).ravel())
+            whose = np.append(whose, np.full(len(xs) * len(ys), word[g]))
+        if not few.all():
+            order = np.argsort(whose, kind="stable")
+            pairs, times, whose = pairs[order], times[order], whose[order]
+        return [(sizes, pairs, times, np.bincount(whose, minlength=len(words)), self._spelled(ids, n_a, n_b, per_word(np.ones(len(common)))) if spelled else [])]
+
+    @staticmethod
+    def _spelled(ids: tuple[np.ndarray, np.ndarray], n_a: np.ndarray, n_b: np.ndarray, n_groups: np.ndarray) -> list[str]:
+        a, b = (list(map(str, i.tolist())) for i in ids)
+        groups, i, j = [], 0, 0
+        for x, y in zip(n_a.tolist(), n_b.tolist(), strict=True):
+            groups.append(f"{a[i]}|{b[j]}" if x == y == 1 else f"{','.join(a[i : i + x])}|{','.join(b[j : j + y])}")
+            i, j = i + x, j + y
+        ends = np.cumsum(n_groups).tolist()
+        return [";".join(groups[k:end]) for k, end in zip([0, *ends], ends, strict=False)]
 
 
 _known: dict[tuple, Aligner] = {}
@@ -143,6 +123,71 @@ def aligner(*paths: str) -> Aligner:
     return _known[paths]
 
 
+def known_words(texts: list[str | None], index: dict[str, int], both: Aligner) -> tuple[list[list[str]], list[str], list[str] | None]:
+    """The words of each text, those that the index lacks, and, if it holds too many, those of it that are to be kept."""
+    words = [both.cut(t) if t else [] for t in texts]
+    met = {w for some in words for w in some}
+    new = [w for w in met if w not in index]
+    return words, new, [w for w in met if w in index] if len(index) > MEMO else None
+
+
+def ragged(ends: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The places of the elements of lists number `at`, whose ends are given."""
+    size = ends[at] - np.where(at > 0, ends[at - 1], 0)
+    return np.repeat(ends[at] - np.cumsum(size), size) + np.arange(size.sum())
+
+
+class Pairs:
+    """For each known word its distinct pairs."""
+
+    def __init__(self, both: Aligner):
+        self.both, self.index = both, {}
+        self.good, self.pairs, self.ends = np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def of(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """The distinct pairs of each text; none for one without tokens."""
+        words, new, kept = known_words(texts, self.index, self.both)
+        if kept is not None:
+            at = np.array([self.index[w] for w in kept], np.int64)
+            sizes = self.ends[at] - np.where(at > 0, self.ends[at - 1], 0)
+            self.index, self.good, self.pairs, self.ends = dict(zip(kept, range(len(kept)), strict=True)), self.good[at], self.pairs[ragged(self.ends, at)], np.cumsum(sizes)
+        if new:
+            sizes, pairs, _, ends, _ = self.both.align(new, False)
+            self.index |= zip(new, range(len(self.index), len(self.index) + len(new)), strict=True)
+            self.good, self.ends, self.pairs = np.append(self.good, sizes[:, 0] > 0), np.append(self.ends, ends + len(self.pairs)), np.append(self.pairs, pairs)
+        for some in words:
+            at = np.unique(np.array([self.index[w] for w in some], np.int64))
+            yield np.unique(self.pairs[ragged(self.ends, at)]) if self.good[at].all() else self.pairs[:0]
+
+
+class Alignments:
+    """For each known word [A tokens, B tokens, groups, links, best links, sum of counts] and its groups."""
+
+    def __init__(self, both: Aligner, counts, highest: np.ndarray):
+        self.both, self.counts, self.highest = both, counts, highest
+        self.index, self.sizes, self.texts = {}, np.zeros((0, 6), np.int64), []
+
+    def of(self, texts: list[str | None]) -> Iterator[tuple]:
+        """The six numbers and the groups of each text."""
+        words, new, kept = known_words(texts, self.index, self.both)
+        if kept is not None:
+            at = [self.index[w] for w in kept]
+            self.index, self.sizes, self.texts = dict(zip(kept, range(len(kept)), strict=True)), self.sizes[at], [self.texts[k] for k in at]
+        if new:
+            sizes, pairs, times, ends, texts_ = self.both.align(new, True)
+            distinct, inverse = np.unique(pairs, return_inverse=True)
+            n = self.counts(distinct)
+            links = np.stack([(n == self.highest[distinct >> 32]).astype(np.int64)[inverse], n[inverse]], axis=1) * times[:, None]
+            upto = np.concatenate([np.zeros((1, 2), np.int64), np.cumsum(links, axis=0)])
+            self.index |= zip(new, range(len(self.index), len(self.index) + len(new)), strict=True)
+            self.sizes = np.concatenate([self.sizes, np.concatenate([sizes, np.diff(upto[np.append(0, ends)], axis=0)], axis=1)])
+            self.texts += texts_
+        for some in words:
+            at = np.array([self.index[w] for w in some], np.int64)
+            sizes = self.sizes[at]
+            yield (*sizes.sum(axis=0).tolist(), ";".join([self.texts[k] for k in at.tolist()])) if len(at) and sizes[:, 0].all() else (0, 0, 0, 0, 0, 0, "")
+
+
 def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and the sums of their counts."""
     k, n = np.concatenate(keys), np.concatenate(counts)
@@ -156,7 +201,7 @@ def partial_counts(docs: DataFrame, paths: tuple[str, str, str]) -> DataFrame:
     """Rows (pair, n): in how many documents of a task each pair is linked; a task may give a pair more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, pending, waiting = aligner(*paths), [], 0
+        known, pending, waiting = Pairs(aligner(*paths)), [], 0
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
         def settled() -> tuple[np.ndarray, np.ndarray]:
@@ -165,15 +210,14 @@ def partial_counts(docs: DataFrame, paths: tuple[str, str, str]) -> DataFrame:
 
         for whole in batches:
             for batch in text_slices(whole, "text", TOGETHER):
-                for found in both.words(batch.column("text").to_pylist()):
-                    if found:
-                        pending.append(both.pairs_of(found[1]))
-                        waiting += len(pending[-1])
-                        if waiting > PENDING:
-                            (keys, counts), pending, waiting = settled(), [], 0
-                            if len(keys) > 2 * PENDING:
-                                yield pa.record_batch({"pair": pa.array(keys), "n": pa.array(counts)})
-                                keys, counts = keys[:0], counts[:0]
+                for found in known.of(batch.column("text").to_pylist()):
+                    pending.append(found)
+                    waiting += len(found)
+                    if waiting > PENDING:
+                        (keys, counts), pending, waiting = settled(), [], 0
+                        if len(keys) > 2 * PENDING:
+                            yield pa.record_batch({"pair": pa.array(keys), "n": pa.array(counts)})
+                            keys, counts = keys[:0], counts[:0]
         keys, counts = settled()
         for k in range(0, len(keys), 1 << 16):
             yield pa.record_batch({"pair": pa.array(keys[k : k + (1 << 16)]), "n": pa.array(counts[k : k + (1 << 16)])})
@@ -286,29 +330,11 @@ def align(docs: DataFrame, ranks_path: str, pattern: str, model_path: str, count
     kept = out.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, (found, highest) = aligner(*paths), known.value
-        counts = Counts(found)
-        held, sums = None, np.zeros((0, 2), np.int64)  # for each word: links that are best, and the sum of counts
+        shard_rows, highest = known.value
+        words = Alignments(aligner(*paths), Counts(shard_rows), highest)
         for whole in batches:
             for batch in text_slices(whole, "text", TOGETHER):
-                result = []
-                for text in both.words(batch.column("text").to_pylist()):
-                    if held is not both.index:  # the aligner has begun anew
-                        held, sums = both.index, sums[:0]
-                    if len(sums) < len(both.ends):
-                        begin = both.ends[len(sums) - 1] if len(sums) else 0
-                        keys, times = both.keys[begin:], both.times[begin:]
-                        distinct, inverse = np.unique(keys, return_inverse=True)
-                        n = counts(distinct)
-                        links = np.stack([np.where(n == highest[distinct >> 32], 1, 0)[inverse], n[inverse]], axis=1) * times[:, None]
-                        upto = np.concatenate([np.zeros((1, 2), np.int64), np.cumsum(links, axis=0)])
-                        ends = both.ends[len(sums) :] - begin
-                        sums = np.concatenate([sums, np.diff(upto[np.append(0, ends)], axis=0)])
-                    if text is None:
-                        result.append((0, 0, 0, 0, 0, 0, ""))
-                    else:
-                        words, at = text
-                        result.append((*both.sizes[at].sum(axis=0).tolist(), *sums[at].sum(axis=0).tolist(), ";".join([both.texts[k] for k in at.tolist()])))
+                result = list(words.of(batch.column("text").to_pylist()))
                 columns = list(zip(*result, strict=True)) or [()] * 7
                 yield pa.record_batch({c: batch.column(c) for c in kept} | {c: pa.array(v, pa.int64()) for c, v in zip(("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"), columns[:6], strict=True)} | {"groups": pa.array(columns[6], pa.string())})
 
