@@ -193,14 +193,13 @@ def parse_files(files: DataFrame, strict: bool = False) -> DataFrame:
     return files.mapInArrow(parse, SURFACES)
 
 
-def build_dds(fmt: Format, width: int, height: int, faces: list[list[bytes]]) -> bytes:
-    """A DDS file of faces with mip payloads."""
-    mips = len(faces[0])
+def dds_head(fmt: Format, width: int, height: int, n_faces: int, mips: int) -> bytes:
+    """A DDS file up to its first payload."""
     flags, caps = CAPS | HEIGHT | WIDTH | PIXEL_FORMAT, TEXTURE
     flags |= LINEAR if fmt.compressed else PITCH
     if mips > 1:
         flags, caps = flags | MIPS, caps | COMPLEX | MIPMAP
-    if len(faces) == 6:
+    if n_faces == 6:
         caps |= COMPLEX
     if isinstance(fmt.dds_write, tuple):
         r, g, b, a = fmt.dds_write
@@ -209,27 +208,38 @@ def build_dds(fmt: Format, width: int, height: int, faces: list[list[bytes]]) ->
         code = fmt.dds_write if isinstance(fmt.dds_write, str) else "DX10"
         pixel = (32, PF_FOURCC, struct.unpack("<I", code.encode())[0], 0, 0, 0, 0, 0)
     pitch = 0 if fmt.compressed else width * fmt.size
-    words = (DDS_HEADER, flags, height, width, pitch, 1, mips, *[0] * 11, *pixel, caps, CUBEMAP | ALL_FACES if len(faces) == 6 else 0, 0, 0, 0)
-    extra = struct.pack("<5I", fmt.dds_write, 3, 0x4 if len(faces) == 6 else 0, 1, 0) if isinstance(fmt.dds_write, int) else b""
-    return DDS_MAGIC + struct.pack("<31I", *words) + extra + b"".join(_opaque(fmt, p) for face in faces for p in face)
+    words = (DDS_HEADER, flags, height, width, pitch, 1, mips, *[0] * 11, *pixel, caps, CUBEMAP | ALL_FACES if n_faces == 6 else 0, 0, 0, 0)
+    extra = struct.pack("<5I", fmt.dds_write, 3, 0x4 if n_faces == 6 else 0, 1, 0) if isinstance(fmt.dds_write, int) else b""
+    return DDS_MAGIC + struct.pack("<31I", *words) + extra
 
 
-def build_ktx(fmt: Format, width: int, height: int, faces: list[list[bytes]]) -> bytes:
-    """A KTX v1 file of faces with mip payloads."""
+def ktx_head(fmt: Format, width: int, height: int, n_faces: int, mips: int) -> bytes:
+    """A KTX v1 file up to its first level."""
     if fmt.ktx is None:
         raise ContainerError(f"KTX can't hold {fmt.name}")
     gl_type, type_size, gl_format, internal, base = fmt.ktx
-    out = [KTX_MAGIC, struct.pack("<13I", ENDIAN, gl_type, type_size, gl_format, internal, base, width, height, 0, 0, len(faces), len(faces[0]), 0)]
-    for mip in range(len(faces[0])):
-        w, h = max(1, width >> mip), max(1, height >> mip)
-        row = w * fmt.size
-        stored = [face[mip] if fmt.compressed else _flipped(face[mip], row, row, h, row + -row % 4) for face in faces]
-        size = len(stored[0])
-        out.append(struct.pack("<I", size))
-        for payload in stored:
-            out += [payload, bytes(-size % 4 if len(faces) == 6 else 0)]
-        out.append(bytes(-size % 4))
-    return b"".join(out)
+    return KTX_MAGIC + struct.pack("<13I", ENDIAN, gl_type, type_size, gl_format, internal, base, width, height, 0, 0, n_faces, mips, 0)
+
+
+def stored_level(container: str, fmt: Format, width: int, height: int, payload: bytes, face: int, n_faces: int) -> bytes:
+    """What a file holds for one face of a level: KTX sizes before the first face and padding included, rows in the file's order."""
+    if container == "dds":
+        return _opaque(fmt, payload)
+    row = width * fmt.size
+    stored = payload if fmt.compressed else _flipped(payload, row, row, height, row + -row % 4)
+    size = struct.pack("<I", len(stored)) if face == 0 else b""
+    return size + stored + bytes(-len(stored) % 4 if n_faces == 6 or face == n_faces - 1 else 0)
+
+
+def build_dds(fmt: Format, width: int, height: int, faces: list[list[bytes]]) -> bytes:
+    """A DDS file of faces with mip payloads."""
+    return dds_head(fmt, width, height, len(faces), len(faces[0])) + b"".join(stored_level("dds", fmt, 0, 0, p, 0, 1) for face in faces for p in face)
+
+
+def build_ktx(fmt: Format, width: int, height: int, faces: list[list[bytes]]) -> bytes:
+    """A KTX v1 file of faces with mip payloads."""
+    levels = range(len(faces[0]))
+    return ktx_head(fmt, width, height, len(faces), len(levels)) + b"".join(stored_level("ktx", fmt, max(1, width >> m), max(1, height >> m), face[m], k, len(faces)) for m in levels for k, face in enumerate(faces))
 
 
 def build_files(surfaces: DataFrame, container: str) -> DataFrame:
