@@ -1,25 +1,21 @@
 """Decode blocks and pixels to texel rows.
 
 BC1 to BC5 and the uncompressed layouts are expressions in generated code: each block
-makes its sixteen texels by a generator, and no row is shuffled. BC7 and BC6H use the
-vectorised functions of texspark.operators.bptc.
+makes its sixteen texels by a generator, and no row is shuffled. BC7 and BC6H join the
+layout tables of texspark.operators.bptc_plans.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from texspark.formats import format_of
 from texspark.functions import halves
 from texspark.functions.expressions import apply, little_endian
 from texspark.functions.palettes import LAYOUTS
 from texspark.functions.pixels import UNPACK
+from texspark.operators import bptc_plans
 
 
 def decode_blocks(blocks: DataFrame, fmt: str, column: str = "block") -> DataFrame:
@@ -34,7 +30,7 @@ def decode_blocks(blocks: DataFrame, fmt: str, column: str = "block") -> DataFra
     keep = [c for c in blocks.columns if c != column]
     sound = blocks.where(F.col(column).isNotNull()).withColumn(column, F.when(F.length(column) == size, F.col(column)).otherwise(F.raise_error(F.lit(f"a {name} block has {size} bytes"))))
     if name not in LAYOUTS:
-        return _vectorised(sound, name, column, keep)
+        return bptc_plans.decode_bc7(sound, column, keep) if name == "BC7" else bptc_plans.decode_bc6h(sound, name == "BC6HS", column, keep)
     words, steps = LAYOUTS[name]
     rows = sound.select(*keep, *(little_endian(F.col(column), at, n).alias(w) for w, at, n in words)).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(15))))
     return apply(rows, steps).select(*keep, "t", *(F.col(c).cast("int").alias(c) for c in "rgba"))
@@ -46,23 +42,6 @@ def decode_floats(blocks: DataFrame, fmt: str, column: str = "block") -> DataFra
     return texels.select(*(c for c in texels.columns if c not in ("r16", "g16", "b16")), *(F.expr(halves.to_double(f"{c}16")).alias(c) for c in "rgb"))
 
 
-def _vectorised(blocks: DataFrame, name: str, column: str, keep: list[str]) -> DataFrame:
-    from texspark.operators import bptc
-
-    channels = ["r", "g", "b", "a"] if name == "BC7" else ["r16", "g16", "b16"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = np.frombuffer(b"".join(batch.column(column).to_pylist()), dtype=np.uint8).reshape(-1, 16)
-            texels = bptc.decode_bc7(raw) if name == "BC7" else bptc.decode_bc6h(raw, name == "BC6HS")
-            again = pa.array(np.repeat(np.arange(len(raw)), 16))
-            out = {c: batch.column(c).take(again) for c in keep} | {"t": pa.array(np.tile(np.arange(16, dtype=np.int32), len(raw)))}
-            yield pa.record_batch(out | {c: pa.array(texels[:, :, k].ravel().astype(np.int32)) for k, c in enumerate(channels)})
-
-    schema = StructType([*(blocks.schema[c] for c in keep), *StructType.fromDDL("t int, " + ", ".join(f"{c} int" for c in channels)).fields])
-    return blocks.mapInArrow(run, schema)
-
-
 def unpack_pixels(pixels: DataFrame, fmt: str, column: str = "w") -> DataFrame:
     """pixels with r, g, b, a from a little-endian word of an uncompressed layout."""
     return apply(pixels.withColumnRenamed(column, "w"), [dict(zip("rgba", (f"CAST({x} AS INT)" for x in UNPACK[format_of(fmt).name]), strict=True))]).withColumnRenamed("w", column)

@@ -13,13 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from texspark.formats import FORMATS, format_of, level_size, mip_count
-from texspark.functions import halves
+from texspark.functions import bits128, halves
 from texspark.functions.expressions import apply, duckdb, to_bytes
 from texspark.functions.palettes import LAYOUTS
 from texspark.functions.pixels import PACK, UNPACK
 from texspark.operators import bc6h, decode, encode, metrics, mips, search, surfaces
 from texspark.plans import oracles
-from texspark.sources import containers
+from texspark.sources import containers, datasource
+from texspark.sources.shared import scratch
 
 #: Words of a synthetic block from the keys k and c of an order, by their place in the layouts.
 WORDS = {
@@ -253,6 +254,71 @@ def _chain_sql() -> str:
     return " UNION ALL ".join(f"SELECT texture_id, mip::INT AS mip, width::INT AS width, height::INT AS height, x::INT AS x, y::INT AS y, r, g, b, a FROM {level}" for level in levels)
 
 
+#: Orders of a sheet have the same key without its last six bits; their surfaces stand one below the other.
+SHEET = 64
+
+
+def _sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _keys(spark, sf_dir).selectExpr("k", f"k div {SHEET} AS sheet", f"{_raster(WIDE, HIGH)} AS raster")
+    whole = rows.groupBy("sheet").agg(F.expr("listagg(raster) WITHIN GROUP (ORDER BY k)").alias("payload"), (F.count("*") * HIGH).alias("height"))
+    return whole.selectExpr("CAST(sheet AS STRING) AS path", "'RGBA8' AS format", "1 AS n_faces", "1 AS n_mips", "0 AS face", "0 AS mip", f"{WIDE} AS width", "CAST(height AS INT) AS height", "payload")
+
+
+def _source(kind: str, headers: bool = False) -> Query:
+    """Sheets written by the data source and read again: digests of their payloads, or what their headers say."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        folder = scratch(spark, kind)
+        datasource.write_textures(_sheets(spark, sf_dir), kind, folder)
+        found = datasource.read_textures(spark, kind, folder, headers=str(headers), strict="true")
+        found = found.withColumn("sheet", F.regexp_extract("path", r"(\d+)\.\w+$", 1).cast("long"))
+        return found.select("sheet", "format", "width", "height", "length") if headers else found.select("sheet", "format", "n_faces", "n_mips", "width", "height", F.sha2("payload", 256).alias("digest"))
+
+    return run
+
+
+def _source_sql(kind: str, headers: bool = False) -> str:
+    sheet = f"(SELECT k // {SHEET} AS sheet, count(*) * {HIGH} AS height FROM (SELECT {KEYS} FROM orders) GROUP BY ALL)"
+    if headers:
+        return f"SELECT sheet, 'RGBA8' AS format, {WIDE}::INT AS width, height::INT AS height, (height * {WIDE * 4} + {128 if kind == 'dds' else 68})::BIGINT AS length FROM {sheet}"
+    pixel = " || ".join(f"printf('%02X', {text})" for text in CHANNELS.values())
+    bytes_ = f"(SELECT k // {SHEET} AS sheet, string_agg({pixel}, '' ORDER BY k, y, x) AS digits, (count(*) // {WIDE})::INT AS height FROM (SELECT k, c, p % {WIDE} AS x, p // {WIDE} AS y FROM (SELECT {KEYS} FROM orders), range({WIDE * HIGH}) r(p)) GROUP BY ALL)"
+    return f"SELECT sheet, 'RGBA8' AS format, 1::INT AS n_faces, 1::INT AS n_mips, {WIDE}::INT AS width, height, sha256(unhex(digits)) AS digest FROM {bytes_}"
+
+
+#: Eight fields for each order's 16-byte block: places that cover all bits, and sizes of 1 to 8 bits.
+FIELD = {"at": "(k * 11 + j * 17) % 120", "size": "1 + (k + j) % 8"}
+
+
+def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lo, hi = bits128.halves(F.col("block"))
+    rows = _wide_blocks(spark, sf_dir, "k % 256").select("k", lo.alias("lo"), hi.alias("hi"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("j"))
+    return rows.selectExpr("*", *(f"CAST({text} AS INT) AS {name}" for name, text in FIELD.items())).selectExpr("k", "j", "at", "size", f"{bits128.read('at', 'size')} AS value")
+
+
+def _fields_sql() -> str:
+    rows = f"(SELECT k, j::INT AS j, ({FIELD['at']})::INT AS at_, ({FIELD['size']})::INT AS size, bits FROM (SELECT k, {oracles._bits([('k % 256', 1), *_wide_words()])} AS bits FROM (SELECT {KEYS} FROM orders)), range(8) r(j))"
+    return f"SELECT k, j, at_ AS \"at\", size, {oracles._field('at_', 'size')} AS value FROM {rows}"
+
+
+#: Fields that fill a 16-byte word, one of them across bit 64 and the last ones at places and in sizes by the key.
+PARTS = [("k % 128", 0, 7), ("c", 7, 20), ("k * 7919", 27, 33), ("k * 31 + c", 60, 9), ("c * 104729", 69, 30), ("k", "100 + k % 4", "6 + k % 4"), ("k + c", "113 + k % 3", "4 + c % 9")]
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words written field by field."""
+    rows = _keys(spark, sf_dir)
+    rows = rows.selectExpr("k", *(f"{v} AS v{i}" for i, (v, _, _) in enumerate(PARTS)), *(f"CAST({p} AS INT) AS p{i}_{n}" for i, (_, *places) in enumerate(PARTS) for n, p in enumerate(places)))
+    low, high = bits128.written([(f"v{i}", *(p if isinstance(p, int) else f"p{i}_{n}" for n, p in enumerate(places))) for i, (_, *places) in enumerate(PARTS)])
+    return rows.selectExpr("k", f"{low} AS lo", f"{high} AS hi").select("k", F.hex(bits128.to_block(F.col("lo"), F.col("hi"))).alias("word"))
+
+
+def _words_sql() -> str:
+    """The same by sums of powers of two beyond 64 bits, byte by byte."""
+    whole = " + ".join(f"(({v})::HUGEINT & ((1::HUGEINT << ({n})::INT) - 1)) * (1::HUGEINT << ({at})::INT)" for v, at, n in PARTS)
+    return f"SELECT k, {' || '.join(f'printf({chr(39)}%02X{chr(39)}, ((word >> {8 * b}) & 255)::BIGINT)' for b in range(16))} AS word FROM (SELECT k, {whole} AS word FROM (SELECT {KEYS} FROM orders))"
+
+
 def _floats(name: str) -> Query:
     return lambda spark, sf_dir: decode.decode_floats(_wide_blocks(spark, sf_dir, "k % 32"), name)
 
@@ -302,6 +368,8 @@ def queries() -> dict[str, Query]:
     out |= {"mip_chain": _chain} | {f"{name.lower()}_floats": _floats(name) for name in ("BC6HU", "BC6HS")}
     for kind in ("dds", "ktx"):
         out |= {f"{kind}_round_trip": _round_trip(kind), f"{kind}_formats": _container_formats(kind), f"{kind}_header_rows": _header_rows(kind)}
+        out |= {f"{kind}_source": _source(kind), f"{kind}_source_headers": _source(kind, headers=True)}
+    out |= {"bptc_fields": _fields, "bptc_words": _words}
     return out
 
 
@@ -323,4 +391,6 @@ def oracle_sql() -> dict[str, str]:
         out[f"{name.lower()}_floats"] = f"SELECT k, t, r, g, b FROM {duckdb('(' + out[f'{name.lower()}_texels'] + ')', floats)}"
     for kind in ("dds", "ktx"):
         out |= {f"{kind}_round_trip": _TEXELS_OUT, f"{kind}_formats": _container_formats_sql(kind), f"{kind}_header_rows": _header_rows_sql(kind)}
+        out |= {f"{kind}_source": _source_sql(kind), f"{kind}_source_headers": _source_sql(kind, headers=True)}
+    out |= {"bptc_fields": _fields_sql(), "bptc_words": _words_sql()}
     return out
