@@ -171,3 +171,66 @@ def bc6h_texels(keys: str, words: list[tuple[str, int]], signed: bool) -> str:
     out = ", ".join(f"CAST({done(f'm_{ch}')} AS INT) AS {ch}16" for ch in "rgb")
     none = f"SELECT k, CAST(p AS INT) AS t, 0 AS r16, 0 AS g16, 0 AS b16 FROM {blocks}, range(16) r(p) WHERE code NOT IN ({', '.join(str(code) for code, *_ in bptc.BC6H_MODES)})"
     return f"SELECT k, t, {out} FROM {rows} UNION ALL {none}"
+
+
+def farthest(texels: str, channels: str) -> str:
+    """Each block's most distant texels: all pairs, the first of the largest."""
+    square = " + ".join(f"(x.{c} - y.{c}) * (x.{c} - y.{c})" for c in channels)
+    cells = _cells(texels, False)
+    pairs = f'SELECT x.texture_id, x.bx, x."by", x.t AS i, y.t AS j, ({square})::BIGINT AS distance FROM {cells} x JOIN {cells} y ON x.texture_id = y.texture_id AND x.bx = y.bx AND x."by" = y."by" AND x.t < y.t'
+    return f'SELECT texture_id, bx::INT AS bx, "by"::INT AS "by", i::INT AS i, j::INT AS j, distance FROM ({pairs}) QUALIFY row_number() OVER (PARTITION BY {CELL} ORDER BY distance DESC, i, j) = 1'
+
+
+def ranked(texels: str, subsets: int, limit: int, partitions: int) -> str:
+    """Each block's best partitions: distances to the cut mean, summed in a second pass over the texels."""
+    channels = "rgba" if subsets == 2 else "rgb"
+    rows = ", ".join(f"({k}, '{p}')" for k, p in enumerate((bptc.TWO_SUBSETS if subsets == 2 else bptc.THREE_SUBSETS)[:partitions]))
+    member = f"(SELECT {CELL}, part, {', '.join(channels)}, substr(places, t + 1, 1) AS s FROM {_cells(texels, False)}, (VALUES {rows}) p(part, places))"
+    means = f"(SELECT {CELL}, part, s, {', '.join(f'sum({c})::BIGINT // count(*) AS m_{c}' for c in channels)} FROM {member} GROUP BY ALL)"
+    score = " + ".join(f"({c} - m_{c}) * ({c} - m_{c})" for c in channels)
+    scored = f"(SELECT {CELL}, part, sum({score})::BIGINT AS score FROM {member} JOIN {means} USING ({CELL}, part, s) GROUP BY ALL)"
+    return f'SELECT texture_id, bx::INT AS bx, "by"::INT AS "by", (row_number() OVER (PARTITION BY {CELL} ORDER BY score, part))::INT AS rank, part::INT AS part, score FROM {scored} QUALIFY rank <= {limit}'
+
+
+def principal_ends(texels: str) -> str:
+    """Extreme texels along the principal axis; the eight steps of the iteration one below the other."""
+    cells = _cells(texels, False)
+    mean = f"(SELECT {CELL}, {', '.join(f'avg({c}) AS m_{c}' for c in 'rgb')} FROM {cells} GROUP BY ALL)"
+    pairs = ("rr", "rg", "rb", "gg", "gb", "bb")
+    axis = f"(SELECT {CELL}, {', '.join(f'sum(({a} - m_{a}) * ({b} - m_{b})) AS {a}{b}' for a, b in pairs)}, 1.0::DOUBLE AS x0, 1.0::DOUBLE AS y0, 1.0::DOUBLE AS z0 FROM {cells} JOIN {mean} USING ({CELL}) GROUP BY ALL)"
+    rows = dict(x=("rr", "rg", "rb"), y=("rg", "gg", "gb"), z=("rb", "gb", "bb"))
+    steps = []
+    for k in range(8):
+        steps.append({f"v{n}{k}": f"{p} * x{k} + {q} * y{k} + {r} * z{k}" for n, (p, q, r) in rows.items()})
+        steps.append({f"len{k}": f"sqrt(vx{k} * vx{k} + vy{k} * vy{k} + vz{k} * vz{k})"})
+        steps.append({f"{n}{k + 1}": f"CASE WHEN len{k} < 1e-5 THEN {n}{k} ELSE v{n}{k} / len{k} END" for n in "xyz"})
+    along = f"(SELECT {CELL}, t, r, g, b, r * x8 + g * y8 + b * z8 AS along FROM {cells} JOIN {duckdb(axis, steps)} USING ({CELL}))"
+    first = lambda n, order: f"(SELECT {CELL}, t AS {n}_t, {', '.join(f'{c} AS {n}_{c}' for c in 'rgb')} FROM {along} QUALIFY row_number() OVER (PARTITION BY {CELL} ORDER BY along {order}, t) = 1)"
+    both = f"(SELECT * FROM {first('lo', '')} JOIN {first('hi', 'DESC')} USING ({CELL}))"
+    drawn = [{f"in_{c}": f"floor((hi_{c} - lo_{c}) / 16.0)::BIGINT" for c in "rgb"}, {f"l_{c}": f"greatest(0, least(255, lo_{c} + in_{c}))" for c in "rgb"} | {f"h_{c}": f"greatest(0, least(255, hi_{c} - in_{c}))" for c in "rgb"}]
+    ends = duckdb(both, drawn)
+    word = lambda n: f"({n}_r // 8 * 2048 + {n}_g // 4 * 32 + {n}_b // 8)::INT"
+    return f'SELECT texture_id, bx::INT AS bx, "by"::INT AS "by", lo_t::INT AS lo_t, hi_t::INT AS hi_t, {word("h")} AS c0, {word("l")} AS c1 FROM {ends}'
+
+
+def least_squares(texels: str, rounds: int = 2) -> str:
+    """Endpoints of the shrunk bounding box, fitted again and again: a table of blocks for each round."""
+    cells = _cells(texels, False)
+    word = lambda r, g, b: f"(({r}) // 8 * 2048 + ({g}) // 4 * 32 + ({b}) // 8)::BIGINT"
+    lo, hi = ([f"min({c}) + (max({c}) - min({c})) // 16" for c in "rgb"], [f"max({c}) - (max({c}) - min({c})) // 16" for c in "rgb"])
+    parts = [f"cells AS (SELECT * FROM {cells})", f"round0 AS (SELECT {CELL}, min(r) = max(r) AS flat, greatest({word(*hi)}, {word(*lo)}) AS c0, least({word(*hi)}, {word(*lo)}) AS c1, NULL::BIGINT AS best0, NULL::BIGINT AS best1, NULL::BIGINT AS best FROM cells GROUP BY {CELL})"]
+    palette = color(False)
+    for k in range(rounds + 1):
+        rows = f"(SELECT {CELL}, t, r AS p_r, g AS p_g, b AS p_b, c0, c1, flat, 0 AS w FROM cells JOIN round{k} USING ({CELL}) WHERE c0 IS NOT NULL)"
+        entry = lambda i, c: f"(p_{c} - ({palette[1][c].replace('i = ', f'{i} = ')}))"
+        errors = {f"e{i}": " + ".join(f"(CASE WHEN flat THEN {b} ELSE {a} END) * {entry(i, c)} * {entry(i, c)}" for c, a, b in zip("rgb", WEIGHTS, BALANCED, strict=True)) for i in range(4)}
+        chosen = [palette[0], errors, {"e": "least(e0, e1, e2, e3)"}, {"y": "(CASE WHEN e0 = e THEN 0 WHEN e1 = e THEN 3 WHEN e2 = e THEN 1 ELSE 2 END)::BIGINT"}, {"x": "3 - y"}]
+        sums = ", ".join([f"sum({a} * {b})::HUGEINT AS {a}{b}" for a, b in ("xx", "yy", "xy")] + [f"sum({a} * p_{c})::HUGEINT AS {a}{c}" for a in "xy" for c in "rgb"])
+        parts.append(f"fit{k} AS (SELECT {CELL}, sum(e)::BIGINT AS error, {sums} FROM {duckdb(rows, chosen)} GROUP BY {CELL})")
+        parts.append(f"kept{k} AS (SELECT *, error IS NOT NULL AND (best IS NULL OR error < best) AS better, xx * yy - xy * xy AS det FROM round{k} LEFT JOIN fit{k} USING ({CELL}))")
+        solved = lambda own, other, c, e: f"3 * ({own}{c} * {other}{other} - {other}{c} * xy)"
+        near = lambda v: f"greatest(0, least(255, sign({v}) * ((abs({v}) + det // 2) // det)))::BIGINT"
+        ends = [word(*(near(solved(own, other, c, 0)) for c in "rgb")) for own, other in (("x", "y"), ("y", "x"))]
+        parts.append(f"next{k} AS (SELECT {CELL}, flat, CASE WHEN better THEN c0 ELSE best0 END AS best0, CASE WHEN better THEN c1 ELSE best1 END AS best1, CASE WHEN better THEN error ELSE best END AS best, CASE WHEN better AND error > 0 AND det <> 0 THEN {ends[0]} END AS q0, CASE WHEN better AND error > 0 AND det <> 0 THEN {ends[1]} END AS q1 FROM kept{k})")
+        parts.append(f"round{k + 1} AS (SELECT {CELL}, flat, best0, best1, best, CASE WHEN greatest(q0, q1) <> best0 OR least(q0, q1) <> best1 THEN greatest(q0, q1) END AS c0, least(q0, q1) AS c1 FROM next{k})")
+    return f'WITH {", ".join(parts)} SELECT texture_id, bx::INT AS bx, "by"::INT AS "by", best0::INT AS c0, best1::INT AS c1, best AS error FROM next{rounds}'

@@ -17,7 +17,7 @@ from texspark.functions import bits128, halves
 from texspark.functions.expressions import apply, duckdb, to_bytes
 from texspark.functions.palettes import LAYOUTS
 from texspark.functions.pixels import PACK, UNPACK
-from texspark.operators import bc6h, decode, encode, metrics, mips, search, surfaces
+from texspark.operators import bc6h, block_search, decode, encode, metrics, mips, search, surfaces
 from texspark.plans import oracles
 from texspark.sources import containers, datasource
 from texspark.sources.shared import scratch
@@ -290,6 +290,27 @@ def _source_sql(kind: str, headers: bool = False) -> str:
 FIELD = {"at": "(k * 11 + j * 17) % 120", "size": "1 + (k + j) % 8"}
 
 
+def _farthest(channels: str) -> Query:
+    return lambda spark, sf_dir: block_search.farthest_pairs(_cells(spark, sf_dir), _CELL, channels)
+
+
+def _ranked(subsets: int, limit: int, partitions: int) -> Query:
+    return lambda spark, sf_dir: block_search.partition_ranks(_cells(spark, sf_dir), _CELL, subsets, limit, partitions)
+
+
+def _principal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_search.principal_ends(_cells(spark, sf_dir), _CELL)
+
+
+def _least_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Endpoints of the fastest level (the shrunk bounding box), fitted in two rounds."""
+    px = block_search.gathered(_cells(spark, sf_dir), _CELL)
+    ends = {f"{n}_{c}": f"CAST(array_{f}(transform(px, x -> x.{c})) AS INT)" for c in "rgb" for n, f in (("lo", "min"), ("hi", "max"))}
+    drawn = {f"{n}{c}": f"{n}_{c} {sign} shiftright(hi_{c} - lo_{c}, 4)" for c in "rgb" for n, sign in (("lo", "+"), ("hi", "-"))}
+    seeded = apply(px, [ends, drawn, {"c0": block_search._rgb565("hir", "hig", "hib"), "c1": block_search._rgb565("lor", "log", "lob")}])
+    return block_search.least_squares_ends(seeded.select(*_CELL, "px", "c0", "c1"), _CELL)
+
+
 def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     lo, hi = bits128.halves(F.col("block"))
     rows = _wide_blocks(spark, sf_dir, "k % 256").select("k", lo.alias("lo"), hi.alias("hi"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("j"))
@@ -369,7 +390,8 @@ def queries() -> dict[str, Query]:
     for kind in ("dds", "ktx"):
         out |= {f"{kind}_round_trip": _round_trip(kind), f"{kind}_formats": _container_formats(kind), f"{kind}_header_rows": _header_rows(kind)}
         out |= {f"{kind}_source": _source(kind), f"{kind}_source_headers": _source(kind, headers=True)}
-    out |= {"bptc_fields": _fields, "bptc_words": _words}
+    out |= {"bptc_fields": _fields, "bptc_words": _words, "farthest_rgba": _farthest("rgba"), "farthest_rgb": _farthest("rgb")}
+    out |= {"partition_rank2": _ranked(2, 8, 64), "partition_rank3": _ranked(3, 4, 16), "principal_ends": _principal, "least_squares_bc1": _least_squares}
     return out
 
 
@@ -392,5 +414,7 @@ def oracle_sql() -> dict[str, str]:
     for kind in ("dds", "ktx"):
         out |= {f"{kind}_round_trip": _TEXELS_OUT, f"{kind}_formats": _container_formats_sql(kind), f"{kind}_header_rows": _header_rows_sql(kind)}
         out |= {f"{kind}_source": _source_sql(kind), f"{kind}_source_headers": _source_sql(kind, headers=True)}
-    out |= {"bptc_fields": _fields_sql(), "bptc_words": _words_sql()}
+    out |= {"bptc_fields": _fields_sql(), "bptc_words": _words_sql()} | {f"farthest_{c}": oracles.farthest(_texels_sql(), c) for c in ("rgb", "rgba")}
+    out |= {"partition_rank2": oracles.ranked(_texels_sql(), 2, 8, 64), "partition_rank3": oracles.ranked(_texels_sql(), 3, 4, 16)}
+    out |= {"principal_ends": oracles.principal_ends(_texels_sql()), "least_squares_bc1": oracles.least_squares(_texels_sql())}
     return out
