@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from texspark.llm.common import saved, table, text_slices
 
-#: Cells of a block of the merge; at most so many cells in a row of the sketch (two rows, each four bytes a cell in a task); phrases for a cell, as long as there are that many cells.
+#: Cells of a block of the merge; at most so many cells in a row of the sketch (two rows, each four bytes a cell in a task); phrases for a cell at most, as long as there are that many cells.
 BLOCK, MOST_CELLS, LOAD = 1 << 16, 1 << 25, 64
 #: Bytes of text whose words stand in one array, and phrases that a task counts before it hands them on.
 TOGETHER, HELD = 8 << 20, 1 << 18
@@ -184,7 +184,7 @@ def frequent(docs: DataFrame, longest: int = 5, least: int = 100) -> tuple[DataF
     spark = docs.sparkSession
     rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
     phrases = longest * (rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0) / 6
-    bits = min(MOST_CELLS, max(1 << 12, int(phrases / LOAD))).bit_length() - 1
+    bits = (min(MOST_CELLS, max(1 << 12, int(phrases / LOAD))) - 1).bit_length()
     merged = saved(sketch(rows, longest, least, bits), "sketch")
     found = {r.block: np.frombuffer(bytes(r.marks), np.uint8) for r in merged.where("block >= 0").collect()}
     marks = np.concatenate([found[k] for k in sorted(found)]) if found else np.zeros(len(ROWS) << bits >> 3, np.uint8)
