@@ -1,8 +1,8 @@
 """License scans by a positional index of rare words, with column expressions only.
 
 Templates are the opening sentences of common licenses and the short phrases that name
-one. Function words are left out of the index, but still count as positions. For each
-file the index takes, of every template, the template's words that the file holds and
+one. Function words are left out of the index, but still count as positions, and in a
+mandatory phrase each must stand at its own. For each file the index takes, of every template, the template's words that the file holds and
 that are rarest in the corpus; their postings give the places where the template would
 have to begin. A place counts if enough of these words agree on it and the template's
 mandatory phrases stand at their positions there.
@@ -45,12 +45,15 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LOOKUPS = 4
 
 
-def templates(phrases: list[tuple[str, str]] = PHRASES, texts: list[tuple[str, str, list[str]]] = TEXTS) -> list[tuple[int, str, bool, list[tuple[int, str]], list[tuple[int, str]]]]:
-    """(number, label, is a phrase, indexed words with positions, words that must agree)."""
+Placed = list[tuple[int, str]]
+
+
+def templates(phrases: list[tuple[str, str]] = PHRASES, texts: list[tuple[str, str, list[str]]] = TEXTS) -> list[tuple[int, str, bool, Placed, Placed, Placed]]:
+    """(number, label, is a phrase, indexed words with positions, those of them that must agree, function words that must)."""
     out = []
     for label, phrase in phrases:
         words = list(enumerate(phrase.split()))
-        out.append((len(out), label, True, words, words))
+        out.append((len(out), label, True, words, words, []))
     for label, text, must in texts:
         words = text.split()
         indexed = [(i, w) for i, w in enumerate(words) if w not in FUNCTION_WORDS]
@@ -59,7 +62,7 @@ def templates(phrases: list[tuple[str, str]] = PHRASES, texts: list[tuple[str, s
             want = phrase.split()
             begin = next(i for i in range(len(words)) if words[i : i + len(want)] == want)
             at.update(range(begin, begin + len(want)))
-        out.append((len(out), label, False, indexed, [(i, w) for i, w in indexed if i in at]))
+        out.append((len(out), label, False, indexed, [(i, w) for i, w in indexed if i in at], [(i, w) for i, w in enumerate(words) if i in at and w in FUNCTION_WORDS]))
     return out
 
 
@@ -80,20 +83,21 @@ def scan(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, texts: list[
     """
     spark = docs.sparkSession
     known = templates(phrases, texts)
-    vocabulary = sorted({w for *_, indexed, _ in known for _, w in indexed})
+    vocabulary = sorted({w for *_, indexed, _, _ in known for _, w in indexed})
+    between = sorted({w for *_, small in known for _, w in small})
     indexed_words = F.array(*map(F.lit, vocabulary))
 
     words = docs.select("doc_id", words_of(F.col("text")).alias("words"))
-    found = F.when(F.arrays_overlap("words", indexed_words), F.filter(F.transform("words", lambda w, i: F.struct(i.alias("pos"), w.alias("word"))), lambda x: x.word.isin(vocabulary)))
-    hits = saved(words.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.size("words").cast("long").alias("n_words"), found.alias("hits")), "licence-words")
+    of = lambda some: F.when(F.arrays_overlap("words", indexed_words), F.filter(F.transform("words", lambda w, i: F.struct(i.alias("pos"), w.alias("word"))), lambda x: x.word.isin(some)))
+    hits = saved(words.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.size("words").cast("long").alias("n_words"), of(vocabulary).alias("hits"), of(between).alias("between")), "licence-words")
 
     # Rarity over all documents, of at most len(vocabulary) words.
     total = hits.count()
     counted = {r.word: r.n for r in hits.where("hits is not null").select(F.explode(F.array_distinct("hits.word")).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
     idf = {w: math.log((1 + total) / (1 + counted.get(w, 0))) + 1 for w in vocabulary}
-    postings = spark.createDataFrame([(t, i, w, idf[w]) for t, *_, indexed, _ in known for i, w in indexed], "template int, at int, word string, idf double")
-    about = spark.createDataFrame([(t, label, phrase, len(must), sum(idf[w] for _, w in indexed), max(len(indexed) // 2, 1) if not phrase else len(indexed), indexed[-1][0] + 1) for t, label, phrase, indexed, must in known], "template int, label string, is_phrase boolean, n_must int, weight double, n_least int, span int")
-    required = spark.createDataFrame([(t, i, w) for t, *_, must in known for i, w in must], "template int, at int, word string").withColumn("must", F.lit(1))
+    postings = spark.createDataFrame([(t, i, w, idf[w]) for t, *_, indexed, _, _ in known for i, w in indexed], "template int, at int, word string, idf double")
+    about = spark.createDataFrame([(t, label, phrase, len(must), sum(idf[w] for _, w in indexed), max(len(indexed) // 2, 1) if not phrase else len(indexed), indexed[-1][0] + 1, small) for t, label, phrase, indexed, must, small in known], "template int, label string, is_phrase boolean, n_must int, weight double, n_least int, span int, small array<struct<at: int, word: string>>")
+    required = spark.createDataFrame([(t, i, w) for t, *_, must, _ in known for i, w in must], "template int, at int, word string").withColumn("must", F.lit(1))
 
     # Look up each file's rarest words of each template: where they stand are the candidate places.
     seen = hits.where("hits is not null").select("row", F.explode("hits").alias("h")).select("row", "h.pos", "h.word")
@@ -104,9 +108,14 @@ def scan(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, texts: list[
 
     # Verify the template's words there, the mandatory ones among them.
     wanted = starts.join(F.broadcast(postings.join(F.broadcast(required), ["template", "at", "word"], "left")), "template").select("row", "template", "start", (F.col("start") + F.col("at")).alias("pos"), "word", "idf", "must")
-    places = (
+    agreed = (
         wanted.join(seen, ["row", "pos", "word"]).groupBy("row", "template", "start").agg(F.sum("idf").alias("idf"), F.count("*").alias("n"), F.sum(F.coalesce("must", F.lit(0))).alias("musts"))
         .join(F.broadcast(about), "template").where("musts = n_must and n >= n_least")
+    )
+    # The few places that are left need the phrases' function words too.
+    here = F.forall("small", lambda x: F.array_contains(F.col("between"), F.struct((F.col("start") + x.at).cast("int").alias("pos"), x.word.alias("word"))))
+    places = (
+        agreed.join(hits.select("row", "between"), "row").where(here)
         .groupBy("row").agg(F.sort_array(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), "label", "is_phrase", F.col("span").cast("long").alias("n_words"), F.least(F.lit(1.0), F.col("idf") / F.col("weight")).alias("score")))).alias("places"))
     )
     none = F.array().cast("array<struct<start:bigint,label:string,is_phrase:boolean,n_words:bigint,score:double>>")
@@ -124,18 +133,22 @@ def op2_license_scan(spark, sf_dir: str) -> DataFrame:
 
 def oracle() -> str:
     """The columns and rows of op2_license_scan in DuckDB."""
-    known = templates()
-    postings = ", ".join(f"({t}, {i}, '{w}', {int((i, w) in must)})" for t, *_, indexed, must in known for i, w in indexed)
-    about = ", ".join(f"({t}, '{label}', {str(phrase).lower()}, {len(must)}, {max(len(indexed) // 2, 1) if not phrase else len(indexed)})" for t, label, phrase, indexed, must in known)
+    known = [(label, phrase, phrase.split(), [phrase]) for label, phrase in PHRASES] + [(label, "", text.split(), must) for label, text, must in TEXTS]
+    indexed = [[i for i, w in enumerate(words) if phrase or w not in FUNCTION_WORDS] for _, phrase, words, _ in known]
+    postings = ", ".join(f"({t}, {i}, '{known[t][2][i]}')" for t, some in enumerate(indexed) for i in some)
+    about = ", ".join(f"({t}, '{label}', {str(bool(phrase)).lower()}, {len(indexed[t]) if phrase else max(len(indexed[t]) // 2, 1)})" for t, (label, phrase, *_) in enumerate(known))
+    musts = ", ".join(f"({t}, {len(' '.join(words).split(must)[0].split())}, {len(must.split())}, '{must}')" for t, (*_, words, some) in enumerate(known) for must in some)
     return f"""
 WITH words AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
-posting(template, tpos, word, must) AS (VALUES {postings}),
-about(template, label, is_phrase, n_must, n_least) AS (VALUES {about}),
+posting(template, tpos, word) AS (VALUES {postings}),
+about(template, label, is_phrase, n_least) AS (VALUES {about}),
+phrase(template, begin, size, phrase) AS (VALUES {musts}),
 seen AS (SELECT r, unnest(w) AS word, unnest(range(len(w))) AS pos FROM words),
 idf AS (SELECT p.word, ln((1 + (SELECT count(*) FROM words)) / (1 + count(DISTINCT s.r))) + 1 AS idf FROM (SELECT DISTINCT word FROM posting) p LEFT JOIN seen s ON s.word = p.word GROUP BY p.word),
 weight AS (SELECT template, sum(idf) AS weight FROM posting JOIN idf USING (word) GROUP BY template),
-place AS (SELECT r, template, pos - tpos AS start, count(*) AS n, sum(must) AS musts, sum(idf) AS idf FROM seen JOIN posting USING (word) JOIN idf USING (word) WHERE pos >= tpos GROUP BY ALL),
-hit AS (SELECT r, start, label, is_phrase, least(1.0, idf / weight) AS score FROM place JOIN about USING (template) JOIN weight USING (template) WHERE musts = n_must AND n >= n_least)
+place AS (SELECT r, template, pos - tpos AS start, count(*) AS n, sum(idf) AS idf FROM seen JOIN posting USING (word) JOIN idf USING (word) WHERE pos >= tpos GROUP BY ALL),
+hit AS (SELECT r, start, label, is_phrase, least(1.0, idf / weight) AS score FROM place JOIN about USING (template) JOIN weight USING (template) JOIN words USING (r)
+  WHERE n >= n_least AND NOT EXISTS (SELECT 1 FROM phrase WHERE phrase.template = place.template AND array_to_string(w[start + begin + 1 : start + begin + size], ' ') <> phrase))
 SELECT doc_id, len(w)::BIGINT AS n_words, count(start) FILTER (is_phrase)::BIGINT AS n_base, min(start) FILTER (is_phrase)::BIGINT AS first_word, max(start) FILTER (is_phrase)::BIGINT AS last_word,
   coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (is_phrase), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, round(coalesce(max(score), 0.0), 6)::DOUBLE AS score
 FROM words LEFT JOIN hit USING (r) GROUP BY words.r, doc_id, w"""
