@@ -55,6 +55,27 @@ def test_license_phrases(docs):
     assert by_row(got) == by_row(want)
 
 
+def test_mandatory_phrases_hold_their_function_words(spark, tmp_path):
+    mit = next(text for label, text, _ in licenses.TEXTS if label == "mit-text")
+    other = "permission never hereby granted free no charge whatever never person obtaining a copy of this software and associated documentation files the software to deal never never software never restriction"
+    rows = [(1, mit), (2, other), (3, mit.replace("hereby granted free of", "hereby granted free or")), (4, mit.replace("without restriction", "with restriction")), (5, "x " + mit.replace("obtaining a copy", "obtaining one copy"))]
+    rows += [(10 + k, text) for k, (_, text, _) in enumerate(licenses.TEXTS)]
+    rows += [(100 + 100 * k + j, " ".join(w if i != j else "never" for i, w in enumerate(text.split()))) for k, (_, text, _) in enumerate(licenses.TEXTS) for j in range(0, len(text.split()), 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.scan(df).collect()}
+    assert [got[k] for k in range(1, 6)] == ["mit-text", "", "", "", "mit-text"]
+    for k, (label, text, must) in enumerate(licenses.TEXTS):
+        assert label in got[10 + k].split(",")
+        for j in range(0, len(text.split()), 2):
+            spoilt = dict(rows)[100 + 100 * k + j]
+            if not all(f" {m} " in f" {spoilt} " for m in must):
+                assert label not in got[100 + 100 * k + j].split(",")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert {r[0]: r[6] for r in con.execute(licenses.oracle()).fetchall()} == got
+
+
 def test_license_texts_are_found_by_position(spark):
     rows = [(1, MIT), (2, MIT.replace("restriction", "limit")), (3, "intro words here. " + MIT + " and more"), (4, " ".join(reversed(MIT.split())))]
     got = {r.doc_id: (r.labels, [p.start for p in r.places]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -156,6 +177,16 @@ def test_bare_keys_in_every_form():
     assert [k for *_, k in two] == ["der", "der"]
 
 
+def test_many_key_blocks_take_time_by_their_number():
+    pem = "-----BEGIN PRIVATE KEY-----\n" + base64.encodebytes(KEY).decode() + "-----END PRIVATE KEY-----\n"
+    def seconds(n):
+        began = time.process_time()
+        assert [k for *_, k in secret_scan.spans_of(pem * n)].count("pem") == n
+        return time.process_time() - began
+    seconds(10)
+    assert seconds(8000) < 8 * max(seconds(2000), 0.05)
+
+
 def test_secrets_by_the_base_patterns(docs, spark):
     rng = random.Random(4)
     parts = ["token", "TOKEN", "=", ":", " ", '"', "'", "abcdef0123456789", "ff", "AKIA", "ABCDEFGHIJ0123456789", "password", "api_key", "apikey", "é", "\n", "passwd", "secret", "zz.-_/+="]

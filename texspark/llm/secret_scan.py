@@ -162,10 +162,12 @@ def spans_of(text: str) -> list[tuple[int, int, str]]:
             if m.start() >= at and is_signed_token(m[1]):
                 at = m.end(1)
                 found.append((m.start(), at, "jwt"))
-    at = 0
+    at, ended = 0, 0  # ended: blocks that end before the candidate
     keys = [(m.start(), base64_key_end) for m in _DER.finditer(text)] + [(m.start(), hex_key_end) for m in _HEX_DER.finditer(text)]
     for start, key_end in sorted(keys, key=lambda x: x[0]):  # a key holds sequences that look like keys, and a key block holds its key
-        if start >= at and not any(a <= start < b for a, b in blocks) and (end := key_end(text, start)):
+        while ended < len(blocks) and blocks[ended][1] <= start:
+            ended += 1
+        if start >= at and not (ended < len(blocks) and blocks[ended][0] <= start) and (end := key_end(text, start)):
             found.append((start, end, "der"))
             at = end
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
