@@ -2,9 +2,10 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 
-from texspark.operators import block_search, bptc
+from texspark.operators import block_search, bptc, search
 from texspark.operators.encode import BALANCED, WEIGHTS
 
 KEYS = ["texture_id", "bx"]
@@ -128,6 +129,18 @@ def test_least_squares_ends(spark, rounds):
         assert any((r.c0, r.c1) != tuple(sorted(seeds[k], reverse=True)) for k, r in got.items())
 
 
+@pytest.mark.parametrize("level", [2, 3, 5, 8])
+def test_bc1_levels_are_those_of_the_codec(spark, level):
+    some, wanted = blocks(), search.LEVELS[level]
+    some += [[(*p[:3], a) for p, a in zip(b, [200] * 9 + [100] * 7, strict=True)] for b in some[:12]]
+    out = block_search.encode_bc1(texels(spark, some), KEYS, wanted.axis, wanted.tries if level < 8 else 40, wanted.step, wanted.rounds)
+    assert "Python" not in out._jdf.queryExecution().toString()
+    got = by_block(out.collect())
+    array = np.array(some, dtype=np.uint8)
+    want = search.encode_array(array, "BC1", wanted if level < 8 else search.Level(wanted.axis, 40, wanted.step, 0, wanted.rounds))
+    assert [bytes(got[k].block) for k in range(len(some))] == [bytes(b) for b in want]
+
+
 def test_an_empty_table_has_no_blocks(spark):
     none = texels(spark, blocks()).where("t > 99")
     assert not block_search.farthest_pairs(none, KEYS).collect() and not block_search.principal_ends(none, KEYS).collect() and not block_search.partition_ranks(none, KEYS).collect()

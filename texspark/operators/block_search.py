@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from texspark.functions.expressions import Steps, apply
+from texspark.functions.expressions import Steps, apply, to_bytes
 from texspark.functions.palettes import color
 from texspark.operators import bptc
 from texspark.operators.encode import BALANCED, WEIGHTS
@@ -78,30 +78,64 @@ def principal_ends(texels: DataFrame, keys: list[str]) -> DataFrame:
     return apply(ends, steps).selectExpr(*keys, "CAST(lo.t AS INT) AS lo_t", "CAST(-hi.t AS INT) AS hi_t", f"CAST({_rgb565('hi_r', 'hi_g', 'hi_b')} AS INT) AS c0", f"CAST({_rgb565('lo_r', 'lo_g', 'lo_b')} AS INT) AS c1")
 
 
-#: For each entry of a palette of four colours, three times its share of the second endpoint.
-_SHARE = (0, 3, 1, 2)
+def _ordered(c0: str, c1: str, first: str, second: str) -> dict[str, str]:
+    """Endpoints in the order of their block: the smaller word first if it has transparent texels, else the larger."""
+    return {first: f"CASE WHEN clear THEN least({c0}, {c1}) ELSE greatest({c0}, {c1}) END", second: f"CASE WHEN clear THEN greatest({c0}, {c1}) ELSE least({c0}, {c1}) END"}
 
 
-def least_squares_ends(blocks: DataFrame, keys: list[str], rounds: int = 2) -> DataFrame:
-    """Rows (keys, c0, c1, error): opaque BC1 endpoints fitted by least squares.
+def _flags(threshold: int | None) -> dict[str, str]:
+    """Whether a block's red is constant, and whether it has texels of less alpha than the threshold."""
+    return {"flat": "aggregate(px, true, (same, x) -> same AND x.r = px[0].r)", "clear": "false" if threshold is None else f"exists(px, x -> x.a < {threshold})"}
+
+
+def _chosen(rows: DataFrame, threshold: int | None) -> DataFrame:
+    """rows (c0, c1, flat, clear, p_r, p_g, p_b, p_a) with `below`, the nearest palette entry `i` (3 below the threshold) and its weighted error (0 there); a null c0 has null errors."""
+    palette = color(False)
+    entry = lambda k, c: f"({palette[1][c].replace('i = ', f'{k} = ')})"
+    rows = apply(rows.withColumn("w", F.lit(0).cast("long")), palette[:1]).drop("i")
+    rows = apply(rows, [{f"w_{c}": f"CASE WHEN flat THEN {b}L ELSE {a}L END" for c, a, b in zip("rgb", WEIGHTS, BALANCED, strict=True)} | {"below": "false" if threshold is None else f"clear AND p_a < {threshold}"}])
+    for k in range(4):
+        rows = apply(rows, [{f"d_{c}": f"p_{c} - {entry(k, c)}" for c in "rgb"}, {f"e{k}": " + ".join(f"w_{c} * d_{c} * d_{c}" for c in "rgb")}]).drop("d_r", "d_g", "d_b")
+    index = "CASE WHEN below THEN 3 WHEN e0 <= e1 AND e0 <= e2 AND (clear OR e0 <= e3) THEN 0 WHEN e1 <= e2 AND (clear OR e1 <= e3) THEN 1 WHEN clear OR e2 <= e3 THEN 2 ELSE 3 END"
+    return apply(rows, [{"i": index, "error": "CASE WHEN c0 IS NULL THEN NULL WHEN below THEN 0L WHEN clear THEN least(e0, e1, e2) ELSE least(e0, e1, e2, e3) END"}])
+
+
+_PX = "inline(px) AS (t, p_r, p_g, p_b, p_a)"
+
+
+def neighbour_ends(blocks: DataFrame, keys: list[str], tries: int, step: int = 1, threshold: int | None = None) -> DataFrame:
+    """Rows (keys, c0, c1, error): the best of a block's endpoints and the first `tries` pairs of their neighbours, the first of equal ones.
+
+    blocks: (keys, px as gathered() makes it, c0, c1). Neighbours differ by up to `step`
+    levels in each channel and stay in range; they come in order of red, green and blue,
+    and those of the second endpoint change fastest. threshold: as in encode_bc1().
+    """
+    span = f"sequence(-{step}, {step})"
+    word = "shiftleft(shiftright({c}, 11) + dr, 11) | shiftleft((shiftright({c}, 5) & 63) + dg, 5) | (({c} & 31) + db)"
+    inside = "shiftright({c}, 11) + dr BETWEEN 0 AND 31 AND (shiftright({c}, 5) & 63) + dg BETWEEN 0 AND 63 AND ({c} & 31) + db BETWEEN 0 AND 31"
+    near = f"filter(flatten(transform({span}, dr -> flatten(transform({span}, dg -> transform({span}, db -> CASE WHEN {inside} THEN {word} END))))), v -> v IS NOT NULL)"
+    state = apply(blocks.select(*keys, "px", "c0", "c1"), [_flags(threshold), _ordered("c0", "c1", "s0", "s1"), {"near0": near.replace("{c}", "s0"), "near1": near.replace("{c}", "s1")}, {"wide": "size(near1)"}])
+    pairs = state.select("*", F.explode(F.expr(f"sequence(-1, least({tries}, size(near0) * wide) - 1)")).alias("p")).drop("c0", "c1")
+    pairs = apply(pairs, [{"n0": "CASE WHEN p < 0 THEN s0 ELSE near0[p div wide] END", "n1": "CASE WHEN p < 0 THEN s1 ELSE near1[p % wide] END"}, {n: f"CAST({t} AS BIGINT)" for n, t in _ordered("n0", "n1", "c0", "c1").items()}])
+    scored = _chosen(pairs.selectExpr(*keys, "flat", "clear", "p", "c0", "c1", _PX), threshold).groupBy(*keys, "p", "c0", "c1").agg(F.sum("error").alias("error"))
+    return scored.groupBy(*keys).agg(F.min(F.struct("error", "p", "c0", "c1")).alias("best")).selectExpr(*keys, "CAST(best.c0 AS INT) AS c0", "CAST(best.c1 AS INT) AS c1", "best.error AS error")
+
+
+def least_squares_ends(blocks: DataFrame, keys: list[str], rounds: int = 2, threshold: int | None = None) -> DataFrame:
+    """Rows (keys, c0, c1, error): BC1 endpoints fitted by least squares.
 
     blocks: (keys, px as gathered() makes it, c0, c1). In a round, texels take their
     nearest palette entry, the normal equations of that choice give new endpoints, and
     these are kept if the weighted error falls; a block whose error no longer falls, or is
-    zero, or whose texels all chose one entry, stays as it is. The larger word comes first.
+    zero, or whose texels all chose one entry, stays as it is. threshold: as in
+    encode_bc1(); None treats all blocks as opaque.
     """
-    flat = "aggregate(px, true, (same, x) -> same AND x.r = px[0].r)"
-    state = blocks.selectExpr(*keys, "px", f"{flat} AS flat", "CAST(NULL AS BIGINT) AS best0", "CAST(NULL AS BIGINT) AS best1", "CAST(NULL AS BIGINT) AS best_error", "CAST(greatest(c0, c1) AS BIGINT) AS c0", "CAST(least(c0, c1) AS BIGINT) AS c1")
-    palette = color(False)
-    entry = lambda k, c: f"({palette[1][c].replace('i = ', f'{k} = ')})"
-    own = [*keys, "flat", "best0", "best1", "best_error", "c0", "c1"]
+    state = apply(blocks.select(*keys, "px", F.col("c0").alias("s0"), F.col("c1").alias("s1")), [_flags(threshold), {n: f"CAST({t} AS BIGINT)" for n, t in _ordered("s0", "s1", "c0", "c1").items()} | {n: "CAST(NULL AS BIGINT)" for n in ("best0", "best1", "best_error")}])
+    own = [*keys, "flat", "clear", "best0", "best1", "best_error", "c0", "c1"]
     for last in [False] * rounds + [True]:
-        rows = apply(state.selectExpr(*own, "inline(px) AS (t, p_r, p_g, p_b, p_a)").withColumn("w", F.lit(0).cast("long")), palette[:1])
-        rows = apply(rows, [{f"w_{c}": f"CASE WHEN flat THEN {b}L ELSE {a}L END" for c, a, b in zip("rgb", WEIGHTS, BALANCED, strict=True)}])
-        for k in range(4):
-            rows = apply(rows, [{f"d_{c}": f"p_{c} - {entry(k, c)}" for c in "rgb"}, {f"e{k}": " + ".join(f"w_{c} * d_{c} * d_{c}" for c in "rgb")}]).drop("d_r", "d_g", "d_b")
-        share = f"CASE WHEN e0 <= e1 AND e0 <= e2 AND e0 <= e3 THEN {_SHARE[0]}L WHEN e1 <= e2 AND e1 <= e3 THEN {_SHARE[1]}L WHEN e2 <= e3 THEN {_SHARE[2]}L ELSE {_SHARE[3]}L END"
-        rows = apply(rows, [{"error": "least(e0, e1, e2, e3)", "y": share}, {"x": "3 - y"}])
+        rows = _chosen(state.selectExpr(*own, _PX), threshold)
+        # y: how many of d parts of the second endpoint the entry has.
+        rows = apply(rows, [{"y": "CASE WHEN below OR i = 0 THEN 0L WHEN i = 1 THEN CASE WHEN clear THEN 2L ELSE 3L END WHEN i = 2 THEN 1L ELSE 2L END"}, {"x": "CASE WHEN below THEN 0L WHEN clear THEN 2 - y ELSE 3 - y END"}])
         sums = {"xx": "x * x", "yy": "y * y", "xy": "x * y"} | {f"x{c}": f"x * p_{c}" for c in "rgb"} | {f"y{c}": f"y * p_{c}" for c in "rgb"}
         # A block that stays as it is has no candidate: its c0 is null, and so are its errors.
         summed = rows.groupBy(*own).agg(F.sum("error").alias("error"), *(F.sum(F.expr(text)).alias(f"s_{n}") for n, text in sums.items()), F.sort_array(F.collect_list(F.struct("t", F.col("p_r").alias("r"), F.col("p_g").alias("g"), F.col("p_b").alias("b"), F.col("p_a").alias("a")))).alias("px"))
@@ -111,11 +145,36 @@ def least_squares_ends(blocks: DataFrame, keys: list[str], rounds: int = 2) -> D
             return taken.selectExpr(*keys, "CAST(best0_ AS INT) AS c0", "CAST(best1_ AS INT) AS c1", "best_error_ AS error")
         rounded = lambda n, d: f"CASE WHEN {n} < 0 THEN -((-{n} + {d} div 2) div {d}) ELSE ({n} + {d} div 2) div {d} END"
         steps: Steps = [
-            {"det": "CASE WHEN better AND best_error_ > 0 AND s_xx * s_yy <> s_xy * s_xy THEN s_xx * s_yy - s_xy * s_xy END"},
-            {f"n0_{c}": f"3 * (s_x{c} * s_yy - s_y{c} * s_xy)" for c in "rgb"} | {f"n1_{c}": f"3 * (s_y{c} * s_xx - s_x{c} * s_xy)" for c in "rgb"},
+            {"det": "CASE WHEN better AND best_error_ > 0 AND s_xx * s_yy <> s_xy * s_xy THEN s_xx * s_yy - s_xy * s_xy END", "parts": "CASE WHEN clear THEN 2L ELSE 3L END"},
+            {f"n0_{c}": f"parts * (s_x{c} * s_yy - s_y{c} * s_xy)" for c in "rgb"} | {f"n1_{c}": f"parts * (s_y{c} * s_xx - s_x{c} * s_xy)" for c in "rgb"},
             {f"v{e}_{c}": _CLAMP.format(rounded(f"n{e}_{c}", "det")) for e in (0, 1) for c in "rgb"},
             {f"q{e}": f"CASE WHEN det IS NOT NULL THEN {_rgb565(f'v{e}_r', f'v{e}_g', f'v{e}_b')} END" for e in (0, 1)},
-            {"n0": "CASE WHEN NOT (greatest(q0, q1) = best0_ AND least(q0, q1) = best1_) THEN greatest(q0, q1) END", "n1": "least(q0, q1)"},
+            _ordered("q0", "q1", "o0", "o1"),
+            {"n0": "CASE WHEN NOT (o0 = best0_ AND o1 = best1_) THEN o0 END"},
         ]
-        state = apply(taken, steps).selectExpr(*keys, "px", "flat", "best0_ AS best0", "best1_ AS best1", "best_error_ AS best_error", "n0 AS c0", "CASE WHEN n0 IS NOT NULL THEN n1 END AS c1")
+        state = apply(taken, steps).selectExpr(*keys, "px", "flat", "clear", "best0_ AS best0", "best1_ AS best1", "best_error_ AS best_error", "n0 AS c0", "CASE WHEN n0 IS NOT NULL THEN o1 END AS c1")
     raise AssertionError
+
+
+def box_ends(blocks: DataFrame) -> DataFrame:
+    """blocks (px and others) with c0 and c1: the bounding box, drawn in by a sixteenth of its sides."""
+    ends = {f"{n}_{c}": f"CAST(array_{f}(transform(px, x -> x.{c})) AS INT)" for c in "rgb" for n, f in (("lo", "min"), ("hi", "max"))}
+    drawn = {f"{n}{c}": f"{n}_{c} {sign} shiftright(hi_{c} - lo_{c}, 4)" for c in "rgb" for n, sign in (("lo", "+"), ("hi", "-"))}
+    return apply(blocks, [ends, drawn]).selectExpr(*blocks.columns, f"{_rgb565('hir', 'hig', 'hib')} AS c0", f"{_rgb565('lor', 'log', 'lob')} AS c1")
+
+
+def encode_bc1(texels: DataFrame, keys: list[str], axis: bool = False, tries: int = 8, step: int = 1, rounds: int = 2, threshold: int = 128) -> DataFrame:
+    """BC1 blocks (keys, block): endpoints from the bounding box or the principal axis, their neighbours, then least squares.
+
+    The parameters are those of search.LEVELS; level 2 by default. A block with a texel of
+    less alpha than the threshold has three colours and transparency. Everything but the
+    first grouping happens where a block's rows are; joins are by block.
+    """
+    px = gathered(texels, keys)
+    seeded = box_ends(px) if not axis else px.join(principal_ends(texels, keys).select(*keys, "c0", "c1"), keys)
+    if tries:
+        seeded = px.join(neighbour_ends(seeded, keys, tries, step, threshold).select(*keys, "c0", "c1"), keys)
+    ends = least_squares_ends(seeded, keys, rounds, threshold).select(*keys, "c0", "c1")
+    rows = apply(px.join(ends, keys), [_flags(threshold)]).selectExpr(*keys, "flat", "clear", "CAST(c0 AS BIGINT) AS c0", "CAST(c1 AS BIGINT) AS c1", _PX)
+    words = _chosen(rows, threshold).withColumn("bits", F.expr("shiftleft(CAST(i AS BIGINT), 2 * CAST(t AS INT))")).groupBy(*keys, "c0", "c1").agg(F.sum("bits").alias("word"))
+    return words.select(*keys, F.concat(to_bytes(F.col("c0"), 2), to_bytes(F.col("c1"), 2), to_bytes(F.col("word"), 4)).alias("block"))

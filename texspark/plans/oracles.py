@@ -6,6 +6,8 @@ written as rows: texels joined to their blocks' endpoints, layouts as inline tab
 
 from __future__ import annotations
 
+import re
+
 from texspark.functions.expressions import duckdb
 from texspark.functions.palettes import alpha, color, signed_alpha
 from texspark.functions.pixels import to_snorm
@@ -213,24 +215,73 @@ def principal_ends(texels: str) -> str:
     return f'SELECT texture_id, bx::INT AS bx, "by"::INT AS "by", lo_t::INT AS lo_t, hi_t::INT AS hi_t, {word("h")} AS c0, {word("l")} AS c1 FROM {ends}'
 
 
-def least_squares(texels: str, rounds: int = 2) -> str:
-    """Endpoints of the shrunk bounding box, fitted again and again: a table of blocks for each round."""
-    cells = _cells(texels, False)
-    word = lambda r, g, b: f"(({r}) // 8 * 2048 + ({g}) // 4 * 32 + ({b}) // 8)::BIGINT"
-    lo, hi = ([f"min({c}) + (max({c}) - min({c})) // 16" for c in "rgb"], [f"max({c}) - (max({c}) - min({c})) // 16" for c in "rgb"])
-    parts = [f"cells AS (SELECT * FROM {cells})", f"round0 AS (SELECT {CELL}, min(r) = max(r) AS flat, greatest({word(*hi)}, {word(*lo)}) AS c0, least({word(*hi)}, {word(*lo)}) AS c1, NULL::BIGINT AS best0, NULL::BIGINT AS best1, NULL::BIGINT AS best FROM cells GROUP BY {CELL})"]
+def _seeds(transparent: bool) -> str:
+    """Table seed (block, flat, clear, c0, c1) over cells: the shrunk bounding box; blocks with clear texels have the smaller word first."""
+    word = lambda ends: f"({ends[0]} // 8 * 2048 + {ends[1]} // 4 * 32 + {ends[2]} // 8)::BIGINT"
+    lo, hi = ([f"(min({c}) + (max({c}) - min({c})) // 16)" for c in "rgb"], [f"(max({c}) - (max({c}) - min({c})) // 16)" for c in "rgb"])
+    clear = "min(a) < 128" if transparent else "false"
+    return f"seed AS (SELECT {CELL}, flat, clear, CASE WHEN clear THEN least(h, l) ELSE greatest(h, l) END AS c0, CASE WHEN clear THEN greatest(h, l) ELSE least(h, l) END AS c1 FROM (SELECT {CELL}, min(r) = max(r) AS flat, {clear} AS clear, {word(hi)} AS h, {word(lo)} AS l FROM cells GROUP BY {CELL}))"
+
+
+def _nearest(source: str, more: str = "") -> str:
+    """Texels of cells beside the endpoints of a table (block, flat, clear, c0, c1): the nearest entry i and its error e, none for texels that are cut out."""
     palette = color(False)
+    rows = f"(SELECT {CELL}, t, r AS p_r, g AS p_g, b AS p_b, clear AND a < 128 AS below, flat, clear, c0, c1{more}, 0 AS w FROM cells JOIN {source} USING ({CELL}) WHERE c0 IS NOT NULL)"
+    entry = lambda i, c: f"(p_{c} - ({palette[1][c].replace('i = ', f'{i} = ')}))"
+    errors = {f"e{i}": " + ".join(f"(CASE WHEN flat THEN {b} ELSE {a} END) * {entry(i, c)} * {entry(i, c)}" for c, a, b in zip("rgb", WEIGHTS, BALANCED, strict=True)) for i in range(4)}
+    best = {"near": "CASE WHEN clear THEN least(e0, e1, e2) ELSE least(e0, e1, e2, e3) END"}
+    return duckdb(rows, [{k: v for k, v in palette[0].items() if k != "i"}, errors, best, {"pick": "CASE WHEN below THEN 3 WHEN e0 = near THEN 0 WHEN e1 = near THEN 1 WHEN e2 = near THEN 2 ELSE 3 END", "e": "CASE WHEN below THEN 0 ELSE near END"}])
+
+
+def _grid(tries: int) -> str:
+    """Table grid: the best of the seeds and the first pairs of their neighbours by one level."""
+    offsets = ", ".join(f"({k}, {k // 9 - 1}, {k // 3 % 3 - 1}, {k % 3 - 1})" for k in range(27))
+    near = lambda c: f"(SELECT {CELL}, row_number() OVER (PARTITION BY {CELL} ORDER BY k) - 1 AS at, count(*) OVER (PARTITION BY {CELL}) AS wide, (({c} >> 11) + dr) * 2048 + ((({c} >> 5) & 63) + dg) * 32 + ({c} & 31) + db AS v FROM seed, (VALUES {offsets}) o(k, dr, dg, db) WHERE ({c} >> 11) + dr BETWEEN 0 AND 31 AND (({c} >> 5) & 63) + dg BETWEEN 0 AND 63 AND ({c} & 31) + db BETWEEN 0 AND 31)"
+    pairs = f"SELECT {CELL}, x.at * y.wide + y.at AS p, x.v AS x, y.v AS y FROM {near('c0')} x JOIN {near('c1')} y USING ({CELL}) WHERE x.at * y.wide + y.at < {tries}"
+    ordered = f"SELECT {CELL}, flat, clear, p, CASE WHEN clear THEN least(x, y) ELSE greatest(x, y) END AS c0, CASE WHEN clear THEN greatest(x, y) ELSE least(x, y) END AS c1 FROM ({pairs}) JOIN (SELECT {CELL}, flat, clear FROM seed) USING ({CELL})"
+    tried = f"tried AS (SELECT {CELL}, flat, clear, -1 AS p, c0, c1 FROM seed UNION ALL {ordered})"
+    scores = f"scores AS (SELECT {CELL}, flat, clear, p, c0, c1, sum(e) AS error FROM {_nearest('tried', ', p')} GROUP BY ALL)"
+    return f"{tried}, {scores}, grid AS (SELECT {CELL}, flat, clear, c0, c1 FROM scores QUALIFY row_number() OVER (PARTITION BY {CELL} ORDER BY error, p) = 1)"
+
+
+def _fitted(source: str, rounds: int) -> tuple[list[str], str]:
+    """Tables of the rounds of least squares over a table of endpoints, and the last one: (block, flat, clear, best0, best1, best)."""
+    word = lambda r, g, b: f"(({r}) // 8 * 2048 + ({g}) // 4 * 32 + ({b}) // 8)::BIGINT"
+    parts = [f"round0 AS (SELECT {CELL}, flat, clear, c0, c1, NULL::BIGINT AS best0, NULL::BIGINT AS best1, NULL::BIGINT AS best FROM {source})"]
     for k in range(rounds + 1):
-        rows = f"(SELECT {CELL}, t, r AS p_r, g AS p_g, b AS p_b, c0, c1, flat, 0 AS w FROM cells JOIN round{k} USING ({CELL}) WHERE c0 IS NOT NULL)"
-        entry = lambda i, c: f"(p_{c} - ({palette[1][c].replace('i = ', f'{i} = ')}))"
-        errors = {f"e{i}": " + ".join(f"(CASE WHEN flat THEN {b} ELSE {a} END) * {entry(i, c)} * {entry(i, c)}" for c, a, b in zip("rgb", WEIGHTS, BALANCED, strict=True)) for i in range(4)}
-        chosen = [palette[0], errors, {"e": "least(e0, e1, e2, e3)"}, {"y": "(CASE WHEN e0 = e THEN 0 WHEN e1 = e THEN 3 WHEN e2 = e THEN 1 ELSE 2 END)::BIGINT"}, {"x": "3 - y"}]
+        shares = [{"y": "(CASE WHEN below OR pick = 0 THEN 0 WHEN pick = 1 THEN CASE WHEN clear THEN 2 ELSE 3 END WHEN pick = 2 THEN 1 ELSE 2 END)::BIGINT"}, {"x": "CASE WHEN below THEN 0 WHEN clear THEN 2 - y ELSE 3 - y END"}]
         sums = ", ".join([f"sum({a} * {b})::HUGEINT AS {a}{b}" for a, b in ("xx", "yy", "xy")] + [f"sum({a} * p_{c})::HUGEINT AS {a}{c}" for a in "xy" for c in "rgb"])
-        parts.append(f"fit{k} AS (SELECT {CELL}, sum(e)::BIGINT AS error, {sums} FROM {duckdb(rows, chosen)} GROUP BY {CELL})")
-        parts.append(f"kept{k} AS (SELECT *, error IS NOT NULL AND (best IS NULL OR error < best) AS better, xx * yy - xy * xy AS det FROM round{k} LEFT JOIN fit{k} USING ({CELL}))")
-        solved = lambda own, other, c, e: f"3 * ({own}{c} * {other}{other} - {other}{c} * xy)"
+        parts.append(f"fit{k} AS (SELECT {CELL}, sum(e)::BIGINT AS error, {sums} FROM {duckdb(_nearest(f'round{k}'), shares)} GROUP BY {CELL})")
+        parts.append(f"kept{k} AS (SELECT *, error IS NOT NULL AND (best IS NULL OR error < best) AS better, xx * yy - xy * xy AS det, CASE WHEN clear THEN 2 ELSE 3 END AS d FROM round{k} LEFT JOIN fit{k} USING ({CELL}))")
+        solved = lambda own, other, c: f"d * ({own}{c} * {other}{other} - {other}{c} * xy)"
         near = lambda v: f"greatest(0, least(255, sign({v}) * ((abs({v}) + det // 2) // det)))::BIGINT"
-        ends = [word(*(near(solved(own, other, c, 0)) for c in "rgb")) for own, other in (("x", "y"), ("y", "x"))]
-        parts.append(f"next{k} AS (SELECT {CELL}, flat, CASE WHEN better THEN c0 ELSE best0 END AS best0, CASE WHEN better THEN c1 ELSE best1 END AS best1, CASE WHEN better THEN error ELSE best END AS best, CASE WHEN better AND error > 0 AND det <> 0 THEN {ends[0]} END AS q0, CASE WHEN better AND error > 0 AND det <> 0 THEN {ends[1]} END AS q1 FROM kept{k})")
-        parts.append(f"round{k + 1} AS (SELECT {CELL}, flat, best0, best1, best, CASE WHEN greatest(q0, q1) <> best0 OR least(q0, q1) <> best1 THEN greatest(q0, q1) END AS c0, least(q0, q1) AS c1 FROM next{k})")
-    return f'WITH {", ".join(parts)} SELECT texture_id, bx::INT AS bx, "by"::INT AS "by", best0::INT AS c0, best1::INT AS c1, best AS error FROM next{rounds}'
+        ends = [word(*(near(solved(own, other, c)) for c in "rgb")) for own, other in (("x", "y"), ("y", "x"))]
+        parts.append(f"next{k} AS (SELECT {CELL}, flat, clear, CASE WHEN better THEN c0 ELSE best0 END AS best0, CASE WHEN better THEN c1 ELSE best1 END AS best1, CASE WHEN better THEN error ELSE best END AS best, CASE WHEN better AND error > 0 AND det <> 0 THEN {ends[0]} END AS q0, CASE WHEN better AND error > 0 AND det <> 0 THEN {ends[1]} END AS q1 FROM kept{k})")
+        parts.append(f"order{k} AS (SELECT *, CASE WHEN clear THEN least(q0, q1) ELSE greatest(q0, q1) END AS o0, CASE WHEN clear THEN greatest(q0, q1) ELSE least(q0, q1) END AS o1 FROM next{k})")
+        parts.append(f"round{k + 1} AS (SELECT {CELL}, flat, clear, best0, best1, best, CASE WHEN o0 <> best0 OR o1 <> best1 THEN o0 END AS c0, o1 AS c1 FROM order{k})")
+    return parts, f"next{rounds}"
+
+
+def _once(sql: str) -> str:
+    """The text with its tables made once each, however often they are read."""
+    return re.sub(r"\b(cells|seed|tried|scores|grid|(?:round|fit|kept|next|order)\d) AS \(SELECT", r"\1 AS MATERIALIZED (SELECT", sql)
+
+
+def least_squares(texels: str, rounds: int = 2) -> str:
+    """Endpoints of the shrunk bounding box, fitted again and again: a table of blocks for each round."""
+    parts, last = _fitted("seed", rounds)
+    return _once(f'WITH cells AS (SELECT * FROM {_cells(texels, False)}), {_seeds(False)}, {", ".join(parts)} SELECT texture_id, bx::INT AS bx, "by"::INT AS "by", best0::INT AS c0, best1::INT AS c1, best AS error FROM {last}')
+
+
+def searched_bc1(texels: str, tries: int, rounds: int) -> str:
+    """BC1 blocks (texture_id, bx, by, block in hex): the bounding box, its neighbours by one level, least squares."""
+    parts, last = _fitted("grid", rounds)
+    ends = f"(SELECT {CELL}, flat, clear, best0 AS c0, best1 AS c1 FROM {last})"
+    words = f"(SELECT {CELL}, c0, c1, sum(pick::BIGINT << (2 * t)::INT)::BIGINT AS w FROM {_nearest(ends)} GROUP BY ALL)"
+    block = " || ".join([_le_hex("c0", 2), _le_hex("c1", 2), _le_hex("w", 4)])
+    return _once(f'WITH cells AS (SELECT * FROM {_cells(texels, False)}), {_seeds(True)}, {_grid(tries)}, {", ".join(parts)} SELECT texture_id, bx::INT AS bx, "by"::INT AS "by", {block} AS block FROM {words}')
+
+
+def searched_payloads(texels: str, tries: int, rounds: int) -> str:
+    """The same as payloads of surfaces: their bytes and digests."""
+    return f'SELECT texture_id, (octet_length(unhex(string_agg(block, \'\' ORDER BY "by", bx))))::BIGINT AS bytes, sha256(unhex(string_agg(block, \'\' ORDER BY "by", bx))) AS digest FROM ({searched_bc1(texels, tries, rounds)}) GROUP BY texture_id'

@@ -304,11 +304,14 @@ def _principal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _least_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Endpoints of the fastest level (the shrunk bounding box), fitted in two rounds."""
-    px = block_search.gathered(_cells(spark, sf_dir), _CELL)
-    ends = {f"{n}_{c}": f"CAST(array_{f}(transform(px, x -> x.{c})) AS INT)" for c in "rgb" for n, f in (("lo", "min"), ("hi", "max"))}
-    drawn = {f"{n}{c}": f"{n}_{c} {sign} shiftright(hi_{c} - lo_{c}, 4)" for c in "rgb" for n, sign in (("lo", "+"), ("hi", "-"))}
-    seeded = apply(px, [ends, drawn, {"c0": block_search._rgb565("hir", "hig", "hib"), "c1": block_search._rgb565("lor", "log", "lob")}])
-    return block_search.least_squares_ends(seeded.select(*_CELL, "px", "c0", "c1"), _CELL)
+    return block_search.least_squares_ends(block_search.box_ends(block_search.gathered(_cells(spark, sf_dir), _CELL)), _CELL)
+
+
+def _planned(level: int) -> Query:
+    """BC1 blocks of a level, as a plan."""
+    wanted = search.LEVELS[level]
+    run = lambda texels: block_search.encode_bc1(texels, _CELL, wanted.axis, wanted.tries, wanted.step, wanted.rounds)
+    return lambda spark, sf_dir: run(_cells(spark, sf_dir)).select(*_CELL, F.hex("block").alias("block"))
 
 
 def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -391,7 +394,7 @@ def queries() -> dict[str, Query]:
         out |= {f"{kind}_round_trip": _round_trip(kind), f"{kind}_formats": _container_formats(kind), f"{kind}_header_rows": _header_rows(kind)}
         out |= {f"{kind}_source": _source(kind), f"{kind}_source_headers": _source(kind, headers=True)}
     out |= {"bptc_fields": _fields, "bptc_words": _words, "farthest_rgba": _farthest("rgba"), "farthest_rgb": _farthest("rgb")}
-    out |= {"partition_rank2": _ranked(2, 8, 64), "partition_rank3": _ranked(3, 4, 16), "principal_ends": _principal, "least_squares_bc1": _least_squares}
+    out |= {"partition_rank2": _ranked(2, 8, 64), "partition_rank3": _ranked(3, 4, 16), "principal_ends": _principal, "least_squares_bc1": _least_squares, "plan_bc1_level2": _planned(2)}
     return out
 
 
@@ -416,5 +419,6 @@ def oracle_sql() -> dict[str, str]:
         out |= {f"{kind}_source": _source_sql(kind), f"{kind}_source_headers": _source_sql(kind, headers=True)}
     out |= {"bptc_fields": _fields_sql(), "bptc_words": _words_sql()} | {f"farthest_{c}": oracles.farthest(_texels_sql(), c) for c in ("rgb", "rgba")}
     out |= {"partition_rank2": oracles.ranked(_texels_sql(), 2, 8, 64), "partition_rank3": oracles.ranked(_texels_sql(), 3, 4, 16)}
-    out |= {"principal_ends": oracles.principal_ends(_texels_sql()), "least_squares_bc1": oracles.least_squares(_texels_sql())}
+    out |= {"principal_ends": oracles.principal_ends(_texels_sql()), "least_squares_bc1": oracles.least_squares(_texels_sql()), "plan_bc1_level2": oracles.searched_bc1(_texels_sql(), 8, 2)}
+    out["search_bc1_level2"] = oracles.searched_payloads(_texels_sql(), 8, 2)
     return out
