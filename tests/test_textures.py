@@ -23,6 +23,21 @@ def test_images_come_back_from_containers(spark, fmt, container, least):
     assert every.groupBy("path", "face", "mip").count().count() == 7 * 3
 
 
+def test_each_format_is_decoded_from_surfaces_that_are_parsed_once(spark):
+    texels = fixtures.image(spark, "opaque", 8, 8)
+    names = ["RGBA8", "BC1", "BC7", "R8"]
+    files = [textures.encode_textures(texels.withColumn("texture_id", F.lit(k)), name, level=1).selectExpr("CAST(texture_id AS STRING) AS path", "content") for k, name in enumerate(names)]
+    parsed = containers.parse_files(files[0].union(files[1]).union(files[2]).union(files[3]), strict=True)
+    out = textures.decode_textures(parsed)
+    assert "mapInArrow" not in out._jdf.queryExecution().toString() and "MapInArrow" not in out._jdf.queryExecution().toString()
+    assert {(r.path, r.format): r["count"] for r in out.groupBy("path", "format").count().collect()} == {(str(k), name): 64 for k, name in enumerate(names)}
+    assert {r.format for r in textures.decode_textures(parsed, formats=["R8", "BC7"]).select("format").distinct().collect()} == {"R8", "BC7"}
+
+
+def test_levels_out_of_range_count_as_the_nearest():
+    assert search.Level(False, -5, 0, -1, -2) == search.Level(False, 0, 1, 0, 0)
+
+
 def test_a_surface_is_encoded_by_many_tasks(spark):
     """Blocks of one surface are spread over tasks, and give what the whole surface gives."""
     texels = fixtures.image(spark, "opaque", 130, 70)

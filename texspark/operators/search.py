@@ -26,7 +26,7 @@ BLOCKS = 4096  # that one step handles
 
 @dataclass(frozen=True)
 class Level:
-    """Principal axis or bounding box first; grid pairs tried and their step; alpha grid tries; least-squares rounds."""
+    """Principal axis or bounding box first; grid pairs tried and their step; alpha grid tries; least-squares rounds. Numbers below 0, and steps below 1, count as those."""
 
     axis: bool
     tries: int
@@ -34,6 +34,10 @@ class Level:
     alpha_tries: int
     rounds: int
 
+    def __post_init__(self):
+        for name, least in (("tries", 0), ("step", 1), ("alpha_tries", 0), ("rounds", 0)):
+            object.__setattr__(self, name, max(least, getattr(self, name)))
+
 
 # What the ten quality levels search.
 LEVELS = {

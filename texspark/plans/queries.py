@@ -368,6 +368,24 @@ def _header_rows_sql(container: str) -> str:
     return "SELECT texture_id, " + ", ".join(f"CAST({v} AS BIGINT) AS {n}" for n, v in values.items()) + " FROM (SELECT CAST(o_orderkey AS BIGINT) AS texture_id FROM orders)"
 
 
+#: Sizes of a header for each order.
+SIZES = {"width": "1 + k % 4096", "height": "1 + c % 2048", "mips": "k % 13"}
+
+
+def _plain_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers of 32-bit textures of the orders' sizes."""
+    sizes = _keys(spark, sf_dir).selectExpr("k", *(f"{text} AS {name}" for name, text in SIZES.items()))
+    return containers.plain_dds_headers(sizes).select("k", F.hex("header").alias("header"))
+
+
+def _plain_headers_sql() -> str:
+    """The same, word by word, by the published layout."""
+    one = lambda at: f"CASE WHEN mips > 0 THEN {at} ELSE 0 END"
+    words = {0: 124, 1: f"4111 + {one(0x20000)}", 2: "height", 3: "width", 4: "width * 4", 6: "mips", 8: 0x31464E45, 18: 32, 19: 0x41, 21: 32, 22: 0xFF0000, 23: 0xFF00, 24: 0xFF, 25: 0xFF000000, 26: f"4096 + {one(0x400008)}"}
+    digits = " || ".join(oracles._le_hex(f"({words.get(k, 0)})::BIGINT", 4) for k in range(31))
+    return f"SELECT k, {digits} AS header FROM (SELECT k, {', '.join(f'{text} AS {name}' for name, text in SIZES.items())} FROM (SELECT {KEYS} FROM orders))"
+
+
 def _headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes read from the headers of DDS files of the orders' surfaces."""
     files = containers.build_files(_rasters(spark, sf_dir), "dds")
@@ -393,7 +411,7 @@ def queries() -> dict[str, Query]:
     for kind in ("dds", "ktx"):
         out |= {f"{kind}_round_trip": _round_trip(kind), f"{kind}_formats": _container_formats(kind), f"{kind}_header_rows": _header_rows(kind)}
         out |= {f"{kind}_source": _source(kind), f"{kind}_source_headers": _source(kind, headers=True)}
-    out |= {"bptc_fields": _fields, "bptc_words": _words, "farthest_rgba": _farthest("rgba"), "farthest_rgb": _farthest("rgb")}
+    out |= {"dds_plain_headers": _plain_headers, "bptc_fields": _fields, "bptc_words": _words, "farthest_rgba": _farthest("rgba"), "farthest_rgb": _farthest("rgb")}
     out |= {"partition_rank2": _ranked(2, 8, 64), "partition_rank3": _ranked(3, 4, 16), "principal_ends": _principal, "least_squares_bc1": _least_squares, "plan_bc1_level2": _planned(2)}
     return out
 
@@ -417,7 +435,7 @@ def oracle_sql() -> dict[str, str]:
     for kind in ("dds", "ktx"):
         out |= {f"{kind}_round_trip": _TEXELS_OUT, f"{kind}_formats": _container_formats_sql(kind), f"{kind}_header_rows": _header_rows_sql(kind)}
         out |= {f"{kind}_source": _source_sql(kind), f"{kind}_source_headers": _source_sql(kind, headers=True)}
-    out |= {"bptc_fields": _fields_sql(), "bptc_words": _words_sql()} | {f"farthest_{c}": oracles.farthest(_texels_sql(), c) for c in ("rgb", "rgba")}
+    out |= {"dds_plain_headers": _plain_headers_sql(), "bptc_fields": _fields_sql(), "bptc_words": _words_sql()} | {f"farthest_{c}": oracles.farthest(_texels_sql(), c) for c in ("rgb", "rgba")}
     out |= {"partition_rank2": oracles.ranked(_texels_sql(), 2, 8, 64), "partition_rank3": oracles.ranked(_texels_sql(), 3, 4, 16)}
     out |= {"principal_ends": oracles.principal_ends(_texels_sql()), "least_squares_bc1": oracles.least_squares(_texels_sql()), "plan_bc1_level2": oracles.searched_bc1(_texels_sql(), 8, 2)}
     out["search_bc1_level2"] = oracles.searched_payloads(_texels_sql(), 8, 2)

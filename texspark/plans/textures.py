@@ -11,6 +11,7 @@ from texspark.formats import FORMATS, format_of
 from texspark.functions.expressions import to_bytes
 from texspark.operators import bc6h, decode, encode, mips, search, surfaces
 from texspark.sources import containers
+from texspark.sources.shared import scratch
 
 TEXELS = [*surfaces.SURFACE, "x", "y", "r", "g", "b", "a"]
 
@@ -52,17 +53,24 @@ def decode_hdr_textures(found: DataFrame) -> DataFrame:
 def decode_textures(found: DataFrame, every_level: bool = False, formats: list[str] | None = None) -> DataFrame:
     """Texels (path, format, face, mip, width, height, x, y, r, g, b, a) of parsed surfaces: the first face and level, or all.
 
-    BC6H surfaces and rows with an error are left out; decode_hdr_textures() gives BC6H. formats: those that occur; if not told, they are
-    looked up (24 names at most). One narrow branch for each, none is shuffled.
+    BC6H surfaces and rows with an error are left out; decode_hdr_textures() gives BC6H.
+    formats: those that are wanted; if not told, all that occur. Unless it is one, the
+    surfaces are parsed once and written to the job's folder by format, so that each
+    format's branch reads its own. None is shuffled.
     """
+    spark = found.sparkSession
     wanted = found.where("error is null") if every_level else found.where("error is null and face = 0 and mip = 0")
-    wanted = wanted.withColumnRenamed("path", "texture_id")
-    names = [r.format for r in wanted.select("format").distinct().collect()] if formats is None else formats
+    wanted = wanted.select(F.col("path").alias("texture_id"), *surfaces.SURFACE[1:], "payload", "format")
+    if formats is None or len(formats) > 1:
+        folder = scratch(spark, "surfaces")
+        wanted.write.partitionBy("format").parquet(folder)
+        wanted = spark.read.schema(wanted.schema).parquet(folder)
+    names = [r.format for r in wanted.select("format").distinct().collect()] if formats is None else formats  # 24 at most
     parts = []
     for f in (f for f in FORMATS.values() if f.name in names and not f.name.startswith("BC6H")):
         own = wanted.where(F.col("format") == f.name)
         texels = surfaces.placed(decode.decode_blocks(surfaces.to_blocks(own, f.name), f.name)) if f.compressed else decode.unpack_pixels(surfaces.to_pixels(own, f.name), f.name)
         parts.append(texels.select(F.col("texture_id").alias("path"), F.lit(f.name).alias("format"), *TEXELS[1:]))
     if not parts:
-        return found.sparkSession.createDataFrame([], "path string, format string, face int, mip int, width int, height int, x int, y int, r int, g int, b int, a int")
+        return spark.createDataFrame([], "path string, format string, face int, mip int, width int, height int, x int, y int, r int, g int, b int, a int")
     return reduce(DataFrame.unionByName, parts)

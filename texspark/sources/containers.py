@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from texspark.formats import FORMATS, Format, format_of, level_size
-from texspark.functions.expressions import little_endian
+from texspark.functions.expressions import little_endian, to_bytes
 
 SURFACES = "path string, container string, format string, n_faces int, n_mips int, is_srgb boolean, face int, mip int, width int, height int, payload binary, error string"
 #: Largest side and level count that a header may claim.
@@ -287,6 +287,22 @@ DX10_FIELDS = {"dxgi": 128, "dimension": 132, "misc": 136, "array_size": 140, "m
 KTX_FIELDS = {"endianness": 12, "gl_type": 16, "type_size": 20, "gl_format": 24, "gl_internal_format": 28, "gl_base_format": 32, "width": 36, "height": 40, "depth": 44, "array_elements": 48, "faces": 52, "mips": 56, "key_value_bytes": 60}
 
 
+# Marks of the plain header.
+PLAIN_MARK, PLAIN_MASKS = 0x31464E45, (0x00FF0000, 0x0000FF00, 0x000000FF, 0xFF000000)
+
+
+def plain_dds_headers(sizes: DataFrame) -> DataFrame:
+    """sizes (width, height, mips, any other columns) with header, the 124 bytes of a DDS header of 32-bit pixels by masks, as column expressions.
+
+    mips 0 stands for a header that doesn't tell levels. Null sizes have a null header.
+    """
+    many = F.col("mips") > 0
+    flags = F.lit(CAPS | HEIGHT | WIDTH | PITCH | PIXEL_FORMAT) + F.when(many, MIPS).otherwise(0)
+    caps = F.lit(TEXTURE) + F.when(many, COMPLEX | MIPMAP).otherwise(0)
+    words = [DDS_HEADER, flags, F.col("height"), F.col("width"), F.col("width").cast("long") * 4, 0, F.col("mips"), 0, PLAIN_MARK, *[0] * 9, 32, PF_RGB | PF_ALPHA, 0, 32, *PLAIN_MASKS, caps, *[0] * 4]
+    return sizes.withColumn("header", F.concat(*(to_bytes(F.lit(w) if isinstance(w, int) else w, 4) for w in words)))
+
+
 def dds_headers(files: DataFrame) -> DataFrame:
     """files of DDS kind with the fields of their headers, those of the DX10 header (null without one) among them, as column expressions; content is dropped."""
     head = F.substring(F.col("content"), 1, 148)
