@@ -14,6 +14,15 @@ def psnr(a: DataFrame, b: DataFrame, by: list[str], at: list[str], peak: float =
     left = a.select(*by, *at, *(F.col(c).alias(f"{c}_a") for c in "rgb"))
     right = b.select(*by, *at, *(F.col(c).alias(f"{c}_b") for c in "rgb"))
     square = sum(((F.col(f"{c}_a") - F.col(f"{c}_b")).cast("long") * (F.col(f"{c}_a") - F.col(f"{c}_b")) for c in "rgb"), F.lit(0))
-    sums = left.join(right, [*by, *at]).groupBy(*by).agg(F.sum(square).alias("_s"), F.count("*").alias("_n"))
+    return _ratio(left.join(right, [*by, *at]).groupBy(*by).agg(F.sum(square).alias("_s"), F.count("*").alias("_n")), by, peak)
+
+
+def block_psnr(texels: DataFrame, by: list[str], peak: float = 255.0) -> DataFrame:
+    """The same from decoded texels (t, r, g, b) that bear their source block as px, an array of sixteen texels in order: only sums are shuffled."""
+    square = " + ".join(f"(px[t].{c} - {c}) * (px[t].{c} - {c})" for c in "rgb")
+    return _ratio(texels.groupBy(*by).agg(F.sum(F.expr(f"CAST({square} AS BIGINT)")).alias("_s"), F.count("*").alias("_n")), by, peak)
+
+
+def _ratio(sums: DataFrame, by: list[str], peak: float) -> DataFrame:
     mean = F.col("_s") / (3 * F.col("_n"))
     return sums.select(*by, F.when(F.col("_s") == 0, F.lit(float("inf"))).otherwise(10 * F.log10(F.lit(peak * peak) / mean)).alias("psnr"))

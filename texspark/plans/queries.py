@@ -191,11 +191,10 @@ def _hdr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PSNR of the fastest BC1 encoding of all surfaces, by the key's last digit."""
-    cells = _cells(spark, sf_dir)
-    again = decode.decode_blocks(search.encode_surfaces(_block_rasters(spark, sf_dir), "BC1", 1).select(*_CELL, F.col("payload").alias("block")), "BC1")
-    group = (F.col("texture_id") % 10).alias("group")
-    pairs = [df.select(group, *_CELL, "t", "r", "g", "b") for df in (cells, again)]
-    return metrics.psnr(*pairs, ["group"], [*_CELL, "t"]).select("group", F.round("psnr", 4).alias("psnr"))
+    encoded = search.encode_surfaces(_block_rasters(spark, sf_dir), "BC1", 1).select(*_CELL, F.col("payload").alias("block"))
+    both = block_search.gathered(_cells(spark, sf_dir), _CELL).join(encoded, _CELL)
+    again = decode.decode_blocks(both.withColumn("group", F.col("texture_id") % 10), "BC1")
+    return metrics.block_psnr(again, ["group"]).select("group", F.round("psnr", 4).alias("psnr"))
 
 
 def _round_trip(container: str) -> Query:
