@@ -31,7 +31,7 @@ from texspark.llm.byte_bpe import read_ranks
 from texspark.llm.common import extended, given_back, saved, shared_dir, table, text_slices
 from texspark.llm.packing import PATTERN, encoder
 
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+_CUT = re.compile(r" (?=\S)(?<=\S )")  # a space first: it is what the search looks for
 #: Words that a worker remembers, bytes of text whose words are learned together, bytes of words that are encoded together, and pairs that it counts before it sorts them.
 MEMO, TOGETHER, JOINED, PENDING = 1 << 18, 8 << 20, 1 << 18, 1 << 22
 #: Links of a group that are made one by one; of larger groups, distinct ids are paired and the links counted.
@@ -126,9 +126,10 @@ def aligner(*paths: str) -> Aligner:
 def known_words(texts: list[str | None], index: dict[str, int], both: Aligner) -> tuple[list[list[str]], list[str], list[str] | None]:
     """The words of each text, those that the index lacks, and, if it holds too many, those of it that are to be kept."""
     words = [both.cut(t) if t else [] for t in texts]
-    met = {w for some in words for w in some}
-    new = [w for w in met if w not in index]
-    return words, new, [w for w in met if w in index] if len(index) > MEMO else None
+    met: set[str] = set()
+    for some in words:
+        met.update(some)
+    return words, list(met - index.keys()), [w for w in met if w in index] if len(index) > MEMO else None
 
 
 def ragged(ends: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -156,7 +157,7 @@ class Pairs:
             self.index |= zip(new, range(len(self.index), len(self.index) + len(new)), strict=True)
             self.good, self.ends, self.pairs = np.append(self.good, sizes[:, 0] > 0), np.append(self.ends, ends + len(self.pairs)), np.append(self.pairs, pairs)
         for some in words:
-            at = np.unique(np.array([self.index[w] for w in some], np.int64))
+            at = np.unique(np.fromiter(map(self.index.__getitem__, some), np.int64, len(some)))
             yield np.unique(self.pairs[ragged(self.ends, at)]) if self.good[at].all() else self.pairs[:0]
 
 
@@ -183,9 +184,9 @@ class Alignments:
             self.sizes = np.concatenate([self.sizes, np.concatenate([sizes, np.diff(upto[np.append(0, ends)], axis=0)], axis=1)])
             self.texts += texts_
         for some in words:
-            at = np.array([self.index[w] for w in some], np.int64)
+            at = list(map(self.index.__getitem__, some))
             sizes = self.sizes[at]
-            yield (*sizes.sum(axis=0).tolist(), ";".join([self.texts[k] for k in at.tolist()])) if len(at) and sizes[:, 0].all() else (0, 0, 0, 0, 0, 0, "")
+            yield (*sizes.sum(axis=0).tolist(), ";".join(map(self.texts.__getitem__, at))) if len(at) and sizes[:, 0].all() else (0, 0, 0, 0, 0, 0, "")
 
 
 def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
