@@ -141,3 +141,37 @@ def test_the_bitmaps_bound_never_closes_a_group_with_a_link():
             assert all(k.all() for k in near_duplicates.may_link([bits[i]], [bits[j]], 80))
             assert near_duplicates.may_link(bits, None, 80)[0][[i, j]].all()
     assert not near_duplicates.may_link([bits[3]], [bits[0]], 80)[1].any()
+
+
+def test_common_tokens_are_known_however_documents_are_dealt(spark):
+    """A passage that each task meets once or twice must not bring its documents together: 40 of 60 words are shared, no two texts link."""
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(40)]
+    rows = [(i, " ".join([f"w{rng.randrange(10**9)}" for _ in range(20)] + passage)) for i in range(160)]
+    pairs = []
+    for parts in (1, 160):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        docs = docs.select(F.col("doc_id").alias("did"), F.xxhash64("text").alias("key"), "doc_id", "text")
+        matrix = near_duplicates.matrix_of(near_duplicates.described(docs, 5, 80))
+        pairs.append(matrix.groupBy("token").count().agg(F.sum(F.expr("count * (count - 1) div 2"))).first()[0] or 0)
+    assert pairs[0] == pairs[1] <= len(rows)
+
+
+def test_counts_of_tokens_are_those_of_a_plain_count(spark):
+    from collections import Counter
+
+    import numpy as np
+    import pyarrow as pa
+
+    rows = corpus(9)
+    sets = [s for s in near_duplicates.shingle_sets(pa.array([t for _, t, *_ in rows]), 5) if len(s) >= 4]
+    tokens = Counter(int(t) >> 24 for s in sets for t in s)
+    bands = Counter(int(b) >> 24 for s in sets for b in near_duplicates.bands_of(s))
+    levels, popular, n = near_duplicates.frequent(spark.createDataFrame(rows, DOCS).repartition(23), 5, 80)
+    assert dict(zip(popular.tolist(), n.tolist(), strict=True)) == {b: n for b, n in bands.items() if n >= 2}
+    want = {}
+    for t, k in tokens.items():
+        if k >= 4:
+            want[t >> 16] = max(want.get(t >> 16, 0), int(8 * np.log2(k)))
+    assert len(levels) == 1 << 24
+    assert {i: int(levels[i]) for i in np.flatnonzero(levels).tolist()} == want

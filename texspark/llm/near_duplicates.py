@@ -11,7 +11,8 @@ group is opened, and those of its members whose own bitmaps pass are compared wi
 class token by token, only if t |set| tokens may be common.
 
 Any order and any grouping give the same links. The order puts tokens that many documents
-share last, so that common lines and passages don't bring documents together. Groups are
+share last, so that common lines and passages don't bring documents together; for that, all
+tokens of all documents are counted. Groups are
 connected first: members of a cell (a group's part of a bounded size) are held against each
 other, and a few leaders of the group against all its cells. Whatever is connected then
 need not meet again: where two groups, or two cells of one, are held against each other,
@@ -33,8 +34,10 @@ from texspark.llm.components import components
 from texspark.llm.shingles import shingle_sets
 
 U = np.uint64
-#: Common tokens that the order puts last, and popular bands that make groups, at most; a task keeps summaries of as many counts.
-COMMON, POPULAR = 1 << 16, 1 << 18
+#: Popular bands that make groups, at most.
+POPULAR = 1 << 18
+#: Bits by which tokens are counted; parts, by the bits before the last 32 of these, that the counts travel in; and cells of a part, a byte each, by which the order knows tokens (16 MB in all).
+KNOWN_BITS, CELL_BITS, PARTS, CELLS = 40, 24, 1 << 8, 1 << 16
 #: Bands of two min-hashes each, from which a class takes its group.
 BANDS = 4
 #: Members of a cell at most (about), and leaders of a group that meet all its cells.
@@ -69,16 +72,6 @@ def needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def _pruned(tokens: np.ndarray, counts: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
-    """A mergeable summary of frequent tokens: the counts over the (keep + 1)-th, less that one."""
-    tokens, at = np.unique(tokens, return_inverse=True)
-    counts = np.bincount(at, weights=counts, minlength=len(tokens)).astype(np.int64)
-    if len(counts) > keep:
-        counts = counts - np.partition(counts, len(counts) - keep - 1)[len(counts) - keep - 1]
-        tokens, counts = tokens[counts > 0], counts[counts > 0]
-    return tokens, counts
-
-
 def bands_of(tokens: np.ndarray) -> np.ndarray:
     """A sorted set's min-hash bands: pairs of neighbours at fixed places of the hash range."""
     at = np.searchsorted(tokens, _BAND_AT) % len(tokens)
@@ -86,52 +79,101 @@ def bands_of(tokens: np.ndarray) -> np.ndarray:
         return tokens[at] * U(0x9E3779B97F4A7C15) ^ tokens[(at + 1) % len(tokens)]
 
 
-def frequent(docs: DataFrame, size: int, percent: int) -> tuple[np.ndarray, ...]:
-    """Tokens that stand in the prefixes of many documents and bands that many have: each sorted, with approximate counts.
+def counted(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """How many documents have each token and each band: rows (part, levels) and (band, n), for bands that two have or more.
 
-    Every document is counted; each task keeps summaries of COMMON and POPULAR counts, and
-    the lists have as many entries at most.
+    levels has the level() of each of a part's cells, in order: that of the cell's most
+    frequent token. band is a band's first KNOWN_BITS bits; bands, and tokens, that share
+    them count as one. Every token of every set that may be similar to a different one is
+    counted, and counts don't depend on how documents are dealt to tasks. They travel as
+    arrays.
     """
-    least, keep = smallest(percent), (COMMON, POPULAR)
+    least = smallest(percent)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [(np.zeros(0, U), np.zeros(0, np.int64))] * 2
-        waiting, held = [[], []], 0
+        waiting, held = ([], []), 0
 
-        def merged() -> list[tuple[np.ndarray, np.ndarray]]:
-            new = [np.concatenate([np.zeros(0, U), *w]) for w in waiting]
-            return [_pruned(np.concatenate([t, w]), np.concatenate([c, np.ones(len(w), np.int64)]), k) for (t, c), w, k in zip(kinds, new, keep, strict=True)]
+        def handed() -> Iterator[pa.RecordBatch]:
+            for kind, values in enumerate(waiting):
+                tokens, counts = np.unique(np.concatenate([np.zeros(0, U), *values]) >> U(64 - KNOWN_BITS), return_counts=True)
+                cuts = np.searchsorted(tokens, np.arange(PARTS + 1, dtype=U) << U(32))
+                some = np.flatnonzero(np.diff(cuts)).tolist()
+                blobs = [pa.array([x[cuts[k] : cuts[k + 1]].tobytes() for k in some], pa.binary()) for x in (tokens.astype(np.uint32), counts.astype(np.uint32))]
+                yield pa.record_batch({"part": pa.array([kind * PARTS + k for k in some], pa.int32()), "tokens": blobs[0], "counts": blobs[1]})
 
         for batch in batches:
             for part in text_slices(batch):
                 for s in shingle_sets(part.column("text"), size):
                     if len(s) >= least:
-                        waiting[0].append(s[: prefix(len(s), percent)])
+                        waiting[0].append(s)
                         waiting[1].append(bands_of(s))
-                        held += len(waiting[0][-1])
+                        held += len(s)
                 if held > 1 << 20:
-                    kinds, waiting, held = merged(), [[], []], 0
-        for kind, (tokens, counts) in enumerate(merged()):
-            some = counts > 1 - kind  # a band that one document of the task has may be another task's too
-            yield pa.record_batch({"kind": pa.array([kind] * int(some.sum()), pa.int32()), "token": pa.array(tokens[some].view(np.int64)), "n": pa.array(counts[some])})
-
-    counts = docs.select("text").mapInArrow(count, "kind int, token long, n long").groupBy("kind", "token").agg(F.sum("n").alias("n"))
-    counts = saved(counts.where("n >= if(kind = 0, 4, 2)"), "frequent")
-    out = []
-    for kind in (0, 1):
-        own = counts.where(F.col("kind") == kind)
-        steps = own.groupBy("n").count().orderBy(F.desc("n")).limit(keep[kind]).collect()  # sizes of the list by its least count
-        at_least, total = 1 << 62, 0
-        for row in steps:
-            if total + row["count"] > keep[kind]:
-                break
-            total, at_least = total + row["count"], row.n
-        found = own.where(F.col("n") >= at_least).toArrow()
-        tokens, n = found["token"].to_numpy().view(U), found["n"].to_numpy()
-        order = np.argsort(tokens)
-        out += [tokens[order], n[order]]
+                    yield from handed()
+                    waiting, held = ([], []), 0
+        yield from handed()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Arrays that come part by part; one part is held at a time."""
+        at, tokens, counts, waiting, held = None, np.zeros(0, np.uint32), np.zeros(0, np.int64), [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            found, which = np.unique(np.concatenate([tokens, *(x for x, _ in waiting)]), return_inverse=True)
+            return found, np.bincount(which, weights=np.concatenate([counts, *(n for _, n in waiting)]), minlength=len(found)).astype(np.int64)
+
+        def done() -> pa.RecordBatch:
+            found, n = merged()
+            if at >= PARTS:
+                some = n >= 2
+                band, n = found[some].astype(np.int64) + (at - PARTS << 32), n[some]
+                return pa.record_batch({"part": pa.nulls(len(n), pa.int32()), "levels": pa.nulls(len(n), pa.binary()), "band": pa.array(band), "n": pa.array(n)})
+            levels = np.zeros(CELLS, np.uint8)
+            np.maximum.at(levels, found >> np.uint32(16), level(n))
+            return pa.record_batch({"part": pa.array([at], pa.int32()), "levels": pa.array([levels.tobytes()], pa.binary()), "band": pa.nulls(1, pa.int64()), "n": pa.nulls(1, pa.int64())})
+
+        for batch in batches:
+            for part, *blobs in zip(batch.column("part").to_pylist(), batch.column("tokens").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                if part != at:
+                    if at is not None:
+                        yield done()
+                    at, tokens, counts, waiting, held = part, tokens[:0], counts[:0], [], 0
+                waiting.append(tuple(np.frombuffer(x, np.uint32) for x in blobs))
+                held += len(waiting[-1][0])
+                if held > 1 << 22:
+                    (tokens, counts), waiting, held = merged(), [], 0
+        if at is not None:
+            yield done()
+
+    partial = docs.select("text").mapInArrow(count, "part int, tokens binary, counts binary")
+    return partial.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "part int, levels binary, band long, n long")
+
+
+def frequent(docs: DataFrame, size: int, percent: int) -> tuple[np.ndarray, ...]:
+    """The levels of all cells of tokens; and the bands that most documents have, POPULAR at most, sorted, with counts.
+
+    The driver sees PARTS * CELLS bytes, and 16 bytes for each of these bands.
+    """
+    counts = saved(counted(docs, size, percent), "frequent")
+    levels = np.zeros((PARTS, CELLS), np.uint8)
+    for row in counts.where("part is not null").select("part", "levels").collect():
+        levels[row.part] = np.frombuffer(row.levels, np.uint8)
+    own = counts.where("band is not null")
+    steps = own.groupBy("n").count().orderBy(F.desc("n")).limit(POPULAR).collect()  # sizes of the list by its least count
+    at_least, total = 1 << 62, 0
+    for row in steps:
+        if total + row["count"] > POPULAR:
+            break
+        total, at_least = total + row["count"], row.n
+    found = own.where(F.col("n") >= at_least).select("band", "n").toArrow()
+    bands, n = found["band"].to_numpy().view(U), found["n"].to_numpy()
+    order = np.argsort(bands)
     dropped(counts)
-    return tuple(out)
+    return levels.reshape(-1), bands[order], n[order]
+
+
+def level(n: np.ndarray) -> np.ndarray:
+    """A count in eighths of a power of two, as a byte; 0 for tokens of fewer than four documents, which are rare."""
+    return np.where(n < 4, 0, np.minimum(8 * np.log2(np.maximum(n, 1)), 255)).astype(np.uint8)
 
 
 def in_order(tokens: np.ndarray, first: int, common: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -193,7 +235,7 @@ def described(docs: DataFrame, size: int, percent: int) -> DataFrame:
     least = smallest(percent)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, counts, popular, sizes = known.value
+        levels, popular, sizes = known.value
         seen: set[bytes] = set()
         for batch in batches:
             for part in text_slices(batch):
@@ -204,8 +246,9 @@ def described(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     fp.append(digest)
                     gid.append(int.from_bytes(digest[:8], "big", signed=True) if digest else None)
                     bands = bands_of(s) if len(s) >= least else s[:0]
-                    at = np.searchsorted(popular, bands)
-                    hits = [(sizes[k], b) for k, b in zip(at.tolist(), bands.tolist(), strict=True) if k < len(popular) and popular[k] == b]
+                    short = bands >> U(64 - KNOWN_BITS)
+                    at = np.searchsorted(popular, short)
+                    hits = [(sizes[k], b) for k, b, x in zip(at.tolist(), bands.tolist(), short.tolist(), strict=True) if k < len(popular) and popular[k] == x]
                     if hits:
                         gid[-1] = int(U(max(hits)[1]).view(np.int64))
                     if digest is None or digest in seen:
@@ -216,7 +259,8 @@ def described(docs: DataFrame, size: int, percent: int) -> DataFrame:
                         seen.clear()
                     seen.add(digest)
                     bits.append(bitmap(s))
-                    for column, part_of in zip((rare, common), in_order(s, prefix(len(s), percent) if len(s) >= least else 0, tokens, counts), strict=True):
+                    own = levels[(s >> U(64 - CELL_BITS)).astype(np.int64)]
+                    for column, part_of in zip((rare, common), in_order(s, prefix(len(s), percent) if len(s) >= least else 0, s[own > 0], own[own > 0]), strict=True):
                         column.append(part_of.view(np.int64))
                 long, longs, binary = pa.int64(), pa.list_(pa.int64()), pa.binary()
                 yield pa.record_batch({"did": part.column("did"), "key": part.column("key"), "doc_id": part.column("doc_id"), "n": pa.array(n, long), "fp": pa.array(fp, binary), "gid": pa.array(gid, long), "bits": pa.array(bits, binary), "rare": pa.array(rare, longs), "common": pa.array(common, longs)})
