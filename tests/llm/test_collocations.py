@@ -95,3 +95,22 @@ def test_phrases_with_equal_hashes_count_apart(monkeypatch):
 
 def test_an_empty_table_has_no_rows(spark):
     assert collocations.collocations(spark.createDataFrame([], "text string, lang string")).collect() == []
+
+
+def test_partial_counts_do_not_grow_with_the_tasks(spark, monkeypatch):
+    """Twenty times the texts in twenty times the partitions: the second pass hands on no more rows than its bounded tasks hold phrases."""
+    rows, made = [("new york city hall", "en")] * 400, []
+    survivors = collocations.survivors
+    monkeypatch.setattr(collocations, "survivors", lambda *a: made.append(survivors(*a).localCheckpoint()) or made[-1])
+    for parts in (10, 200):
+        collocations.frequent(spark.createDataFrame(rows, "text string, lang string").repartition(parts), 5, 100)
+    tasks = collocations.TASKS * spark.sparkContext.defaultParallelism
+    assert [m.count() <= 10 * tasks for m in made] == [True, True]
+
+
+def test_counts_that_tasks_stow_and_hand_on_are_exact(spark, monkeypatch):
+    rows = rows_of(31)
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    for name, value in (("HELD", 5), ("KEPT", 40), ("TOGETHER", 200)):
+        monkeypatch.setattr(collocations, name, value)
+    assert sorted(map(tuple, collocations.collocations(docs, 5, 5, 100, 100).collect())) == sorted(plain(rows, 5, 5, 100, 100))

@@ -25,6 +25,8 @@ from texspark.llm.common import saved, table, text_slices
 BLOCK, MOST_CELLS, LOAD = 1 << 16, 1 << 25, 64
 #: Bytes of text whose words stand in one array, and phrases that a task counts before it hands them on.
 TOGETHER, HELD = 8 << 20, 1 << 18
+#: Tasks a core that read texts, at most, and distinct phrases whose counts a task of the second pass keeps in arrays before it hands them on.
+TASKS, KEPT = 2, 1 << 20
 #: Odd multipliers: of a word to the hash of a phrase, and of a phrase to its cells.
 STEP, ROWS = 0x9E3779B97F4A7C15, (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 # The marks that end a piece of text, next to line breaks.
@@ -134,11 +136,20 @@ def survivors(docs: DataFrame, longest: int, bits: int, marks) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, rows = _Words(), marks.value
         held: dict[tuple[str, bytes, int], int] = {}
+        kept: list[pa.Table] = []
 
-        def handed() -> pa.RecordBatch:
-            out = pa.record_batch({"lang": pa.array([k[0] for k in held], pa.string()), "phrase": pa.array([k[1].decode() for k in held], pa.string()), "words": pa.array([k[2] for k in held], pa.int32()), "n": pa.array(list(held.values()), pa.int64())})
+        def stowed() -> int:
+            """Put the counts held with those kept, one row for a phrase; how many are kept."""
+            columns = {"lang": pa.array([k[0] for k in held], pa.string()), "phrase": pa.array([k[1].decode() for k in held], pa.large_string()), "words": pa.array([k[2] for k in held], pa.int32()), "n": pa.array(list(held.values()), pa.int64())}
             held.clear()
-            return out
+            every = pa.concat_tables([*kept, pa.table(columns)])
+            kept[:] = [every.group_by(["lang", "phrase", "words"], use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select(["lang", "phrase", "words", "n"])]
+            return len(kept[0])
+
+        def handed() -> Iterator[pa.RecordBatch]:
+            stowed()
+            table = kept.pop()
+            yield from table.set_column(1, "phrase", table["phrase"].cast(pa.string())).to_batches(max_chunksize=1 << 16)
 
         for lang, at, hashes in _numbered(batches, words):
             spelled = list(words)
@@ -162,8 +173,8 @@ def survivors(docs: DataFrame, longest: int, bits: int, marks) -> DataFrame:
                 for key, k in zip(zip(*numbers, strict=True), counts.tolist(), strict=True):
                     name = lang, b" ".join([spelled[x] for x in key]), n
                     held[name] = held.get(name, 0) + k
-                if len(held) > HELD:
-                    yield handed()
+                if len(held) > HELD and stowed() > KEPT:
+                    yield from handed()
                 if n < longest:
                     alive = np.zeros(len(at) + 1, bool)
                     alive[places] = True
@@ -171,7 +182,7 @@ def survivors(docs: DataFrame, longest: int, bits: int, marks) -> DataFrame:
                     going = going[at[places[going] + n] != 0]
                     places = places[going]
                     phrases = _longer(phrases[going], hashes, places + n)
-        yield handed()
+        yield from handed()
 
     return docs.mapInArrow(run, "lang string, phrase string, words int, n long")
 
@@ -183,6 +194,7 @@ def frequent(docs: DataFrame, longest: int = 5, least: int = 100) -> tuple[DataF
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
+    rows = rows.coalesce(TASKS * spark.sparkContext.defaultParallelism)  # each task hands on a sketch and most frequent phrases, so that tasks don't grow in number with the texts
     phrases = longest * (rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0) / 6
     bits = (min(MOST_CELLS, max(1 << 12, int(phrases / LOAD))) - 1).bit_length()
     merged = saved(sketch(rows, longest, least, bits), "sketch")
@@ -208,7 +220,8 @@ def collocations(docs: DataFrame, longest: int = 5, least: int = 100, explained:
     table gives no rows; texts of any length are read whole. All counts are exact, the
     sketch only spares work: its two rows have at most MOST_CELLS cells, and with more than
     some 100 phrases for a cell it spares little. The driver sees a bit for each cell
-    (8 MB at most).
+    (8 MB at most). Texts are read by TASKS tasks a core, by Spark's default parallelism,
+    since each hands on a sketch and counts of most frequent phrases.
     """
     counts, totals = frequent(docs, longest, least)
     whole = counts.where("words > 1").withColumnRenamed("n", "a")
