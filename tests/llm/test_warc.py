@@ -89,3 +89,46 @@ def test_empty_table(spark, tmp_path):
     path = f"{tmp_path}/none"
     assert warc.write(spark.createDataFrame([], PAGES), path).collect() == []
     assert warc.read(spark, path).collect() == []
+
+
+def test_each_archive_is_read_at_most_twice(spark):
+    """Once for whole records and once for segments; pages are described without Python."""
+    plan = warc.op6_warc(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert 1 <= plan.count("binaryFile") <= 2
+    described = warc.digested(spark.createDataFrame([], PAGES))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in described
+
+
+def test_without_payloads_all_else_is_the_same(spark, tmp_path, small):
+    path = f"{tmp_path}/{uuid.uuid4().hex}"
+    pages = spark.createDataFrame([(i, "u", h, 7, "clash") for i, h in enumerate(["", None, "ab", LONG, LONG, "x" * 5000])], PAGES)
+    warc.write(pages, path).collect()
+    row = {"row": 99, "url": "u", "digest": "D", "payload_bytes": 2500, "refers_to": None, "html": "x" * 2500}
+    with open(f"{path}/cut.gz", "wb") as f:
+        f.write(gzip.compress(b"\r\n\r\n".join(list(warc.records(row))[1:])) + b"no archive")
+    full, bare = warc.read(spark, path), warc.read(spark, path, payloads=False)
+    assert sorted(set(full.columns) - set(bare.columns)) == ["payload"]
+    got = [sorted(map(str, df.select(*bare.columns).collect())) for df in (full, bare)]
+    assert got[0] == got[1] and len(got[0]) == 8
+
+
+def test_base32_in_sql(spark):
+    digests = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(200)] + ["0" * 40, "f" * 40, "0" * 39 + "1"]
+    got = spark.createDataFrame([(d,) for d in digests], "sha1 string").select("sha1", warc.base32("sha1").alias("b")).collect()
+    assert {r.sha1: r.b for r in got} == {d: base64.b32encode(bytes.fromhex(d)).decode() for d in digests}
+
+
+@pytest.mark.parametrize("piece", [1, 7, 1 << 20])
+def test_members_are_inflated_in_bounded_pieces(monkeypatch, piece):
+    monkeypatch.setattr(warc, "PIECE", piece)
+    members = [warc.record("resource", f"urn:{i}", b"z" * 3000) + b"\r\n\r\n" for i in range(3)]
+    whole = b"".join(map(gzip.compress, members))
+    assert [b for _, b in warc.parsed(whole)] == [b"z" * 3000] * 3
+    inflated = warc.Inflated(whole)
+    inflated.readinto(bytearray(1))
+    assert len(inflated.held) < piece + (piece == 1)
+    seen = []
+    with pytest.raises(ValueError):
+        for _, block in warc.parsed(whole[:-8]):  # the last member lacks its end
+            seen.append(len(block))
+    assert seen == [3000] * 3

@@ -20,13 +20,15 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from texspark.llm.common import saved, shared_dir, table, text_slices
 
 #: Bytes of a block that one record holds, of an HTTP chunk, and of records that one archive file holds (about).
 SEGMENT, CHUNK, ARCHIVE_RECORDS = 256 << 10, 16 << 10, 400
+#: Bytes that are inflated at a time.
+PIECE = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 _END = b"\r\n\r\n"
 
@@ -83,7 +85,7 @@ def records(row: dict) -> Iterator[bytes]:
         head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {row['payload_bytes']}\r\n\r\n".encode()
         yield record("revisit", name, head, **fields, Refers_To=f"<urn:page:{row['refers_to']}>", Profile="http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
         return
-    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked((row["html"] or "").encode())
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(html.encode() if isinstance(html := row["html"] or b"", str) else html)
     if len(block) <= SEGMENT:
         yield record("response", name, block, **fields)
         return
@@ -100,7 +102,7 @@ class Inflated(io.RawIOBase):
     """The bytes of gzip members, one after the other; `whole` tells whether they came to their end."""
 
     def __init__(self, content: bytes):
-        self.content, self.at, self.member, self.held, self.broken = memoryview(content), 0, None, b"", False
+        self.content, self.at, self.member, self.held, self.more, self.broken = memoryview(content), 0, None, memoryview(b""), False, False
 
     def readable(self) -> bool:
         return True
@@ -110,15 +112,16 @@ class Inflated(io.RawIOBase):
         return not self.broken and self.member is None
 
     def readinto(self, out) -> int:
-        while not self.held and not self.broken and self.at < len(self.content):
+        while not self.held and not self.broken and (self.more or self.at < len(self.content)):
             self.member = self.member or zlib.decompressobj(31)
             chunk = self.content[self.at : self.at + (1 << 16)]
             try:
-                self.held = self.member.decompress(chunk)
+                self.held = memoryview(self.member.decompress(chunk, PIECE))
             except zlib.error:
                 self.broken = True
                 break
-            self.at += len(chunk) - len(self.member.unused_data)
+            self.at += len(chunk) - len(self.member.unconsumed_tail or self.member.unused_data)
+            self.more = len(self.held) == PIECE and not self.member.eof
             if self.member.eof:
                 self.member = None
         n = min(len(out), len(self.held))
@@ -172,32 +175,35 @@ def base32_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def base32(sha1: Column) -> Column:
+    """Base32 of a SHA-1 given in hex: eight digits for every ten."""
+    eights = [F.lpad(F.conv(F.substring(sha1, at, 10), 16, 32), 8, "0") for at in range(1, 41, 10)]
+    return F.translate(F.concat(*eights), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+
+
+def digested(pages: DataFrame) -> DataFrame:
+    """pages as page_id, url, html, digest and payload_bytes.
+
+    None of the last three is null, for Spark either: else a join on the digest tests it at the scan, which makes it twice.
+    """
+    html = F.coalesce("html", F.lit(""))
+    digest = F.coalesce(base32(F.sha1(html)), F.lit(""))
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), digest.alias("digest"), F.octet_length(html).cast("long").alias("payload_bytes"))
+
+
 def plan(pages: DataFrame, least: int = 0) -> DataFrame:
-    """Records to write for pages (page_id, url, html): row (an id), page_id, url, digest, payload_bytes, refers_to (a row).
+    """Records to write for pages (page_id, url, html): row (an id), page_id, url, digest, payload_bytes, html, refers_to (a row).
 
     Of the rows with one payload of at least `least` bytes, that with the largest page_id
     is the response (nulls come first; of equal ids the last row); smaller payloads are
-    all responses.
+    all responses, and only these have their html here.
     """
-    described = saved(digested(pages, False).withColumn("row", F.monotonically_increasing_id()), "pages")
-    large = described.where(F.col("payload_bytes") >= least)
+    small = F.col("payload_bytes") < least
+    described = saved(digested(pages).withColumn("html", F.when(small, F.col("html"))).withColumn("row", F.monotonically_increasing_id()), "pages")
+    large = described.where(~small)
     best = large.groupBy("digest").agg(F.max(F.struct("page_id", "row")).alias("best")).select("digest", F.col("best.row").alias("first"))
     joined = large.join(best, "digest").withColumn("refers_to", F.when(F.col("row") != F.col("first"), F.col("first"))).drop("first")
-    return joined.unionByName(described.where(F.col("payload_bytes") < least).withColumn("refers_to", F.lit(None).cast("long")))
-
-
-def digested(pages: DataFrame, keep: bool) -> DataFrame:
-    """pages with page_id, url, digest and payload_bytes, and html if told."""
-
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_slices(batch, "html"):
-                raw = [(t or "").encode() for t in part.column("html").to_pylist()]
-                html = {"html": part.column("html")} if keep else {}
-                yield pa.record_batch({"page_id": part.column("page_id"), "url": part.column("url"), "digest": pa.array([base32_digest(r) for r in raw], pa.string()), "payload_bytes": pa.array([len(r) for r in raw], pa.int64()), **html})
-
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    return rows.mapInArrow(describe, "page_id long, url string, digest string, payload_bytes long" + ", html string" * keep)
+    return joined.unionByName(described.where(small).withColumn("refers_to", F.lit(None).cast("long")))
 
 
 def write(pages: DataFrame, path: str, least: int = 0) -> DataFrame:
@@ -209,23 +215,66 @@ def write(pages: DataFrame, path: str, least: int = 0) -> DataFrame:
     their own; an empty table writes no record; other columns are ignored.
     """
     planned = saved(plan(pages, least), "plan")
-    key = [F.coalesce("page_id", F.lit(-(1 << 63))).alias("key"), "digest"]
-    responses = planned.where("refers_to is null").select(*key, "row", "url", "payload_bytes", "refers_to")
-    # Copies share a digest but no id, so none gathers them; repeated rows are combined.
-    texts = digested(pages, True).select(*key, "html").join(responses.select("key", "digest").distinct(), ["key", "digest"], "left_semi").groupBy("key", "digest").agg(F.first("html").alias("html"))
     columns = ["row", "url", "digest", "payload_bytes", "refers_to"]
-    rows = responses.join(texts, ["key", "digest"]).select(*columns, "html").unionByName(planned.where("refers_to is not null").select(*columns, F.lit(None).cast("string").alias("html")))
+    lone = F.expr(f"refers_to is null and payload_bytes >= {least}")
+    # A task hands on one copy of a payload, so copies don't gather.
+    texts = digested(pages).where(F.col("payload_bytes") >= least).groupBy("digest").agg(F.first("html").alias("html"))
+    rows = planned.where(lone).select(*columns).join(texts, "digest").select(*columns, "html").unionByName(planned.where(~lone).select(*columns, "html"))
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, "html"):
+            utf8 = batch.set_column(batch.schema.get_field_index("html"), "html", batch.column("html").cast(pa.binary()))
+            for part in text_slices(utf8, "html"):
                 yield pa.record_batch({"value": pa.array([r for row in part.to_pylist() for r in records(row)], pa.binary()).cast(pa.string())})
 
     rows.mapInArrow(lines, "value string").write.option("lineSep", _END.decode()).option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
     return planned.select("row", "page_id")
 
 
-def read(spark, path: str) -> DataFrame:
+def entries(content: bytes) -> Iterator[tuple]:
+    """An archive's captures and their segments: record_id, kind, refers_to, url, payload_bytes, digest, number, total, block."""
+    bare = lambda name: name.strip("<> ") if name else None
+    for fields, block in parsed(content):
+        kind, size, digest = fields.get("warc-type", "").lower(), None, None
+        if kind not in ("response", "resource", "revisit", "continuation"):
+            continue
+        if kind == "revisit":
+            length = re.search(rb"(?i)\r\ncontent-length:[ \t]*(\d+)", block)
+            size, digest = int(length[1]) if length else None, fields.get("warc-payload-digest", "").removeprefix("sha1:") or None
+        name = bare(fields.get("warc-segment-origin-id" if kind == "continuation" else "warc-record-id"))
+        total = fields.get("warc-segment-total-length")
+        yield name, None if kind == "continuation" else kind, bare(fields.get("warc-refers-to")), fields.get("warc-target-uri"), size, digest, int(fields.get("warc-segment-number", 0)), None if total is None else int(total), block
+
+
+def capture(record_id: str | None, kind: str | None, refers_to: str | None, url: str | None, size: int | None, digest: str | None, block: bytes | None) -> tuple:
+    """What `read` gives for a whole record: record_id, kind, refers_to, url, payload_bytes, digest, whole, payload."""
+    payload = None
+    if kind != "revisit" and block is not None:
+        with contextlib.suppress(ValueError):
+            payload = payload_of(kind, block)
+    if payload is not None:
+        size, digest = len(payload), base32_digest(payload)
+    return record_id, kind, refers_to, url, size, digest, kind == "revisit" or payload is not None, payload
+
+
+def batches_of(rows: Iterator[tuple], schema: pa.Schema, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows, whose last value is the largest, in batches of about `limit` bytes; values past the schema's fields are left out."""
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=False)], schema=schema)
+
+    held, total = [], 0
+    for row in rows:
+        held.append(row)
+        total += len(row[-1] or b"") + 500
+        if total > limit:
+            yield batch()
+            held, total = [], 0
+    if held:
+        yield batch()
+
+
+def read(spark, path: str, payloads: bool = True) -> DataFrame:
     """The captures in a folder of WARC files (*.gz, *.warc), of any writer.
 
     Returns record_id and refers_to (as in the header, without angle brackets), kind
@@ -235,66 +284,52 @@ def read(spark, path: str) -> DataFrame:
     is null then. An archive that is damaged gives a row with kind `damaged` after the
     records that can be read. An archive is held whole by a task, and so is a payload. A
     folder without records gives no rows; repeated records are rows of their own unless
-    they are segments.
+    they are segments. Without `payloads` every payload is read and checked all the same,
+    but its column is left out, so that none leaves its task.
     """
-    entry = "record_id string, kind string, refers_to string, url string, payload_bytes long, digest string, number int, total long, block binary"
-    arrow = pa.schema([("record_id", pa.string()), ("kind", pa.string()), ("refers_to", pa.string()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("digest", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("block", pa.binary())])
-    bare = lambda name: name.strip("<> ") if name else None
-
-    def row_of(fields: dict[str, str], block: bytes) -> dict | None:
-        kind = fields.get("warc-type", "").lower()
-        if kind not in ("response", "resource", "revisit", "continuation"):
-            return None
-        name = bare(fields.get("warc-segment-origin-id") if kind == "continuation" else fields.get("warc-record-id"))
-        row = {"record_id": name, "kind": None if kind == "continuation" else kind, "refers_to": bare(fields.get("warc-refers-to")), "url": fields.get("warc-target-uri"), "payload_bytes": None, "digest": None, "number": int(fields.get("warc-segment-number", 0)), "total": int(fields["warc-segment-total-length"]) if "warc-segment-total-length" in fields else None, "block": block}
-        if kind == "revisit":
-            length = re.search(rb"(?i)\r\ncontent-length:[ \t]*(\d+)", block)
-            row |= {"payload_bytes": int(length[1]) if length else None, "digest": fields.get("warc-payload-digest", "").removeprefix("sha1:") or None}
-        return row
+    arrow = pa.schema([("record_id", pa.string()), ("kind", pa.string()), ("refers_to", pa.string()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("digest", pa.string()), ("whole", pa.bool_()), *[("payload", pa.binary())] * payloads])
+    row = "record_id string, kind string, refers_to string, url string, payload_bytes long, digest string, whole boolean" + ", payload binary" * payloads
+    arrow_part = pa.schema([("record_id", pa.string()), ("kind", pa.string()), ("url", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("block", pa.binary())])
+    part = "record_id string, kind string, url string, number int, total long, block binary"
+
+    def whole_of(content: bytes) -> Iterator[tuple]:
+        try:
+            for *head, number, _, block in entries(content):
+                if number == 0:
+                    yield capture(*head, block)
+        except ValueError:
+            yield None, "damaged", None, None, None, None, False, None
+
+    def segments_of(content: bytes) -> Iterator[tuple]:
+        with contextlib.suppress(ValueError):
+            for name, kind, _, url, _, _, number, total, block in entries(content):
+                if number > 0:
+                    yield name, kind, url, number, total, block
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column("content"):
+                yield from batches_of(whole_of(content.as_py()), arrow)
 
-    def records_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column("content"):
-                rows, held = [], 0
-                try:
-                    for fields, block in parsed(content.as_py()):
-                        if row := row_of(fields, block):
-                            rows.append(row)
-                            held += len(block)
-                        if held > 4 << 20:
-                            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
-                            rows, held = [], 0
-                except ValueError:
-                    rows.append(dict.fromkeys(arrow.names) | {"kind": "damaged", "number": 0})
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{gz,warc}").load(path)
-    entries = files.select("content").mapInArrow(records_of, entry)
+                yield from batches_of(segments_of(content.as_py()), arrow_part)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{gz,warc}").load(path).select("content")
 
     # Records that are cut: the segments of an origin, in order, if none is missing and their lengths make the total.
-    parts = entries.where("number > 0").groupBy("record_id").agg(F.max("kind").alias("kind"), F.max("url").alias("url"), F.max("total").alias("total"), F.count("*").alias("n"), F.max("number").alias("last"), F.sum(F.length("block")).alias("length"), F.sort_array(F.collect_list(F.struct("number", "block"))).alias("segments"))
+    parts = files.mapInArrow(segments, part).groupBy("record_id").agg(F.max("kind").alias("kind"), F.max("url").alias("url"), F.max("total").alias("total"), F.count("*").alias("n"), F.max("number").alias("last"), F.sum(F.length("block")).alias("length"), F.sort_array(F.collect_list(F.struct("number", "block"))).alias("segments"))
     sound = F.expr("kind is not null and n = last and length <=> total")
-    joined = parts.select("record_id", "kind", "url", F.when(sound, F.array_join(F.transform("segments", lambda s: F.hex(s.block)), "")).alias("hex")).withColumn("block", F.unhex("hex"))
-    none = [F.lit(None).cast(kind).alias(name) for name, kind in (("refers_to", "string"), ("payload_bytes", "long"), ("digest", "string"))]
-    columns = ["record_id", "kind", "refers_to", "url", "payload_bytes", "digest", "block"]
-    both = entries.where("number = 0").select(*columns).unionByName(joined.select("record_id", "kind", "url", "block", *none))
+    joined = parts.select("record_id", "kind", "url", F.when(sound, F.array_join(F.transform("segments", lambda s: F.hex(s.block)), "")).alias("hex")).select("record_id", "kind", "url", F.unhex("hex").alias("block"))
 
-    def captures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def reassembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            payloads, sizes, digests, whole = [], [], [], []
-            for i in range(batch.num_rows):
-                kind, block, payload = batch.column("kind")[i].as_py(), batch.column("block")[i].as_py(), None
-                if kind not in ("revisit", "damaged") and block is not None:
-                    with contextlib.suppress(ValueError):
-                        payload = payload_of(kind, block)
-                payloads.append(payload)
-                sizes.append(len(payload) if payload is not None else batch.column("payload_bytes")[i].as_py())
-                digests.append(base32_digest(payload) if payload is not None else batch.column("digest")[i].as_py())
-                whole.append(kind == "revisit" or payload is not None)
-            yield pa.record_batch({**{c: batch.column(c) for c in ("record_id", "kind", "refers_to", "url")}, "payload_bytes": pa.array(sizes, pa.int64()), "digest": pa.array(digests, pa.string()), "payload": pa.array(payloads, pa.binary()), "whole": pa.array(whole, pa.bool_())})
+            rows = (capture(name.as_py(), kind.as_py(), None, url.as_py(), None, None, block.as_py()) for name, kind, url, block in zip(*batch.columns, strict=True))
+            yield from batches_of(rows, arrow)
 
-    return both.mapInArrow(captures, "record_id string, kind string, refers_to string, url string, payload_bytes long, digest string, payload binary, whole boolean")
+    captures = files.mapInArrow(whole, row).unionByName(joined.mapInArrow(reassembled, row))
+    return captures.select("record_id", "kind", "refers_to", "url", "payload_bytes", "digest", *["payload"] * payloads, "whole")
 
 
 def op6_warc(spark, sf_dir: str) -> DataFrame:
@@ -302,11 +337,11 @@ def op6_warc(spark, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     rows = write(table(spark, sf_dir, "pages"), path)
     number = lambda name: F.regexp_extract(name, r"^urn:page:(\d+)$", 1).cast("long")
-    captures = read(spark, path).select(number("record_id").alias("row"), F.when(F.col("whole"), F.col("kind")).otherwise(F.raise_error(F.lit("a capture was not read back whole"))).alias("kind"), number("refers_to").alias("refers_to"), "payload_bytes", "digest")
-    named = captures.join(rows, "row")
+    captures = read(spark, path, payloads=False).select(number("record_id").alias("row"), F.when(F.col("whole"), F.col("kind")).otherwise(F.raise_error(F.lit("a capture was not read back whole"))).alias("kind"), number("refers_to").alias("refers_to"), "payload_bytes", "digest")
+    # One join for both kinds, or the archives would be read again for each; responses refer to a negative row of their own, which none has.
+    named = captures.join(rows, "row").withColumn("refers_to", F.coalesce("refers_to", -1 - F.col("row")))
     response = rows.select(F.col("row").alias("refers_to"), F.col("page_id").alias("refers_page"))
-    revisits = named.where("kind = 'revisit'").join(response, "refers_to")
-    out = revisits.select("page_id", "payload_bytes", "digest", "kind", "refers_page").unionByName(named.where("kind <> 'revisit'").select("page_id", "payload_bytes", "digest", "kind", F.lit(None).cast("long").alias("refers_page")))
+    out = named.join(response, "refers_to", "left")
     return out.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), F.col("refers_page").alias("refers_to"))
 
 
