@@ -17,9 +17,13 @@ def psnr(a: DataFrame, b: DataFrame, by: list[str], at: list[str], peak: float =
     return _ratio(left.join(right, [*by, *at]).groupBy(*by).agg(F.sum(square).alias("_s"), F.count("*").alias("_n")), by, peak)
 
 
-def block_psnr(texels: DataFrame, by: list[str], peak: float = 255.0) -> DataFrame:
-    """The same from decoded texels (t, r, g, b) that bear their source block as px, an array of sixteen texels in order: only sums are shuffled."""
-    square = " + ".join(f"(px[t].{c} - {c}) * (px[t].{c} - {c})" for c in "rgb")
+def block_psnr(texels: DataFrame, by: list[str], peak: float = 255.0, source: str = "px[t].{}") -> DataFrame:
+    """The same from decoded texels (t, r, g, b) that bear their source: only sums are shuffled.
+
+    source: SQL of its value in a channel; by default px is the source block, an array of
+    sixteen texels in order.
+    """
+    square = " + ".join(f"({source.format(c)} - {c}) * ({source.format(c)} - {c})" for c in "rgb")
     return _ratio(texels.groupBy(*by).agg(F.sum(F.expr(f"CAST({square} AS BIGINT)")).alias("_s"), F.count("*").alias("_n")), by, peak)
 
 

@@ -374,12 +374,41 @@ def encode_array(blocks: np.ndarray, fmt: str, level: int | Level = 6, threshold
     raise ValueError(f"no encoder for {name} yet")
 
 
+def tiles(images: np.ndarray) -> np.ndarray:
+    """The 4x4 blocks (n, 16, channels) of images (m, height, width, channels), row by row; the last column and row are repeated to fill them."""
+    if images.shape[1] % 4 or images.shape[2] % 4:
+        images = np.pad(images, ((0, 0), (0, -images.shape[1] % 4), (0, -images.shape[2] % 4), (0, 0)), mode="edge")
+    m, high, wide, channels = images.shape
+    return images.reshape(m, high // 4, 4, wide // 4, 4, channels).transpose(0, 1, 3, 2, 4, 5).reshape(-1, 16, channels)
+
+
 def blocks_of(rgba: bytes, width: int, height: int) -> np.ndarray:
     """A surface's 4x4 blocks (n, 16, 4), row by row; the last column and row are repeated to fill them."""
-    image = np.frombuffer(rgba, dtype=np.uint8).reshape(height, width, 4)
-    image = np.pad(image, ((0, -height % 4), (0, -width % 4), (0, 0)), mode="edge")
-    high, wide = image.shape[0] // 4, image.shape[1] // 4
-    return image.reshape(high, 4, wide, 4, 4).transpose(0, 2, 1, 3, 4).reshape(-1, 16, 4)
+    return tiles(np.frombuffer(rgba, dtype=np.uint8).reshape(1, height, width, 4))
+
+
+def alike(batch: pa.RecordBatch, column: str, dtype: str, channels: int) -> np.ndarray | None:
+    """A batch's surfaces (width, height and tight pixels) as one array (m, height, width, channels), if none is null and all have one size."""
+    data, width, height = batch.column(column), batch.column("width"), batch.column("height")
+    if not batch.num_rows or not pa.types.is_binary(data.type) or data.null_count or width.null_count or height.null_count:
+        return None
+    w, h = width[0].as_py(), height[0].as_py()
+    at = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1]
+    if w < 1 or h < 1 or (width.to_numpy() != w).any() or (height.to_numpy() != h).any() or (np.diff(at) != w * h * channels * np.dtype(dtype).itemsize).any():
+        return None
+    return np.frombuffer(data.buffers()[2], np.uint8)[at[0] : at[-1]].view(dtype).reshape(len(data), h, w, channels)
+
+
+def encode_batch(batch: pa.RecordBatch, column: str, dtype: str, channels: int, encode: Callable[[np.ndarray], np.ndarray]) -> pa.Array:
+    """Encoded payloads of a batch's surfaces; those of one size are cut into blocks together, others one by one."""
+    images = alike(batch, column, dtype, channels)
+    if images is not None:
+        blocks = tiles(images)
+        payload = np.concatenate([encode(blocks[k : k + BLOCKS]) for k in range(0, len(blocks), BLOCKS)])
+        return pa.FixedSizeBinaryArray.from_buffers(pa.binary(payload.size // len(images)), len(images), [None, pa.py_buffer(payload.tobytes())]).cast(pa.binary())
+    columns = zip(*(batch.column(c).to_pylist() for c in ("width", "height", column)), strict=True)
+    surfaces = [None if data is None else tiles(np.frombuffer(data, dtype).reshape(1, height, width, channels)) for width, height, data in columns]
+    return pa.array(encode_many(surfaces, encode), pa.binary())
 
 
 def encode_many(surfaces: list[np.ndarray | None], encode: Callable[[np.ndarray], np.ndarray]) -> list[bytes | None]:
@@ -417,10 +446,8 @@ def encode_surfaces(surfaces: DataFrame, fmt: str, level: int | Level = 6, thres
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = zip(*(batch.column(c).to_pylist() for c in ("width", "height", "rgba")), strict=True)
-            blocks = [None if rgba is None else blocks_of(rgba, width, height) for width, height, rgba in columns]
-            payloads = encode_many(blocks, lambda some: encode_array(some, name, level, threshold, weights))
-            yield pa.record_batch({c: batch.column(c) for c in keep} | {"format": pa.array([name] * batch.num_rows, pa.string()), "payload": pa.array(payloads, pa.binary())})
+            payloads = encode_batch(batch, "rgba", "u1", 4, lambda some: encode_array(some, name, level, threshold, weights))
+            yield pa.record_batch({c: batch.column(c) for c in keep} | {"format": pa.array([name] * batch.num_rows, pa.string()), "payload": payloads})
 
     schema = StructType([*(surfaces.schema[c] for c in keep), *StructType.fromDDL("format string, payload binary").fields])
     return surfaces.select(*keep, "rgba").mapInArrow(run, schema)
