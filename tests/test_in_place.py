@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from texspark.operators import decode, metrics, search
+from texspark.operators import block_search, bptc, decode, metrics, search
 from texspark.plans import queries
 
 KEYS = ["texture_id", "bx", "by"]
@@ -40,3 +40,31 @@ def test_surfaces_of_one_size_are_encoded_like_others(spark, sizes):
     found = search.encode_surfaces(spark.createDataFrame(rows, "id int, width int, height int, rgba binary").coalesce(1), "BC3", 2).collect()
     want = [None if i is None else search.encode_array(search.blocks_of(i.tobytes(), i.shape[1], i.shape[0]), "BC3", 2).tobytes() for i in images]
     assert {r.id: r.payload and bytes(r.payload) for r in found} == dict(enumerate(want))
+
+
+
+@pytest.mark.parametrize(("name", "subsets", "limit", "partitions"), [("partition_rank2", 2, 8, 64), ("partition_rank3", 3, 4, 16)])
+def test_partitions_are_ranked_without_a_shuffle(spark, orders, name, subsets, limit, partitions):
+    out = queries.queries()[name](spark, orders)
+    assert "Exchange" not in plan(out)
+    want = block_search.partition_ranks(queries._cells(spark, orders).where("texture_id IS NOT NULL"), KEYS, subsets, limit, partitions)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_ranks_of_large_and_missing_values(spark):
+    rng = np.random.default_rng(5)
+    some = rng.integers(-(1 << 24), 1 << 24, (3, 16, 4))
+    texels = [(k, t, *(int(x) for x in p)) for k, block in enumerate(some) for t, p in enumerate(block)] + [(3, t, 1, None if t == 9 else 2, 3, 4) for t in range(16)]
+    rows = spark.createDataFrame(texels, "id int, t int, r int, g int, b int, a int")
+    got = {}
+    for r in block_search.partition_ranks(rows, ["id"], 2, 3, 64).orderBy("rank").collect():
+        got.setdefault(r.id, []).append((r.part, r.score))
+    cut = lambda total, n: -(-total // n) if total < 0 else total // n
+    for k, block in enumerate(some.tolist()):
+        scores = []
+        for part, places in enumerate(bptc.partitions(2)[0].tolist()):
+            own = [[p for p, s in zip(block, places, strict=True) if s == half] for half in (0, 1)]
+            scores.append((sum((p[c] - cut(sum(q[c] for q in half), len(half))) ** 2 for half in own for p in half for c in range(4)), part))
+        assert got[k] == [(part, score) for score, part in sorted(scores)[:3]]
+    assert got[3] == [(0, None), (1, None), (2, None)]
+    assert not block_search.partition_ranks(rows, ["id"], 2, 0).collect()

@@ -1,54 +1,128 @@
-"""Searches within 4x4 blocks as plans: texel rows grouped by block, one shuffle, no Python.
+"""Searches within 4x4 blocks: texel rows grouped by block in one shuffle, or blocks as they come in none.
 
-Blocks come as sixteen texel rows (keys, t, r, g, b, a). gathered() puts them into one row
-each; what follows makes rows of pairs, partitions or texels of a block by generators and
-aggregates them by the same keys, so they stay where they are.
+Texels come as sixteen rows of a block (keys, t, r, g, b, a); gathered() puts them into
+one row each. Farthest texels and partition ranks are array operations over some thousand
+blocks, where these are. The others are plans without Python: generators make rows of
+pairs or texels of a block, aggregated by the same keys.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from texspark.functions.expressions import Steps, apply, to_bytes
 from texspark.functions.palettes import color
 from texspark.operators import bptc
 from texspark.operators.encode import BALANCED, WEIGHTS
 
+BLOCKS = 2048  # that one step handles
+
 
 def gathered(texels: DataFrame, keys: list[str]) -> DataFrame:
     """Rows (keys, px): a block's texels in order."""
     return texels.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("t", "r", "g", "b", "a"))).alias("px"))
 
 
+def _values(batch: pa.RecordBatch, channels: str) -> tuple[np.ndarray, np.ndarray]:
+    """Channels (n, 16, channels) of a batch's blocks, and which blocks (n) lack no value (others count as 0)."""
+    if "rgba" in batch.schema.names:
+        data = batch.column("rgba")
+        known = data.is_valid().to_numpy(zero_copy_only=False)
+        raw = np.frombuffer(b"".join(data.fill_null(bytes(64)).to_pylist()), np.uint8)
+        if len(raw) != 64 * len(known) or pc.any(pc.not_equal(pc.binary_length(data), 64)).as_py():
+            raise ValueError("a block has sixteen texels of four bytes")
+        return raw.reshape(-1, 16, 4)[:, :, ["rgba".index(c) for c in channels]].astype(np.int64), known
+    px = batch.column("px")
+    if px.null_count or pc.any(pc.not_equal(pc.list_value_length(px), 16)).as_py():
+        raise ValueError("a block has sixteen texels")
+    flat = px.flatten()
+    columns = [pc.struct_field(flat, c).cast(pa.int64()) for c in channels]
+    known = np.all([c.is_valid().to_numpy(zero_copy_only=False) for c in columns], axis=0).reshape(-1, 16).all(axis=1)
+    return np.stack([c.fill_null(0).to_numpy() for c in columns], axis=1).reshape(-1, 16, len(channels)), known
+
+
+def _searched(blocks: DataFrame, keys: list[str], channels: str, schema: str, rows: int, search: Callable[[np.ndarray], list[np.ndarray]]) -> DataFrame:
+    """Columns that a search over arrays of blocks finds, each (n, rows) and the last one null for a block that lacks a value."""
+    names = [f.name for f in StructType.fromDDL(schema).fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, BLOCKS):
+                batch = whole.slice(k, BLOCKS)
+                values, known = _values(batch, channels)
+                found = search(np.where(known[:, None, None], values, 0))
+                own = batch.select(keys).take(pa.array(np.repeat(np.arange(len(known)), rows))) if rows != 1 else batch.select(keys)
+                columns = dict(zip(names, (x.ravel() for x in found), strict=True))
+                columns |= {names[-1]: pa.array(columns[names[-1]], mask=~np.repeat(known, rows))}
+                yield pa.record_batch({c: own.column(c) for c in keys} | columns)
+
+    wide = StructType([*(blocks.schema[c] for c in keys), *StructType.fromDDL(schema).fields])
+    return blocks.select(*keys, "rgba" if "rgba" in blocks.columns else "px").mapInArrow(run, wide)
+
+
 def farthest_pairs(texels: DataFrame, keys: list[str], channels: str = "rgba") -> DataFrame:
-    """Rows (keys, i, j, distance): each block's two most distant texels by squared error over the channels, the first of equal pairs; equal texels give 0 and 1."""
-    pairs = gathered(texels, keys).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(14)))).withColumn("j", F.explode(F.expr("sequence(i + 1, 15)")))
-    square = " + ".join(f"(px[i].{c} - px[j].{c}) * (px[i].{c} - px[j].{c})" for c in channels)
-    best = pairs.selectExpr(*keys, "i", "j", f"CAST({square} AS BIGINT) AS distance").groupBy(*keys).agg(F.max(F.struct("distance", (-F.col("i")).alias("i"), (-F.col("j")).alias("j"))).alias("best"))
-    return best.selectExpr(*keys, "-best.i AS i", "-best.j AS j", "best.distance AS distance")
+    """farthest_in_blocks() of texel rows."""
+    return farthest_in_blocks(gathered(texels, keys), keys, channels)
+
+
+def farthest_in_blocks(blocks: DataFrame, keys: list[str], channels: str = "rgba") -> DataFrame:
+    """Rows (keys, i, j, distance): each block's two most distant texels by squared error over the channels, the first of equal pairs; equal texels give 0 and 1.
+
+    blocks: (keys, and px as gathered() makes it or the block's 64 bytes as rgba); no row
+    is shuffled. A block that lacks a value gives 0, 1 and null.
+    """
+    first, second = np.triu_indices(16, 1)
+
+    def search(v: np.ndarray) -> list[np.ndarray]:
+        distance = sum((v[:, first, c] - v[:, second, c]) ** 2 for c in range(v.shape[2]))
+        far = distance.argmax(axis=1)
+        return [first[far].astype(np.int32), second[far].astype(np.int32), distance[np.arange(len(v)), far]]
+
+    return _searched(blocks, keys, channels, "i int, j int, distance long", 1, search)
 
 
 def partition_ranks(texels: DataFrame, keys: list[str], subsets: int = 2, limit: int = 8, partitions: int = 64) -> DataFrame:
+    """partition_ranks_in_blocks() of texel rows."""
+    return partition_ranks_in_blocks(gathered(texels, keys), keys, subsets, limit, partitions)
+
+
+def partition_ranks_in_blocks(blocks: DataFrame, keys: list[str], subsets: int = 2, limit: int = 8, partitions: int = 64) -> DataFrame:
     """Rows (keys, rank, part, score): each block's `limit` best partitions into two (over r, g, b, a) or three subsets (over r, g, b).
 
     Score: the sum over subsets and channels of squared distances to the mean, which is
-    cut to an integer; equal scores by number of partition.
+    cut to an integer; equal scores by number of partition. blocks: as in
+    farthest_in_blocks(). A block that lacks a value has null scores.
     """
     if subsets not in (2, 3):
         raise ValueError("partitions have two or three subsets")
-    table = [{"t": t, "part": p, "s": s} for p, places in enumerate(bptc.partitions(subsets)[0][:partitions].tolist()) for t, s in enumerate(places)]
-    layout = F.broadcast(texels.sparkSession.createDataFrame(pa.Table.from_pylist(table), "t int, part int, s int"))  # 1,024 rows at most
-    channels = "rgba" if subsets == 2 else "rgb"
-    rows = texels.select(*keys, F.coalesce(F.col("t").cast("int"), F.lit(0)).alias("t"), *(F.col(c).cast("long").alias(c) for c in channels)).repartition(*keys).join(layout, "t")
-    sums = [F.sum(F.when(F.col("s") == s, F.col(c)).otherwise(0)).alias(f"{c}{s}") for s in range(subsets) for c in channels]
-    counts = [F.count(F.when(F.col("s") == s, 1)).alias(f"n{s}") for s in range(subsets)]
-    scored = rows.groupBy(*keys, "part").agg(*sums, *counts, F.sum(F.expr(" + ".join(f"{c} * {c}" for c in channels))).alias("squares"))
-    mean = lambda s, c: f"({c}{s} div n{s})"  # noqa: E731  no subset of a partition is empty
-    score = "squares + " + " + ".join(f"n{s} * {mean(s, c)} * {mean(s, c)} - 2 * {mean(s, c)} * {c}{s}" for s in range(subsets) for c in channels)
-    order = Window.partitionBy(*keys).orderBy("score", "part")
-    return scored.selectExpr(*keys, "part", f"{score} AS score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select(*keys, "rank", "part", "score")
+    table = bptc.partitions(subsets)[0][:partitions]
+    inside = [(table == s).T for s in range(subsets)]
+    rows = max(0, min(limit, len(table)))
+    numbers = np.arange(len(table))
+
+    def search(v: np.ndarray) -> list[np.ndarray]:
+        # Floats are exact below 2**53; they are multiplied far faster.
+        kind = np.float64 if np.abs(v).max(initial=0) < 1 << 20 else np.int64
+        v = v.astype(kind)
+        score = (v * v).sum(axis=(1, 2))[:, None]
+        for member in inside:
+            n = member.sum(axis=0).astype(kind)  # no subset of a partition is empty
+            for c in range(v.shape[2]):
+                total = v[:, :, c] @ member.astype(kind)
+                mean = np.trunc(total / n) if kind is np.float64 else np.sign(total) * (np.abs(total) // n)
+                score = score + mean * (n * mean - 2 * total)
+        score = score.astype(np.int64)
+        part = np.sort(score * 64 + numbers, axis=1)[:, :rows] & 63 if kind is np.float64 else np.argsort(score, axis=1, kind="stable")[:, :rows]
+        return [np.broadcast_to(np.arange(1, rows + 1, dtype=np.int32), part.shape), part.astype(np.int32), np.take_along_axis(score, part, axis=1)]
+
+    return _searched(blocks, keys, "rgba" if subsets == 2 else "rgb", "rank int, part int, score long", rows, search)
 
 
 _CLAMP = "greatest(0, least(255, {}))"
