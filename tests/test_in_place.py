@@ -81,3 +81,11 @@ def test_farthest_texels_are_found_without_a_shuffle(spark, orders, channels):
 def test_farthest_texels_of_a_block_that_lacks_a_value(spark):
     rows = spark.createDataFrame([(0, bytearray(range(64))), (1, None)], "id int, rgba binary")
     assert sorted(map(tuple, block_search.farthest_in_blocks(rows, ["id"]).collect())) == [(0, 0, 15, 4 * 60 * 60), (1, 0, 1, None)]
+
+
+def test_bc1_blocks_are_planned_in_their_own_rows(spark, orders):
+    out = queries.queries()["plan_bc1_level2"](spark, orders)
+    text = plan(out)
+    assert "Python" not in text and "Aggregate" not in text and "Join" not in text and text.count("Exchange") == 1 and "Exchange hashpartitioning(k#" in text
+    want = block_search.encode_bc1(queries._cells(spark, orders).where("texture_id IS NOT NULL"), KEYS).select(*KEYS, F.hex("block"))
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
