@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from texspark.operators import block_search, bptc, decode, metrics, search
+from texspark.functions.expressions import to_bytes
+from texspark.operators import bc6h, block_search, bptc, decode, metrics, search, surfaces
 from texspark.plans import queries
 
 KEYS = ["texture_id", "bx", "by"]
@@ -89,3 +90,31 @@ def test_bc1_blocks_are_planned_in_their_own_rows(spark, orders):
     assert "Python" not in text and "Aggregate" not in text and "Join" not in text and text.count("Exchange") == 1 and "Exchange hashpartitioning(k#" in text
     want = block_search.encode_bc1(queries._cells(spark, orders).where("texture_id IS NOT NULL"), KEYS).select(*KEYS, F.hex("block"))
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("name", ["search_bc3_level6", "search_bc6h_level2"])
+def test_surfaces_are_searched_where_they_are(spark, orders, name):
+    out = queries.queries()[name](spark, orders)
+    text = plan(out)
+    assert "Aggregate" not in text and text.count("Exchange") == 1 and "Exchange hashpartitioning(k#" in text
+    texels = queries._texels(spark, orders).where("texture_id IS NOT NULL")
+    if "bc3" in name:
+        want = search.encode_texels(texels, "BC3", 6)
+    else:
+        words = F.concat(*(to_bytes(F.expr(f"CAST({c} AS BIGINT) * 64"), 2) for c in "rgb"))
+        want = surfaces.encoded_by_block(surfaces.block_rasters(texels, "rgb16", words), lambda blocks: bc6h.encode_hdr_surfaces(blocks, signed=False, level=2))
+    assert {r.texture_id: r.digest for r in out.collect()} == {r.texture_id: r.d for r in want.select("texture_id", F.sha2("payload", 256).alias("d")).collect()}
+
+
+def test_errors_of_a_batch_and_of_some_of_its_blocks_agree():
+    rng = np.random.default_rng(9)
+    some = rng.integers(0, 256, (40, 16, 4), dtype=np.uint8)
+    colors = search.Colors(some, 128)
+    c0, c1 = colors.ordered(*rng.integers(0, 1 << 16, (2, 40)))
+    palette = search.color_palette(c0, c1)
+    error = ((colors.rgb[:, :, None, :] - palette[:, None]) ** 2 * colors.weights[:, None, None, :]).sum(axis=3)
+    error[colors.clear, :, 3] = 1 << 40
+    want = np.where(colors.below, 0, error.min(axis=2)).sum(axis=1)
+    rows = np.array([3, 4, 17, 39])
+    assert (colors.total(c0, c1) == want).all() and (colors.total(c0[rows], c1[rows], rows) == want[rows]).all()
+    assert (colors.nearest(c0, c1) == error.argmin(axis=2)).all()

@@ -65,6 +65,19 @@ def from_565(v: np.ndarray) -> np.ndarray:
     return np.stack([(r * 255 + 15) // 31, (g * 255 + 31) // 63, (b * 255 + 15) // 31], axis=-1)
 
 
+# Channels of five and six bits in eight.
+FIVE, SIX = ((np.arange(top + 1) * 255 + top // 2) // top for top in (31, 63))
+FIVE, SIX = FIVE.astype(np.int32), SIX.astype(np.int32)
+
+
+def palette_planes(c0: np.ndarray, c1: np.ndarray) -> list[list[np.ndarray]]:
+    """color_palette() as four entries of three arrays, one for each channel."""
+    a, b = ([FIVE[c >> 11 & 31], SIX[c >> 5 & 63], FIVE[c & 31]] for c in (c0, c1))
+    four = c0 > c1
+    third = [np.where(four, (2 * x + y + 1) // 3, (x + y) // 2) for x, y in zip(a, b, strict=True)]
+    return [a, b, third, [np.where(four, (x + 2 * y + 1) // 3, 0) for x, y in zip(a, b, strict=True)]]
+
+
 def color_palette(c0: np.ndarray, c1: np.ndarray) -> np.ndarray:
     """Four colours of each endpoint pair; the fourth is black if the pair is not in falling order."""
     a, b = from_565(c0), from_565(c1)
@@ -79,9 +92,12 @@ class Colors:
     def __init__(self, blocks: np.ndarray, threshold: int | None, weights: np.ndarray | None = None):
         self.rgb = blocks[:, :, :3].astype(np.int32)
         below = blocks[:, :, 3] < threshold if threshold is not None else np.zeros(blocks.shape[:2], dtype=bool)
-        self.clear, self.below = below.any(axis=1), below
+        self.clear, self.below, self.any_below = below.any(axis=1), below, bool(below.any())
         flat = (self.rgb[:, :, 0] == self.rgb[:, :1, 0]).all(axis=1)
         self.weights = (np.where(flat[:, None], BALANCED, GENERAL) if weights is None else np.broadcast_to(weights, (len(blocks), 3))).astype(np.int32)
+        self.planes = np.ascontiguousarray(self.rgb.transpose(2, 1, 0))  # channel, texel, block: blocks side by side are fast to add up
+        self.room = np.empty((5, *self.planes.shape[1:]), np.int32)
+        self.squares = sum(w * p * p for w, p in zip(self.weights.T, self.planes, strict=True))
 
     def ordered(self, c0: np.ndarray, c1: np.ndarray, rows=slice(None)) -> tuple[np.ndarray, np.ndarray]:
         """Falling order for opaque blocks, rising for others."""
@@ -89,20 +105,42 @@ class Colors:
         clear = self.clear[rows]
         return np.where(clear, low, high), np.where(clear, high, low)
 
-    def errors(self, c0: np.ndarray, c1: np.ndarray, rows=slice(None)) -> np.ndarray:
-        """Weighted squared error of each texel and palette entry; entries that a block can't use are out of reach."""
-        palette = color_palette(c0, c1).astype(np.int32)
-        difference = self.rgb[rows][:, :, None, :] - palette[:, None, :, :]
-        out = (difference * difference * self.weights[rows][:, None, None, :]).sum(axis=3, dtype=np.int64)
-        out[self.clear[rows], :, 3] = 1 << 40
+    def errors(self, c0: np.ndarray, c1: np.ndarray, rows=slice(None)) -> list[np.ndarray]:
+        """For each palette entry the weighted squared error of each texel (16, n), but for the texel's own square; entries that a block can't use are out of reach.
+
+        Weights are 1,024ths, so all fits in 32 bits. The arrays are used again by the next call.
+        """
+        weights, texels = self.weights[rows].T, self.planes[:, :, rows]
+        *out, part = (x[:, : texels.shape[2]] for x in self.room)
+        for error, entry in zip(out, palette_planes(c0, c1), strict=True):
+            own = sum(w * e * e for w, e in zip(weights, entry, strict=True))
+            for c in range(3):
+                np.multiply(texels[c], 2 * weights[c] * entry[c], out=part)
+                np.subtract(error if c else own, part, out=error)
+        out[3] += self.clear[rows].astype(np.int32) << 30
         return out
 
     def total(self, c0: np.ndarray, c1: np.ndarray, rows=slice(None)) -> np.ndarray:
-        least = self.errors(c0, c1, rows).min(axis=2)
-        return np.where(self.below[rows], 0, least).sum(axis=1)
+        errors = self.errors(c0, c1, rows)
+        least = errors[0]
+        for other in errors[1:]:
+            np.minimum(least, other, out=least)
+        least += self.squares[:, rows]
+        if self.any_below:
+            least[self.below[rows].T] = 0
+        return least.sum(axis=0, dtype=np.int64)
+
+    def nearest(self, c0: np.ndarray, c1: np.ndarray, rows=slice(None)) -> np.ndarray:
+        """Each texel's palette entry (n, 16), the first of equally near ones."""
+        errors = self.errors(c0, c1, rows)
+        least, index = errors[0], np.zeros(errors[0].shape, np.int64)
+        for k in (1, 2, 3):
+            index[errors[k] < least] = k
+            np.minimum(least, errors[k], out=least)
+        return index.T
 
     def indices(self, c0: np.ndarray, c1: np.ndarray) -> np.ndarray:
-        return np.where(self.below, 3, self.errors(c0, c1).argmin(axis=2))
+        return np.where(self.below, 3, self.nearest(c0, c1))
 
 
 def axis_ends(rgb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,7 +209,7 @@ def color_ends(colors: Colors, level: Level) -> tuple[np.ndarray, np.ndarray]:
         rows = np.flatnonzero(going)
         if not len(rows):
             break
-        near = colors.errors(c0[rows], c1[rows], rows).argmin(axis=2)
+        near = colors.nearest(c0[rows], c1[rows], rows)
         clear = colors.clear[rows][:, None]
         d = np.where(clear, 2, 3)
         b = np.where(clear, PARTS_OF_THREE[near], PARTS_OF_FOUR[near])
@@ -196,9 +234,10 @@ def _grid(colors: Colors, level: Level, c0: np.ndarray, c1: np.ndarray, best: np
             rows = np.flatnonzero(good0[:, i] & good1[:, j] & (tried < level.tries) & (best > 0))
             if not len(rows):
                 continue
-            n0, n1 = colors.ordered(near0[rows, i], near1[rows, j], rows)
-            error = colors.total(n0, n1, rows)
-            better = error < best[rows]
+            some = rows if len(rows) < len(c0) else slice(None)  # of a whole batch nothing is copied
+            n0, n1 = colors.ordered(near0[some, i], near1[some, j], some)
+            error = colors.total(n0, n1, some)
+            better = error < best[some]
             won = rows[better]
             c0[won], c1[won], best[won] = n0[better], n1[better], error[better]
             tried[rows] += 1
@@ -399,12 +438,12 @@ def alike(batch: pa.RecordBatch, column: str, dtype: str, channels: int) -> np.n
     return np.frombuffer(data.buffers()[2], np.uint8)[at[0] : at[-1]].view(dtype).reshape(len(data), h, w, channels)
 
 
-def encode_batch(batch: pa.RecordBatch, column: str, dtype: str, channels: int, encode: Callable[[np.ndarray], np.ndarray]) -> pa.Array:
+def encode_batch(batch: pa.RecordBatch, column: str, dtype: str, channels: int, encode: Callable[[np.ndarray], np.ndarray], size: int = BLOCKS) -> pa.Array:
     """Encoded payloads of a batch's surfaces; those of one size are cut into blocks together, others one by one."""
     images = alike(batch, column, dtype, channels)
     if images is not None:
         blocks = tiles(images)
-        payload = np.concatenate([encode(blocks[k : k + BLOCKS]) for k in range(0, len(blocks), BLOCKS)])
+        payload = np.concatenate([encode(blocks[k : k + size]) for k in range(0, len(blocks), size)])
         return pa.FixedSizeBinaryArray.from_buffers(pa.binary(payload.size // len(images)), len(images), [None, pa.py_buffer(payload.tobytes())]).cast(pa.binary())
     columns = zip(*(batch.column(c).to_pylist() for c in ("width", "height", column)), strict=True)
     surfaces = [None if data is None else tiles(np.frombuffer(data, dtype).reshape(1, height, width, channels)) for width, height, data in columns]
