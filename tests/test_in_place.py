@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from texspark.functions.expressions import to_bytes
 from texspark.operators import bc6h, block_search, bptc, decode, metrics, search, surfaces
 from texspark.plans import queries
+from texspark.sources import containers
 
 KEYS = ["texture_id", "bx", "by"]
 
@@ -118,3 +119,17 @@ def test_errors_of_a_batch_and_of_some_of_its_blocks_agree():
     rows = np.array([3, 4, 17, 39])
     assert (colors.total(c0, c1) == want).all() and (colors.total(c0[rows], c1[rows], rows) == want[rows]).all()
     assert (colors.nearest(c0, c1) == error.argmin(axis=2)).all()
+
+
+@pytest.mark.parametrize("kind", ["dds", "ktx"])
+def test_files_of_one_task_are_handed_on_together(spark, kind):
+    rng = np.random.default_rng(2)
+    data = [bytes(rng.integers(0, 256, 64, dtype=np.uint8)) for _ in range(40)]
+    rows = [(k, "RGBA8", 0, 0, 4, 4, bytearray(d)) for k, d in enumerate(data)]
+    files = containers.build_files(spark.createDataFrame(rows, "texture_id int, format string, face int, mip int, width int, height int, payload binary"), kind).coalesce(1)
+    broken = files.selectExpr("CAST(texture_id AS STRING) AS path", "CASE WHEN texture_id % 7 = 3 THEN substring(content, 1, 70) ELSE content END AS content")
+    found = {r.path: r for r in containers.parse_files(broken).collect()}
+    assert len(found) == 40 and all((r.error is not None) == (int(p) % 7 == 3) for p, r in found.items())
+    assert all(bytes(r.payload) == data[int(p)] and (r.format, r.face, r.n_mips) == ("RGBA8", 0, 1) for p, r in found.items() if not r.error)
+    head = bytes(files.first().content)[:148]
+    assert containers._layout(kind, head)[0] is containers._layout(kind, head)[0]  # equal headers are read once

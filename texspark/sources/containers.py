@@ -11,8 +11,10 @@ from __future__ import annotations
 import struct
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +25,8 @@ from texspark.functions.expressions import little_endian, to_bytes
 SURFACES = "path string, container string, format string, n_faces int, n_mips int, is_srgb boolean, face int, mip int, width int, height int, payload binary, error string"
 #: Largest side and level count that a header may claim.
 MAX_SIDE, MAX_MIPS = 1 << 16, 17
+#: Bytes of files whose surfaces are handed on together.
+PARSED = 1 << 23
 
 # Container signatures and flags.
 DDS_MAGIC, DDS_HEADER = b"DDS ", 124
@@ -112,13 +116,19 @@ def _levels(header: dict) -> list[tuple[int, int]]:
     return [(max(1, header["width"] >> k), max(1, header["height"] >> k)) for k in range(header["mips"])]
 
 
+@lru_cache(maxsize=1024)
+def _layout(container: str, head: bytes) -> tuple[dict, list[tuple[int, int, int]]]:
+    """What a file's first bytes say: its header, and its levels' sizes and bytes. Equal headers are read once."""
+    header = _checked((ktx_header if container == "ktx" else dds_header)(head))
+    return header, [(w, h, level_size(header["format"], w, h)) for w, h in _levels(header)]
+
+
 def parse_dds(data: bytes) -> tuple[dict, list[tuple[int, int, int, int, bytes]]]:
     """A DDS file's header and surfaces (face, mip, width, height, payload)."""
-    header = _checked(dds_header(data))
+    header, levels = _layout("dds", bytes(data[: 24 + DDS_HEADER]))
     fmt, at, out = header["format"], header["start"], []
     for face in range(header["faces"]):
-        for mip, (w, h) in enumerate(_levels(header)):
-            size = level_size(fmt, w, h)
+        for mip, (w, h, size) in enumerate(levels):
             if at + size > len(data):
                 raise ContainerError("payload is cut short")
             out.append((face, mip, w, h, _opaque(fmt, data[at : at + size])))
@@ -142,15 +152,15 @@ def _flipped(payload: bytes, stride: int, row: int, height: int, to_stride: int)
 
 def parse_ktx(data: bytes) -> tuple[dict, list[tuple[int, int, int, int, bytes]]]:
     """A KTX v1 file's header and surfaces; uncompressed rows come top down and without padding."""
-    header = _checked(ktx_header(data))
+    header, levels = _layout("ktx", bytes(data[:64]))
     fmt, at, out = header["format"], header["start"], []
-    for mip, (w, h) in enumerate(_levels(header)):
+    for mip, (w, h, bytes_) in enumerate(levels):
         if at + 4 > len(data):
             raise ContainerError("payload is cut short")
         (size,) = struct.unpack("<I", data[at : at + 4])
         at += 4
         row = w * fmt.size
-        least = level_size(fmt, w, h) if fmt.compressed else (row + -row % 4) * h
+        least = bytes_ if fmt.compressed else (row + -row % 4) * h
         size = size or least
         for face in range(header["faces"]):
             if size < least or at + size > len(data):
@@ -173,20 +183,30 @@ def parse_files(files: DataFrame, strict: bool = False) -> DataFrame:
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows, held = [], 0
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                yield pa.RecordBatch.from_pylist(list(rows(path, content.as_py() or b"")), schema=arrow)
-
-    def rows(path: str, data: bytes) -> Iterator[dict]:
+                data = content.as_py() or b""
+                rows += surfaces(path, data)
+                held += len(data)
+                if held >= PARSED:
+                    yield together(rows)
+                    rows, held = [], 0
+            if rows:
+                yield together(rows)
+
+    def together(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), arrow.types, strict=True)], schema=arrow)
+
+    def surfaces(path: str, data: bytes) -> list[tuple]:
         kind = "ktx" if data[:4] == KTX_MAGIC[:4] else "dds"
         try:
             header, found = (parse_ktx if kind == "ktx" else parse_dds)(data)
         except ContainerError as e:
             if strict:
                 raise
-            yield dict.fromkeys(arrow.names) | {"path": path, "container": kind, "error": str(e)}
-            return
-        for face, mip, w, h, payload in found:
-            yield {"path": path, "container": kind, "format": header["format"].name, "n_faces": header["faces"], "n_mips": header["mips"], "is_srgb": header["is_srgb"], "face": face, "mip": mip, "width": w, "height": h, "payload": payload, "error": None}
+            return [(path, kind, *[None] * 9, str(e))]
+        same = (path, kind, header["format"].name, header["faces"], header["mips"], header["is_srgb"])
+        return [(*same, *surface, None) for surface in found]
 
     kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
     arrow = pa.schema([(n, kinds[k]) for n, k in (f.split() for f in SURFACES.split(", "))])
@@ -242,6 +262,14 @@ def build_ktx(fmt: Format, width: int, height: int, faces: list[list[bytes]]) ->
     return ktx_head(fmt, width, height, len(faces), len(levels)) + b"".join(stored_level("ktx", fmt, max(1, width >> m), max(1, height >> m), face[m], k, len(faces)) for m in levels for k, face in enumerate(faces))
 
 
+@lru_cache(maxsize=1024)
+def _plan(container: str, name: str, width: int, height: int, n_faces: int, n_mips: int) -> tuple[bytes, Format, list[tuple[int, int, int]]]:
+    """The first bytes of a file, its format, and its levels' sizes and bytes."""
+    fmt = format_of(name)
+    sizes = [(max(1, width >> m), max(1, height >> m)) for m in range(n_mips)]
+    return (ktx_head if container == "ktx" else dds_head)(fmt, width, height, n_faces, n_mips), fmt, [(w, h, level_size(fmt, w, h)) for w, h in sizes]
+
+
 def build_files(surfaces: DataFrame, container: str) -> DataFrame:
     """Containers (texture_id, content) of surfaces (texture_id, format, face, mip, width, height, payload).
 
@@ -249,22 +277,32 @@ def build_files(surfaces: DataFrame, container: str) -> DataFrame:
     fail the query. One shuffle by texture; a row is one texture then.
     """
 
-    def content_of(rows: list[dict]) -> bytes:
-        fmt, base = format_of(rows[0]["format"]), rows[0]
-        n_faces, n_mips = rows[-1]["face"] + 1, max(r["mip"] for r in rows) + 1
-        if [(r["face"], r["mip"]) for r in rows] != [(f, m) for f in range(n_faces) for m in range(n_mips)] or n_faces not in (1, 6):
-            raise ContainerError("a texture has one or six faces with the same levels")
-        for r in rows:
-            w, h = max(1, base["width"] >> r["mip"]), max(1, base["height"] >> r["mip"])
-            if (r["width"], r["height"]) != (w, h) or len(r["payload"]) != level_size(fmt, w, h):
-                raise ContainerError("a level has the wrong size")
-        faces = [[r["payload"] for r in rows if r["face"] == f] for f in range(n_faces)]
-        return (build_dds if container == "dds" else build_ktx)(fmt, base["width"], base["height"], faces)
+    def content_of(faces: list[int], mips: list[int], widths: list[int], heights: list[int], name: str, payloads: list[bytes]) -> bytes:
+        n_faces, n_mips = faces[-1] + 1, max(mips) + 1
+        if n_faces not in (1, 6) or len(faces) != n_faces * n_mips:
+            raise ContainerError(orderly)
+        head, fmt, levels = _plan(container, name, widths[0], heights[0], n_faces, n_mips)
+        if faces != [f for f in range(n_faces) for _ in levels] or mips != [*range(n_mips)] * n_faces:
+            raise ContainerError(orderly)
+        if list(zip(widths, heights, map(len, payloads), strict=True)) != levels * n_faces:
+            raise ContainerError("a level has the wrong size")
+        if container == "dds":
+            return head + b"".join([_opaque(fmt, p) for p in payloads])
+        return head + b"".join([stored_level("ktx", fmt, w, h, payloads[f * n_mips + m], f, n_faces) for m, (w, h, _) in enumerate(levels) for f in range(n_faces)])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch({"texture_id": batch.column("texture_id"), "content": pa.array([content_of(s.as_py()) for s in batch.column("surfaces")], pa.binary())})
-
+            surfaces_ = batch.column("surfaces")
+            flat = surfaces_.flatten()
+            face, mip, width, height, name, payload = (pc.struct_field(flat, n).to_pylist() for n in ("face", "mip", "width", "height", "format", "payload"))
+            content, at = [], 0
+            for n in pc.list_value_length(surfaces_).to_pylist():
+                own = slice(at, at + n)
+                content.append(content_of(face[own], mip[own], width[own], height[own], name[at], payload[own]))
+                at += n
+            yield pa.record_batch({"texture_id": batch.column("texture_id"), "content": pa.array(content, pa.binary())})
+
+    orderly = "a texture has one or six faces with the same levels"
     if container not in ("dds", "ktx"):
         raise ValueError(f"unknown container: {container}")
     kind = surfaces.schema["texture_id"].dataType.simpleString()
