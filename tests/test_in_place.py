@@ -133,3 +133,19 @@ def test_files_of_one_task_are_handed_on_together(spark, kind):
     assert all(bytes(r.payload) == data[int(p)] and (r.format, r.face, r.n_mips) == ("RGBA8", 0, 1) for p, r in found.items() if not r.error)
     head = bytes(files.first().content)[:148]
     assert containers._layout(kind, head)[0] is containers._layout(kind, head)[0]  # equal headers are read once
+
+
+def test_nearest_bc6h_entries_and_distant_texels():
+    rng = np.random.default_rng(4)
+    for top in (1 << 16, 1 << 40):  # 32-bit and 64-bit arithmetic
+        v, e0, e1 = rng.integers(-top, top, (30, 16, 3)), *rng.integers(-top, top, (2, 30, 3))
+        weight = bptc.WEIGHTS[3][:, None]
+        palette = (e0[:, None, :] * (64 - weight) + e1[:, None, :] * weight + 32) >> 6
+        assert (bc6h.nearest(v, e0, e1, 3) == np.abs(v[:, :, None] - palette[:, None]).sum(axis=3).argmin(axis=2)).all()
+    v = rng.integers(0, 4, (30, 16, 3))
+    inside = rng.integers(0, 4, (30, 16)) > 1
+    inside[0] = np.arange(16) == 5
+    for found, block, own in zip(bc6h.distant(v, inside, bc6h.distances(v)), v, inside, strict=True):
+        pairs = [(i, j) for i in range(16) for j in range(i + 1, 16) if own[i] and own[j]] or [(own.argmax(),) * 2]
+        i, j = max(pairs, key=lambda p: ((block[p[0]] - block[p[1]]) ** 2).sum())
+        assert (found == [block[i], block[j]]).all()
